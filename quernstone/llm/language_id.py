@@ -97,7 +97,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int = 16, steps: int = 1500, rate: float = 0.5, seed: int = 7, reject_below: float = 0.5) -> Model:
+def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int = 16, steps: int = 1500, rate: float = 0.5, seed: int = 7, reject_below: float = 0.5, reject_share: float = 0.001) -> Model:
     """Fit embeddings and softmax; the last fifth (in a seeded order) calibrates."""
     labels = sorted(set(langs))
     if not labels:
@@ -141,6 +141,7 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int
         grid = np.geomspace(0.05, 20, 61)
         loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
+        reject_below = min(reject_below, 0.9 * float(np.quantile(_softmax(z / temperature).max(axis=1), reject_share)))
     return Model(labels, table.astype(np.float32), bias, temperature, reject_below)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, url_filter
+from . import html_extract, language_id, license_scan, packing, url_filter
 
-_MODULES = (language_id, packing, url_filter)
+_MODULES = (html_extract, language_id, license_scan, packing, url_filter)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
