@@ -246,6 +246,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     return out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("i")).alias("kept"))
 
 
+def keep_representatives(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
+    """The rows, with all their columns, of each component's smallest id, and those without an id."""
+    groups = near_duplicates(docs, percent=percent, **options)
+    gone = materialise(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
