@@ -74,11 +74,15 @@ def members(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    at = memoryview(data)
-    while len(at):
-        z = zlib.decompressobj(31)
-        yield z.decompress(at) + z.flush()
-        at = at[len(at) - len(z.unused_data) :] if z.unused_data else at[:0]
+    view, at = memoryview(data), 0
+    while at < len(view):  # in small steps, as what follows a member is copied
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            step = view[at : at + 16_384]
+            parts.append(z.decompress(step))
+            at += len(step)
+        at -= len(z.unused_data)
+        yield b"".join(parts)
 
 
 def sha1_base32(data: bytes) -> str:
