@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import arc_convert, decontaminate, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, url_filter
+from . import arc_convert, decontaminate, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, url_filter, vector_lists
 
-_MODULES = (arc_convert, decontaminate, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, url_filter)
+_MODULES = (arc_convert, decontaminate, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, url_filter, vector_lists)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
