@@ -7,7 +7,8 @@ them. All vectors are then posted: each to its nearest centroid and, if it lies
 others as well, within ``boundary`` of the nearest distance and unless the new centroid
 is nearer to one already chosen than to the vector. Centroids are found through an
 in-memory neighbour graph. A query searches the lists whose centroid's distance is
-within ``prune`` of its nearest, and as many as hold enough rows for its answer.
+within ``prune`` of its nearest, and as many as hold enough rows for its answer: first a few
+lists, whose k-th answer then bounds what the others send.
 
 A list is dealt into chunks of about ``chunk`` vectors, with its queries sent to each, so a third of
 all rows near one centroid are many tasks. Chunks preselect by a matrix product and give exact
@@ -164,7 +165,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in column.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros((0, 1))
 
 
-def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, boundary: float = 0.10, copies: int = 4, prune: float = 0.2, most_lists: int = 128, chunk: int = 2048, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, boundary: float = 0.10, copies: int = 4, prune: float = 0.2, most_lists: int = 128, first_lists: int = 6, chunk: int = 2048, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (over column i), its k nearest others."""
     spark = df.sparkSession
     rows = materialise(usable(df, id_col, vector_col).distinct(), "vectors")
@@ -196,55 +197,70 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         sizes[r["list"]] = r["count"]
     enough = 8 * copies * (k + 1)
 
-    def probe(batches):
-        held = shared.value
-        for batch in batches:
-            q = held.asked(_matrix(batch.column(1)))
-            for a in range(0, len(q), 512):
-                ids, dist = search_graph(held, q[a : a + 512], min(most_lists, len(sizes)), most_lists + 32)
-                keep_at, keep_list = [], []
-                for r, (row, d) in enumerate(zip(ids, dist, strict=True)):
-                    held_rows, limit = 0, d[0] * (1 + prune) ** 2
-                    for c, dc in zip(row, d, strict=True):
-                        if c < 0 or dc > limit and held_rows >= enough:
-                            break
-                        keep_at.append(a + r)
-                        keep_list.append(int(c))
-                        held_rows += sizes[c]
-                yield pa.RecordBatch.from_arrays([pa.array(keep_list, pa.int32()), batch.column(0).take(pa.array(keep_at)), batch.column(1).take(pa.array(keep_at))], names=["list", "i", "v"])
+    def probing(begin: int, end: int):
+        """A map from queries to the lists at these places of their order."""
+
+        def probe(batches):
+            held = shared.value
+            for batch in batches:
+                q = held.asked(_matrix(batch.column(1)))
+                for a in range(0, len(q), 512):
+                    ids, dist = search_graph(held, q[a : a + 512], min(most_lists, len(sizes)), most_lists + 32)
+                    at, to = [], []
+                    for r, (row, d) in enumerate(zip(ids, dist, strict=True)):
+                        held_rows, limit = 0, d[0] * (1 + prune) ** 2
+                        for place, (c, dc) in enumerate(zip(row, d, strict=True)):
+                            if c < 0 or place >= end or dc > limit and held_rows >= enough:
+                                break
+                            held_rows += sizes[c]
+                            if place >= begin:
+                                at.append(a + r)
+                                to.append(int(c))
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(batch.column(x).take(pa.array(at, pa.int64())) for x in range(3))], names=["list", "i", "v", "low"])
+
+        return probe
 
     chunks = F.element_at(F.lit(np.maximum(1, -(-sizes // chunk)).tolist()), F.col("list") + 1).cast("int")
-    asked = rows.where(is_query).mapInArrow(probe, "list int, i long, v array<double>")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), "i", "v")
+    part = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part")
     data = postings.select("list", F.pmod(F.xxhash64("i"), chunks.cast("long")).cast("int").alias("part"), "i", "v")
 
     def scan(points: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(points) and len(queries):
             x, q = _matrix(points.column("v").combine_chunks()), _matrix(queries.column("v").combine_chunks())
-            pi, qi = points.column("i").to_numpy(), queries.column("i").to_numpy()
+            pi, qi, low = points.column("i").to_numpy(), queries.column("i").to_numpy(), queries.column("low").to_numpy()
             by = np.argsort(pi, kind="stable")
             x, pi = x[by], pi[by]
-            found = []
+            kept = []
             for a in range(0, len(q), 256):
                 rough = q[a : a + 256] @ x.T
                 rough[qi[a : a + 256, None] == pi[None, :]] = -np.inf
                 take = min(k, len(pi))
                 floor = -np.partition(-rough, take - 1, axis=1)[:, take - 1]
-                r, c = np.nonzero((rough >= (floor - 1e-9 * np.maximum(1, np.abs(floor)))[:, None]) & np.isfinite(rough))
+                floor = np.maximum(floor, low[a : a + 256])
+                slack = np.where(np.isfinite(floor), 1e-9 * np.maximum(1, np.abs(floor)), 0)
+                r, c = np.nonzero((rough >= (floor - slack)[:, None]) & np.isfinite(rough))
                 score = (q[a + r] * x[c]).sum(axis=1)
                 order = np.lexsort((pi[c], -score, r))
                 r, c, score = r[order], c[order], score[order]
-                first = np.searchsorted(r, r)
-                top = np.arange(len(r)) - first < k
-                found.append((qi[a + r[top]], pi[c[top]], score[top]))
-            out = [np.concatenate(z) for z in zip(*found, strict=True)]
+                top = np.arange(len(r)) - np.searchsorted(r, r) < k
+                kept.append((qi[a + r[top]], pi[c[top]], score[top]))
+            out = [np.concatenate(z) for z in zip(*kept, strict=True)]
         return pa.table(dict(zip(("q", "i", "score"), out, strict=True)))
 
-    near = data.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, "q long, i long, score double")
-    best = near.groupBy("q", "i").agg(F.max("score").alias("score"))
+    def found(queries: DataFrame, begin: int, end: int) -> DataFrame:
+        asked = queries.mapInArrow(probing(begin, end), "list int, i long, v array<double>, low double").select("list", part, "i", "v", "low")
+        return data.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, "q long, i long, score double").groupBy("q", "i").agg(F.max("score").alias("score"))
+
     order = W.partitionBy("q").orderBy(F.desc("score"), "i")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("i").alias("vec_id"), "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asking = rows.where(is_query)
+    begun = materialise(ranked(found(asking.withColumn("low", F.lit(float("-inf"))), 0, first_lists)).drop("rank"), "first-answers")
+    # the k-th of the first lists' answers bounds what the others can add
+    lows = begun.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("low"))
+    more = found(asking.join(lows, asking["i"] == lows["q"], "left").select("i", "v", F.coalesce("low", F.lit(float("-inf"))).alias("low")), first_lists, most_lists)
+    best = begun.unionByName(more).groupBy("q", "i").agg(F.max("score").alias("score"))
+    return ranked(best).select(F.col("q").alias("query_id"), "rank", F.col("i").alias("vec_id"), "score")
 
 
 def op6_vector_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
