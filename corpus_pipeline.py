@@ -12,35 +12,42 @@ from pyspark.sql import functions as F
 
 from quernstone import ship
 from quernstone.llm import decontaminate, language_id, near_dedup, packing, suffix_dedup
-from quernstone.llm.common import scratch_path
+from quernstone.llm.common import discard_tables, narrow_batches, scratch_path
 
 #: Near duplicates: five words, a similarity of 0.8 or more.
 NEAR_PERCENT = 80
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _prepare(spark: SparkSession) -> None:
+    """Before a stage: what the one before has returned is written, so its working tables can go."""
     ship(spark)
+    narrow_batches(spark)
+    discard_tables(spark)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group; rows without an id stay."""
-    ship(spark)
+    _prepare(spark)
     return near_dedup.keep_representatives(docs, percent=NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _prepare(spark)
     return suffix_dedup.cut_repeats(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _prepare(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _prepare(spark)
     return packing.pack(docs)
 
 

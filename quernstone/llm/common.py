@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,10 +36,36 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_tables(spark: SparkSession) -> None:
+    """Delete the tables that ``materialise`` has written so far; results that read them must have been written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts: fewer rows than the default, so that long texts do not fill a worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def flat_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets int64, bytes uint8) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

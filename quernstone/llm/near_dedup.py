@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, flat_text, materialise, mix64, slices, word_hashes, word_spans
+from .common import NOT_SPACE, flat_text, materialise, mix64, release_memory, slices, word_hashes, word_spans
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x27D4EB2F165667C5), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
@@ -84,7 +84,7 @@ def sketches(s: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
         if not take.any():
             break
         x, at = s[take], row[take]
-        h = mix64(x + np.uint64((2 * r + 1) & 0xFFFF) * _ODD[r % 8])
+        h = mix64(x + np.uint64((2 * r + 1) * int(_ODD[r % 8]) & 0xFFFFFFFFFFFFFFFF))
         slot = ((h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if r < t else np.full(len(h), r - t)
         np.minimum.at(out, at * t + slot, (np.uint64(r) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
         open_rows = open_rows & (out.reshape(rows, t) == np.uint64(2**64 - 1)).any(axis=1)
@@ -119,11 +119,12 @@ def _signatures(docs: DataFrame, width: int, threshold: float, rows: int) -> Dat
                     b[has] = np.add.reduceat(mix64(s ^ _ODD[3]), o[:-1][has])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["i", "n", "f1", "f2", "bands"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).mapInArrow(run, "i long, n long, f1 long, f2 long, bands array<long>")
 
 
-def linked(sets: list[np.ndarray], percent: int, skip_same: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links 100 * |a & b| >= percent * |a | b| between the sets."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -146,9 +147,7 @@ def linked(sets: list[np.ndarray], percent: int, skip_same: np.ndarray | None =
     union = sizes[:, None] + sizes[None, :] - inter
     hit = 100 * inter.astype(np.float64) >= percent * union
     np.fill_diagonal(hit, False)
-    if skip_same is not None:
-        hit &= skip_same[:, None] != skip_same[None, :]
-    root, edges = np.arange(m), []
+    edges: list[tuple[int, int]] = []
     seen = np.zeros(m, bool)
     for k in range(m):
         if seen[k]:
@@ -157,13 +156,12 @@ def linked(sets: list[np.ndarray], percent: int, skip_same: np.ndarray | None =
         while queue:
             near = np.flatnonzero(hit[queue.pop()] & ~seen)
             seen[near] = True
-            root[near] = k
             edges += [(k, int(x)) for x in near]
             queue += near.tolist()
     return edges
 
 
-def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int, n_units: int) -> DataFrame:
+def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (a, b) between the members of each unit; members: (i, units array)."""
 
     def sets_of(batches):
@@ -172,6 +170,7 @@ def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int, n_u
             for i, j in slices(offsets, 1 << 20):
                 s, o = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array([s[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())], names=["i", "units", "s"])
+        release_memory()
 
     def run(batches):
         now, ids, sets, out = None, [], [], []
@@ -191,6 +190,7 @@ def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int, n_u
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
         done()
+        release_memory()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
@@ -203,7 +203,7 @@ def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int, n_u
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(i, c): the smallest id of the component of every id that has an edge; alternating large and small stars."""
+    """(i, c): the smallest id of the component, for every id with an edge but that one; alternating large and small stars."""
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     signature = None
     while True:
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     units = F.when(blocks <= 1, F.array(name)).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.concat_ws(":", name, F.least(k, mine), F.greatest(k, mine))))
     members = hits.select(F.col("rep").alias("i"), F.explode(units).alias("unit")).groupBy("i").agg(F.collect_list("unit").alias("units"))
     members = materialise(members, "members")
-    edges = materialise(_verified(members, docs, width, percent, 0), "edges")
+    edges = materialise(_verified(members, docs, width, percent), "edges")
     # the copies of a class that has other ids need their own way to it: i -> rep
     found = components(edges)
     labelled = classes.select("f1", "f2", "n", "rep").join(found.select(F.col("i").alias("rep"), "c"), "rep", "left").select("f1", "f2", "n", F.coalesce("c", "rep").alias("component_id"))

@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_table, flat_text, materialise, mix64, slices
+from .common import byte_table, flat_text, materialise, mix64, release_memory, slices
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, and about so many of runs in a shard.
@@ -41,7 +42,7 @@ GROUP_BYTES = 4 << 20
 HASH_BYTES = 48 << 20
 #: Up to so many exact copies (16 bytes each) are told by a broadcast; beyond it by a shuffle.
 BROADCAST_COPIES = 1_000_000
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 
 _T = byte_table(50)
 _MUL = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -327,6 +328,7 @@ def _hashes(length: int, parts: int):
                     own, counts = np.unique(row[at], return_counts=True)
                     out.append((p, _blob(doc[i + own].astype(np.int64), h[i + own].astype(np.int64), g[i + own].astype(np.int32), counts.astype(np.int32), least[at])))
                 yield from _table("p", out).to_batches()
+        release_memory()
 
     return run
 
@@ -346,6 +348,8 @@ def _shared(table: pa.Table) -> pa.Table:
     out = []
     for k, at in _groups(g[e]):
         out.append((k, _blob(np.unique(v[at]))))
+    del got, doc, g, counts, value, entry, order, v, e, d, take
+    release_memory()
     return _table("g", out)
 
 
@@ -418,6 +422,7 @@ def _decided(length: int):
         def sort_batch():
             found = repeated_windows([strings[m][1] for m in batch], small[batch], length)
             windows.update((m, w) for m, w in zip(batch, found, strict=True) if len(w))
+            release_memory()
 
         size = 0
         for group in np.split(order, cuts):  # a hash's strings stay together
@@ -470,7 +475,7 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-_OUT = {"digest": "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "text": "doc_id long, h long, kept string"}
+_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(length: int, mode: str):
@@ -480,11 +485,9 @@ def _cut(length: int, mode: str):
             docs, hs, owner, start, count = _arrays(b, "qqiii")
             for k, at in _groups(owner):
                 got.setdefault((int(docs[k]), int(hs[k])), []).append((start[at], count[at]))
-        rows = []
+        rows, kept_texts = [], []
         for i, h, text in zip(*(texts.column(k).to_pylist() for k in ("i", "h", "t")), strict=True):
             found = got.get((i, h))
-            if mode == "text" and not found:
-                continue
             data = (text or "").encode()
             spans = _spans(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), length) if found else []
             if mode == "text":
@@ -494,56 +497,67 @@ def _cut(length: int, mode: str):
                 kept.append(data[at:a])
                 at = b
             kept = b"".join([*kept, data[at:]])
-            rows.append((i, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) if mode == "digest" else (i, h, kept.decode()))
-        names = [f.split()[0] for f in _OUT[mode].split(", ")]
-        types = [pa.string() if f.endswith("string") else pa.int64() for f in _OUT[mode].split(", ")]
+            if mode == "text":
+                kept_texts.append(kept.decode() if spans else None)
+            else:
+                rows.append((i, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+        if mode == "text":
+            return pa.table({"r": texts.column("r"), "t": texts.column("t"), "kept": pa.array(kept_texts, pa.string())})
+        names = [f.split()[0] for f in _DIGEST.split(", ")]
+        types = [pa.string() if f.endswith("string") else pa.int64() for f in _DIGEST.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=names)
 
     return run
 
 
-def _parts(docs: DataFrame, length: int, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results for texts that are not copies, copies, slim rows)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    rows = rows.select("i", F.xxhash64("t").alias("h"), "t")
+def _parts(docs: DataFrame, length: int, mode: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(results for texts that are not copies, rows, copies, slim rows). In mode text the rows keep their other columns in ``r``."""
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null")) if mode == "text" else F.lit(None).cast("boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t"), rest.alias("r"))
+    rows = rows.select("i", F.xxhash64("t").alias("h"), "t", "r")
     slim = materialise(rows.select("i", "h", F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha")), "digests")
     total = slim.agg(F.sum("n")).first()[0] or 0
     known = slim.where("i IS NOT NULL")
     firsts = known.groupBy("sha").agg(F.min("i").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
     copies = materialise(known.join(firsts, "sha").where("i > first").select("i", "h", "n", "sha").distinct(), "copies")
     few = copies.count() <= BROADCAST_COPIES
-    told = copies.select("i", "h")
+    told = F.broadcast(copies.select("i", "h")) if few else copies.select("i", "h")
     groups, parts = max(12, -(-total // GROUP_BYTES)), max(12, -(-total // HASH_BYTES))
-    texts = rows.where("i IS NOT NULL").join(F.broadcast(told) if few else told, ["i", "h"], "left_anti")
-    texts = texts.select("i", "h", F.pmod(F.xxhash64("i"), F.lit(groups)).cast("int").alias("g"), "t")
-    hashes = texts.mapInArrow(_hashes(length, parts), "p int, b binary")
+    texts = rows.where("i IS NOT NULL").join(told, ["i", "h"], "left_anti")
+    texts = texts.select("i", "h", F.pmod(F.xxhash64("i"), F.lit(groups)).cast("int").alias("g"), "t", "r")
+    hashes = texts.select("i", "h", "g", "t").mapInArrow(_hashes(length, parts), "p int, b binary")
     shared = hashes.groupBy("p").applyInArrow(_shared, "g int, b binary")
     segments = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_segments(length, groups), "s int, b binary")
     flags = segments.groupBy("s").applyInArrow(_decided(length), "g int, b binary")
-    return texts.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(_cut(length, mode), _OUT[mode]), copies, slim
+    schema = T.StructType([rows.schema["r"], T.StructField("t", T.StringType()), T.StructField("kept", T.StringType())]) if mode == "text" else _DIGEST
+    return texts.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(_cut(length, mode), schema), rows, told, slim
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    cut, copies, slim = _parts(docs, length, "digest")
+    cut, _, copies, slim = _parts(docs, length, "digest")
     gone = F.col("n") >= length
     # rows of a copy: as many as the table has
-    whole = slim.join(copies.select("i", "h"), ["i", "h"], "left_semi").select(F.col("i").alias("doc_id"), F.col("n").alias("n_bytes"), F.when(gone, F.col("n")).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.when(gone, F.lit(_EMPTY)).otherwise(F.col("sha")).alias("kept_sha256"))
+    whole = slim.join(copies, ["i", "h"], "left_semi").select(F.col("i").alias("doc_id"), F.col("n").alias("n_bytes"), F.when(gone, F.col("n")).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.when(gone, F.lit(_EMPTY)).otherwise(F.col("sha")).alias("kept_sha256"))
     unknown = slim.where("i IS NULL").select(F.col("i").alias("doc_id"), F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return cut.unionByName(whole).unionByName(unknown)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows with repeated strings cut from their texts, and n_chars, where there is one, counted anew."""
-    cut, copies, _ = _parts(docs, length, "text")
-    empty = copies.where(F.col("n") >= length).select(F.col("i").alias("doc_id"), "h", F.lit("").alias("kept"))
-    changed = materialise(cut.unionByName(empty).distinct().select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), F.col("kept").alias("_kept")), "cut-texts")
-    key = (F.col("doc_id").cast("long") == F.col("_i")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
-    out = docs.join(changed, key, "left")
+    """The rows, with all their columns, with repeated strings cut from their texts, and n_chars, where there is one, counted anew."""
+    cut, rows, copies, _ = _parts(docs, length, "text")
+    gone = F.when(F.octet_length("t") >= length, F.lit(""))
+    whole = rows.join(copies, ["i", "h"], "left_semi").select("r", "t", gone.alias("kept"))
+    unknown = rows.where("i IS NULL").select("r", "t", F.lit(None).cast("string").alias("kept"))
+    out = cut.unionByName(whole).unionByName(unknown)
     columns = []
     for c in docs.columns:
-        value = F.coalesce("_kept", "text") if c == "text" else F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)) if c == "n_chars" else docs[c]
+        if c == "text":
+            value = F.coalesce("kept", F.when(~F.col("r")["_null"], F.col("t")))
+        elif c == "n_chars":
+            value = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("r")[c])
+        else:
+            value = F.col("r")[c]
         columns.append(value.alias(c))
     return out.select(*columns)
 
