@@ -6,7 +6,7 @@ diagonal ``word position - template position``; one bit of a mask stands for eac
 template position, so a diagonal is one row whatever its votes. Base phrases count
 where all their k-grams vote on one diagonal. For the others neighbouring diagonals
 (a word more or fewer between) merge, and the merged span is verified: the template words
-covered, over the template's length, must reach ``MIN_COVER``. The joins compare the
+covered, over the template's length, must reach ``MIN_COVER`` and hold its distinctive word. The joins compare the
 words themselves beside the hashes, so a collision adds nothing.
 
 Each row is followed by its own number, so rows that repeat a doc_id stay apart, and
@@ -25,21 +25,21 @@ from pyspark.sql import functions as F
 #: The base phrases of the query's contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Templates of the method's own labels, at most 60 words each.
+#: Templates of the method's own labels, at most 60 words each, with the word that a span must cover.
 TEMPLATES = (
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under cc by nd 4 0", "cc-by-nd"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("under the terms of the gnu lesser general public license", "lgpl"),
-    ("subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "nc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", "sa"),
+    ("licensed under cc by nd 4 0", "cc-by-nd", "nd"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", "attribution"),
+    ("licensed under the apache license version 2 0", "apache-2.0", "apache"),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", "permission"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", "redistribution"),
+    ("licensed under the gnu general public license version 3", "gpl-3.0", "gnu"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", "gnu"),
+    ("under the terms of the gnu lesser general public license", "lgpl", "lesser"),
+    ("subject to the terms of the mozilla public license v 2 0", "mpl-2.0", "mozilla"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered"),
 )
 MIN_COVER = 0.8
 NEAR = 2
@@ -47,16 +47,17 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _gram_rows() -> list[tuple]:
-    """(template, base, place, w1, w2, w3 or null, words, grams, k, label): word pairs for base phrases, triples for the rest."""
+    """(template, base, place, w1, w2, w3 or null, words, grams, must, label): word pairs for base phrases, triples for the rest; must: a bit for each place of the word to cover."""
     rows = []
-    for t, (phrase, label, k) in enumerate([(p, x, 2) for p, x in BASE] + [(p, x, 3) for p, x in TEMPLATES]):
+    for t, (phrase, label, k, key) in enumerate([(p, x, 2, None) for p, x in BASE] + [(p, x, 3, w) for p, x, w in TEMPLATES]):
         words = phrase.split()
+        must = sum(1 << i for i, w in enumerate(words) if w == key)
         n = len(words) - k + 1
-        rows += [(t, k == 2, i, words[i], words[i + 1], words[i + 2] if k == 3 else None, len(words), n, k, label) for i in range(n)]
+        rows += [(t, k == 2, i, words[i], words[i + 1], words[i + 2] if k == 3 else None, len(words), n, must, label) for i in range(n)]
     return rows
 
 
-_SCHEMA = "t int, base boolean, place int, a string, b string, c string, words int, grams int, k int, label string"
+_SCHEMA = "t int, base boolean, place int, a string, b string, c string, words int, grams int, must long, label string"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cover: float = MIN_COVER) -> DataFrame:
@@ -73,14 +74,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("i", "row", "n", "pos", F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"), F.col("g.w3").alias("w3"))
     meets = (F.xxhash64("w1", "w2") == F.col("h")) & (F.col("w1") == F.col("a")) & (F.col("w2") == F.col("b")) & (F.col("c").isNull() | (F.col("w3") == F.col("c")))
     hits = rows.join(grams, meets, "left").where((F.col("w1") == "") | F.col("t").isNotNull())
-    votes = hits.groupBy("i", "row", "n", "t", "base", "words", "grams", "k", "label", (F.col("pos") - F.col("place")).cast("long").alias("diag")).agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
+    votes = hits.groupBy("i", "row", "n", "t", "base", "words", "grams", "must", "label", (F.col("pos") - F.col("place")).cast("long").alias("diag")).agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
     order = W.partitionBy("row", "t").orderBy("diag")
     far = F.col("base") | (F.col("diag") - F.lag("diag").over(order) > NEAR)
     votes = votes.withColumn("run", F.sum(F.coalesce(far.cast("int"), F.lit(1))).over(order))
-    spans = votes.groupBy("i", "row", "n", "t", "base", "words", "grams", "label", "run").agg(F.min("diag").alias("first"), F.expr("bit_or(mask)").alias("mask"))
-    covered = F.expr("bit_count(mask | shiftleft(mask, 1) | CASE WHEN base THEN 0L ELSE shiftleft(mask, 2) END)") / F.col("words")
+    spans = votes.groupBy("i", "row", "n", "t", "base", "words", "grams", "must", "label", "run").agg(F.min("diag").alias("first"), F.expr("bit_or(mask)").alias("mask"))
+    spans = spans.withColumn("cover", F.expr("mask | shiftleft(mask, 1) | CASE WHEN base THEN 0L ELSE shiftleft(mask, 2) END"))
+    has_key = F.col("cover").bitwiseAND(F.col("must")) == F.col("must")
     full = F.expr("bit_count(mask)") == F.col("grams")
-    spans = spans.withColumn("cover", covered).withColumn("is_base", F.coalesce(F.col("base") & full, F.lit(False))).withColumn("is_own", F.coalesce(~F.col("base") & (F.col("cover") >= min_cover), F.lit(False)))
+    spans = spans.withColumn("has_key", has_key).withColumn("cover", F.bit_count("cover") / F.col("words"))
+    spans = spans.withColumn("is_base", F.coalesce(F.col("base") & full, F.lit(False))).withColumn("is_own", F.coalesce(~F.col("base") & F.col("has_key") & (F.col("cover") >= min_cover), F.lit(False)))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     out = spans.groupBy("i", "row", "n").agg(
         F.sum(F.col("is_base").cast("long")).alias("n_base"),
@@ -101,7 +104,7 @@ def oracle(min_cover: float = MIN_COVER) -> str:
     cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
     values = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in _gram_rows())
     return f"""
-WITH grams(t, base, place, a, b, c, words, grams, k, label) AS (VALUES {values}),
+WITH grams(t, base, place, a, b, c, words, grams, must, label) AS (VALUES {values}),
 w AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEPARATORS}'), lambda x: x <> '') AS w
   FROM documents),
@@ -110,19 +113,19 @@ hits AS (
   SELECT p.r, g.*, pos - place AS diag
   FROM p JOIN grams g ON w[pos + 1] = a AND w[pos + 2] = b AND (c IS NULL OR w[pos + 3] = c)),
 votes AS (
-  SELECT r, t, base, words, grams, label, diag, bit_or(1::BIGINT << place) AS mask
+  SELECT r, t, base, words, grams, must, label, diag, bit_or(1::BIGINT << place) AS mask
   FROM hits GROUP BY ALL),
 marked AS (
   SELECT *, CASE WHEN NOT base AND diag - lag(diag) OVER (PARTITION BY r, t ORDER BY diag) <= {NEAR} THEN 0 ELSE 1 END AS fresh
   FROM votes),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, t ORDER BY diag) AS run FROM marked),
 spans AS (
-  SELECT r, t, base, words, grams, label, run, min(diag) AS first, bit_or(mask) AS mask
+  SELECT r, t, base, words, grams, must, label, run, min(diag) AS first, bit_or(mask) AS mask
   FROM runs GROUP BY ALL),
 judged AS (
-  SELECT *, bit_count(mask | (mask << 1) | CASE WHEN base THEN 0 ELSE mask << 2 END) / words AS cover, base AND bit_count(mask) = grams AS is_base
-  FROM spans),
-found AS (SELECT *, NOT base AND cover >= {min_cover} AS is_own FROM judged)
+  SELECT *, bit_count(covered) / words AS cover, base AND bit_count(mask) = grams AS is_base
+  FROM (SELECT *, mask | (mask << 1) | CASE WHEN base THEN 0 ELSE mask << 2 END AS covered FROM spans)),
+found AS (SELECT *, NOT base AND cover >= {min_cover} AND covered & must = must AS is_own FROM judged)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(count(*) FILTER (is_base) AS BIGINT) AS n_base,
        CAST(min(first) FILTER (is_base) AS BIGINT) AS first_word, CAST(max(first) FILTER (is_base) AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ','), '') AS base_labels,
