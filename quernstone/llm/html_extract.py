@@ -142,17 +142,18 @@ def weights() -> dict[str, float]:
         at = 0
         spans = [(m.start(), m[0]) for m in _TOKEN.finditer(plain)]
         for (kind, text, _, foreign, _), (at, _) in zip(tokens(plain), spans, strict=False):
+            if foreign:
+                continue
             side = inside if marked[0] <= at < marked[1] else outside
-            kind = f"foreign {kind}" if foreign else kind
             side[kind] = side.get(kind, 0) + (len(text.split()) if text.strip() else 1)
     total_in, total_out = sum(inside.values()), sum(outside.values())
     out = {}
-    for kind in ("link", "heading", "paragraph", "article", "bare", "block", "inline", "break", *(f"foreign {k}" for k in ("link", "heading", "paragraph", "article", "bare", "block", "inline", "break"))):
+    for kind in ("link", "heading", "paragraph", "article", "bare", "block", "inline", "break"):
         out[kind] = math.log((inside.get(kind, 0) + 0.5) / (total_in + 4)) - math.log((outside.get(kind, 0) + 0.5) / (total_out + 4))
-    for kind in out:  # the method's signs: words of running text positive, tags and foreign words negative
+    for kind in out:  # the method's signs: words of running text positive, tags negative
         if kind in ("paragraph", "article", "bare", "heading"):
             out[kind] = max(out[kind], 0.2)
-        elif kind != "link" or kind.startswith("foreign"):
+        elif kind != "link":
             out[kind] = min(out[kind], -0.1)
     return out
 
@@ -174,11 +175,12 @@ def extract(page: str | None) -> str:
         return ""
     found = tokens(page)
     w = weights()
-    scores = []
+    scores, before = [], False
     for kind, text, _, foreign, _ in found:
         n = len(text.split()) if text and not text.isspace() else 0
-        key = f"foreign {kind}" if foreign else kind
-        scores.append(w[key] * (n if kind in ("link", "heading", "paragraph", "article", "bare") else 1))
+        # a foreign element is left out of the text, and so counts as one tag
+        scores.append(0.0 if before and foreign else w["block"] if foreign else w[kind] * (n if kind in ("link", "heading", "paragraph", "article", "bare") else 1))
+        before = foreign
     low, high = best_run(scores)
     if low == high:
         return ""
