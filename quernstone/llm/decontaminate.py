@@ -43,7 +43,7 @@ def seeds(words: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         if n <= 0:
             continue
         at = np.flatnonzero(row[:n] == row[mask[-1] :])
-        h = np.full(n, np.uint64(k + 1) * _FACTOR[3])
+        h = np.full(n, np.uint64((k + 1) * int(_FACTOR[3]) & 0xFFFFFFFFFFFFFFFF))
         for o, f in zip(mask, _FACTOR, strict=True):
             h = h + words[o : o + n] * f
         yield at, mix64(h[at])
