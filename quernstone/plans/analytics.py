@@ -265,3 +265,17 @@ def e6_trace_blocks(t):
     line = lambda shift, left, right, flags, n: F.concat(F.format_string("%.6f", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + shift), F.lit(f" IP 127.0.0.1.{left} > 127.0.0.1.{right}: Flags [{flags}], seq 1, length {n}"))
     rows = t.events.select(F.explode(F.array(*(F.regexp_replace(line(s, a, b, f, n), "PORT", (F.col("event_id") + 20000).cast("string")) for s, a, b, f, n in ((0.0, "PORT", 9200, "P.", 108), (0.001, 9200, "PORT", ".", 0), (0.002, 9200, "PORT", "P.", 177))))).alias("line"))
     return traces.block_means(traces.requests(traces.parse(rows)), 95, 5)
+
+
+@query("e7_mixed_cache", "SELECT props, count(*) AS requests, count(*) - count(DISTINCT user_id) AS hits, round(100.0 * (count(*) - count(DISTINCT user_id)) / count(*), 6) AS hit_percent FROM events GROUP BY props")
+def e7_mixed_cache(t):
+    """The first request of a user and payload misses, its repeats hit."""
+    hits = F.count("*") - F.countDistinct("user_id")
+    return t.events.groupBy("props").agg(F.count("*").alias("requests"), hits.alias("hits"), F.round(100.0 * hits / F.count("*"), 6).alias("hit_percent"))
+
+
+@query("e10_control_blocks", "SELECT user_id % 2 AS variant, block, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95, count(DISTINCT event_type) = 5 AS valid FROM (SELECT *, ((k - 1) // 100) + 1 AS block, (k - 1) % 100 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) AS k FROM events)) WHERE pos >= 10 GROUP BY 1, 2")
+def e10_control_blocks(t):
+    k = F.row_number().over(W.partitionBy(F.col("user_id") % 2).orderBy("ts", "event_id")).cast("long") - 1
+    rows = t.events.withColumn("k", k).where("k % 100 >= 10")
+    return rows.groupBy((F.col("user_id") % 2).alias("variant"), (F.floor(F.col("k") / 100) + 1).alias("block")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), floor_percentile(F.col("value"), 0.95).alias("p95"), (F.countDistinct("event_type") == 5).alias("valid"))

@@ -12,15 +12,12 @@ from ..functions.vector import is_valid
 from ..operators import changes, evaluation, fusion, lexical, semantic
 from ..operators.cache import FencedCache, SearchService, check_request
 from ..operators.generations import GenerationStore
+from ..operators.hits import checked
 from ..sources.symbols import symbols_of
 
 KEYS = ["repository", "path", "start_line"]
 
 
-class SearchError(RuntimeError):
-    """A search that could not be answered completely."""
-
-
 def hashing_embedder(dims: int) -> Callable[[Column], Column]:
     """A column function: the text's words hashed to ``dims`` slots, with unit length. Deterministic, needs no model."""
     from ..functions.text import analyse
@@ -119,7 +116,8 @@ class Engine:
 
     def _retrieve(self, query: str, limit: int) -> list[dict]:
         rows = self.hybrid(self.batch([query]), limit).orderBy("rank").drop("query_id", "id", "rank", "file_id", "repository_id").collect()
-        return [r.asDict() for r in rows]
+        out = [r.asDict() for r in rows]
+        return [{**r, **hit} for r, hit in zip(out, checked(out), strict=True)]
 
     def search(self, query: str, limit: int = 10) -> dict:
         """One query through the cache; the envelope says how it was answered."""

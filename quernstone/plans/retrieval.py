@@ -184,3 +184,28 @@ def r7_hashed_embedding(t):
 @query("s5_postings", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {_WORD})) AS term FROM documents) GROUP BY ALL")
 def s5_postings(t):
     return t.documents.select("doc_id", F.explode(analyse(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
+_CASES = """cases AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:8], ' ') AS query, substr(text, 1, 60) AS prefix FROM benchmark),
+    expected AS (SELECT query_id, min(doc_id) AS id FROM cases JOIN documents ON contains(text, prefix) GROUP BY query_id)"""
+
+
+@query(
+    "e1_evaluate",
+    f"""WITH {bm25_sql({"code": 1.0}, 10).replace(f"q(query_id, query) AS (VALUES {_ROWS})", f"{_CASES}, q AS (SELECT c.query_id, query FROM cases c JOIN expected USING (query_id))")},
+    rk AS (SELECT e.query_id, min(rank) AS rank FROM expected e LEFT JOIN bm ON bm.query_id = e.query_id AND bm.id = e.id GROUP BY e.query_id) SELECT {_M} FROM rk""",
+)
+def e1_evaluate(t):
+    """Recall of lexical search: the first words of each benchmark item against the first document that holds its beginning."""
+    words = analyse(F.col("text"))
+    cases = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(words, 1, 8)).alias("query"), F.substring("text", 1, 60).alias("prefix"))
+    # the cases are a stated set; each is looked for in all texts
+    expected = t.documents.join(F.broadcast(cases), F.col("text").contains(F.col("prefix"))).groupBy("query_id").agg(F.min("doc_id").alias("id"))
+    queries = cases.join(expected, "query_id").select("query_id", "query")
+    hits = lexical.search(symbols(t), queries, 10, {"code": 1.0}, "doc_id")
+    return evaluation.metrics(evaluation.first_rank(hits, expected, ["id"]))
+
+
+@query("r5_default_hybrid", f"WITH {fused_sql('0.6')} SELECT query_id, id, score, rank FROM fu WHERE rank <= 5")
+def r5_default_hybrid(t):
+    return fused(t, fusion.DEFAULT_WEIGHT).where("rank <= 5").select("query_id", "id", "score", "rank")

@@ -279,3 +279,51 @@ def t1_topk(t):
 @query("t4_order_by", "SELECT p_partkey, p_brand, p_type FROM part ORDER BY p_brand, p_type, p_partkey LIMIT 40")
 def t4_order_by(t):
     return t.part.select("p_partkey", "p_brand", "p_type").orderBy("p_brand", "p_type", "p_partkey").limit(40)
+
+
+@query("p5_hit_format", "SELECT vec_id, round(coalesce(CASE WHEN label % 3 <> 0 THEN CAST(label AS DOUBLE) END, 0.0), 6) AS score, CASE WHEN label = 4 THEN NULL ELSE 'l' || label END AS language, coalesce(CASE WHEN label > 5 THEN true END, false) AS is_test FROM embeddings")
+def p5_hit_format(t):
+    from ..operators.hits import formatted
+
+    rows = t.embeddings.selectExpr("vec_id", "CASE WHEN label % 3 <> 0 THEN CAST(label AS DOUBLE) END AS score", "CASE WHEN label = 4 THEN NULL ELSE 'l' || label END AS language", "CASE WHEN label > 5 THEN true END AS is_test")
+    return formatted(rows)
+
+
+@query("f5_equality", "SELECT doc_id, n_chars FROM documents WHERE source = 'src4' AND lang = 'en'")
+def f5_equality(t):
+    return t.documents.where((F.col("source") == "src4") & (F.col("lang") == "en")).select("doc_id", "n_chars")
+
+
+@query("f9_query_bounds", "SELECT doc_id, length(text) BETWEEN 1 AND 4096 AND trim(text) <> '' AS accepted FROM documents")
+def f9_query_bounds(t):
+    return t.documents.select("doc_id", (F.length("text").between(1, 4096) & (F.trim("text") != "")).alias("accepted"))
+
+
+_SOURCE = "'class A' || doc_id || ':' || chr(10) || '    def m(self):' || chr(10) || '        pass' || chr(10) || 'def f' || n_chars || '():' || chr(10) || '    return ' || doc_id"
+
+
+@query(
+    "u1_symbols",
+    """SELECT doc_id, u.s.name AS name, u.s.qualified_name AS qualified_name, u.s.kind AS kind, CAST(u.s.a AS INTEGER) AS start_line, CAST(u.s.b AS INTEGER) AS end_line FROM (SELECT doc_id, unnest([
+    {'name': 'A' || doc_id, 'qualified_name': 'A' || doc_id, 'kind': 'class', 'a': 1, 'b': 3}, {'name': 'm', 'qualified_name': 'A' || doc_id || '.m', 'kind': 'method', 'a': 2, 'b': 3}, {'name': 'f' || n_chars, 'qualified_name': 'f' || n_chars, 'kind': 'function', 'a': 4, 'b': 5}]) AS s FROM documents) u""",
+)
+def u1_symbols(t):
+    from ..sources.symbols import symbols_of
+
+    files = t.documents.select("doc_id", F.expr(_SOURCE).alias("text"))
+    return symbols_of(files, keys=("doc_id",)).drop("code")
+
+
+@query("u2_source_audit", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'grammar_recovery' ELSE 'clean' END AS issue, count(*) AS n FROM documents GROUP BY 1")
+def u2_source_audit(t):
+    from ..sources.symbols import audit
+
+    files = t.documents.select(F.col("doc_id").alias("path"), F.encode(F.concat(F.expr(_SOURCE), F.when(F.col("doc_id") % 3 == 0, "\ndef (").otherwise("")), "utf-8").alias("content"))
+    return audit(files).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query("c8_recovery_jobs", "SELECT source, count(*) AS jobs, count(*) FILTER (quality = 0) AS blocked, CAST(coalesce(sum(n_chars) FILTER (quality = 1), 0) AS BIGINT) AS size FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def c8_recovery_jobs(t):
+    rows = t.documents.join(t.labels, "doc_id")
+    bad = F.col("quality") == 0
+    return rows.groupBy("source").agg(F.count("*").alias("jobs"), F.count(F.when(bad, 1)).alias("blocked"), F.coalesce(F.sum(F.when(F.col("quality") == 1, F.col("n_chars"))), F.lit(0)).alias("size"))

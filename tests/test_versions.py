@@ -245,3 +245,75 @@ def test_window_outcomes(spark):
 
     df = spark.createDataFrame([("2024-01-01 00:10:00", "hit", 1.0), ("2024-01-01 00:50:00", "hit", 3.0), ("2024-01-01 01:10:00", "hit", 5.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["n"], r["mean"]) for r in windowed_outcomes(df).collect()) == [(1, 5.0), (2, 2.0)]
+
+
+def test_hits_are_checked_whole():
+    from quernstone.operators.hits import InvalidSearchResponseError, checked, score_of
+
+    good = {"repository": "r", "path": "p", "name": "n", "qualified_name": "q", "kind": "k", "code": "c", "start_line": 1, "end_line": 2}
+    assert checked([good])[0] == {"score": 0.0, **good, "language": None, "is_test": False}
+    for key, bad in (("path", None), ("start_line", True), ("start_line", 0), ("end_line", "2"), ("end_line", 0), ("language", []), ("is_test", 1), ("score", "1.0"), ("score", True), ("score", float("nan")), ("score", 10**400)):
+        with pytest.raises(InvalidSearchResponseError):
+            checked([good, {**good, key: bad}])
+    assert [score_of(x) for x in (None, 0, -1.5, 2)] == [0.0, 0.0, -1.5, 2.0]
+
+
+def test_writers_exclude_each_other(tmp_path):
+    from quernstone.operators.locking import WriterBusy, writer
+
+    root = str(tmp_path)
+    with writer(root, 1), writer(root, 2):
+        for args in ((1,), (3, True)):
+            with pytest.raises(WriterBusy), writer(root, *args):
+                pass
+    with writer(root, 1, True), pytest.raises(WriterBusy), writer(root, 2):
+        pass
+    (tmp_path / "publication.json").write_text('{"repository_id": 1}')
+    with writer(root, 1, True):
+        pass
+    for args in ((1,), (2, True)):
+        with pytest.raises(WriterBusy), writer(root, *args):
+            pass
+
+
+def test_a_sync_is_replayed_until_it_ends(tmp_path):
+    from quernstone.operators import jobs
+
+    journal, applied = jobs.Journal(str(tmp_path)), []
+
+    def fail(job):
+        raise OSError("stopped")
+
+    with pytest.raises(OSError):
+        jobs.run_sync(journal, 1, lambda: ("a", "b"), lambda *c: ["y", "x", "x"], fail)
+    assert jobs.inspect(journal)["jobs"] == [{"kind": "sync", "repository_id": 1, "paths": 2, "blocked": None}]
+    out = jobs.run_sync(journal, 1, lambda: ("a", "c"), lambda *c: ["z"], applied.append)
+    assert out == {"changed": True, "paths": 2, "target_commit": "b"} and applied[0]["affected_paths"] == ["x", "y"]
+    assert jobs.run_sync(journal, 1, lambda: ("b", "b"), None, None) == {"changed": False, "paths": 0} and jobs.inspect(journal)["jobs"] == []
+    journal.begin("full", 2)
+    with pytest.raises(RuntimeError):
+        journal.begin("sync", 2, affected_paths=[])
+    assert jobs.inspect(journal, {"phase": "ready", "repository_id": 1})["jobs"][0]["blocked"] == "a publication is pending"
+
+
+def test_retention_deletes_only_what_was_reviewed(spark, tmp_path):
+    import datetime as dt
+
+    from quernstone.operators import retention
+
+    store = GenerationStore(spark, str(tmp_path / "s"))
+    names = [store.publish({"docs": spark.range(k)}) for k in range(1, 5)]
+    soon, later = dt.datetime.now(dt.timezone.utc), dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=25)
+    assert retention.plan(store, soon)["candidates"] == []
+    plan = retention.plan(store, later)
+    assert [c["name"] for c in plan["candidates"]] == [names[0]]
+    with pytest.raises(retention.RetentionBlocked):
+        retention.apply(store, plan, later)
+    bad = {**plan, "candidates": [{**plan["candidates"][0], "uuid": "x"}]}
+    with pytest.raises(retention.RetentionBlocked):
+        retention.apply(store, bad, later, quiesced=True)
+    assert retention.apply(store, plan, later, quiesced=True)["deleted"] == [names[0]]
+    assert retention.apply(store, plan, later, quiesced=True)["already_absent"] == [names[0]]
+    assert store.current() == names[-1] and store.read().count() == 4 and store.lifecycle()[names[0]]["state"] == "deleted"
+    with pytest.raises(ValueError):
+        retention.plan(store, later, 0, 2)
