@@ -19,6 +19,10 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS = 200_000
 
 
+def _told(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
 def field_tokens(docs: DataFrame, fields: list[str], id_col: str = "symbol_id", pattern: str = WORDS) -> DataFrame:
     """(id, field, tokens) of the fields that a document has."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), analyse(F.col(f), pattern).alias("tokens")) for f in fields))
@@ -26,9 +30,11 @@ def field_tokens(docs: DataFrame, fields: list[str], id_col: str = "symbol_id",
     return rows.select("id", "p.field", "p.tokens").where(F.size("tokens") > 0)
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(field, term, id, tf, length)."""
+def postings(tokens: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(field, term, id, tf, length); ``only``: a query batch's terms, whose postings alone are then built."""
     rows = tokens.select("field", "id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if only is not None:
+        rows = rows.join(_told(only.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -44,10 +50,8 @@ def query_terms(queries: DataFrame, pattern: str = WORDS) -> DataFrame:
 
 def score_batch(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """(query_id, id, score) of all documents with a term in some field."""
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hit = post.join(F.broadcast(terms) if small else terms, "term")
-    seen = post.join(F.broadcast(terms.select("term").distinct()) if small else terms.select("term").distinct(), "term", "left_semi")
-    df = seen.groupBy("field", "term").agg(F.count("*").alias("df"))
+    hit = post.join(_told(terms), "term")
+    df = post.join(_told(terms.select("term").distinct()), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
     rows = hit.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # stats: a row a field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
@@ -65,7 +69,8 @@ def top(scores: DataFrame, limit: int | Column, extra: Column | None = None) ->
 def search(docs: DataFrame, queries: DataFrame, limit: int, boosts: dict[str, float] = BOOSTS, id_col: str = "symbol_id", is_test: str | None = None, intent: str | None = None, pattern: str = WORDS) -> DataFrame:
     """(query_id, id, score, rank). ``is_test`` names a column of docs, ``intent`` one of queries: without intent test documents are filtered, after scoring."""
     tokens = field_tokens(docs, list(boosts), id_col, pattern)
-    scores = score_batch(postings(tokens), field_stats(tokens), query_terms(queries, pattern), boosts)
+    terms = query_terms(queries, pattern)
+    scores = score_batch(postings(tokens, terms), field_stats(tokens), terms, boosts)
     if is_test:
         flags = docs.select(F.col(id_col).alias("id"), F.col(is_test).alias("_test"))
         scores = scores.join(flags, "id").join(queries.select("query_id", F.col(intent).alias("_intent")), "query_id").where("_intent OR NOT _test").drop("_test", "_intent")
