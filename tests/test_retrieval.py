@@ -116,3 +116,15 @@ def test_min_max_bounds_and_order(spark, values):
     out = _norms(spark, values)
     assert all(0 <= x <= 1 for x in out) and max(out) == 1
     assert all(a <= b for (_, a), (_, b) in zip(sorted(zip(values, out, strict=True))[:-1], sorted(zip(values, out, strict=True))[1:], strict=True))
+
+
+def test_large_query_batches_go_by_a_shuffle_and_in_blocks(spark, monkeypatch):
+    from quernstone.operators import lexical, semantic
+
+    docs = spark.createDataFrame([(k, f"alpha {'beta ' * (k % 4)} w{k}", [float(k % 7), 1.0]) for k in range(60)], "symbol_id int, code string, embedding array<double>")
+    queries = spark.createDataFrame([(k, f"beta w{k}", [1.0, float(k)]) for k in range(9)], "query_id int, query string, embedding array<double>")
+    run = lambda: (sorted(map(repr, lexical.search(docs, queries, 5, {"code": 1.0}).collect())), sorted(map(repr, semantic.search(docs, queries, 5, 2, "symbol_id").collect())))
+    want = run()
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(semantic, "BROADCAST_QUERIES", 4)
+    assert run() == want and all(len(x) == 45 for x in want)
