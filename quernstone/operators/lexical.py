@@ -19,8 +19,8 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS = 200_000
 
 
-def _told(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+def are_few(terms: DataFrame) -> bool:
+    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
 
 
 def field_tokens(docs: DataFrame, fields: list[str], id_col: str = "symbol_id", pattern: str = WORDS) -> DataFrame:
@@ -30,11 +30,12 @@ def field_tokens(docs: DataFrame, fields: list[str], id_col: str = "symbol_id",
     return rows.select("id", "p.field", "p.tokens").where(F.size("tokens") > 0)
 
 
-def postings(tokens: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def postings(tokens: DataFrame, only: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(field, term, id, tf, length); ``only``: a query batch's terms, whose postings alone are then built."""
     rows = tokens.select("field", "id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
     if only is not None:
-        rows = rows.join(_told(only.select("term").distinct()), "term", "left_semi")
+        only = only.select("term").distinct()
+        rows = rows.join(F.broadcast(only) if few else only, "term", "left_semi")
     return rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -48,10 +49,12 @@ def query_terms(queries: DataFrame, pattern: str = WORDS) -> DataFrame:
     return queries.select("query_id", F.explode(analyse(F.col("query"), pattern)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def score_batch(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOSTS) -> DataFrame:
-    """(query_id, id, score) of all documents with a term in some field."""
-    hit = post.join(_told(terms), "term")
-    df = post.join(_told(terms.select("term").distinct()), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+def score_batch(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOSTS, few: bool | None = None) -> DataFrame:
+    """(query_id, id, score) of all documents with a term in some field. ``few``: whether the terms may be broadcast, if that is known."""
+    few = are_few(terms) if few is None else few
+    told = F.broadcast if few else (lambda x: x)
+    hit = post.join(told(terms), "term")
+    df = post.join(told(terms.select("term").distinct()), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
     rows = hit.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # stats: a row a field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
@@ -70,7 +73,8 @@ def search(docs: DataFrame, queries: DataFrame, limit: int, boosts: dict[str, fl
     """(query_id, id, score, rank). ``is_test`` names a column of docs, ``intent`` one of queries: without intent test documents are filtered, after scoring."""
     tokens = field_tokens(docs, list(boosts), id_col, pattern)
     terms = query_terms(queries, pattern)
-    scores = score_batch(postings(tokens, terms), field_stats(tokens), terms, boosts)
+    few = are_few(terms)
+    scores = score_batch(postings(tokens, terms, few), field_stats(tokens), terms, boosts, few)
     if is_test:
         flags = docs.select(F.col(id_col).alias("id"), F.col(is_test).alias("_test"))
         scores = scores.join(flags, "id").join(queries.select("query_id", F.col(intent).alias("_intent")), "query_id").where("_intent OR NOT _test").drop("_test", "_intent")
