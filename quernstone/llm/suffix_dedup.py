@@ -40,8 +40,8 @@ LENGTH, GRAM = 50, 16
 GROUP_BYTES = 4 << 20
 #: Bytes of text whose hashes one task compares.
 HASH_BYTES = 48 << 20
-#: Up to so many exact copies (16 bytes each) are told by a broadcast; beyond it by a shuffle.
-BROADCAST_COPIES = 1_000_000
+#: Up to so many exact copies (16 bytes each), or texts with copies (72 bytes), are told by a broadcast; beyond it by a shuffle.
+BROADCAST_COPIES = 500_000
 SHARD_BYTES = 3 << 19
 
 _T = byte_table(50)
@@ -518,7 +518,9 @@ def _parts(docs: DataFrame, length: int, mode: str) -> tuple[DataFrame, DataFram
     slim = materialise(rows.select("i", "h", F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha")), "digests")
     total = slim.agg(F.sum("n")).first()[0] or 0
     known = slim.where("i IS NOT NULL")
-    firsts = known.groupBy("sha").agg(F.min("i").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    firsts = materialise(known.groupBy("sha").agg(F.min("i").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "copied")
+    if firsts.count() <= BROADCAST_COPIES:  # beyond it a shuffle between written tables, which splits a much copied text
+        firsts = F.broadcast(firsts)
     copies = materialise(known.join(firsts, "sha").where("i > first").select("i", "h", "n", "sha").distinct(), "copies")
     few = copies.count() <= BROADCAST_COPIES
     told = F.broadcast(copies.select("i", "h")) if few else copies.select("i", "h")
@@ -567,4 +569,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT r, doc_id, hex(b) AS x, octet_length(b) AS n FROM d),
+g AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, x, unnest(range(n - 49)) AS p FROM h WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s),
+f AS (SELECT r, p FROM g JOIN m USING (s) WHERE doc_id > low),
+k AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM f),
+i AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS island FROM k),
+s AS (SELECT r, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY r, island),
+o AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+c AS (SELECT h.r, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS tail, count(*) AS spans, sum(z - a) AS removed FROM o JOIN h ON h.r = o.r GROUP BY h.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN c ON c.r = h.r"""
+}
