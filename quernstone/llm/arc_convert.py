@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch_path
 
 ROLL_BYTES = 32 << 20
+#: Up to so many repeated payloads (about 150 bytes each) are told by a broadcast; beyond it by a shuffle that splits large groups.
+BROADCAST_DIGESTS = 200_000
 DATE = "20240101000000"
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -202,8 +204,10 @@ def scan_arc(files: DataFrame) -> DataFrame:
 def same_payload(records: DataFrame) -> DataFrame:
     """Adds first: the record (order, page_id, file, number) that each record's payload is kept in."""
     key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number")
-    firsts = records.groupBy("digest").agg(F.min(key).alias("first"))
-    return records.join(firsts, "digest")
+    firsts = materialise(records.groupBy("digest").agg(F.min(key).alias("kept"), F.count("*").alias("m")).where("m > 1").drop("m"), "arc-firsts")
+    if firsts.count() <= BROADCAST_DIGESTS:
+        firsts = F.broadcast(firsts)
+    return records.join(firsts, "digest", "left").withColumn("first", F.coalesce("kept", key)).drop("kept")
 
 
 # ---- WARC
