@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, flat_text, mix64, slices, word_hashes, word_spans
+from .common import ALNUM, flat_text, mix64, release_memory, slices, word_hashes, word_spans
 
 #: Places that each mask reads.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 5), (0, 2, 5, 6))
@@ -179,6 +179,7 @@ def keep_clean(docs: DataFrame, tests: DataFrame, min_words: int = MIN_WORDS, mi
             for i, j in slices(offsets, 1 << 20):
                 for r, *_ in overlaps(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], held, min_words, min_similar):
                     good[i + r] = False
+            release_memory()
             return pa.array(good)
 
         docs = docs.where(clean(F.col("text")))
