@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_text, mix64, slices
+from .common import flat_text, mix64, release_memory, slices
 
 ORDERS = (2, 3, 4)
 _T = np.random.default_rng(515).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -97,7 +97,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int = 16, steps: int = 1500, rate: float = 0.5, seed: int = 7, reject_below: float = 0.5, reject_share: float = 0.001) -> Model:
+def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int = 16, steps: int = 1500, rate: float = 0.5, seed: int = 7, reject_below: float = 0.4, reject_share: float = 0.001) -> Model:
     """Fit embeddings and softmax; the last fifth (in a seeded order) calibrates."""
     labels = sorted(set(langs))
     if not labels:
@@ -176,7 +176,7 @@ def predictor(spark: SparkSession, model: Model):
         m: Model = shared.value
         offsets, data = flat_text(texts)
         langs, scores, rejects = [], [], []
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, 1 << 20):
             o = offsets[i : j + 1] - offsets[i]
             part = data[offsets[i] : offsets[j]]
             ascii_letter = (part | 0x20) - 0x61 < 26
@@ -194,6 +194,7 @@ def predictor(spark: SparkSession, model: Model):
                 langs.append(m.labels[best[k]] if letters[k] else "und")
                 scores.append(float(score[k]) if letters[k] else 0.0)
                 rejects.append(not letters[k] or bool(score[k] < m.reject_below))
+        release_memory()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejects, pa.bool_())], ["lang", "score", "rejected"])
 
     return predict
