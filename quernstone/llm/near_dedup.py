@@ -12,14 +12,16 @@ bands as it takes for a pair at the threshold to meet in none with probability 1
 Buckets of one class go, and of buckets with the same members all but one.
 
 Verification is exact, on full sets of 64-bit shingle hashes: a bucket of at most
-``block`` classes is one unit; a larger one is dealt into blocks, with a unit for each
-two of them, so no task holds more than two blocks and no pair of the bucket is lost.
+``block`` classes is one unit. A larger one is dealt into blocks, each verified with ``pivots`` members that
+all its blocks share; most of a dense bucket is then one component. Members outside that component meet
+every block in further units. So no unit holds much more than two blocks, and a pair of the bucket is passed over
+only if both are in the main component already.
 A unit counts intersections by a matrix product and gives only a spanning
 forest of its links. Components come from alternating star contraction in Spark, with
 a written table each round. Nothing about all documents reaches the driver.
 
-Work in a bucket is quadratic in its different texts, in blocks; exact copies cost
-nothing there, however many.
+Work in a large bucket is its size times its members outside the main component, in blocks;
+exact copies cost nothing there, however many.
 
 Cases: a null or empty text, or one without words, has 0 shingles and is its own component.
 Fewer than ``width`` words are one shingle. Rows that repeat a doc_id are one document each
@@ -33,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, flat_text, materialise, mix64, release_memory, slices, word_hashes, word_spans
@@ -205,13 +207,14 @@ def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int) ->
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(i, c): the smallest id of the component, for every id with an edge but that one; alternating large and small stars."""
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    signature = None
+    signature, few = None, now.count() <= BROADCAST_IDS // 2
+    told = F.broadcast if few else (lambda df: df)  # a star's centre is in many edges; beyond the bound the join is a shuffle
     while True:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = told(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         # large star: greater neighbours to the smallest of the neighbourhood
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = told(large.groupBy("a").agg(F.min("b").alias("m")))
         # small star: the other smaller neighbours, and the node, to the smallest
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = materialise(small, label)
@@ -221,7 +224,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         signature = tuple(got)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 5, block: int = 512) -> DataFrame:
+def _dealt(seed: int, n: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "i"), n.cast("long")).cast("int")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 5, block: int = 512, pivots: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sig = materialise(_signatures(docs, width, percent / 100, rows), "signatures")
     classes = sig.where("n > 0 AND i IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "i").alias("bands"))
@@ -230,16 +237,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")).where("m > 1")
     buckets = buckets.groupBy("m", "low", "sum").agg(F.min(F.struct("band", "key")).alias("k")).select("m", "k.band", "k.key")
     buckets = materialise(buckets, "buckets")
-    hits = keyed.join(buckets, ["band", "key"])
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(3), "rep"), blocks.cast("long")).cast("int")
-    name = F.concat_ws(":", "band", "key")
-    units = F.when(blocks <= 1, F.array(name)).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.concat_ws(":", name, F.least(k, mine), F.greatest(k, mine))))
-    members = hits.select(F.col("rep").alias("i"), F.explode(units).alias("unit")).groupBy("i").agg(F.collect_list("unit").alias("units"))
-    members = materialise(members, "members")
-    edges = materialise(_verified(members, docs, width, percent), "edges")
-    # the copies of a class that has other ids need their own way to it: i -> rep
+    hits = keyed.join(buckets, ["band", "key"]).select(F.col("rep").alias("i"), "m", F.concat_ws(":", "band", "key").alias("name"))
+
+    def verified(units: DataFrame, label: str) -> DataFrame:
+        members = materialise(units.groupBy("i").agg(F.collect_set("unit").alias("units")), f"{label}-members")
+        return materialise(_verified(members, docs, width, percent), f"{label}-edges")
+
+    edges = hits.where(F.col("m") <= block).select("i", F.col("name").alias("unit"))
+    large = hits.where(F.col("m") > block)
+    n_large = buckets.where(F.col("m") > block).count()
+    if n_large:
+        # each block of a large bucket, with some members that all its blocks share
+        large = materialise(large.select("i", "name", F.ceil(F.col("m") / block).cast("int").alias("g"), _dealt(3, F.ceil(F.col("m") / block)).alias("k")), "large")
+        shared = large.groupBy("name", "g").agg(*(F.min(F.struct(F.xxhash64(F.lit(p), "i"), "i"))["i"].alias(f"p{p}") for p in range(pivots)))
+        shared = shared.select(F.explode(F.array_distinct(F.array(*(f"p{p}" for p in range(pivots))))).alias("i"), "name", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
+        unit = F.concat_ws(":", "name", "k").alias("unit")
+        edges = edges.unionByName(large.select("i", unit)).unionByName(shared.select("i", unit))
+    edges = verified(edges, "first")
     found = components(edges)
+    if n_large:
+        # what is not in a large bucket's main component meets all of its blocks
+        labels = large.join(found, "i", "left").select("i", "name", "g", "k", F.coalesce("c", "i").alias("c"))
+        labels = materialise(labels, "labels")
+        main = labels.groupBy("name", "c").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        main = main.select("name", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("h")).where("h > 0")
+        rest = labels.join(F.broadcast(main) if n_large <= BROADCAST_IDS // 4 else main, "name")
+        own = rest.where("c <> main").select("i", "name", _dealt(5, F.col("h")).alias("r"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
+        all_ = rest.select("i", "name", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("r"), "k")
+        more = verified(own.unionByName(all_).select("i", F.concat_ws(":", "name", "r", "k").alias("unit")), "second")
+        found = components(edges.unionByName(more))
     labelled = classes.select("f1", "f2", "n", "rep").join(found.select(F.col("i").alias("rep"), "c"), "rep", "left").select("f1", "f2", "n", F.coalesce("c", "rep").alias("component_id"))
     out = sig.select("i", "n", "f1", "f2").join(labelled, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "i")).otherwise(F.col("i"))
@@ -260,4 +286,15 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_near_dedup": op9_near_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_near_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM sets),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(i, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT t.b, r.c FROM reach r JOIN both_ways t ON t.a = r.i),
+c AS (SELECT i, min(c) AS c FROM reach GROUP BY i)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, c = doc_id AS kept FROM sets JOIN c ON i = doc_id"""
+}
