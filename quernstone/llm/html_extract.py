@@ -4,7 +4,7 @@ A page becomes a sequence of words and tags. Each kind of token, by its context,
 a weight learned from labelled pages: the log-odds of being content against being
 outside it, positive for words in running text, negative for tags and for words in
 links. One linear scan finds the run with the greatest sum; it is widened to whole
-blocks, and to the whole of the article element it lies in, as there only marked
+blocks, to the elements around it that cost little, and to the whole of the article element it lies in, as there only marked
 elements are foreign. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments inside the run are left out by the elements that hold them.
 
@@ -37,43 +37,75 @@ _SPACE = re.compile(r"\s+")
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: A run is widened to the elements around it, one by one, while that costs no more than this share of its score, or about ten tags.
+WIDEN, WIDEN_LEAST = 0.3, 12.0
 #: Elements that are never main text.
 FOREIGN = frozenset("nav footer aside form menu dialog button head fieldset label input".split())
 #: Names in class, id or role that mark foreign elements; whole words, between other characters than letters.
 FOREIGN_NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|advert(?:s|isement|isements|ising)?|adsense|banner|sponsor(?:ed|s)?|promo(?:s|tion|tions|ted)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|"
+    r"(?<![a-z])(?<!has-)(?<!with-)(?<!no-)(?<!without-)(?:ads?|advert(?:s|isement|isements|ising)?|adsense|banner|sponsor(?:ed|s)?|promo(?:s|tion|tions|ted)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|"
     r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|sidebars?|side|rail|widgets?|aside|complementary|contentinfo|footer|foot|masthead|topbar|toolbar|header|site-header|page-header|"
-    r"comments?|commentlist|replies|reply|respond|disqus|discussion|responses|social|share|sharing|related|recommended|recommendations|trending|outbrain|taboola|search|form|skip|hidden|dialog|alertdialog)(?![a-z])"
+    r"(comments?|commentlist|replies|reply|respond|disqus|discussion|responses)|disclaimer|social|share|sharing|related|recommended|recommendations|trending|outbrain|taboola|search|form|skip|hidden|dialog|alertdialog)(?![a-z])"
 )
 #: p ends where one of these begins.
 _ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _foreign(tag: str, attrs: str, in_article: bool) -> bool:
+#: An element that only its name, or being a form, marks foreign is not if it holds this share of the page's words; comments are, always.
+SPARED_SHARE = 0.7
+
+
+def _foreign(tag: str, attrs: str, in_article: bool) -> int:
+    """0: not foreign; 1: foreign by a name or as a form; 2: foreign in any case."""
+    if tag == "form":
+        return 1
     if tag in FOREIGN or tag == "header" and not in_article:
-        return True
+        return 2
     if not attrs or tag in ("body", "html", "main", "article") and "comment" not in attrs.lower():
-        return False
+        return 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and FOREIGN_NAMES.search(value.replace("_", "-")):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and (m := FOREIGN_NAMES.search(value.replace("_", "-"))):
+            return 2 if m[1] else 1
+    return 0
 
 
 def tokens(page: str):
-    """(kind, text, block, foreign, article) of each token: kind is word-run context or tag name; article numbers its outermost article."""
-    stack: list[tuple[str, bool, int]] = []  # tag, foreign so far, article
+    """((kind, text, block, foreign, article) of each token, (begin, end) of each block element below the body).
+
+    kind is a tag's kind or the context of a run of words; article numbers its outermost article.
+    """
+    out, elements, named = _tokens(page, frozenset())
+    if named:
+        words = [len(t[1].split()) for t in out]
+        total = sum(words)
+        spared = frozenset(k for k, a, b in named if sum(words[a:b]) > SPARED_SHARE * total)
+        if spared:
+            out, elements, _ = _tokens(page, spared)
+    return out, elements
+
+
+def _tokens(page: str, spared: frozenset[int]):
+    """The tokens, the block elements, and (number, begin, end) of each outermost element that is foreign by its name; those in ``spared`` are not."""
+    named: list[tuple[int, int, int]] = []
+    elements: list[tuple[int, int]] = []
+    opened, mark, mark_depth = 0, (0, 0), -1
+    stack: list[tuple[str, bool, int, int]] = []  # tag, foreign and article before it, place
     out, block, article, articles = [], 0, 0, 0
     foreign = False
     links = headings = paragraphs = 0
 
     def pop() -> None:
-        nonlocal foreign, article, links, headings, paragraphs
-        tag, foreign, article = stack.pop()
+        nonlocal foreign, article, links, headings, paragraphs, mark_depth
+        tag, foreign, article, begin = stack.pop()
+        if tag in BLOCKS and tag not in ("body", "html"):
+            elements.append((begin, len(out)))
+        if len(stack) == mark_depth:
+            named.append((*mark, len(out)))
+            mark_depth = -1
         links -= tag == "a"
         paragraphs -= tag in ("p", "blockquote", "pre")
         headings -= len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
@@ -106,8 +138,14 @@ def tokens(page: str):
                     while len(stack) > at:
                         pop()
             if tag not in VOID and not m[4].endswith("/"):
-                stack.append((tag, foreign, article))
-                foreign = foreign or _foreign(tag, m[4], article > 0)
+                opened += 1
+                how = 0 if foreign else _foreign(tag, m[4], article > 0)
+                if how == 1 and opened in spared:
+                    how = 0
+                elif how == 1:
+                    mark, mark_depth = (opened, len(out)), len(stack)
+                stack.append((tag, foreign, article, len(out)))
+                foreign = foreign or how > 0
                 if tag in ("article", "main") and not article and not foreign:
                     articles += 1
                     article = articles
@@ -117,7 +155,9 @@ def tokens(page: str):
         if is_block:
             block += 1
         out.append(("block" if is_block else "break" if tag == "br" else "inline", " " if tag == "br" else "", block, foreign, article))
-    return out
+    while stack:
+        pop()
+    return out, elements, named
 
 
 #: Labelled pages, content between marks; patterns of page building that the weights are learned from.
@@ -141,7 +181,7 @@ def weights() -> dict[str, float]:
         plain = page.replace("[[", "").replace("]]", "")
         at = 0
         spans = [(m.start(), m[0]) for m in _TOKEN.finditer(plain)]
-        for (kind, text, _, foreign, _), (at, _) in zip(tokens(plain), spans, strict=False):
+        for (kind, text, _, foreign, _), (at, _) in zip(tokens(plain)[0], spans, strict=False):
             if foreign:
                 continue
             side = inside if marked[0] <= at < marked[1] else outside
@@ -173,7 +213,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    found = tokens(page)
+    found, elements = tokens(page)
     w = weights()
     scores, before = [], False
     for kind, text, _, foreign, _ in found:
@@ -184,6 +224,11 @@ def extract(page: str | None) -> str:
     low, high = best_run(scores)
     if low == high:
         return ""
+    best = sum(scores[low:high])
+    for first, last in sorted((e for e in elements if e[0] <= low and high <= e[1]), key=lambda e: e[1] - e[0]):
+        if best - sum(scores[first:last]) > max(WIDEN * best, WIDEN_LEAST):
+            break
+        low, high = first, last
     home = {a for _, t, _, f, a in found[low:high] if a and not f and not t.isspace()}
     if home:
         low, high = min(low, next(k for k, x in enumerate(found) if x[4] in home)), max(high, next(k for k in range(len(found) - 1, -1, -1) if found[k][4] in home) + 1)

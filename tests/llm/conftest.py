@@ -1,4 +1,3 @@
-import os
 import random
 
 import pytest
@@ -35,7 +34,3 @@ def edge_docs(spark):
     ]
     cols = "doc_id long, text string, lang string, source string, n_chars long, h string"
     return spark.createDataFrame(rows, cols).selectExpr("*", "h AS i", "h AS t", "h AS p", "h AS kept", "h AS r")
-
-
-def pytest_collection_modifyitems(items):
-    assert os.path.isdir(FOLDER)

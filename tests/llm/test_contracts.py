@@ -381,6 +381,8 @@ PAGES = {
     "<body><nav><a href=/>Home</a></nav><article><h1>T &amp; U</h1><p>One  <b>two</b>\n three.<p>Four<div class='ad'>Buy</div><ul><li>five</li><li>six</ul></article><footer>foot</footer></body>": "T & U\nOne two three.\nFour\nfive\nsix",
     "<html><body><div id=content><h1>A title</h1><p>Some text &amp; more words of it</p><aside>side</aside><form><p>mail</p></form><p>End of the text</p><div class=\"comments\"><p>first comment by a reader who writes a long text again and again</p></div></div></body>": "A title\nSome text & more words of it\nEnd of the text",
     "<article><p>x<script>var p='</p><p>no';</script><style>p{}</style><!-- <p>no</p> -->y</p><section id=comments><article>c</article></section></article>": "xy",
+    "<form id=aspnetForm><div class='nav'>Menu</div><div class='content with-sidebar'><p>The whole page stands in a form and is its text.</p></div></form>": "The whole page stands in a form and is its text.",
+    "<div class=post><h1>Title here</h1><p>Body text <a href=x>with a link</a>, and <em>em</em>phasis.</p></div><div class='comments-area'><p>a reader says many many words to be long</p></div><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul>": "Title here\nBody text with a link, and emphasis.",
     "<main><header>Site</header><p>body text here</p><div role=alert>cookie</div></main>": "Site\nbody text here",
 }
 
