@@ -128,3 +128,16 @@ def test_large_query_batches_go_by_a_shuffle_and_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "BROADCAST_TERMS", 1)
     monkeypatch.setattr(semantic, "BROADCAST_QUERIES", 4)
     assert run() == want and all(len(x) == 45 for x in want)
+    monkeypatch.setattr(semantic, "MATRIX_QUERIES", 1)
+    assert run() == want
+
+
+def test_matrix_search_filters_and_orders_like_expressions(spark, monkeypatch):
+    from quernstone.operators import semantic
+
+    vectors = spark.createDataFrame([(k, [float(k % 5), 1.0], k % 3 == 0) for k in range(40)] + [(99, [0.0, 0.0], False)], "id int, embedding array<double>, is_test boolean")
+    queries = spark.createDataFrame([(k, [1.0, float(k)], k % 2 == 0) for k in range(4)], "query_id int, embedding array<double>, intent boolean")
+    run = lambda: [tuple(r) for r in semantic.search(vectors, queries, 6, 2, filtered="is_test").orderBy("query_id", "rank").collect()]
+    want = run()
+    monkeypatch.setattr(semantic, "MATRIX_QUERIES", 1)
+    assert run() == want and len(want) == 24
