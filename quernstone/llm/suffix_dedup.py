@@ -272,15 +272,17 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENG
     return [flagged[cuts[k] : cuts[k + 1]] - starts[k] for k in range(len(contents))]
 
 
-# ---- blobs: several arrays in one value
+# ---- blobs: several arrays in one value, compressed
 
 
 def _blob(*arrays: np.ndarray | bytes) -> bytes:
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+    whole = np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
 
 
 def _arrays(blob: bytes, kinds: str) -> list[np.ndarray]:
+    blob = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     sizes = np.frombuffer(blob, np.int64, len(kinds))
     at, out = 8 * len(kinds), []
     types = {"q": np.int64, "i": np.int32, "u": np.uint64, "b": np.uint8}
