@@ -165,7 +165,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in column.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros((0, 1))
 
 
-def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, boundary: float = 0.10, copies: int = 4, prune: float = 0.2, most_lists: int = 128, first_lists: int = 6, chunk: int = 2048, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, boundary: float = 0.10, copies: int = 4, prune: float = 0.2, most_lists: int = 128, first_lists: int = 6, chunk: int = 512, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (over column i), its k nearest others."""
     spark = df.sparkSession
     rows = materialise(usable(df, id_col, vector_col).distinct(), "vectors")
