@@ -4,8 +4,8 @@ Each fixed mask reads some of a few neighbouring words and ignores those between
 a replaced word leaves seeds that pass over it. The seeds of the test items are
 joined to the seeds of all whole training texts; each hit names a diagonal, on which the
 words of item and text are compared one by one. An overlap counts if the whole item, or
-its best-scoring stretch, has ``MIN_WORDS`` words (or all the item's, if it has fewer) with at least
-``MIN_SIMILAR`` of them equal.
+its best-scoring stretch, has ``MIN_WORDS`` words with at least ``MIN_SIMILAR`` of them equal. An item with
+fewer words must stand there word for word.
 
 The test side is held in blocks of ``BLOCK_WORDS`` words, each broadcast and joined to
 all texts, so its size is bounded by the block and not by the number of items. The
@@ -85,9 +85,9 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
 
 def accepted(equal: np.ndarray, item_words: int, min_words: int, min_similar: float) -> tuple[int, int] | None:
     """The stretch of a diagonal that is an overlap, if there is one: the whole of it before its best part."""
-    need = min(min_words, item_words)
+    need, similar = (min_words, min_similar) if item_words >= min_words else (item_words, 1.0)
     for a, b in ((0, len(equal)), best_stretch(equal)):
-        if b - a >= need and equal[a:b].sum() >= min_similar * (b - a):
+        if b - a >= need and equal[a:b].sum() >= similar * (b - a):
             return a, b
     return None
 
