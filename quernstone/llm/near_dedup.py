@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """The rows, with all their columns, of each component's smallest id, and those without an id."""
+    """The rows, with all their columns, of each component's smallest id (every row of it, if it repeats), and those without an id."""
     groups = near_duplicates(docs, percent=percent, **options)
     gone = materialise(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:

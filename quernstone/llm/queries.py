@@ -8,7 +8,6 @@ from .common import narrow_batches
 _MODULES = (arc_convert, decontaminate, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, url_filter, vector_lists)
 
 
-
 def _narrowed(query):
     def run(spark, sf_dir):
         narrow_batches(spark)
