@@ -6,13 +6,14 @@ a bounded sample (``sample_rows`` vectors with the smallest id hashes), at most
 them. All vectors are then posted: each to its nearest centroid and, if it lies near a boundary, to
 others as well, within ``boundary`` of the nearest distance and unless the new centroid
 is nearer to one already chosen than to the vector. Centroids are found through an
-in-memory neighbour graph. A query searches the lists whose centroid's distance is
-within ``prune`` of its nearest, and as many as hold enough rows for its answer: first a few
-lists, whose k-th answer then bounds what the others send.
+in-memory neighbour graph. A query searches first its nearest lists, and then each
+list that its k-th answer so far does not rule out: a list's widest angle about its centroid bounds the scores
+in it. So the answers are the exact ones; ``prune`` and ``most_lists`` give that up where a caller sets them.
 
-A list is dealt into chunks of about ``chunk`` vectors, with its queries sent to each, so a third of
-all rows near one centroid are many tasks. Chunks preselect by a matrix product and give exact
-scores in double precision; the answers of a query are merged by score, then id.
+Neighbouring lists make a block of about ``chunk`` vectors (more in large tables, up to ``MOST_CHUNK``), and a query is sent to a block
+once. A list beyond that is dealt into chunks, with its queries sent to each, so a third of
+all rows near one centroid are many tasks; queries beyond ``QUERY_ROWS`` are dealt out likewise. Chunks preselect by a matrix
+product and give exact scores in double precision; the answers of a query are merged by score, then id.
 
 Cases: vectors that are null, zero, of another length than most (ties: the shorter), or holding a null or
 non-finite component take no part, as query or candidate; nor do rows without an id. With fewer
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SAMPLE_ROWS, MAX_LISTS, LIST_ROWS = 20_000, 4096, 160
+#: Vectors of a chunk at most, and queries that meet it at once.
+MOST_CHUNK, QUERY_ROWS = 8192, 16_384
 
 
 @dataclass
@@ -47,6 +50,9 @@ class Lists:
         rest = np.sqrt(np.maximum(self.greatest**2 - (v * v).sum(axis=1), 0))
         return np.concatenate([v, rest[:, None]], axis=1) / self.greatest
 
+    def directions(self) -> np.ndarray:
+        return self.centroids / np.maximum(np.linalg.norm(self.centroids, axis=1, keepdims=True), 1e-300)
+
     def asked(self, q: np.ndarray) -> np.ndarray:
         """Queries: direction alone matters."""
         return np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1)
@@ -152,6 +158,25 @@ def fit(vectors: np.ndarray, greatest: float, rows: int, list_rows: int = LIST_R
     return lists
 
 
+def blocks_of(centroids: np.ndarray, sizes: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block of each list, chunks of each block): neighbouring lists share a block, a list over ``chunk`` has its own."""
+    k = len(sizes)
+    left = np.ones(k, bool)
+    block, held = np.zeros(k, np.int64), []
+    at = 0
+    for _ in range(k):
+        left[at] = False
+        n = int(sizes[at])
+        if not held or held[-1] + n > chunk:
+            held.append(0)
+        held[-1] += n
+        block[at] = len(held) - 1
+        gaps = ((centroids - centroids[at]) ** 2).sum(axis=1)
+        gaps[~left] = np.inf
+        at = int(np.argmin(gaps))
+    return block, np.maximum(1, -(-np.array(held) // chunk))
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(i, v): rows that can take part, vectors in double precision."""
     v = F.col(vector_col).cast("array<double>")
@@ -165,7 +190,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in column.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros((0, 1))
 
 
-def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, boundary: float = 0.10, copies: int = 4, prune: float = 0.2, most_lists: int = 128, first_lists: int = 6, chunk: int = 512, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, boundary: float = 0.10, copies: int = 4, prune: float | None = None, most_lists: int | None = None, first_lists: int = 6, chunk: int = 512, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (over column i), its k nearest others."""
     spark = df.sparkSession
     rows = materialise(usable(df, id_col, vector_col).distinct(), "vectors")
@@ -188,41 +213,61 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 to = posted(held, x[a : a + 1024], boundary, copies)
                 sizes = [len(t) for t in to]
                 at = np.repeat(np.arange(a, a + len(to)), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["list", "i", "v"])
+                to = np.concatenate(to).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array((x[at] * held.directions()[to]).sum(axis=1))], names=["list", "i", "v", "cosine"])
 
-    postings = materialise(rows.mapInArrow(post, "list int, i long, v array<double>"), "postings")
+    postings = materialise(rows.mapInArrow(post, "list int, i long, v array<double>, cosine double"), "postings")
     # as many rows as there are lists, which max_lists bounds
-    sizes = np.zeros(len(lists.centroids), np.int64)
-    for r in postings.groupBy("list").count().collect():
-        sizes[r["list"]] = r["count"]
-    enough = 8 * copies * (k + 1)
+    sizes, widest = np.zeros(len(lists.centroids), np.int64), np.zeros(len(lists.centroids))
+    for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.min("cosine").alias("cosine")).collect():
+        sizes[r["list"]], widest[r["list"]] = r["n"], np.arccos(np.clip(r["cosine"], -1, 1)) + 1e-7
+    chunk = max(chunk, min(MOST_CHUNK, n // 128))
+    block, chunks = blocks_of(lists.centroids, sizes, chunk)
+    asking = rows.where(is_query)
+    query_parts = max(1, -(-asking.count() // QUERY_ROWS))
 
-    def probing(begin: int, end: int):
-        """A map from queries to the lists at these places of their order."""
+    def probing(first: bool):
+        """A map from queries to the blocks of their first lists, or to the other ones that may add to their answers."""
 
         def probe(batches):
             held = shared.value
             for batch in batches:
-                q = held.asked(_matrix(batch.column(1)))
+                vectors = _matrix(batch.column(1))
+                q, length = held.asked(vectors), np.linalg.norm(vectors, axis=1)
+                low = batch.column(2).to_numpy(zero_copy_only=False)
                 for a in range(0, len(q), 512):
-                    ids, dist = search_graph(held, q[a : a + 512], min(most_lists, len(sizes)), most_lists + 32)
-                    at, to = [], []
-                    for r, (row, d) in enumerate(zip(ids, dist, strict=True)):
-                        held_rows, limit = 0, d[0] * (1 + prune) ** 2
-                        for place, (c, dc) in enumerate(zip(row, d, strict=True)):
-                            if c < 0 or place >= end or dc > limit and held_rows >= enough:
-                                break
-                            held_rows += sizes[c]
-                            if place >= begin:
-                                at.append(a + r)
-                                to.append(int(c))
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(batch.column(x).take(pa.array(at, pa.int64())) for x in range(3))], names=["list", "i", "v", "low"])
+                    part = q[a : a + 512]
+                    dist = _squares(part, held.centroids)
+                    dist[:, sizes == 0] = np.inf
+                    place = np.argsort(np.argsort(dist, axis=1, kind="stable"), axis=1)
+                    rows = np.arange(len(part))[:, None]
+                    begun = np.zeros((len(part), len(chunks)), bool)
+                    r, c = np.nonzero((place < first_lists) & np.isfinite(dist))
+                    begun[r, block[c]] = True
+                    if first:
+                        goes = begun
+                    else:
+                        angle = np.arccos(np.clip(part @ held.directions().T, -1, 1)) - widest
+                        most = np.cos(np.maximum(angle, 0)) * (held.greatest * length[a : a + 512, None])
+                        may = np.isfinite(dist) & (most >= low[a : a + 512, None] - 1e-9 * np.maximum(1, np.abs(most)))
+                        if most_lists is not None:
+                            may &= place < most_lists
+                        if prune is not None:
+                            may &= dist <= dist[rows[:, 0], place.argmin(axis=1)][:, None] * (1 + prune) ** 2
+                        goes = np.zeros_like(begun)
+                        r, c = np.nonzero(may)
+                        goes[r, block[c]] = True
+                        goes &= ~begun
+                    at, to = np.nonzero(goes)
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(batch.column(x).take(pa.array(a + at, pa.int64())) for x in range(3))], names=["block", "i", "v", "low"])
 
         return probe
 
-    chunks = F.element_at(F.lit(np.maximum(1, -(-sizes // chunk)).tolist()), F.col("list") + 1).cast("int")
-    part = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part")
-    data = postings.select("list", F.pmod(F.xxhash64("i"), chunks.cast("long")).cast("int").alias("part"), "i", "v")
+    of_block = lambda values, at: F.element_at(F.lit(values.tolist()), F.col(at) + 1).cast("int")
+    data = postings.select(of_block(block, "list").alias("block"), "i", "v")
+    data = data.select("block", F.pmod(F.xxhash64("i"), of_block(chunks, "block").cast("long")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("asked"), "i", "v")
+    every_part = F.explode(F.sequence(F.lit(0), of_block(chunks, "block") - 1)).alias("part")
+    asked_part = F.pmod(F.xxhash64(F.lit(7), "i"), F.lit(query_parts)).cast("int").alias("asked")
 
     def scan(points: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -248,17 +293,16 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
             out = [np.concatenate(z) for z in zip(*kept, strict=True)]
         return pa.table(dict(zip(("q", "i", "score"), out, strict=True)))
 
-    def found(queries: DataFrame, begin: int, end: int) -> DataFrame:
-        asked = queries.mapInArrow(probing(begin, end), "list int, i long, v array<double>, low double").select("list", part, "i", "v", "low")
-        return data.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, "q long, i long, score double").groupBy("q", "i").agg(F.max("score").alias("score"))
+    def found(queries: DataFrame, first: bool) -> DataFrame:
+        asked = queries.mapInArrow(probing(first), "block int, i long, v array<double>, low double").select("block", every_part, asked_part, "i", "v", "low")
+        return data.groupBy("block", "part", "asked").cogroup(asked.groupBy("block", "part", "asked")).applyInArrow(scan, "q long, i long, score double").groupBy("q", "i").agg(F.max("score").alias("score"))
 
     order = W.partitionBy("q").orderBy(F.desc("score"), "i")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    asking = rows.where(is_query)
-    begun = materialise(ranked(found(asking.withColumn("low", F.lit(float("-inf"))), 0, first_lists)).drop("rank"), "first-answers")
+    begun = materialise(ranked(found(asking.withColumn("low", F.lit(float("-inf"))), True)).drop("rank"), "first-answers")
     # the k-th of the first lists' answers bounds what the others can add
     lows = begun.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("low"))
-    more = found(asking.join(lows, asking["i"] == lows["q"], "left").select("i", "v", F.coalesce("low", F.lit(float("-inf"))).alias("low")), first_lists, most_lists)
+    more = found(asking.join(lows, asking["i"] == lows["q"], "left").select("i", "v", F.coalesce("low", F.lit(float("-inf"))).alias("low")), False)
     best = begun.unionByName(more).groupBy("q", "i").agg(F.max("score").alias("score"))
     return ranked(best).select(F.col("q").alias("query_id"), "rank", F.col("i").alias("vec_id"), "score")
 
