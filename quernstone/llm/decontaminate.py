@@ -3,8 +3,8 @@
 Each fixed mask reads some of a few neighbouring words and ignores those between, so
 a replaced word leaves seeds that pass over it. The seeds of the test items are
 joined to the seeds of all whole training texts; each hit names a diagonal, on which the
-words of item and text are compared one by one. An overlap counts if the whole item, or
-its best-scoring stretch, has ``MIN_WORDS`` words with at least ``MIN_SIMILAR`` of them equal. An item with
+words of item and text are compared one by one. An overlap counts if any stretch of the
+diagonal has ``MIN_WORDS`` words or more with at least ``MIN_SIMILAR`` of them equal. An item with
 fewer words must stand there word for word.
 
 The test side is held in blocks of ``BLOCK_WORDS`` words, each broadcast and joined to
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, flat_text, mix64, release_memory, slices, word_hashes, word_spans
 
-#: Places that each mask reads.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 5), (0, 2, 5, 6))
+#: Places that each mask reads. No stretch that counts is without a seed of one of them.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 5), (0, 2, 5, 6), (0, 1, 2, 4))
 MIN_WORDS, MIN_SIMILAR = 13, 0.7
 BLOCK_WORDS = 400_000
 _FACTOR = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -83,13 +83,26 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[: end + 1] == low[end])[0]), end
 
 
+def similar_stretch(equal: np.ndarray, need: int, similar: float) -> tuple[int, int] | None:
+    """Of the stretches of at least ``need`` words, the one with the most equal words beyond the share ``similar``, if that is none too few."""
+    if len(equal) < need:
+        return None
+    over = np.concatenate([[0.0], np.cumsum(equal - similar)])
+    low = np.minimum.accumulate(over[: len(over) - need])
+    gain = over[need:] - low
+    end = int(np.argmax(gain))
+    if gain[end] < -1e-9:
+        return None
+    return int(np.argmin(over[: end + 1])), end + need
+
+
 def accepted(equal: np.ndarray, item_words: int, min_words: int, min_similar: float) -> tuple[int, int] | None:
-    """The stretch of a diagonal that is an overlap, if there is one: the whole of it before its best part."""
+    """The stretch of a diagonal that is an overlap, if there is one: the whole of it before its best part, then any other."""
     need, similar = (min_words, min_similar) if item_words >= min_words else (item_words, 1.0)
     for a, b in ((0, len(equal)), best_stretch(equal)):
         if b - a >= need and equal[a:b].sum() >= similar * (b - a):
             return a, b
-    return None
+    return similar_stretch(equal, need, similar)
 
 
 def overlaps(data: np.ndarray, offsets: np.ndarray, index: Index, min_words: int = MIN_WORDS, min_similar: float = MIN_SIMILAR) -> list[tuple[int, int, int, int, int]]:
