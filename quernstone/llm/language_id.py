@@ -2,8 +2,13 @@
 
 Training (driver, numpy): stochastic gradient descent over a bounded sample of
 labelled rows (``sample_rows``, chosen by a hash of the id; texts of at most
-``sample_chars``). The temperature of the softmax is fitted on a fifth of that
-sample, so that ``reject_below`` is a calibrated probability. Prediction covers
+``sample_chars``). The temperature of the softmax is fitted on pieces of a fifth of that
+sample, so that ``reject_below`` is a calibrated probability.
+
+A softmax is sure of texts like none it has learned from, so a second measure says whether a text is of any learned
+language: the mean log share of its subwords in the texts learned from. Its bounds, by the number of
+subwords, part pieces of the held fifth from such pieces with their letters shuffled and from
+pieces that are measured without their own language. The score is the product of both. Prediction covers
 every whole text: average and linear layer are folded into one table of
 ``buckets`` rows, looked up for each subword of the text, on the executors.
 
@@ -27,6 +32,8 @@ from .common import flat_text, mix64, release_memory, slices
 ORDERS = (2, 3, 4)
 _T = np.random.default_rng(515).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of the pieces that calibrate, besides whole texts; a clean piece lost counts as so many others kept.
+PIECES, CLEAN_COUNTS = (8, 24, 80, 300), 50
 
 # letters of any script count as subword bytes; ASCII digits, signs and controls are blanks
 _MAP = np.full(256, 0x20, np.uint8)
@@ -38,10 +45,19 @@ _MAP[0x80:] = np.arange(0x80, 0x100)
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray  # buckets x languages, float32
+    table: np.ndarray  # buckets x languages and, last, log shares; float32
     bias: np.ndarray
     temperature: float
     reject_below: float
+    bounds: np.ndarray  # rows: log of a number of subwords, least mean log share
+    width: float = 1.0
+
+    def known(self, share: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """How likely texts with these mean log shares are of a learned language: 0.5 at the bounds."""
+        if not len(self.bounds):
+            return np.ones(len(share))
+        over = share - np.interp(np.log(np.maximum(count, 1)), self.bounds[:, 0], self.bounds[:, 1])
+        return 1 / (1 + np.exp(np.clip(-over / self.width, -500, 500)))
 
     @property
     def buckets(self) -> int:
@@ -97,11 +113,73 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _means(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the table's rows over each text's subwords, and their number."""
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    found = [row_sums(table, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, 1 << 18)]
+    total, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    return total / np.maximum(count, 1)[:, None], count
+
+
+def _piece(text: str, chars: int, rng: np.random.Generator) -> str:
+    at = int(rng.integers(0, max(1, len(text) - chars + 1)))
+    return text[at : at + chars]
+
+
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in another order, signs and blanks in their places."""
+    letters = [c for c in text if c.isalpha()]
+    order = iter(rng.permutation(len(letters)).tolist())
+    return "".join(letters[next(order)] if c.isalpha() else c for c in text)
+
+
+def _parting(clean: np.ndarray, other: np.ndarray) -> float:
+    """The bound under which most of ``other`` and hardly any of ``clean`` lie; the middle of a gap."""
+    at = np.unique(np.concatenate([clean, other]))
+    at = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
+    lost = np.searchsorted(np.sort(clean), at) / len(clean)
+    kept = 1 - np.searchsorted(np.sort(other), at) / len(other)
+    cost = CLEAN_COUNTS * lost + kept
+    best = np.flatnonzero(cost <= cost.min() + 1e-12)
+    return float((at[best[0]] + at[best[-1]]) / 2)
+
+
+def _bounds(model: Model, shares: np.ndarray, texts: list[str], y: np.ndarray, rng: np.random.Generator) -> None:
+    """Sets the model's bounds and width; ``shares``: buckets x languages, the log shares without each language."""
+    clean, other = [], []
+    for chars in (*PIECES, None):
+        pieces = texts if chars is None else [_piece(t, chars, rng) for t in texts]
+        table = np.column_stack([model.table[:, -1], shares])
+        mean, count = _means(table, pieces)
+        mixed, mixed_count = _means(table[:, :1], [_shuffled(t, rng) for t in pieces])
+        apart = mean[np.arange(len(y)), 1 + y] if shares.shape[1] > 1 else np.zeros(0)
+        good, good_mixed = count > 0, mixed_count > 0
+        if not good.any() or not good_mixed.any():
+            continue
+        clean.append((mean[good, 0], count[good]))
+        other.append((np.concatenate([mixed[good_mixed, 0], apart[good[: len(apart)]]]), np.concatenate([mixed_count[good_mixed], count[good][: len(apart)]])))
+    rows: list[tuple[float, float]] = []
+    for (a, n), (b, _) in zip(clean, other, strict=True):
+        at = float(np.log(np.median(n)))
+        if not rows or at > rows[-1][0]:
+            rows.append((at, _parting(a, b)))
+    model.bounds = np.array(rows)
+    if not rows:
+        return
+    loss = []
+    for width in np.geomspace(0.02, 2, 30):
+        model.width = float(width)
+        loss.append((sum(-np.log(np.maximum(model.known(*x), 1e-12)).mean() for x in clean) + sum(-np.log(np.maximum(1 - model.known(*x), 1e-12)).mean() for x in other), model.width))
+    model.width = min(loss)[1]
+
+
 def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int = 16, steps: int = 1500, rate: float = 0.5, seed: int = 7, reject_below: float = 0.4, reject_share: float = 0.001) -> Model:
     """Fit embeddings and softmax; the last fifth (in a seeded order) calibrates."""
     labels = sorted(set(langs))
     if not labels:
-        return Model([], np.zeros((buckets, 1), np.float32), np.zeros(1), 1.0, reject_below)
+        return Model([], np.zeros((buckets, 2), np.float32), np.zeros(1), 1.0, reject_below, np.zeros((0, 2)))
     rng = np.random.default_rng(seed)
     y = np.searchsorted(labels, langs)
     bags = []
@@ -135,14 +213,24 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int
             np.subtract.at(emb, ids, lr * back)
             done += 1
     table = emb @ out
-    temperature = 1.0
+    counts = np.zeros((buckets, len(labels)))
+    for i in learn:
+        np.add.at(counts[:, y[i]], bags[i], 1)
+    # a bucket never met counts as half a subword
+    log_share = lambda c: np.log(c + 0.5) - np.log(c.sum(axis=0) + buckets / 2)
+    whole = counts.sum(axis=1)
+    model = Model(labels, np.column_stack([table, log_share(whole)]).astype(np.float32), bias, 1.0, reject_below, np.zeros((0, 2)))
     if len(held):
-        z = np.array([table[bags[i]].mean(axis=0) for i in held]) + bias
+        own, of = [texts[i] for i in held], y[held]
+        short = [_piece(t, c, rng) for c in PIECES for t in own]
+        mean, count = _means(model.table[:, :-1], own + short)
+        z, of_all = (mean + bias)[count > 0], np.tile(of, len(PIECES) + 1)[count > 0]
         grid = np.geomspace(0.05, 20, 61)
-        loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        reject_below = min(reject_below, 0.9 * float(np.quantile(_softmax(z / temperature).max(axis=1), reject_share)))
-    return Model(labels, table.astype(np.float32), bias, temperature, reject_below)
+        loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), of_all], 1e-12)).mean() for t in grid]
+        model.temperature = float(grid[int(np.argmin(loss))])
+        model.reject_below = min(reject_below, 0.9 * float(np.quantile(_softmax((mean[: len(held)] + bias) / model.temperature).max(axis=1), reject_share)))
+        _bounds(model, log_share(whole[:, None] - counts), own, of, rng)
+    return model
 
 
 def learnable(doc_id: Column) -> Column:
@@ -187,13 +275,15 @@ def predictor(spark: SparkSession, model: Model):
             if not m.labels:
                 letters[:] = False
             total, count = row_sums(m.table, part, o)
-            p = _softmax((total / np.maximum(count, 1)[:, None] + m.bias) / m.temperature)
+            mean = total / np.maximum(count, 1)[:, None]
+            p = _softmax((mean[:, :-1] + m.bias) / m.temperature)
             best = p.argmax(axis=1)
-            score = p[np.arange(len(best)), best]
+            sure, known = p[np.arange(len(best)), best], m.known(mean[:, -1], count)
+            score = sure * known
             for k in range(j - i):
                 langs.append(m.labels[best[k]] if letters[k] else "und")
                 scores.append(float(score[k]) if letters[k] else 0.0)
-                rejects.append(not letters[k] or bool(score[k] < m.reject_below))
+                rejects.append(not letters[k] or bool(sure[k] < m.reject_below or known[k] < 0.5))
         release_memory()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejects, pa.bool_())], ["lang", "score", "rejected"])
 
