@@ -402,8 +402,8 @@ def test_the_best_run_is_the_maximum():
         s = rng.integers(-5, 6, rng.integers(1, 15)).tolist()
         a, b = html_extract.best_run(s)
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
-    w = html_extract.weights()
-    assert w["paragraph"] > 0 > w["block"] and w["inline"] < 0
+    w = dict(zip(html_extract.FEATURES, html_extract.weights(), strict=True))
+    assert w["paragraph"] > 0 > w["tag-block"] and w["tag-inline"] < 0
 
 
 def test_pages_of_the_table(spark, folder):
