@@ -66,7 +66,7 @@ _TABLE = frozenset("table tbody thead tfoot tr td th body html".split())
 _PLACES = {"a": "link", "p": "paragraph", "blockquote": "paragraph", "pre": "paragraph", "li": "item", "dd": "item", "dt": "item", "td": "cell", "th": "cell", "h1": "title"} | dict.fromkeys(HEADINGS, "heading")
 _PRINT = re.compile(r"©|&copy;|&#169;|\ball rights reserved\b|\bprivacy policy\b|\bterms of (?:use|service)\b", re.I)
 
-FEATURES = ("link", "title", "heading", "paragraph", "item", "cell", "bare", "print", "in", "off", "tag-title", "tag-heading", "tag-paragraph", "tag-item", "tag-block", "tag-inline", "tag-break", "cut")
+FEATURES = ("link", "title", "heading", "paragraph", "item", "cell", "bare", "print", "in", "off", "tag-title", "tag-heading", "tag-paragraph", "tag-item", "tag-block", "tag-inline", "tag-break", "tag-in", "cut")
 _NUMBER = {f: k for k, f in enumerate(FEATURES)}
 WORDS = frozenset(("link", "title", "heading", "paragraph", "item", "cell", "bare"))
 
@@ -229,7 +229,7 @@ def features(page: Page, foreign: list[bool], article: list[bool]) -> list[tuple
                 found.append((_NUMBER["print"], n))
             out.append(tuple(found))
         else:
-            out.append(((_NUMBER[kind], 1),) if kind in _NUMBER else ())
+            out.append(((_NUMBER[kind], 1), *(((_NUMBER["tag-in"], 1),) if article[owner] else ())) if kind in _NUMBER else ())
     return out
 
 
@@ -288,6 +288,14 @@ def labelled_page(rng: random.Random) -> tuple[str, str]:
             else:
                 parts.append(rng.choice((f'<div class="ad">{words(5, 30)}</div>', f"<aside>{words(3, 20)}</aside>", f'<div class="share">{links(3)}</div>')))
         parts.append(paragraph(1, 3) if rng.random() < 0.3 else paragraph(8, 40))
+        if place in ("article", "main"):  # all of an article is text, whatever its markup
+            if rng.random() < 0.3:
+                parts[:0] = [rng.choice(("<header>%s</header>", "<div>%s</div>", "<div><span>%s</span></div>")) % words(1, 3)]
+                lines[:0] = [re.sub("<[^>]*>", "", parts[0])]
+            if rng.random() < 0.3:
+                parts.append(rng.choice(("<div>%s</div>", "<div><small>%s</small></div>")) % said(words(1, 4)))
+            elif rng.random() < 0.3:
+                parts.append("<ul>" + "".join(f'<li><a href="/r">{said(words(1, 4))}</a></li>' for _ in range(rng.randint(1, 4))) + "</ul>")
         if place in ("div", "section") and rng.random() < 0.2:
             return "".join(p.replace("<p>", "<div>").replace("</p>", "</div>") for p in parts)
         return "".join(parts)
