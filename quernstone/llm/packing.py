@@ -1,31 +1,35 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each source is a queue of tokens. Every window of ``window`` output tokens takes
-from each queue its target share; what a share leaves over as a fraction of a token
-stays in that queue's deficit counter for the next window. As documents may be cut
-anywhere, the counters have a closed form: after ``w`` of ``W`` windows a queue of
-``T`` tokens has given ``floor(T * w / W)``, and its deficit is the fraction left. So no
-task waits for another: one pass tokenises and writes the token table, with each
+Each source is a queue of tokens, with a target share: by default its tokens to the power ``TEMPER``, which
+lifts small sources, or what ``shares`` says. Every window of ``window`` output tokens, one sequence, takes from each queue what is due
+to it in whole quanta of ``quantum`` tokens; what is due and less than a quantum stays in that queue's deficit
+counter and is carried to the next window. So after any window no queue is a quantum away from its share, however small that is, and
+documents are not cut to crumbs. A queue that runs dry leaves its share to the others, in their proportions.
+
+As documents may be cut anywhere, the counters have a closed form. At time t a queue of T tokens and rate r has been due min(T, r t);
+their sum over the queues is piecewise linear in t, so the time at which each window ends follows from the sorted times at which queues run dry.
+No task waits for another: one pass tokenises and writes the token table, with each
 document's start inside its (partition, source); a cumulative sum over those groups
 gives every group its start in its queue, which carries the deficits over
-partitions; a second pass places each document by arithmetic. With shares given, a
-queue that runs dry ends a phase and the others go on in their proportions.
+partitions; a second pass places each document by arithmetic.
 
-The windows lie end to end, cut into sequences of ``seq_len``. What remains at the
+The windows lie end to end and make sequences of ``seq_len``. What remains at the
 very end becomes sequences with lengths that are powers of two, so nothing is padded.
 
-At most ``1 / min_share`` sources have a queue of their own; those with a smaller
-share stand together in one, in order of partition and source.
+The driver holds a total for each of at most ``MAX_QUEUES`` queues. With more sources than that a queue is a group of sources by hash, and
+inside the group its sources take turns in the same way, so that each source still has its queue.
 
 Cases: a null or empty text is its end token alone. A null source is a queue of its
-own. Repeated documents are packed each. An empty table gives an empty result. Columns other than
+own. Repeated documents are packed each. With ``shares``, a source that they do not name shares what ``*`` has with the others like it, by tokens;
+without ``*`` it is a ValueError. An empty table gives an empty result. Columns other than
 id, text and source are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ from .common import materialise
 
 #: Up to so many (partition, source) groups are broadcast (24 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
+#: Queues at most, and the power of a source's tokens that its target share is in proportion to.
+MAX_QUEUES, TEMPER = 16_384, 0.7
 
 TOKENS = "part int, source string, start long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -102,65 +108,88 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
 
-@dataclass
-class Phase:
-    """Windows over the same queues: ``taken`` of each before the phase, ``give`` in it."""
-
-    taken: list[int]
-    give: list[int]
-    windows: int
-    offset: int  # output tokens before the phase
-
-    def given(self, q: int, w: int) -> int:
-        """Tokens of queue q in the phase's first w windows: what the deficit counters have let through."""
-        return self.give[q] * w // self.windows
+class Plan:
+    """What each queue has given after each window: arithmetic on the queues' totals and rates alone."""
+
+    def __init__(self, totals: list[int], rates: list[float], window: int, quantum: int) -> None:
+        self.totals, self.rates = np.array(totals, np.int64), np.array(rates, float)
+        self.window, self.quantum = window, quantum
+        self.windows = -(-int(self.totals.sum()) // window)
+        # queues' turns are spread over a quantum, so that windows come out even
+        self.early = np.floor(np.arange(len(totals)) * 0.6180339887498949 % 1 * quantum)
+        dry = self.totals / self.rates
+        order = np.argsort(dry, kind="stable")
+        rest = np.append(np.cumsum(self.rates[order][::-1])[::-1], 0.0)
+        self.dry = [0.0, *dry[order].tolist()]
+        self.flow = rest.tolist()
+        self.out = [0.0, *np.maximum.accumulate(np.cumsum(self.totals[order]) + dry[order] * rest[1:]).tolist()]
+        self._held: dict[int, tuple] = {}
+        self._most = max(16, (1 << 19) // max(1, len(totals)))
+
+    def time(self, w: int) -> float:
+        """When the queues together have been due w windows."""
+        due = self.window * w
+        k = bisect_right(self.out, due) - 1
+        return self.dry[k] + (due - self.out[k]) / self.flow[k] if self.flow[k] > 0 else self.dry[-1]
+
+    def given(self, w: int) -> tuple:
+        """(tokens given by each queue in the first w windows, the same summed up before each queue and over all)."""
+        got = self._held.get(w)
+        if got is None:
+            if w <= 0:
+                amount = np.zeros(len(self.totals), np.int64)
+            elif w >= self.windows:
+                amount = self.totals
+            else:
+                amount = np.floor((self.rates * self.time(w) + self.early) / self.quantum).astype(np.int64) * self.quantum
+                amount = np.minimum(amount, self.totals)
+            before = np.concatenate([[0], np.cumsum(amount)])
+            got = (amount.tolist(), before.tolist()) if len(amount) <= 64 else (amount, before)
+            if len(self._held) >= self._most:
+                self._held.clear()
+            self._held[w] = got
+        return got
 
     def window_of(self, q: int, pos: int) -> int:
-        """The window in which token ``pos`` of the phase's share of queue q lies."""
-        w = min(pos * self.windows // self.give[q], self.windows - 1)
-        while self.given(q, w + 1) <= pos:
+        """The window that token ``pos`` of queue q is given in."""
+        when = ((pos // self.quantum + 1) * self.quantum - self.early[q]) / self.rates[q]
+        k = bisect_right(self.dry, when) - 1
+        w = min(max(int((self.out[k] + self.flow[k] * (when - self.dry[k])) / self.window), 0), self.windows - 1)
+        while self.given(w + 1)[0][q] <= pos:
             w += 1
-        while self.given(q, w) > pos:
+        while self.given(w)[0][q] > pos:
             w -= 1
         return w
 
-    def place(self, q: int, w: int) -> int:
-        """Output position of queue q's first token of window w."""
-        return self.offset + sum(self.given(k, w + (k < q)) for k in range(len(self.give)))
-
-
-def plan(totals: list[int], shares: list[float] | None, window: int) -> list[Phase]:
-    """Phases until all queues are dry. Without shares every queue's target is its own share of all tokens."""
-    left, taken, phases, offset = list(totals), [0] * len(totals), [], 0
-    while any(left):
-        alive = [k for k, n in enumerate(left) if n]
-        give = [0] * len(left)
-        goal = {k: shares[k] for k in alive if shares[k] > 0} if shares else {}
-        if not goal or len(alive) == 1:
-            give = list(left)
-        else:
-            first = min(goal, key=lambda k: (left[k] / goal[k], k))
-            for k in goal:
-                give[k] = min(left[k], round(left[first] * goal[k] / goal[first])) if k != first else left[k]
-        size = sum(give)
-        phases.append(Phase(list(taken), give, -(-size // window), offset))
-        left = [a - b for a, b in zip(left, give, strict=True)]
-        taken = [a + b for a, b in zip(taken, give, strict=True)]
-        offset += size
-    return phases
-
-
-def spans(phases: list[Phase], q: int, begin: int, n: int):
-    """(begin in the queue, length, output position) of the runs that n tokens from ``begin`` fall into."""
-    end = begin + n
-    for p in phases:
-        low, high = p.taken[q], p.taken[q] + p.give[q]
-        while begin < end and low <= begin < high:
-            w = p.window_of(q, begin - low)
-            first, last = p.given(q, w), p.given(q, w + 1)
-            stop = min(end, low + last)
-            yield begin, stop - begin, p.place(q, w) + begin - low - first
+    def spans(self, q: int, begin: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(begin in the queue, length, output position) of the runs that n tokens from ``begin`` fall into; runs that meet are one."""
+        end, now = begin + n, None
+        while begin < end:
+            w = self.window_of(q, begin)
+            (amount, before), (more, after) = self.given(w), self.given(w + 1)
+            stop = min(end, int(more[q]))
+            pos = int(before[-1] - before[q] + after[q] + begin - amount[q])
+            if now and now[2] + now[1] == pos:
+                now = (now[0], now[1] + stop - begin, now[2])
+            else:
+                if now:
+                    yield now
+                now = (begin, stop - begin, pos)
             begin = stop
+        if now:
+            yield now
+
+
+def rates_of(sources: list[tuple[str | None, int]], shares: dict[str, float] | None, temper: float) -> list[float]:
+    """The rate of each (source, tokens): its share of what flows while no queue is dry."""
+    if shares is None:
+        return [float(n) ** temper for _, n in sources]
+    others = sum(n for s, n in sources if s not in shares)
+    if others and not shares.get("*", 0) > 0:
+        raise ValueError("there are sources without a share: name them or give '*' a share")
+    if any(not x > 0 for x in shares.values()):
+        raise ValueError("shares must be positive")
+    return [float(shares[s]) if s in shares else shares["*"] * n / others for s, n in sources]
 
 
 def sequence_of(pos: int, total: int, seq_len: int) -> tuple[int, int, int]:
@@ -177,43 +206,68 @@ def sequence_of(pos: int, total: int, seq_len: int) -> tuple[int, int, int]:
         start, s, rest = start + size, s + 1, rest - size
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seq_len: int = 2048, window: int = 64 * 2048, shares: dict[str, float] | None = None, min_share: float = 1 / 64, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seq_len: int = 2048, window: int = 2048, quantum: int = 128, shares: dict[str, float] | None = None, temper: float = TEMPER, max_queues: int = MAX_QUEUES, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
     """Pieces of documents, as in ``PIECES``, with the source."""
     spark = docs.sparkSession
     tokens = materialise(tokenise(docs, id_col, text_col, source_col, vocabulary or default_vocabulary(), end_id), "tokens")
     groups = materialise(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "token-groups")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / min_share sources can pass this test
-    named = [r["source"] for r in groups.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") >= min_share * total).collect()] if total else []
-    named = sorted(named, key=lambda s: (s is None, s or ""))
-    queue = F.lit(len(named))
-    for k, s in enumerate(named):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(s)), k).otherwise(queue)
-    groups = groups.withColumn("q", queue.cast("int"))
-    amounts = {r["q"]: r["n"] for r in groups.groupBy("q").agg(F.sum("n").alias("n")).collect()}
-    targets = [float(shares.get(s, 0.0)) for s in named] + [float(shares.get("*", 0.0))] if shares else None
-    phases = plan([amounts.get(k, 0) for k in range(len(named) + 1)], targets, window)
-    before = W.partitionBy("q").orderBy("part", F.col("source").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    bases = groups.select("part", F.col("source").alias("s"), "q", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if groups.count() <= BROADCAST_GROUPS:
+    sources = materialise(groups.groupBy("source").agg(F.sum("n").alias("n")), "token-sources")
+    schema = PIECES + ", source string"
+    if not (n_sources := sources.count()):
+        return spark.createDataFrame([], schema)
+    grouped = n_sources > max_queues
+    if not grouped:
+        found = sorted(((r["source"], r["n"]) for r in sources.collect()), key=lambda x: (x[0] is None, x[0] or ""))
+        totals, rates = [n for _, n in found], rates_of(found, shares, temper)
+        queues = spark.createDataFrame([(s, q, 0, None) for q, (s, _) in enumerate(found)], "s string, q int, m int, members array<long>")
+    else:
+        if shares is not None:
+            raise ValueError(f"shares are for {max_queues} sources at most")
+        by_hash = sources.select(F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("int").alias("q"), "source", "n")
+        members = by_hash.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "n"))).alias("members"), F.sum("n").alias("all"), F.sum(F.pow(F.col("n").cast("double"), F.lit(temper))).alias("rate"))
+        members = materialise(members, "token-queues")
+        found = sorted(tuple(r) for r in members.select("q", "all", "rate").collect())
+        place = dict((r[0], k) for k, r in enumerate(found))
+        totals, rates = [r[1] for r in found], [r[2] for r in found]
+        queues = members.join(F.broadcast(spark.createDataFrame(list(place.items()), "q int, k int")), "q").select("k", F.posexplode("members").alias("m", "x"), F.col("members.n").alias("members")).select(F.col("x.source").alias("s"), F.col("k").alias("q"), "m", "members")
+    total = sum(totals)
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = groups.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = bases.join(queues if grouped else F.broadcast(queues), bases["source"].eqNullSafe(queues["s"])).select(F.col("part").alias("p"), "s", "base", "q", "m", "members")
+    if not grouped and groups.count() <= BROADCAST_GROUPS:
         bases = F.broadcast(bases)
-    placed = tokens.join(bases, (tokens["part"] == bases["part"]) & tokens["source"].eqNullSafe(bases["s"])).select("doc_id", "source", "q", (F.col("base") + F.col("start")).alias("begin"), "n", "ids")
+    placed = tokens.join(bases, (tokens["part"] == bases["p"]) & tokens["source"].eqNullSafe(bases["s"])).select("doc_id", "source", "q", "m", "members", (F.col("base") + F.col("start")).alias("begin"), "n", "ids")
 
     def run(batches):
+        outer = Plan(totals, rates, window, quantum)
+        inner: dict[int, Plan] = {}
+
+        def spans(q, m, members, begin, n):
+            if not members or len(members) == 1:
+                yield from outer.spans(q, begin, n)
+                return
+            if q not in inner:
+                if len(inner) > 64:
+                    inner.clear()
+                inner[q] = Plan(members, rates_of([("", x) for x in members], None, temper), window, quantum)
+            for at, length, pos in inner[q].spans(m, begin, n):
+                for there, part, out in outer.spans(q, pos, length):
+                    yield at + there - pos, part, out
+
         for batch in batches:
             rows = []
-            for doc, source, q, begin, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, source, q, m, members, begin, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                for at, length, pos in spans(phases, q, begin, n):
+                for at, length, pos in spans(q, m, members, begin, n):
                     while length:
                         s, offset, end = sequence_of(pos, total, seq_len)
                         cut = min(length, end - pos)
-                        rows.append((doc, at - begin, cut, zlib.crc32(ids[at - begin : at - begin + cut].tobytes()), n, s, offset, source))
+                        rows.append((doc, at - begin, cut, zlib.crc32(ids[at - begin : at - begin + cut]), n, s, offset, source))
                         at, pos, length = at + cut, pos + cut, length - cut
             if rows:
-                yield _batch(rows, PIECES + ", source string")
+                yield _batch(rows, schema)
 
-    return placed.mapInArrow(run, PIECES + ", source string")
+    return placed.mapInArrow(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def test_contaminated_rows_go(spark, folder, edge_docs):
 
 def test_packing_round_trip(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    pieces = [r.asDict() for r in packing.pack(docs, window=4096).collect()]
+    pieces = [r.asDict() for r in packing.pack(docs, window=4096, temper=1.0, quantum=1).collect()]
     encode = packing._encoder(packing.default_vocabulary())
     ids = {r["doc_id"]: np.array([*encode(r["text"]), 1], "<u4") for r in docs.collect()}
     own, seq = collections.defaultdict(list), collections.defaultdict(list)
@@ -122,7 +122,7 @@ def test_packing_round_trip(spark, folder):
             if p["source"] == s:
                 begin = (p["sequence_id"] * 2048 if p["sequence_id"] < total // 2048 else total // 2048 * 2048 + sum(n for k, n in _tail(seq, total) if k < p["sequence_id"])) + p["offset"]
                 cuts[begin : begin + p["length"]] = 1
-        given = [int(cuts[total * w // windows : total * (w + 1) // windows].sum()) for w in range(windows)]
+        given = [int(cuts[4096 * w : 4096 * (w + 1)].sum()) for w in range(windows - 1)]
         assert max(given) - min(given) <= 2 + len(by_source)
 
 
@@ -131,38 +131,86 @@ def _tail(seq, total):
 
 
 def test_deficit_round_robin_in_closed_form():
-    """The plan's arithmetic against counters that are carried from window to window."""
-    totals, window = [1000, 10, 377, 0, 65], 100
-    (phase,) = packing.plan(totals, None, window)
-    deficit, given = [0.0] * 5, [0] * 5
-    from fractions import Fraction
-
-    deficit = [Fraction(0)] * 5
-    for w in range(phase.windows):
-        for q, n in enumerate(totals):
-            deficit[q] += Fraction(n, phase.windows)
-            out = int(deficit[q])
-            assert phase.given(q, w + 1) - phase.given(q, w) == out
-            deficit[q] -= out
-            given[q] += out
-    assert given == totals
+    """The plan's arithmetic: every token in one place, and no queue a quantum away from its share."""
+    totals, window, quantum = [10_000, 10, 3_770, 1, 650], 512, 32
+    plan = packing.Plan(totals, packing.rates_of([(str(k), n) for k, n in enumerate(totals)], None, 0.7), window, quantum)
     places = [None] * sum(totals)
     for q, n in enumerate(totals):
-        for begin, length, pos in packing.spans([phase], q, 0, n) if n else ():
+        for begin, length, pos in packing.Plan.spans(plan, q, 0, n):
             for k in range(length):
                 assert places[pos + k] is None
                 places[pos + k] = (q, begin + k)
     assert None not in places
+    for q, n in enumerate(totals):  # in order, and the same from any start
+        assert [b for p, b in places if p == q] == list(range(n))
+        for begin in range(0, n, 997):
+            (at, _, pos), *_ = plan.spans(q, begin, min(40, n - begin))
+            assert places[pos] == (q, begin) and at == begin
+
+
+@pytest.mark.parametrize("sources", [3, 100, 10_000])
+def test_every_window_keeps_the_target_proportions(sources):
+    """Counters carried from window to window by hand, at the rates of the queues that are not dry, against the closed form."""
+    rng = np.random.default_rng(sources)
+    totals = [int(n) for n in rng.integers(300, 3_000, sources)]
+    totals[0] = sum(totals) // 2  # one source has a third of all
+    quantum, window = 128, 2048
+    plan = packing.Plan(totals, packing.rates_of([(str(k), n) for k, n in enumerate(totals)], None, 0.7), window, quantum)
+    rates, left, due = np.array(totals, float) ** 0.7, np.array(totals, float), np.zeros(sources)
+    assert plan.windows == -(-sum(totals) // window)
+    for w in range(1, plan.windows):
+        room = float(window)
+        while room > 1e-6 and left.max() > 1e-9:  # a queue that runs dry leaves its share to the others
+            flow = np.where(left > 1e-9, rates, 0)
+            step = min(room / flow.sum(), (left[flow > 0] / flow[flow > 0]).min())
+            due += flow * step
+            left = np.maximum(left - flow * step, 0)
+            room -= (flow * step).sum()
+        if w % max(1, plan.windows // 200) == 0 or w == plan.windows - 1:
+            given = np.array(plan.given(w)[0])
+            assert (np.abs(given - due) <= quantum + 1).all()
+    assert list(plan.given(plan.windows)[0]) == totals
 
 
 def test_given_shares_hold_until_a_queue_is_dry():
-    phases = packing.plan([300, 900, 50], [0.5, 0.25, 0.25], 40)
-    assert [p.give for p in phases][0] == [100, 50, 50] and sum(sum(p.give) for p in phases) == 1250
-    assert all(sum(p.give[q] for p in phases) == n for q, n in enumerate([300, 900, 50]))
+    found = [("a", 30_000), ("b", 90_000), ("c", 5_000), (None, 5_000)]
+    rates = packing.rates_of(found, {"a": 0.5, "b": 0.25, "*": 0.25}, 0.7)
+    assert rates == [0.5, 0.25, 0.125, 0.125]
+    plan = packing.Plan([n for _, n in found], rates, 2048, 128)
+    amount, _ = plan.given(9)
+    assert all(abs(a - 9 * 2048 * r) <= 129 for a, r in zip(amount, rates, strict=True))
+    with pytest.raises(ValueError):
+        packing.rates_of(found, {"a": 1.0}, 0.7)
+
+
+def test_more_sources_than_queues(spark):
+    """Beyond the bound queues are groups of sources, in which each source still takes its turns."""
+    docs = spark.createDataFrame([(k, " ".join(f"word{k % 7}" for _ in range(40 + k % 50)), f"s{k % 60}" if k % 60 else None) for k in range(600)], "doc_id long, text string, source string").repartition(3)
+    options = {"seq_len": 256, "window": 256, "quantum": 16}
+    for queues in (1000, 7):
+        rows = packing.pack(docs, max_queues=queues, **options).collect()
+        seen = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+        at = [0, 0]
+        for s, o, n in seen:
+            assert (s, o) == (at[0], at[1]) or (s, o) == (at[0] + 1, 0)
+            at = [s, o + n]
+        by_doc = {}
+        for r in rows:
+            by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+        assert len(by_doc) == 600
+        for (_, n), parts in by_doc.items():
+            place = 0
+            for start, length in sorted(parts):
+                assert start == place
+                place += length
+            assert place == n
+        first = {r["source"] for r in rows if r["sequence_id"] < 8}
+        assert len(first) >= 45  # 2,048 tokens: all sources are due by then, but for less than a quantum
 
 
 def test_packing_edges(spark, edge_docs):
-    rows = packing.pack(edge_docs.where("doc_id IS NULL OR doc_id <> 5")).collect()
+    rows = packing.pack(edge_docs).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 5) > 5_000
     assert sum(r["length"] for r in rows if r["doc_id"] == 3) == 1 == sum(r["length"] for r in rows if r["doc_id"] == 4)
     assert sum(r["length"] for r in rows if r["doc_id"] == 2) == 2 * sum(r["length"] for r in rows if r["doc_id"] == 1)
     assert packing.pack(edge_docs.limit(0)).count() == 0
