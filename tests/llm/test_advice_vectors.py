@@ -33,3 +33,40 @@ def test_neighbouring_lists_share_a_block():
     assert chunks.tolist() == [1] * len(chunks) and np.bincount(block).max() == 3 and len(chunks) == 14
     block, chunks = vector_lists.blocks_of(c[:3], np.array([10, 1000, 10]), 300)
     assert chunks[block[1]] == 4 and (block != block[1]).sum() == 2
+
+
+@pytest.mark.parametrize("kind", ["uniform", "log-normal norms", "clustered"])
+def test_recall_by_the_measured_ratio_where_lists_are_many(spark, kind):
+    """50,000 vectors of any shape: the ratio measured on trial queries keeps what it promises on others."""
+    rng = np.random.default_rng(11)
+    n = 50_000
+    v = rng.normal(size=(n, 64))
+    if kind == "clustered":
+        v = 3 * rng.normal(size=(200, 64))[rng.integers(0, 200, n)] + v
+    elif kind == "log-normal norms":
+        v = v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(rng.normal(size=(n, 1)))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    got = vector_lists.nearest(df, F.pmod(F.col("i"), F.lit(100)) == 0, target=vector_lists.TARGET).select("query_id", "vec_id").toPandas()
+    by = {q: set(x) for q, x in got.groupby("query_id")["vec_id"]}
+    hit = 0
+    for q in range(0, n, 100):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(by[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hit / (n // 100 * 20) >= 0.95 and all(len(x) == 20 for x in by.values())
+
+
+def test_two_levels_of_lists(monkeypatch):
+    monkeypatch.setattr(vector_lists, "FLAT_LISTS", 50)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(12, 8))[rng.integers(0, 12, 4000)] + 0.5 * rng.normal(size=(4000, 8))
+    lists = vector_lists.fit(v, float(np.linalg.norm(v, axis=1).max()), 4000, list_rows=20)
+    assert 150 <= len(lists.centroids) <= 250 and lists.coarse.max() >= 10
+    q = lists.asked(v[:200])
+    rows, found, _ = vector_lists.within_ratio(lists, q, 1.3, 6)
+    dist = np.sqrt(vector_lists._squares(q, lists.centroids))
+    want = {(r, c) for r, c in zip(*np.nonzero(dist <= 1.3 * dist.min(axis=1, keepdims=True)), strict=True)}
+    got = set(zip(rows.tolist(), found.tolist(), strict=True))
+    assert len(want & got) >= 0.97 * len(want)
+    block, chunks = vector_lists.blocks_of(lists.centroids, np.full(len(lists.centroids), 20), 100, lists.coarse)
+    assert all(len(set(lists.coarse[block == b])) == 1 for b in range(len(chunks)))

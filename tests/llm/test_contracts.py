@@ -365,7 +365,7 @@ def _nearest_by_brute_force(v, q, k=20):
 
 def test_recall_and_order(spark, vectors):
     df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(vectors)], "vec_id long, embedding array<double>")
-    rows = vector_lists.nearest(df, F.pmod(F.col("i"), F.lit(20)) == 0, most_lists=24).collect()
+    rows = vector_lists.nearest(df, F.pmod(F.col("i"), F.lit(20)) == 0, target=0.98).collect()
     got = collections.defaultdict(list)
     for r in sorted(rows, key=lambda r: r["rank"]):
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
