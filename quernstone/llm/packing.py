@@ -206,7 +206,7 @@ def sequence_of(pos: int, total: int, seq_len: int) -> tuple[int, int, int]:
         start, s, rest = start + size, s + 1, rest - size
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seq_len: int = 2048, window: int = 2048, quantum: int = 128, shares: dict[str, float] | None = None, temper: float = TEMPER, max_queues: int = MAX_QUEUES, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seq_len: int = 2048, window: int = 2048, quantum: int = 512, shares: dict[str, float] | None = None, temper: float = TEMPER, max_queues: int = MAX_QUEUES, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
     """Pieces of documents, as in ``PIECES``, with the source."""
     spark = docs.sparkSession
     tokens = materialise(tokenise(docs, id_col, text_col, source_col, vocabulary or default_vocabulary(), end_id), "tokens")
