@@ -26,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -38,10 +39,14 @@ ROLL_BYTES = 32 << 20
 #: Up to so many repeated payloads (about 150 bytes each) are told by a broadcast; beyond it by a shuffle that splits large groups.
 BROADCAST_DIGESTS = 200_000
 DATE = "20240101000000"
+#: What an ARC header line says where the server's address is not known.
+NO_ADDRESS = "0.0.0.0"
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: Fields of our own on revisits: the payload's length, which a record without an HTTP header says nowhere else, and the page of the response.
+PAYLOAD_LENGTH, REFERS_TO_PAGE = "X-Payload-Length", "Refers-To-Page-Id"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "quernstone:arc")
 
 
@@ -100,14 +105,30 @@ def arc_opening(name: str, version: int) -> bytes:
     return head.encode() + str(len(body)).encode() + b"\n" + body + b"\n"
 
 
-def arc_record(url: str, date: str, kind: str, content: bytes, version: int, offset: int = 0, name: str = "-") -> bytes:
+def arc_record(url: str, date: str, kind: str, content: bytes, version: int, offset: int = 0, name: str = "-", address: str = NO_ADDRESS) -> bytes:
     url = re.sub(r"[\s\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", url)
-    head = f"{url} 0.0.0.0 {date} {kind} " + (f"200 {sha1_base32(content)} - {offset} {name} " if version == 2 else "")
+    head = f"{url} {address} {date} {kind} " + (f"200 {sha1_base32(content)} - {offset} {name} " if version == 2 else "")
     return head.encode() + str(len(content)).encode() + b"\n" + content + b"\n"
 
 
+@dataclass
+class Entry:
+    """A record of an ARC file."""
+
+    url: str
+    address: str
+    date: str
+    kind: str
+    content: bytes
+
+
 def arc_records(data: bytes, name: str = "") -> Iterator[tuple[str, str, str, bytes]]:
     """(url, date, content type, content) of an ARC file's records after its version block."""
+    return ((e.url, e.date, e.kind, e.content) for e in arc_entries(data, name))
+
+
+def arc_entries(data: bytes, name: str = "") -> Iterator[Entry]:
+    """An ARC file's records after its version block."""
     version, number = None, 0
     for block in members(data):
         at = 0
@@ -134,7 +155,7 @@ def arc_records(data: bytes, name: str = "") -> Iterator[tuple[str, str, str, by
                 if version not in FIELDS:
                     raise ValueError(f"{name}: ARC version {version} is not known")
             else:
-                yield parts[0], parts[2], parts[3], content
+                yield Entry(parts[0], parts[1], parts[2], parts[3], content)
             at, number = end + 1 + length, number + 1
 
 
@@ -185,36 +206,42 @@ def _each(files: DataFrame) -> DataFrame:
 
 
 def scan_arc(files: DataFrame) -> DataFrame:
-    """(file, number, page_id, digest) of every record in the files."""
-    out = pa.schema([("file", pa.string()), ("number", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string())])
+    """(file, number, page_id, digest, date, url) of every record in the files."""
+    out = pa.schema([("file", pa.string()), ("number", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("date", pa.string()), ("url", pa.string())])
 
     def run(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 rows = []
-                for k, (_, _, _, content) in enumerate(arc_records(_get(file), file)):
-                    head, payload = http_parts(content)
+                for k, e in enumerate(arc_entries(_get(file), file)):
+                    head, payload = http_parts(e.content)
                     i = http_field(head, "X-Page-Id")
-                    rows.append({"file": file, "number": k, "page_id": int(i) if i else None, "digest": sha1_base32(payload)})
+                    rows.append({"file": file, "number": k, "page_id": int(i) if i else None, "digest": sha1_base32(payload), "date": e.date, "url": e.url})
                 yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return _each(files).mapInArrow(run, "file string, number long, page_id long, digest string")
+    return _each(files).mapInArrow(run, "file string, number long, page_id long, digest string, date string, url string")
 
 
 def same_payload(records: DataFrame) -> DataFrame:
-    """Adds first: the record (order, page_id, file, number) that each record's payload is kept in."""
-    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number")
-    firsts = materialise(records.groupBy("digest").agg(F.min(key).alias("kept"), F.count("*").alias("m")).where("m > 1").drop("m"), "arc-firsts")
+    """Adds first: the record (order, page_id, file, number, date, url) that a repeated payload is kept in; null for one that stands alone."""
+    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "number", "date", "url")
+    firsts = materialise(records.groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "arc-firsts")
     if firsts.count() <= BROADCAST_DIGESTS:
         firsts = F.broadcast(firsts)
-    return records.join(firsts, "digest", "left").withColumn("first", F.coalesce("kept", key)).drop("kept")
+    return records.join(firsts, "digest", "left")
 
 
 # ---- WARC
 
 
 def record_id(file: str, number: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{posixpath.basename(file)}:{number}')}>"
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{file}:{number}')}>"
+
+
+def target_of(source: str, path: str) -> str:
+    """The WARC file of an ARC file: its name, and a digest of its folder, as files of two folders may share a name."""
+    name = posixpath.basename(source).removesuffix(".gz").removesuffix(".arc")
+    return f"{path}/{name}-{hashlib.sha1(posixpath.dirname(source).encode()).hexdigest()[:8]}.warc.gz"
 
 
 def iso_date(date: str) -> str:
@@ -246,21 +273,34 @@ def warc_records(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str],
             at, number = end + 8 + length, number + 1
 
 
-def convert_file(source: str, target: str, firsts: dict[int, tuple[str, int, str | None]]) -> int:
-    """Write the WARC form of one ARC file; ``firsts``: for the records that revisit another, its file, number and page id."""
+@dataclass
+class First:
+    """The record that a revisit refers to."""
+
+    file: str
+    number: int
+    page: str | None
+    date: str
+    url: str
+
+
+def convert_file(source: str, target: str, firsts: dict[int, First]) -> int:
+    """Write the WARC form of one ARC file; ``firsts``: by number, for the records that revisit another."""
     name = posixpath.basename(target)
     out = [_member(warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(target, -1), "WARC-Date": iso_date(DATE), "WARC-Filename": name, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))]
-    for k, (url, date, kind, content) in enumerate(arc_records(_get(source), source)):
-        head, payload = http_parts(content)
-        fields = {"WARC-Type": "response" if head else "resource", "WARC-Record-ID": record_id(source, k), "WARC-Date": iso_date(date), "WARC-Target-URI": url}
-        block = content
+    for k, e in enumerate(arc_entries(_get(source), source)):
+        head, payload = http_parts(e.content)
+        fields = {"WARC-Type": "response" if head else "resource", "WARC-Record-ID": record_id(source, k), "WARC-Date": iso_date(e.date), "WARC-Target-URI": e.url}
+        if e.address not in (NO_ADDRESS, "-"):
+            fields["WARC-IP-Address"] = e.address
+        block = e.content
         if k in firsts:
-            file, number, page = firsts[k]
-            fields |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(file, number), "WARC-Refers-To-Date": iso_date(date)}
-            if page is not None:
-                fields["Refers-To-Page-Id"] = page
+            first = firsts[k]
+            fields |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(first.file, first.number), "WARC-Refers-To-Date": iso_date(first.date), "WARC-Refers-To-Target-URI": first.url, PAYLOAD_LENGTH: str(len(payload))}
+            if first.page is not None:
+                fields[REFERS_TO_PAGE] = first.page
             block = head
-        fields |= {"WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}", "WARC-Block-Digest": f"sha1:{sha1_base32(block)}", "Content-Type": "application/http; msgtype=response" if head else kind}
+        fields |= {"WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}", "WARC-Block-Digest": f"sha1:{sha1_base32(block)}", "Content-Type": "application/http; msgtype=response" if head else e.kind}
         out.append(_member(warc_record(fields, block)))
     _put(target, b"".join(out))
     return len(out) - 1
@@ -271,12 +311,12 @@ def convert(records: DataFrame, path: str) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         source = rows["file"].iloc[0]
-        target = f"{path}/{posixpath.basename(source).removesuffix('.gz').removesuffix('.arc')}.warc.gz"
-        firsts = {int(k): (f, int(n), p) for k, f, n, p, own in zip(rows["number"], rows["first_file"], rows["first_number"], rows["first_page"], rows["own"], strict=True) if not own}
+        target = target_of(source, path)
+        firsts = {int(k): First(f, int(n), p, d, u) for k, f, n, p, d, u, again in zip(*(rows[c] for c in ("number", "first_file", "first_number", "first_page", "first_date", "first_url", "again")), strict=True) if again}
         return pd.DataFrame({"file": [target], "records": [convert_file(source, target, firsts)]})
 
-    own = (F.col("file") == F.col("first.file")) & (F.col("number") == F.col("first.number"))
-    rows = records.select("file", "number", F.col("first.file").alias("first_file"), F.col("first.number").alias("first_number"), F.col("first.page_id").cast("string").alias("first_page"), own.alias("own"))
+    again = F.col("first").isNotNull() & ~((F.col("file") == F.col("first.file")) & (F.col("number") == F.col("first.number")))
+    rows = records.select("file", "number", F.col("first.file").alias("first_file"), F.col("first.number").alias("first_number"), F.col("first.page_id").cast("string").alias("first_page"), F.col("first.date").alias("first_date"), F.col("first.url").alias("first_url"), F.coalesce(again, F.lit(False)).alias("again"))
     return materialise(rows.groupBy("file").applyInPandas(run, "file string, records long"), "warc-files")
 
 
@@ -293,7 +333,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                     if kind == "warcinfo":
                         continue
                     head, payload = http_parts(block)
-                    i, length, refers = http_field(head, "X-Page-Id"), http_field(head, "Content-Length"), fields.get("refers-to-page-id")
+                    i, length, refers = http_field(head, "X-Page-Id"), fields.get(PAYLOAD_LENGTH.lower()) or http_field(head, "Content-Length"), fields.get(REFERS_TO_PAGE.lower())
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     if kind != "revisit" and digest != sha1_base32(payload):
                         raise ValueError(f"{file}: {fields['warc-record-id']} does not have its digest")
