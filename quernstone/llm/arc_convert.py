@@ -306,8 +306,11 @@ def convert_file(source: str, target: str, firsts: dict[int, First]) -> int:
     return len(out) - 1
 
 
-def convert(records: DataFrame, path: str) -> DataFrame:
-    """Write a WARC file for every ARC file of ``records`` (a ``scan_arc`` with ``first``); one row per file."""
+def convert(records: DataFrame, path: str, n_files: int) -> DataFrame:
+    """Write a WARC file for each of the ``n_files`` ARC files of ``records`` (a ``scan_arc`` with ``first``); one row per file.
+
+    Rows are dealt by file, to as many tasks as there are files, as the work is the files' and not the rows'.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         source = rows["file"].iloc[0]
@@ -317,7 +320,7 @@ def convert(records: DataFrame, path: str) -> DataFrame:
 
     again = F.col("first").isNotNull() & ~((F.col("file") == F.col("first.file")) & (F.col("number") == F.col("first.number")))
     rows = records.select("file", "number", F.col("first.file").alias("first_file"), F.col("first.number").alias("first_number"), F.col("first.page_id").cast("string").alias("first_page"), F.col("first.date").alias("first_date"), F.col("first.url").alias("first_url"), F.coalesce(again, F.lit(False)).alias("again"))
-    return materialise(rows.groupBy("file").applyInPandas(run, "file string, records long"), "warc-files")
+    return materialise(rows.repartition(max(1, n_files), "file").groupBy("file").applyInPandas(run, "file string, records long"), "warc-files")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -347,7 +350,7 @@ def read_warc(files: DataFrame) -> DataFrame:
 def convert_archives(arc_files: DataFrame, path: str) -> DataFrame:
     """ARC files (column ``file``) to WARC files under ``path``; one row per file written."""
     records = materialise(scan_arc(arc_files), "arc-records")
-    return convert(same_payload(records), path)
+    return convert(same_payload(records), path, arc_files.count())
 
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
