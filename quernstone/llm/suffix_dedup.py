@@ -5,11 +5,14 @@ smaller id. Two windows of that length can be equal only if the least hashed ``G
 them is, so each document is cut into runs of windows with the same least hash. A
 first exchange of these hashes alone (no text) finds those that two documents share, and
 with them the only runs that can repeat. The bytes of such runs go to the shard of
-their hash, where a suffix array decides:
+their hash, where a suffix array decides. Both exchanges aggregate first: a task sends a hash with the smallest and
+greatest of its documents, and a group sends equal runs as one string with its smallest document and flags the others' itself.
+So a passage that a third of all documents share costs its shard a row for each group, of which there are at most
+``MOST_GROUPS``, and not for each document. In the shard:
 
 1. suffixes are classified as smaller or greater than their right neighbour;
 2. the substrings between leftmost-smaller suffixes are sorted by inducing, named, and the
-   string of names is sorted in turn (its recursion ends in rank doubling);
+   string of names is sorted in turn, by the same steps on its digits, until names differ;
 3. from the sorted leftmost-smaller suffixes all others are induced, linearly, in one
    sweep up and one down the buckets; a bucket is a few array operations;
 4. permuted common prefixes are computed at irreducible places and follow from their left neighbour elsewhere.
@@ -38,11 +41,15 @@ from .common import byte_table, flat_text, materialise, mix64, release_memory, s
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, and about so many of runs in a shard.
 GROUP_BYTES = 4 << 20
+#: Groups at most: in larger tables they grow.
+MOST_GROUPS = 1 << 20
 #: Bytes of text whose hashes one task compares.
 HASH_BYTES = 48 << 20
 #: Up to so many exact copies (16 bytes each), or texts with copies (72 bytes), are told by a broadcast; beyond it by a shuffle.
 BROADCAST_COPIES = 500_000
 SHARD_BYTES = 3 << 19
+#: Characters that a string of names is written in, two for a name where there are more names.
+DIGITS = 4096
 
 _T = byte_table(50)
 _MUL = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -152,7 +159,7 @@ def leftmost_smaller(text: np.ndarray) -> np.ndarray:
     return (np.flatnonzero(is_small[1:] & ~is_small[:-1]) + 1).astype(np.int32)
 
 
-def sort_names(names: np.ndarray) -> np.ndarray:
+def sort_tied(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of a string of names, by rank doubling of those still tied."""
     m = len(names)
     order = np.argsort(names, kind="stable")
@@ -185,6 +192,25 @@ def sort_names(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def sort_names(names: np.ndarray, longest: int) -> np.ndarray:
+    """Order of the suffixes of a string of names (numbers from 0 without gaps), by the suffix array of their digits.
+
+    Two digits a name keep the order of suffixes. Where the digits would be no shorter than ``longest``, the string that the
+    names are of, a recursion need not end, and ranks are doubled instead.
+    """
+    top = int(names.max()) + 1
+    if top == len(names):  # all differ: their order is that of the suffixes
+        return np.argsort(names)
+    if top <= DIGITS:
+        return suffix_array(names, top) if len(names) < longest else sort_tied(names)
+    if 2 * len(names) >= longest or top > DIGITS * DIGITS:
+        return sort_tied(names)
+    digits = np.empty(2 * len(names), np.uint16)
+    digits[::2], digits[1::2] = names // DIGITS, names % DIGITS
+    order = suffix_array(digits, DIGITS)
+    return order[order % 2 == 0] // 2
+
+
 def suffix_array(text: np.ndarray, size: int = 257) -> np.ndarray:
     """Suffix array of characters below ``size``, by induced sorting."""
     text = text.astype(np.uint16)
@@ -210,7 +236,7 @@ def suffix_array(text: np.ndarray, size: int = 257) -> np.ndarray:
         differs[1:] = (h[k[1:]] != h[k[:-1]]) | (lengths[k[1:]] != lengths[k[:-1]])
         names = np.empty(len(lms), np.int64)
         names[k] = np.cumsum(differs) - 1
-        lms = lms[sort_names(names)]
+        lms = lms[sort_names(names, len(text))]
     return induce(text, lms, size)
 
 
@@ -306,12 +332,12 @@ def _groups(by: np.ndarray):
 
 
 def _hashes(length: int, parts: int):
-    """Least hashes of each document, dealt by hash: (p, docs, texts' hashes, groups, counts, hashes)."""
+    """Least hashes with the smallest and greatest document of a slice, dealt by hash: (p, docs, groups, counts, hashes); and those that documents of the slice share, for their groups."""
 
     def run(batches):
         for batch in batches:
-            offsets, data = flat_text(batch.column(3))
-            doc, h, g = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            offsets, data = flat_text(batch.column(2))
+            doc, g = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for i, j in slices(offsets, GROUP_BYTES):
                 rows, values = [], []
                 for a, b in slices(offsets[i : j + 1], 1 << 20):
@@ -319,16 +345,32 @@ def _hashes(length: int, parts: int):
                     row, _, _, least = window_runs(data[o[0] : o[-1]], o - o[0], length)
                     rows.append(row + a)
                     values.append(least)
-                row, least = np.concatenate(rows), np.concatenate(values)
-                order = np.lexsort((least, row))
+                by_doc = np.argsort(doc[i:j], kind="stable")
+                rank = np.empty(j - i, np.int64)
+                rank[by_doc] = np.arange(j - i)
+                row, least = rank[np.concatenate(rows)], np.concatenate(values)
+                order = np.lexsort((row, least))
                 row, least = row[order], least[order]
                 keep = np.ones(len(row), bool)
                 keep[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
                 row, least = row[keep], least[keep]
-                out = []
-                for p, at in _groups((mix64(least) % np.uint64(parts)).astype(np.int32)):
+                d, own_g = doc[i:j][by_doc].astype(np.int64), g[i:j][by_doc].astype(np.int32)
+                head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, np.int64)
+                last = np.append(head[1:], len(least))[: len(head)] - 1
+                several = d[row[head]] != d[row[last]]
+                sent = np.concatenate([head, last[several]])
+                told = np.repeat(several, last - head + 1)
+                t_g, t_h = own_g[row[told]], least[told]
+                sent = sent[np.argsort(row[sent], kind="stable")]
+                row, least = row[sent], least[sent]
+                out, none = [], (np.zeros(0, np.int32), np.zeros(0, np.uint64))
+                told_part = int(mix64(d[:1].astype(np.uint64))[0] % np.uint64(parts))  # any
+                dealt = dict(_groups((mix64(least) % np.uint64(parts)).astype(np.int32)))
+                if len(t_g):
+                    dealt.setdefault(told_part, np.zeros(0, np.int64))
+                for p, at in dealt.items():
                     own, counts = np.unique(row[at], return_counts=True)
-                    out.append((p, _blob(doc[i + own].astype(np.int64), h[i + own].astype(np.int64), g[i + own].astype(np.int32), counts.astype(np.int32), least[at])))
+                    out.append((p, _blob(d[own], own_g[own], counts.astype(np.int32), least[at], *((t_g, t_h) if p == told_part else none))))
                 yield from _table("p", out).to_batches()
         release_memory()
 
@@ -337,26 +379,41 @@ def _hashes(length: int, parts: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of one part of the hashes, those of two documents or more, dealt back to the documents' groups."""
-    got = [_arrays(b, "qqiiu") for b in table.column("b").to_pylist()]
-    doc, g, counts, value = (np.concatenate([x[k] for x in got]) for k in (0, 2, 3, 4))
+    got = [_arrays(b, "qiiuiu") for b in table.column("b").to_pylist()]
+    doc, g, counts, value, told_g, told = (np.concatenate([x[k] for x in got]) for k in range(6))
     entry = np.repeat(np.arange(len(doc)), counts)
     order = np.argsort(value, kind="stable")
     v, e = value[order], entry[order]
-    head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    d = doc[e]
-    shared = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
-    take = np.repeat(shared, np.diff(np.append(head, len(v))))
-    v, e = v[take], e[take]
+    if len(v):
+        head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        d = doc[e]
+        shared = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+        take = np.repeat(shared, np.diff(np.append(head, len(v))))
+        v, e = v[take], e[take]
+    v, to = np.concatenate([v, told]), np.concatenate([g[e], told_g])
     out = []
-    for k, at in _groups(g[e]):
+    for k, at in _groups(to):
         out.append((k, _blob(np.unique(v[at]))))
-    del got, doc, g, counts, value, entry, order, v, e, d, take
+    del got, doc, g, counts, value, entry, order, v, e, to, told, told_g
     release_memory()
     return _table("g", out)
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the bytes of each run."""
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    value = _T[data[place + np.repeat(starts, sizes)]]
+    longest = int(sizes.max())
+    return tuple(mix64(np.add.reduceat(value * np.cumprod(np.full(longest, c, np.uint64))[place], first) + sizes.astype(np.uint64)) for c in _MUL[:2])
+
+
 def _segments(length: int, shards: int):
-    """Bytes of the runs with shared hashes, dealt by hash: (s, docs, texts' hashes, group, hashes, owner, start, windows, bytes)."""
+    """Runs with shared hashes, dealt by hash.
+
+    Of equal runs in the group the smallest document's go out, as one string; the others are flagged here, and these flags go
+    through any shard. (s, docs, texts' hashes, group, hashes of the strings, windows, bytes, string, owner and start of each place, owner, start and windows of each flag.)
+    """
 
     def run(texts: pa.Table, hashes: pa.Table) -> pa.Table:
         if not len(hashes) or not len(texts):
@@ -373,12 +430,35 @@ def _segments(length: int, shards: int):
             take = wanted[k] == least
             found.append((row[take] + i, start[take] + o[0], count[take], least[take]))
         row, start, count, least = (np.concatenate(c) for c in zip(*found, strict=True))
+        if not len(row):
+            return _table("s", [])
+        # equal runs, the smallest document's first
+        halves = [run_hashes(data, start[a:b], count[a:b] + length - 1) for a, b in slices(np.concatenate([[0], np.cumsum(count + length - 1)]), 1 << 21)]
+        h1, h2 = (np.concatenate(x) for x in zip(*halves, strict=True))
+        order = np.lexsort((doc[row], count, h2, h1, least))
+        row, start, count, least, h1, h2 = (x[order] for x in (row, start, count, least, h1, h2))
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (least[1:] != least[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (count[1:] != count[:-1])
+        name, head = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        own = doc[row] == doc[row[head]][name]
+        starts = (start - offsets[row]).astype(np.int32)
+        shard = (mix64(least) % np.uint64(shards)).astype(np.int32)
+        flagged = np.flatnonzero(~own)
+        through = g % shards
+        dealt = dict(_groups(np.where(own, shard, -1)))
+        dealt.pop(-1, None)
+        if len(flagged):
+            dealt.setdefault(through, np.zeros(0, np.int64))
         out = []
-        for s, at in _groups((mix64(least) % np.uint64(shards)).astype(np.int32)):
-            own, place = np.unique(row[at], return_inverse=True)
-            sizes = count[at] + length - 1
-            flat = np.arange(int(sizes.sum())) + np.repeat(start[at] - np.cumsum(sizes) + sizes, sizes)
-            out.append((s, _blob(doc[own], h[own], np.array([g], np.int32), least[at], place.astype(np.int32), (start[at] - offsets[row[at]]).astype(np.int32), count[at].astype(np.int32), data[flat])))
+        for s, at in dealt.items():
+            heads = at[fresh[at]]
+            sizes = count[heads] + length - 1
+            flat = np.arange(int(sizes.sum())) + np.repeat(start[heads] - np.cumsum(sizes) + sizes, sizes)
+            passed = flagged if s == through else flagged[:0]
+            owners, place = np.unique(np.concatenate([row[at], row[passed]]), return_inverse=True)
+            place = place.astype(np.int32)
+            string = (np.cumsum(fresh[at]) - 1).astype(np.int32)
+            out.append((s, _blob(doc[owners], h[owners], np.array([g], np.int32), least[heads], count[heads].astype(np.int32), data[flat], string, place[: len(at)], starts[at], place[len(at) :], starts[passed], count[passed].astype(np.int32))))
         return _table("s", out)
 
     return run
@@ -388,41 +468,37 @@ def _decided(length: int):
     """Flags of one shard, dealt back to the documents' groups: (g, docs, texts' hashes, owner, start, windows)."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [_arrays(b, "qqiuiiib") for b in table.column("b").to_pylist()]
+        got = [_arrays(b, "qqiuibiiiiii") for b in table.column("b").to_pylist()]
         doc, h = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
         g = np.concatenate([np.repeat(x[2], len(x[0])) for x in got])
         shift = np.cumsum([0, *(len(x[0]) for x in got)])
-        least = np.concatenate([x[3] for x in got])
-        owner = np.concatenate([x[4] + s for x, s in zip(got, shift, strict=False)])
-        start, count = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in (5, 6))
-        data = np.concatenate([x[7] for x in got]).tobytes()
+        named = np.cumsum([0, *(len(x[3]) for x in got)])
+        least, count = (np.concatenate([x[k] for x in got]) for k in (3, 4))
+        count = count.astype(np.int64)
+        data = np.concatenate([x[5] for x in got]).tobytes()
+        string = np.concatenate([x[6] + n for x, n in zip(got, named, strict=False)])
+        owner, start = np.concatenate([x[7] + n for x, n in zip(got, shift, strict=False)]), np.concatenate([x[8] for x in got]).astype(np.int64)
+        flags_o, flags_s, flags_n = ([np.concatenate([x[k] + (n if k == 9 else 0) for x, n in zip(got, shift, strict=False)])] for k in (9, 10, 11))
+        del got
+        # equal strings of several groups are one, kept with its smallest document
         ends = np.cumsum(count + length - 1)
         begins = ends - count - length + 1
-        # equal runs are one string, kept with its smallest document
+        of = np.zeros(len(least), np.int64)
+        of[string] = doc[owner]  # a group's places of a string are all of one document
         first: dict[bytes, int] = {}
-        name = np.empty(len(least), np.int64)
-        strings: list[tuple[int, bytes]] = []
-        smallest: list[int] = []
-        for k in range(len(least)):
-            content = data[begins[k] : ends[k]]
-            m = first.setdefault(content, len(strings))
-            if m == len(strings):
-                strings.append((int(least[k]), content))
-                smallest.append(int(doc[owner[k]]))
-            elif doc[owner[k]] < smallest[m]:
-                smallest[m] = int(doc[owner[k]])
-            name[k] = m
-        small = np.array(smallest)
-        rest = doc[owner] > small[name]  # a smaller document has the whole run
-        flags_o, flags_s, flags_n = [owner[rest]], [start[rest]], [count[rest]]
-        keys = np.array([s[0] for s in strings], np.uint64)
+        name = np.fromiter((first.setdefault(data[a:b], len(first)) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), np.int64, len(least))
+        contents = list(first)
+        small = np.full(len(contents), np.iinfo(np.int64).max)
+        np.minimum.at(small, name, of)
+        keys = np.zeros(len(contents), np.uint64)
+        keys[name] = least
         order = np.argsort(keys, kind="stable")
         cuts = np.flatnonzero(np.diff(keys[order])) + 1
         windows: dict[int, np.ndarray] = {}
         batch: list[int] = []
 
         def sort_batch():
-            found = repeated_windows([strings[m][1] for m in batch], small[batch], length)
+            found = repeated_windows([contents[m] for m in batch], small[batch], length)
             windows.update((m, w) for m, w in zip(batch, found, strict=True) if len(w))
             release_memory()
 
@@ -431,14 +507,18 @@ def _decided(length: int):
             if len(group) < 2:
                 continue
             batch += group.tolist()
-            size += sum(len(strings[m][1]) for m in group)
+            size += sum(len(contents[m]) for m in group)
             if size >= SHARD_BYTES:
                 sort_batch()
                 batch, size = [], 0
         if batch:
             sort_batch()
+        rest = of[string] > small[name[string]]  # a smaller document has the whole string
+        flags_o.append(owner[rest])
+        flags_s.append(start[rest])
+        flags_n.append(count[string[rest]])
         for k in np.flatnonzero(~rest):
-            w = windows.get(int(name[k]))
+            w = windows.get(int(name[string[k]]))
             if w is not None:
                 begin = np.flatnonzero(np.concatenate([[True], np.diff(w) > 1]))
                 flags_o.append(np.full(len(begin), owner[k]))
@@ -526,10 +606,10 @@ def _parts(docs: DataFrame, length: int, mode: str) -> tuple[DataFrame, DataFram
     copies = materialise(known.join(firsts, "sha").where("i > first").select("i", "h", "n", "sha").distinct(), "copies")
     few = copies.count() <= BROADCAST_COPIES
     told = F.broadcast(copies.select("i", "h")) if few else copies.select("i", "h")
-    groups, parts = max(12, -(-total // GROUP_BYTES)), max(12, -(-total // HASH_BYTES))
+    groups, parts = max(12, -(-total // max(GROUP_BYTES, total // MOST_GROUPS))), max(12, -(-total // HASH_BYTES))
     texts = rows.where("i IS NOT NULL").join(told, ["i", "h"], "left_anti")
     texts = texts.select("i", "h", F.pmod(F.xxhash64("i"), F.lit(groups)).cast("int").alias("g"), "t", "r")
-    hashes = texts.select("i", "h", "g", "t").mapInArrow(_hashes(length, parts), "p int, b binary")
+    hashes = texts.select("i", "g", "t").mapInArrow(_hashes(length, parts), "p int, b binary")
     shared = hashes.groupBy("p").applyInArrow(_shared, "g int, b binary")
     segments = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_segments(length, groups), "s int, b binary")
     flags = segments.groupBy("s").applyInArrow(_decided(length), "g int, b binary")
