@@ -65,13 +65,37 @@ def test_overlaps_survive_substitutions_and_spare_clean_texts(spark, prose):
     assert found == want and len(want) > 25 and {i % 3 for i, _ in want} == {0}
 
 
-def test_blocks_of_items_give_the_same(spark, folder, monkeypatch):
+def test_a_larger_test_side_is_joined_with_the_same_result(spark, folder):
     docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    short = spark.createDataFrame([(9001, "license"), (9002, "of the"), (9003, "rights reserved by"), (9004, None), (9005, "!"), (9001, "license")], "item_id long, text string")
+    docs, items = docs.unionByName(docs.limit(20)), items.unionByName(items.limit(5)).unionByName(short)
     whole = sorted(map(repr, decontaminate.find_overlaps(docs, items).collect()))
-    small = list(decontaminate.blocks(items, block_words=300))
-    assert len(small) > 3 and sum(len(b.items) for b in small) == items.count()
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", ("item_id", "text", 300))
-    assert sorted(map(repr, decontaminate.find_overlaps(docs, items).collect())) == whole and whole
+    assert decontaminate.index_of(items, 1, 300) is None and len(whole) > 20
+    assert sorted(map(repr, decontaminate.find_overlaps(docs, items, block_words=300).collect())) == whole
+    kept = sorted(map(repr, decontaminate.keep_clean(docs, items).collect()))
+    assert sorted(map(repr, decontaminate.keep_clean(docs, items, block_words=300).collect())) == kept and 0 < len(kept) < docs.count()
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "one two three four five six seven eight"), (2, "alpha beta gamma delta epsilon"), (3, "answer"), (4, "東京は日本の首都であり世界最大の都市圏です")]
+    docs = [
+        (1, "so one two three FOUR changed six seven eight it goes"), (2, "one two three changed five six seven changed"), (3, "alpha beta gamma delta epsilon"), (4, "alpha beta changed delta epsilon"),
+        (5, "the Answer, and answers"), (6, "その東京は日本の首都であり世界最大の都市圏ですね"), (7, "東京は日本の首都だが世界最大の都市圏です"), (8, "大阪は西日本の中心都市であり多くの人が住んでいます"),
+    ]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(docs, items).collect()}
+    assert found == {(1, 1), (3, 2), (5, 3), (6, 4), (7, 4)}
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()) == [2, 4, 5, 8]
+
+
+def test_a_common_seed_is_taken_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STEP", 50)
+    phrase = "of the same old kind "
+    items = [(k, f"{phrase * 4} w{k}") for k in range(30)]
+    index = decontaminate.Index.of(items)
+    data = (phrase * 30).encode()
+    got = decontaminate.overlaps(np.frombuffer(data, np.uint8), np.array([0, len(data)]), index)
+    assert sorted((t, n) for _, t, _, n, _ in got) == [(k, 20) for k in range(30)]
 
 
 def test_contaminated_rows_go(spark, folder, edge_docs):
