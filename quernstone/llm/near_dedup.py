@@ -44,6 +44,8 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 
 #: Up to so many ids (8 bytes each) the documents to verify are picked by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Up to so many bytes the units of those documents are told with their ids; beyond it by a shuffle of just these documents.
+BROADCAST_BYTES = 32 << 20
 
 
 def bands_for(threshold: float, rows: int, miss: float = 1e-6) -> int:
@@ -164,7 +166,7 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) between the members of each unit; members: (i, units array)."""
+    """Edges (a, b) between the members of each unit; members: (i, units array), a unit being named by a hash: two that share it by chance are verified as one."""
 
     def sets_of(batches):
         for batch in batches:
@@ -196,10 +198,13 @@ def _verified(members: DataFrame, docs: DataFrame, width: int, percent: int) ->
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    few = members.count() <= BROADCAST_IDS
+    n, size = members.agg(F.count("*"), F.sum(16 + 8 * F.size("units"))).first()
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
-    texts = texts.join(F.broadcast(members) if few else members, "i").select("i", "t", "units")
-    rows = texts.mapInArrow(sets_of, "i long, units array<string>, s binary").select(F.explode("units").alias("unit"), "i", "s")
+    if n <= BROADCAST_IDS and (size or 0) > BROADCAST_BYTES:
+        texts = texts.join(F.broadcast(members.select("i")), "i", "left_semi")
+    told = F.broadcast(members) if n <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES else members
+    texts = texts.join(told, "i").select("i", "t", "units")
+    rows = texts.mapInArrow(sets_of, "i long, units array<long>, s binary").select(F.explode("units").alias("unit"), "i", "s")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(parts, "unit").sortWithinPartitions("unit", "i").mapInArrow(run, "a long, b long")
 
@@ -243,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
         members = materialise(units.groupBy("i").agg(F.collect_set("unit").alias("units")), f"{label}-members")
         return materialise(_verified(members, docs, width, percent), f"{label}-edges")
 
-    edges = hits.where(F.col("m") <= block).select("i", F.col("name").alias("unit"))
+    edges = hits.where(F.col("m") <= block).select("i", F.xxhash64("name").alias("unit"))
     large = hits.where(F.col("m") > block)
     n_large = buckets.where(F.col("m") > block).count()
     if n_large:
@@ -251,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
         large = materialise(large.select("i", "name", F.ceil(F.col("m") / block).cast("int").alias("g"), _dealt(3, F.ceil(F.col("m") / block)).alias("k")), "large")
         shared = large.groupBy("name", "g").agg(*(F.min(F.struct(F.xxhash64(F.lit(p), "i"), "i"))["i"].alias(f"p{p}") for p in range(pivots)))
         shared = shared.select(F.explode(F.array_distinct(F.array(*(f"p{p}" for p in range(pivots))))).alias("i"), "name", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
-        unit = F.concat_ws(":", "name", "k").alias("unit")
+        unit = F.xxhash64("name", "k").alias("unit")
         edges = edges.unionByName(large.select("i", unit)).unionByName(shared.select("i", unit))
     edges = verified(edges, "first")
     found = components(edges)
@@ -264,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
         rest = labels.join(F.broadcast(main) if n_large <= BROADCAST_IDS // 4 else main, "name")
         own = rest.where("c <> main").select("i", "name", _dealt(5, F.col("h")).alias("r"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("k"))
         all_ = rest.select("i", "name", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("r"), "k")
-        more = verified(own.unionByName(all_).select("i", F.concat_ws(":", "name", "r", "k").alias("unit")), "second")
+        more = verified(own.unionByName(all_).select("i", F.xxhash64("name", "r", "k").alias("unit")), "second")
         found = components(edges.unionByName(more))
     labelled = classes.select("f1", "f2", "n", "rep").join(found.select(F.col("i").alias("rep"), "c"), "rep", "left").select("f1", "f2", "n", F.coalesce("c", "rep").alias("component_id"))
     out = sig.select("i", "n", "f1", "f2").join(labelled, ["f1", "f2", "n"], "left")

@@ -10,6 +10,7 @@ BOUNDS = {
     "repeats": (suffix_dedup, "BROADCAST_COPIES", lambda spark, folder: suffix_dedup.op4_suffix_dedup(spark, folder)),
     "cut texts": (suffix_dedup, "BROADCAST_COPIES", lambda spark, folder: suffix_dedup.cut_repeats(spark.read.parquet(f"{folder}/documents.parquet"))),
     "near copies": (near_dedup, "BROADCAST_IDS", lambda spark, folder: near_dedup.op9_near_dedup(spark, folder)),
+    "units of near copies": (near_dedup, "BROADCAST_BYTES", lambda spark, folder: near_dedup.op9_near_dedup(spark, folder)),
     "representatives": (near_dedup, "BROADCAST_IDS", lambda spark, folder: near_dedup.keep_representatives(spark.read.parquet(f"{folder}/documents.parquet"))),
 }
 
