@@ -1,7 +1,12 @@
 """URL filter: host/path rules, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
+A vocabulary has strict and soft terms. A term is one or several words, each with its regular plural; a word counts where it stands in the URL
+with no letter or digit beside it. Escapes are decoded first (``%20`` is a blank, ``%63`` a letter), and those of non-ASCII bytes are blanks.
+One strict term rejects a URL; so do soft terms that together weigh ``BLOCK_TENTHS`` or more. A soft term weighs less than that, and each
+counts once, so that it takes several different ones. Vocabularies are parameters, and can be read from a table.
+
 Every URL is one narrow map: no shuffle, no state, so a third of all rows under
-one host costs no more than any other third.
+one host costs no more than any other third. The vocabulary is broadcast with the function, and bounded by ``MOST_TERMS``.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and is judged on its whole text (null: no hits, allowed). Repeated rows get
@@ -11,6 +16,7 @@ the same verdict each. An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -39,12 +45,59 @@ RULES = (
     Rule("allow", "org", "/fr/"),
 )
 
-#: One of these is enough to reject a URL.
-STRICT = ("porn", "xxx", "hentai", "casino", "viagra", "warez", "torrent", "escort", "malware", "phishing")
+#: Strict terms, words of a term apart by a slash: one is enough to reject a URL.
+STRICT = (
+    "porn/porno/pornography xxx hentai milf bdsm camgirl camsex sexcam erotica gangbang blowjob cumshot incest upskirt escort callgirl stripclub "
+    "casino roulette blackjack baccarat sportsbook bookmaker bookie slotmachine videopoker "
+    "viagra cialis levitra tramadol xanax oxycodone phentermine modafinil "
+    "warez torrent keygen serialz crackz nulled camrip "
+    "malware phishing spyware ransomware botnet scareware adware"
+)
+
+#: Soft terms, with their weights in tenths.
+SOFT = {
+    7: "bet/betting/bettor poker gambling/gamble/gambler lottery/lotto jackpot sex/sexy/sexual nude/naked adult fetish pill/tablet/capsule spam/spammer/spamming crack/cracked/cracker payday replica counterfeit",
+    5: "ad/advert/advertising/advertisement banner popup/popunder track/tracker/tracking affiliate redirect/redirector clickbait doorway loan/lender forex bonus/bonuses prize sweepstake pharmacy/pharma steroid prescription dating/hookup webcam hack/hacked hacker trojan keylogger backlink linkbuilding darknet",
+    4: "free/freebie cheap/cheapest giveaway win/winner/winning promo massage weightloss anabolic seo exploit drug slot odds wager stake",
+    3: "download click offer discount coupon miracle diet detox crypto bitcoin single chat cam virus farm casting vip hot girl",
+    2: "buy deal sale order credit cash money earn rich instant guaranteed limited exclusive",
+}
+BLOCK_TENTHS, MOST_TERMS = 10, 20_000
+
+
+def plural(word: str) -> str:
+    if word.endswith("y") and word[-2:-1] not in "aeiou":
+        return word[:-1] + "ies"
+    return word + ("es" if word.endswith(("s", "x", "z", "ch", "sh")) else "s")
+
+
+@dataclass(frozen=True)
+class Term:
+    """A vocabulary term: its words, and its weight in tenths; a strict term has BLOCK_TENTHS."""
+
+    words: tuple[str, ...]
+    tenths: int
+
+    @property
+    def strict(self) -> bool:
+        return self.tenths >= BLOCK_TENTHS
+
+    @property
+    def forms(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(f for w in self.words for f in (w, plural(w))))
+
 
-#: Of these it takes SOFT_LIMIT different ones; each has a weight in the score.
-SOFT = {"ads": 0.5, "track": 0.5, "banner": 0.5, "popup": 0.5, "sex": 0.7, "adult": 0.6, "bet": 0.5, "poker": 0.7, "loan": 0.4, "free": 0.2, "download": 0.3, "click": 0.3, "redirect": 0.4, "affiliate": 0.4}
-SOFT_LIMIT = 2
+def vocabulary(strict: str = STRICT, soft: dict[int, str] = SOFT) -> tuple[Term, ...]:
+    """The terms of the lists above, or of others written like them."""
+    return (*(Term(tuple(t.split("/")), BLOCK_TENTHS) for t in strict.split()), *(Term(tuple(t.split("/")), n) for n, line in sorted(soft.items(), reverse=True) for t in line.split()))
+
+
+def read_vocabulary(table: DataFrame) -> tuple[Term, ...]:
+    """The terms of a table (term string, words apart by a slash; tenths int); at most MOST_TERMS, beyond it a ValueError."""
+    rows = table.select("term", "tenths").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has {MOST_TERMS} terms at most")
+    return tuple(Term(tuple(r["term"].lower().split("/")), r["tenths"]) for r in sorted(rows))
 
 
 def _lowered(c: Column) -> Column:
@@ -71,69 +124,86 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tup
 
 
 @functools.lru_cache(maxsize=8)
-def _automaton(terms: tuple[str, ...]):
+def _automaton(terms: tuple[Term, ...]):
     import ahocorasick
 
-    found = ahocorasick.Automaton()
+    numbers: dict[str, list[int]] = {}
     for k, term in enumerate(terms):
-        found.add_word(term, (k, len(term)))
+        for form in term.forms:
+            numbers.setdefault(form, []).append(k)
+    found = ahocorasick.Automaton()
+    for form, of in numbers.items():
+        found.add_word(form, (of, len(form)))
     found.make_automaton()
     return found
 
 
+_BLANKS, _ESCAPE, _SMALL = re.compile("%[89A-Fa-f][0-9A-Fa-f]"), re.compile("%([0-7][0-9A-Fa-f])"), str.maketrans(UPPER, LOWER)
+
+
+def plain(url: str) -> str:
+    """The URL with escapes decoded and A-Z lower-cased."""
+    if "%" in url:
+        url = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), _BLANKS.sub(" ", url))
+    return url.translate(_SMALL)
+
+
 def _inside(c: str) -> bool:
     return "a" <= c <= "z" or "0" <= c <= "9"
 
 
-def distinct_hits(url: str, terms: tuple[str, ...]) -> set[int]:
-    """Numbers of the terms that stand in the lower-cased URL with no letter or digit beside them."""
-    hits = set()
-    for end, (k, length) in _automaton(terms).iter(url):
+def distinct_hits(url: str, terms: tuple[Term, ...]) -> set[int]:
+    """Numbers of the terms with a word in the plain URL that has no letter or digit beside it."""
+    hits: set[int] = set()
+    if not terms:
+        return hits
+    for end, (of, length) in _automaton(terms).iter(url):
         start = end - length + 1
         if (start == 0 or not _inside(url[start - 1])) and (end + 1 == len(url) or not _inside(url[end + 1])):
-            hits.add(k)
+            hits.update(of)
     return hits
 
 
-def vocabulary_hits(strict: tuple[str, ...] = STRICT, soft: dict[str, float] = SOFT):
-    """A pandas UDF on lower-cased URLs: distinct strict and soft terms, and the soft weights' sum."""
-    terms, weights, n = (*strict, *soft), [*soft.values()], len(strict)
+def vocabulary_hits(terms: tuple[Term, ...]):
+    """A pandas UDF on URLs: distinct strict and soft terms, and the soft weights' sum in tenths."""
 
-    @F.pandas_udf("strict_hits int, soft_hits int, weight double")
+    @F.pandas_udf("strict_hits int, soft_hits int, tenths int")
     def hits(urls: pd.Series) -> pd.DataFrame:
         rows = []
         for url in urls:
-            found = distinct_hits(url, terms) if url else set()
-            low = [k for k in found if k < n]
-            rows.append((len(low), len(found) - len(low), float(sum(sorted(weights[k - n] for k in found if k >= n)))))
-        return pd.DataFrame(rows, columns=["strict_hits", "soft_hits", "weight"])
+            found = [terms[k] for k in distinct_hits(plain(url), terms)] if url else []
+            soft = [t.tenths for t in found if not t.strict]
+            rows.append((len(found) - len(soft), len(soft), sum(soft)))
+        return pd.DataFrame(rows, columns=["strict_hits", "soft_hits", "tenths"])
 
     return hits
 
 
-def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, terms: tuple[Term, ...] | None = None, block_tenths: int = BLOCK_TENTHS) -> DataFrame:
     """(id, host, path, rule, verdict, strict_hits, soft_hits, weight) for every row; columns beyond the two named are not read."""
     host, path = host_and_path(F.col("u"))
-    rows = df.select(F.col(id_col).alias("i"), F.col(url_col).alias("u")).select("i", host.alias("host"), path.alias("path"), vocabulary_hits(strict, soft)(_lowered(F.col("u"))).alias("v"))
+    rows = df.select(F.col(id_col).alias("i"), F.col(url_col).alias("u")).select("i", host.alias("host"), path.alias("path"), vocabulary_hits(vocabulary() if terms is None else terms)(F.col("u")).alias("v"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    method = F.when((F.col("v.strict_hits") > 0) | (F.col("v.soft_hits") >= soft_limit), "block").otherwise("allow")
-    return rows.select(F.col("i").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("v.strict_hits").alias("strict_hits"), F.col("v.soft_hits").alias("soft_hits"), F.round("v.weight", 6).alias("weight"))
+    method = F.when((F.col("v.strict_hits") > 0) | (F.col("v.tenths") >= block_tenths), "block").otherwise("allow")
+    return rows.select(F.col("i").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("v.strict_hits").alias("strict_hits"), F.col("v.soft_hits").alias("soft_hits"), (F.col("v.tenths") / 10).alias("weight"))
 
 
 def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def _term(term: str) -> str:
-    return f"CASE WHEN regexp_matches(coalesce(u, ''), '(^|[^a-z0-9]){term}([^a-z0-9]|$)') THEN 1 ELSE 0 END"
+def _term(term: Term) -> str:
+    return f"CAST(regexp_matches(u, '(^|[^a-z0-9])({'|'.join(term.forms)})([^a-z0-9]|$)') AS INTEGER)"
 
 
-def oracle(rules: tuple[Rule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] = SOFT, soft_limit: int = SOFT_LIMIT) -> str:
+def oracle(rules: tuple[Rule, ...] = RULES, terms: tuple[Term, ...] | None = None, block_tenths: int = BLOCK_TENTHS) -> str:
+    terms = vocabulary() if terms is None else terms
+    strict, soft = [t for t in terms if t.strict], [t for t in terms if not t.strict]
     ordered = sorted(rules, key=lambda r: (-len(r.name), r.name))
     fits = [(f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in ordered]
     return f"""
 WITH cut AS (
-  SELECT page_id, translate(url, '{UPPER}', '{LOWER}') AS u,
+  SELECT page_id, translate(url_decode(regexp_replace(coalesce(url, ''), '%[89A-Fa-f][0-9A-Fa-f]', ' ', 'g')), '{UPPER}', '{LOWER}') AS u,
          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 parts AS (
@@ -142,12 +212,12 @@ parts AS (
   FROM cut),
 hits AS (
   SELECT page_id, host, path, {" + ".join(map(_term, strict))} AS strict_hits, {" + ".join(map(_term, soft))} AS soft_hits,
-         {" + ".join(f"{w} * ({_term(t)})" for t, w in soft.items())} AS weight
+         {" + ".join(f"{t.tenths} * {_term(t)}" for t in soft)} AS tenths
   FROM parts)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {f} THEN '{r.name}'" for f, r in fits)} END AS rule,
        coalesce(CASE {" ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in fits)} END,
-                CASE WHEN strict_hits > 0 OR soft_hits >= {soft_limit} THEN 'block' ELSE 'allow' END) AS verdict,
-       CAST(strict_hits AS INTEGER) AS strict_hits, CAST(soft_hits AS INTEGER) AS soft_hits, round(CAST(weight AS DOUBLE), 6) AS weight
+                CASE WHEN strict_hits > 0 OR tenths >= {block_tenths} THEN 'block' ELSE 'allow' END) AS verdict,
+       strict_hits, soft_hits, tenths / 10 AS weight
 FROM hits"""
 
 

@@ -436,7 +436,7 @@ def test_url_rules_and_terms(spark):
     cases = {
         "http://A.Example.NET/en/x?y#z": ("a.example.net", "/en/x", "example.net/en/", "allow"), "http://a.example.net/de/": ("a.example.net", "/de/", "net/", "block"), "http://net": ("net", "", None, "allow"),
         "https://x.example.com/de/1": ("x.example.com", "/de/1", "example.com/de/", "block"), "https://notexample.com/de/1": ("notexample.com", "/de/1", None, "allow"), "x://q.org/fr/casino": ("q.org", "/fr/casino", "org/fr/", "allow"),
-        "http://a.com/casino": ("a.com", "/casino", None, "block"), "http://a.com/casinos": ("a.com", "/casinos", None, "allow"), "http://ads.a.com/track": ("ads.a.com", "/track", None, "block"), "http://ads.ads.com/": ("ads.ads.com", "/", None, "allow"),
+        "http://a.com/casino": ("a.com", "/casino", None, "block"), "http://a.com/casinos": ("a.com", "/casinos", None, "block"), "http://a.com/casinova": ("a.com", "/casinova", None, "allow"), "http://ads.a.com/track": ("ads.a.com", "/track", None, "block"), "http://ads.ads.com/": ("ads.ads.com", "/", None, "allow"),
         "no scheme/xxx": ("", "", None, "block"), "": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://É.net/": ("É.net", "/", "net/", "block"),
     }
     df = spark.createDataFrame([(k, u) for k, u in enumerate(cases)], "page_id long, url string").withColumn("host", F.lit("x")).withColumn("u", F.lit(1))
@@ -445,6 +445,24 @@ def test_url_rules_and_terms(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_weights_escapes_long_and_repeated(spark):
+    cases = {
+        "http://a.com/best%20casino": "block", "http://a.com/%43asin%6F/": "block", "http://a.com/caf%C3%A9casino": "block", "http://a.com/%-casino%": "block",
+        "http://a.com/free": "allow", "http://free-bets.a.com/": "block", "http://bets.a.com/betting": "allow", "http://free.a.com/download": "allow", "http://cheap-pills.a.com/": "block",
+        "http://buy.a.com/deal?sale=cash": "allow", "http://a.com/buy/deal/sale/cash/money": "block", "http://a.com/freecasino": "allow", "http://a.com/essex/sextant": "allow",
+        "http://a.com/" + "x" * 2_000_000 + "/casino": "block", "http://a.com/" + "nothing/" * 200_000: "allow",
+    }
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(cases)] * 2, "page_id long, url string")
+    rows = url_filter.judge_urls(df).orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows] == [v for v in cases.values() for _ in range(2)]
+    terms = url_filter.vocabulary()
+    assert sum(len(t.forms) for t in terms) > 250 and all(0 < t.tenths <= 10 for t in terms)
+    assert all(not t.strict for t in terms[len(url_filter.STRICT.split()) :])
+    own = url_filter.read_vocabulary(spark.createDataFrame([("nothing", 10)], "term string, tenths int"))
+    assert [r["verdict"] for r in url_filter.judge_urls(df.limit(15), terms=own).orderBy("page_id").collect()][-1] == "block"
+    assert url_filter.judge_urls(df, terms=()).where("verdict = 'block'").count() == 0
+
+
 # ---- 8
 
 
