@@ -12,7 +12,7 @@ So a passage that a third of all documents share costs its shard a row for each
 
 1. suffixes are classified as smaller or greater than their right neighbour;
 2. the substrings between leftmost-smaller suffixes are sorted by inducing, named, and the
-   string of names is sorted in turn, by the same steps on its digits, until names differ;
+   string of names is sorted in turn, by the same steps on its digits (and below ``LEVELS`` by rank doubling);
 3. from the sorted leftmost-smaller suffixes all others are induced, linearly, in one
    sweep up and one down the buckets; a bucket is a few array operations;
 4. permuted common prefixes are computed at irreducible places and follow from their left neighbour elsewhere.
@@ -29,6 +29,7 @@ repeats of one another. An empty table gives an empty result. In ``cut`` spans s
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,10 @@ HASH_BYTES = 48 << 20
 #: Up to so many exact copies (16 bytes each), or texts with copies (72 bytes), are told by a broadcast; beyond it by a shuffle.
 BROADCAST_COPIES = 500_000
 SHARD_BYTES = 3 << 19
-#: Characters that a string of names is written in, two for a name where there are more names.
-DIGITS = 4096
+#: Names that are characters themselves; more are written in two digits each.
+DIGITS = 512
+#: Levels at which names are written in digits.
+LEVELS = 1
 
 _T = byte_table(50)
 _MUL = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -192,26 +195,27 @@ def sort_tied(names: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_names(names: np.ndarray, longest: int) -> np.ndarray:
+def sort_names(names: np.ndarray, level: int) -> np.ndarray:
     """Order of the suffixes of a string of names (numbers from 0 without gaps), by the suffix array of their digits.
 
-    Two digits a name keep the order of suffixes. Where the digits would be no shorter than ``longest``, the string that the
-    names are of, a recursion need not end, and ranks are doubled instead.
+    Two digits a name keep the order of suffixes and a small alphabet, but shorten the string by a third at best, so
+    that a deep recursion costs more than it sorts: below ``LEVELS`` ranks are doubled instead.
     """
     top = int(names.max()) + 1
     if top == len(names):  # all differ: their order is that of the suffixes
         return np.argsort(names)
     if top <= DIGITS:
-        return suffix_array(names, top) if len(names) < longest else sort_tied(names)
-    if 2 * len(names) >= longest or top > DIGITS * DIGITS:
+        return suffix_array(names, top, level + 1)
+    if level >= LEVELS or top > 4096 * 4096:
         return sort_tied(names)
+    base = math.isqrt(top - 1) + 1
     digits = np.empty(2 * len(names), np.uint16)
-    digits[::2], digits[1::2] = names // DIGITS, names % DIGITS
-    order = suffix_array(digits, DIGITS)
+    digits[::2], digits[1::2] = names // base, names % base
+    order = suffix_array(digits, base, level + 1)
     return order[order % 2 == 0] // 2
 
 
-def suffix_array(text: np.ndarray, size: int = 257) -> np.ndarray:
+def suffix_array(text: np.ndarray, size: int = 257, level: int = 0) -> np.ndarray:
     """Suffix array of characters below ``size``, by induced sorting."""
     text = text.astype(np.uint16)
     lms = leftmost_smaller(text)
@@ -236,7 +240,7 @@ def suffix_array(text: np.ndarray, size: int = 257) -> np.ndarray:
         differs[1:] = (h[k[1:]] != h[k[:-1]]) | (lengths[k[1:]] != lengths[k[:-1]])
         names = np.empty(len(lms), np.int64)
         names[k] = np.cumsum(differs) - 1
-        lms = lms[sort_names(names, len(text))]
+        lms = lms[sort_names(names, level)]
     return induce(text, lms, size)
 
 

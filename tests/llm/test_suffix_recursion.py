@@ -8,13 +8,14 @@ import pytest
 from quernstone.llm import suffix_dedup as s
 
 
-@pytest.mark.parametrize("digits", [4, 16, 4096])
-def test_names_sorted_by_recursion(monkeypatch, digits):
+@pytest.mark.parametrize(("digits", "levels"), [(4, 1), (4, 3), (16, 2), (512, 1)])
+def test_names_sorted_by_recursion(monkeypatch, digits, levels):
     monkeypatch.setattr(s, "DIGITS", digits)
+    monkeypatch.setattr(s, "LEVELS", levels)
     doubled, depth = [], []
     plain, whole = s.sort_tied, s.suffix_array
     monkeypatch.setattr(s, "sort_tied", lambda names: doubled.append(len(names)) or plain(names))
-    monkeypatch.setattr(s, "suffix_array", lambda text, size=257: depth.append(len(text)) or whole(text, size))
+    monkeypatch.setattr(s, "suffix_array", lambda text, size=257, level=0: depth.append(len(text)) or whole(text, size, level))
     rng = random.Random(digits)
     for _ in range(30):
         unit = [rng.randrange(1, 20) for _ in range(rng.randrange(2, 60))]
@@ -23,7 +24,7 @@ def test_names_sorted_by_recursion(monkeypatch, digits):
         values = text.tolist()
         assert order.tolist() == sorted(range(len(values)), key=lambda k: values[k:])
     assert len(depth) > 45  # some strings of names are sorted as strings
-    if digits == 4096:
+    if digits == 512:
         assert not doubled
 
 
