@@ -601,3 +601,38 @@ def test_license_phrases_and_spans(spark, edge_docs):
 def test_scratch_tables_are_on_the_shared_folder(spark):
     df = materialise(spark.range(3), "t")
     assert df.count() == 3 and "/shared" in df.inputFiles()[0]
+
+
+def test_whole_licence_texts_and_templates_from_a_table(spark):
+    """Texts of any length, with changed, left out and added words; a scan in Python of every diagonal says the same."""
+    import random
+
+    by = {t.label: t for t in license_scan.TEMPLATES}
+    rng = random.Random(10)
+
+    def changed(text, share):
+        return " ".join(rng.choice([w, "changed", f"{w} and", ""]) if rng.random() < share else w for w in text.split())
+
+    own = " ".join(f"term{rng.randrange(400)}" for _ in range(700))
+    docs = {
+        1: f"Copyright 2020 A. Person\n\n{by['mit-text'].text}", 2: changed(by["mit-text"].text, 0.05), 3: by["mit-text"].text[:500], 4: by["bsd-3-clause-text"].text.replace("Neither", "Not"),
+        5: by["bsd-3-clause-text"].text, 6: "prose " * 300 + changed(own, 0.04) + " prose" * 300, 7: " ".join(own.split()[:500]), 8: by["apache-2.0-notice"].text, 9: by["gpl-3.0-notice"].text, 10: "ISC " + by["isc-text"].text + by["zlib-text"].text,
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan_licenses(df).collect()}
+    assert {"mit-text", "mit"} <= found[1] and "mit-text" in found[2] and found[3] == {"mit"} and "bsd-3-clause-text" not in found[4] and "bsd" in found[4]
+    assert {"bsd", "bsd-3-clause-text"} <= found[5] and {"apache-2.0", "apache-2.0-notice"} <= found[8] and {"gpl", "gpl-3.0-notice"} <= found[9] and {"isc-text", "zlib-text"} <= found[10]
+    table = spark.createDataFrame([("own", own, None), ("keyed", own + " Lastword", "LASTWORD"), ("short", "a b", None)], "label string, text string, key string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(df, templates=table).collect()}
+    assert got[6][0] == "own" and 0.9 < got[6][1] < 1 and got[7][0] == "" and got[1][0] == ""
+    held = license_scan.BROADCAST_GRAMS
+    license_scan.BROADCAST_GRAMS = 10
+    try:
+        assert {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(df, templates=table).collect()} == got
+    finally:
+        license_scan.BROADCAST_GRAMS = held
+    # the table's way of making k-grams is the list's way
+    some = [t for t in license_scan.TEMPLATES]
+    rows = license_scan.read_templates(spark.createDataFrame([(t.label, t.text, t.key) for t in some], "label string, text string, key string")).collect()
+    strip = lambda rows: sorted(repr(tuple(r)[1:]) for r in rows)
+    assert strip(rows) == strip(r for r in license_scan.gram_rows() if not r[1])
