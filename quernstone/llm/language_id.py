@@ -51,6 +51,7 @@ class Model:
     reject_below: float
     bounds: np.ndarray  # rows: log of a number of subwords, least mean log share
     width: float = 1.0
+    calibration_error: float = 0.0  # expected, of scores of held pieces and of the same with shuffled letters
 
     def known(self, share: np.ndarray, count: np.ndarray) -> np.ndarray:
         """How likely texts with these mean log shares are of a learned language: 0.5 at the bounds."""
@@ -73,7 +74,11 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int):
     n = len(data) + rows + 1
     text = np.full(n, 0x20, np.uint8)
     shift = np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets)) + 1
-    text[shift] = _MAP[data]
+    mapped = _MAP[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1  # U+00C0 to U+00DE are lower-cased too
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    mapped[at] += 0x20
+    text[shift] = mapped
     starts = offsets[:-1] + np.arange(rows)
     blank = text == 0x20
     h = _T[text]
@@ -123,6 +128,16 @@ def _means(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return total / np.maximum(count, 1)[:, None], count
 
 
+def expected_error(scores: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """Expected calibration error: mean gap between score and accuracy over bins of the score, weighted by their size."""
+    if not len(scores):
+        return 0.0
+    at = np.minimum((scores * bins).astype(int), bins - 1)
+    sizes = np.bincount(at, minlength=bins)
+    gaps = np.abs(np.bincount(at, scores, bins) - np.bincount(at, right, bins))
+    return float(gaps.sum() / sizes.sum())
+
+
 def _piece(text: str, chars: int, rng: np.random.Generator) -> str:
     at = int(rng.integers(0, max(1, len(text) - chars + 1)))
     return text[at : at + chars]
@@ -230,6 +245,15 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, width: int
         model.temperature = float(grid[int(np.argmin(loss))])
         model.reject_below = min(reject_below, 0.9 * float(np.quantile(_softmax((mean[: len(held)] + bias) / model.temperature).max(axis=1), reject_share)))
         _bounds(model, log_share(whole[:, None] - counts), own, of, rng)
+        scores, right = [], []
+        for chars in (*PIECES, None):
+            pieces = own if chars is None else [_piece(t, chars, rng) for t in own]
+            for texts_, good in ((pieces, of), ([_shuffled(t, rng) for t in pieces], np.full(len(of), -1))):
+                mean, count = _means(model.table, texts_)
+                p = _softmax((mean[:, :-1] + bias) / model.temperature)
+                scores.append((p.max(axis=1) * model.known(mean[:, -1], count))[count > 0])
+                right.append((p.argmax(axis=1) == good)[count > 0])
+        model.calibration_error = expected_error(np.concatenate(scores), np.concatenate(right))
     return model
 
 

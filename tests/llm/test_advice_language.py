@@ -40,3 +40,75 @@ def test_an_unlearned_language_is_rejected(spark, table):
     a, b = _rejected(spark, model, [t for lang, t in rows if lang == "de"]), _rejected(spark, model, [t for lang, t in rows if lang != "de"])
     print("foreign", a, "learned", b)
     assert a > 0.9 and b < 0.01
+
+
+def _plainly(model, text):
+    """(label, score, rejected) of one text, subword by subword in Python integers."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    low = "".join(c.lower() if "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c for c in text)
+    raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low.encode())
+    mask, rows = (1 << 64) - 1, []
+    for word in raw.split():
+        word = b" " + word + b" "
+        for k in language_id.ORDERS:
+            for a in range(len(word) - k + 1):
+                h = int(language_id._T[word[a]])
+                for b in word[a + 1 : a + k]:
+                    h = (h * int(language_id._STEP) & mask) ^ int(language_id._T[b])
+                rows.append(int(language_id.mix64(np.array([h], np.uint64))[0]) % model.buckets)
+    if not rows:
+        mean, n = np.zeros(model.table.shape[1]), 0
+    else:
+        mean, n = model.table[rows].astype(float).mean(axis=0), len(rows)
+    z = (mean[:-1] + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    known = float(model.known(mean[-1:], np.array([n]))[0])
+    return model.labels[int(p.argmax())], float(p.max()) * known, bool(p.max() < model.reject_below or known < 0.5)
+
+
+def test_the_query_against_a_plain_reading_of_the_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {-1: None, -2: "", -3: "12 !?", -4: "É", -5: "ÀÉÎ ×÷ Žluťoučký"}
+    rows = language_id.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()
+    for r in rows:
+        if r["doc_id"] < 0 or len(texts[r["doc_id"]]) < 4_000:
+            lang, score, rejected = _plainly(model, texts[r["doc_id"]])
+            assert (r["lang_pred"], r["rejected"]) == (lang, rejected) and abs(r["score"] - score) < 1e-6
+    again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.op5_language_id(spark, "/root/testdata/sf0.001").collect()}
+    assert all(again[r["doc_id"]] == (r["lang_pred"], r["score"]) for r in rows if r["doc_id"] >= 0)
+
+
+def test_scores_are_calibrated(table):
+    model = language_id.fit(table)
+    print("calibration error", model.calibration_error)
+    assert model.calibration_error < 0.06 and 0.06 < model.temperature < 19
+    held = [(r["text"], r["lang"]) for r in table.where(language_id.held_out(table["doc_id"])).collect() if r["text"] and r["lang"]]
+    mean, count = language_id._means(model.table, [t for t, _ in held])
+    p = language_id._softmax((mean[:, :-1] + model.bias) / model.temperature)
+    right = np.array([model.labels[k] == lang for k, (_, lang) in zip(p.argmax(axis=1), held, strict=True)])
+    keep = (p.max(axis=1) >= model.reject_below) & (model.known(mean[:, -1], count) >= 0.5)
+    print("held", right.mean(), "kept", keep.mean(), "error of the softmax", language_id.expected_error(p.max(axis=1), right))
+    assert right.mean() > 0.99 and keep.mean() > 0.99
+
+
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "base64": "U2FsdGVkX1+vupppZksvRf5pq5g5XjFRlipRkwB0K1Y96Qsv2Lm+31cmzaAILwytX/z66ZVWEQM/ccf1g+9m5Ubu1+sit+A9",
+    "code": 'def f(x): return [g(y) for y in x if y is not None] # int main(void) { printf("%d", x); return 0; }',
+    "keys": "xkq zvbw qqrt plmk wzzt vbnm ghjk qwrt zxcv bnmk ljhg",
+}
+
+
+def test_the_pipeline_stage_drops_junk_and_keeps_clean_rows(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    junk = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(FOREIGN.values())], "doc_id long, text string")
+    mixed = docs.unionByName(junk, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, mixed, "/root/testdata/sf0.1").select("doc_id").collect()}
+    assert not any(i >= 10**9 for i in kept) and len(kept) > 0.99 * docs.count()
