@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: dict[str, str] = {}
-_written: list[str] = []
+_recorders: list[list[str]] = []
+_at_exit: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,25 +31,51 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/quernstone/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder below the shared one; that folder goes when the driver's process ends."""
+    own = f"{shared_root(spark)}/quernstone/{spark.sparkContext.applicationId}"
+    if own not in _at_exit:
+        _at_exit.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, own: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the application has ended before its process
+        _delete(spark, [own])
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    _written.append(path)
+    if _recorders:
+        _recorders[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_tables(spark: SparkSession) -> None:
-    """Delete the tables that ``materialise`` has written so far; results that read them must have been written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    while _written:
-        path = hadoop.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """While it lasts, paths of tables that ``materialise`` writes are added to ``paths``."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded tables; results that read them must have been written."""
+    _delete(spark, paths)
+    paths.clear()
 
 
 def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -149,3 +178,7 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Nothing: tables are recorded by those who delete them."""
