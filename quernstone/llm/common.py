@@ -178,7 +178,3 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
-
-
-def discard_tables(spark: SparkSession) -> None:
-    """Nothing: tables are recorded by those who delete them."""
