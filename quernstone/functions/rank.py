@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,9 +21,9 @@ def min_max(value: Column, partition: str | list[str]) -> Column:
 
 
 def floor_percentile(value: Column, p: float) -> Column:
-    """The element at floor((n - 1) * p) of the sorted group."""
+    """The element at floor((n - 1) * p) of the sorted group without its nulls, null if there is none; for groups that fit a row (else ``evaluation.floor_percentiles``)."""
     ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, (F.floor((F.size(ordered) - 1) * F.lit(p)) + 1).cast("int"))
+    return F.get(ordered, F.greatest(F.floor((F.size(ordered) - 1) * F.lit(p)), F.lit(0)).cast("int"))
 
 
 def reciprocal(rank: Column) -> Column:
@@ -32,3 +32,22 @@ def reciprocal(rank: Column) -> Column:
 
 def recall_at(rank: Column, k: int) -> Column:
     return F.avg(F.when(rank <= k, 1.0).otherwise(0.0))
+
+
+def placed(df: DataFrame, group: str, key: Column, *ties: Column | str, buckets: int = 64) -> DataFrame:
+    """The rows with ``place``, from 1, in their group's order by the number ``key`` (nulls first) and then by ``ties``; for groups of any size.
+
+    The key's range is cut into buckets, so that a group is many tasks: rows are numbered in their bucket, and the rows of the group in
+    earlier buckets, a count for each, are added.
+    """
+    key = key.cast("double")
+    ends = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))  # a row
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("_key", key)
+    share = F.floor((F.col("_key") - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets)
+    rows = rows.withColumn("_bucket", F.when(F.col("_key").isNull(), -1).when(F.col("_high") > F.col("_low"), F.least(share, F.lit(buckets - 1))).otherwise(0).cast("int"))
+    rows = rows.withColumn("_own", F.row_number().over(W.partitionBy(group, "_bucket").orderBy("_key", *ties)).cast("long"))
+    counts = rows.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_group").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("_group", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_b")))
+    return rows.withColumn("place", F.col("_own") + F.col("_before")).drop("_low", "_high", "_key", "_bucket", "_own", "_group", "_b", "_before")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rank import floor_percentile, recall_at, reciprocal
+from ..functions.rank import recall_at, reciprocal
 
 DEPTHS = (1, 3, 5, 10)
 WEIGHTS = tuple(round(0.5 + 0.05 * k, 2) for k in range(11))
@@ -21,6 +24,19 @@ def check_cases(cases: DataFrame, repositories: DataFrame, symbols: DataFrame) -
     return rows.select(*cases.columns, outcome.alias("outcome"))
 
 
+def checked_results(results: DataFrame, keys: list[str], max_rows: int = 10) -> DataFrame:
+    """The results of an evaluation as they are; more than ``max_rows`` for a query, or a null or blank identity, is an error."""
+    key = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == "") for k in keys))
+    wrong = F.when(F.col("rank") > max_rows, f"a result list has more than {max_rows} rows").when(key, "a result has no identity")
+    return results.withColumn("rank", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("rank")))
+
+
+def by_method(methods: dict[str, DataFrame], cases: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of several methods' checked results (query_id, *keys, rank) over the same cases (query_id, *keys)."""
+    rows = functools.reduce(DataFrame.unionByName, (first_rank(checked_results(df, keys), cases, keys).withColumn("method", F.lit(name)) for name, df in methods.items()))
+    return metrics(rows, "method")
+
+
 def first_rank(results: DataFrame, cases: DataFrame, keys: list[str], max_rows: int = 10) -> DataFrame:
     """(case, rank): the first rank at which a result equals what the case expects, null if none."""
     hits = results.where(F.col("rank") <= max_rows).groupBy("query_id", *keys).agg(F.min("rank").alias("rank"))
@@ -39,12 +55,45 @@ def best_weight(scores: DataFrame) -> DataFrame:
     return scores.groupBy().agg(F.max_by(F.struct(*scores.columns), order).alias("b")).select("b.*")
 
 
+def floor_percentiles(rows: DataFrame, value: Column, shares: dict[str, float], *by: str) -> DataFrame:
+    """By group, under the names of ``shares``: the element at floor((n - 1) * share) of its sorted values without nulls.
+
+    Equal values are counted before they are sorted, and the sort spills: no group is held in a row.
+    """
+    counted = rows.select(*by, value.alias("_value")).where("_value IS NOT NULL").groupBy(*by, "_value").agg(F.count("*").alias("_n"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
+    return placed.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * F.lit(p)), F.col("_value"))).alias(name) for name, p in shares.items()))
+
+
+def with_percentiles(summary: DataFrame, rows: DataFrame, value: Column, shares: dict[str, float], *by: str) -> DataFrame:
+    """A summary by group with its floor percentiles; null where a group has no values."""
+    found = floor_percentiles(rows, value, shares, *by)
+    if not by:
+        return summary.crossJoin(F.broadcast(found))
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in by), *shares)
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return summary.join(found, functools.reduce(lambda a, b: a & b, on), "left").drop(*(f"_{c}" for c in by))
+
+
 def latency_summary(rows: DataFrame, value: Column, *by: str) -> DataFrame:
     """Count, mean, median, extremes and floor-index percentiles."""
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high"),
-        *(F.round(floor_percentile(value, p), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)),
+    summary = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high"))
+    out = with_percentiles(summary, rows, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *by)
+    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")})
+
+
+def level_summary(rows: DataFrame, value: Column, failed: Column, seconds: Column, *by: str) -> DataFrame:
+    """By concurrency level: requests that succeeded and failed, the succeeded ones' latencies, and how many of them a second."""
+    good = rows.withColumn("_good", ~failed)
+    latency = F.when(F.col("_good"), value)
+    summary = good.groupBy(*by).agg(
+        F.count(F.when(F.col("_good"), 1)).alias("success"), F.count(F.when(~F.col("_good"), 1)).alias("failed"), F.round(F.avg(latency), 6).alias("mean"), F.round(F.median(latency), 6).alias("median"),
+        F.round(F.min(latency), 6).alias("low"), F.round(F.max(latency), 6).alias("high"), F.round(F.count(F.when(F.col("_good"), 1)) / seconds, 6).alias("per_second"),
     )
+    out = with_percentiles(summary, good.withColumn("_latency", latency), F.col("_latency"), {"p95": 0.95, "p99": 0.99}, *by)
+    return out.withColumns({c: F.round(c, 6) for c in ("p95", "p99")})
 
 
 def quality_gate(value: float, threshold: float) -> bool:

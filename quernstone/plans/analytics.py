@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rank import floor_percentile, min_max
+from ..functions.rank import min_max, placed
 from ..functions.text import analyse
 from ..operators import changes, evaluation, generations
 from .registry import query
 
 
+def _micros():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 @query("j1_two_way", "SELECT l_orderkey, l_linenumber, o_orderpriority, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 42")
 def j1_two_way(t):
     return t.lineitem.join(t.orders.where("o_custkey = 42"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderpriority", "l_quantity")
@@ -121,7 +125,7 @@ def a5_latency_summary(t):
 
 @query("a6_floor_percentile", "SELECT user_id, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM events GROUP BY user_id")
 def a6_floor_percentile(t):
-    return t.events.groupBy("user_id").agg(floor_percentile(F.col("value"), 0.95).alias("p95"))
+    return evaluation.floor_percentiles(t.events, F.col("value"), {"p95": 0.95}, "user_id")
 
 
 @query("a7_histogram", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -184,7 +188,7 @@ def a15_payload_distinct(t):
 
 @query("w1_rank", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events")
 def w1_rank(t):
-    return t.events.select("event_type", "event_id", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).cast("long").alias("rank"))
+    return placed(t.events, "event_type", -F.col("value"), "event_id").select("event_type", "event_id", F.col("place").alias("rank"))
 
 
 @query("w2_list_extremes", "SELECT event_id, user_id, value, min(value) OVER (PARTITION BY user_id) AS low, max(value) OVER (PARTITION BY user_id) AS high FROM events")
@@ -195,8 +199,7 @@ def w2_list_extremes(t):
 
 @query("w6_blocks", "SELECT event_type, block, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, value, (k // 50) + 1 AS block, k % 50 AS pos FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events)) WHERE pos >= 5 GROUP BY event_type, block")
 def w6_blocks(t):
-    k = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")).cast("long") - 1
-    rows = t.events.select("event_type", "value", k.alias("k")).where(F.col("k") % 50 >= 5)
+    rows = placed(t.events, "event_type", _micros(), "event_id").select("event_type", "value", (F.col("place") - 1).alias("k")).where(F.col("k") % 50 >= 5)
     return rows.groupBy("event_type", (F.floor(F.col("k") / 50) + 1).alias("block")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
@@ -213,11 +216,17 @@ def r3_minmax(t):
     return t.events.select("event_id", F.round(min_max(F.col("value"), "user_id"), 8).alias("norm"))
 
 
-@query("e5_latency_by_level", "SELECT CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 20 END AS workers, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed, round(avg(value) FILTER (event_type <> 'error'), 6) AS mean, round(count(*) FILTER (event_type <> 'error') / (sum(value) / 1000), 6) AS per_second FROM events GROUP BY 1")
+@query(
+    "e5_latency_by_level",
+    """SELECT CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 20 END AS workers, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed,
+    round(avg(value) FILTER (event_type <> 'error'), 6) AS mean, round(median(value) FILTER (event_type <> 'error'), 6) AS median, round(min(value) FILTER (event_type <> 'error'), 6) AS low, round(max(value) FILTER (event_type <> 'error'), 6) AS high,
+    round(count(*) FILTER (event_type <> 'error') / (sum(value) / 1000), 6) AS per_second,
+    round(list_sort(list(value) FILTER (event_type <> 'error'))[CAST(floor((count(*) FILTER (event_type <> 'error') - 1) * 0.95) AS BIGINT) + 1], 6) AS p95,
+    round(list_sort(list(value) FILTER (event_type <> 'error'))[CAST(floor((count(*) FILTER (event_type <> 'error') - 1) * 0.99) AS BIGINT) + 1], 6) AS p99 FROM events GROUP BY 1""",
+)
 def e5_latency_by_level(t):
-    good = F.col("event_type") != "error"
-    level = F.expr("CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 20 END").alias("workers")
-    return t.events.groupBy(level).agg(F.count(F.when(good, 1)).alias("success"), F.count(F.when(~good, 1)).alias("failed"), F.round(F.avg(F.when(good, F.col("value"))), 6).alias("mean"), F.round(F.count(F.when(good, 1)) / (F.sum("value") / 1000), 6).alias("per_second"))
+    rows = t.events.withColumn("workers", F.expr("CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 20 END"))
+    return evaluation.level_summary(rows, F.col("value"), F.col("event_type") == "error", F.sum("value") / 1000, "workers")
 
 
 @query("e8_burst_accounting", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, count(DISTINCT (user_id % 10)) AS engine_calls, count(*) - count(DISTINCT (user_id % 10)) AS followers FROM events GROUP BY 1")
@@ -228,7 +237,9 @@ def e8_burst_accounting(t):
 
 @query("e9_stage_profile", "SELECT user_id % 4 AS workers, event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM events GROUP BY 1, 2")
 def e9_stage_profile(t):
-    return t.events.groupBy((F.col("user_id") % 4).alias("workers"), F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), floor_percentile(F.col("value"), 0.95).alias("p95"))
+    rows = t.events.select((F.col("user_id") % 4).alias("workers"), F.col("event_type").alias("stage"), "value")
+    summary = rows.groupBy("workers", "stage").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return evaluation.with_percentiles(summary, rows, F.col("value"), {"p95": 0.95}, "workers", "stage")
 
 
 @query("e11_vector_deviation", "SELECT a.vec_id, round(list_max(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS deviation FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -257,14 +268,27 @@ def c3_apply_sync(t):
     return changes.apply_sync(docs, 2, feed, fresh).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("e6_trace_blocks")
+_LATER = "2 + event_id % 7"
+
+
+@query(
+    "e6_trace_blocks",
+    f"""WITH f AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'reused' ELSE 'fresh' END AS connection, event_id, {_LATER} AS ms, row_number() OVER (PARTITION BY event_id % 3 = 0 ORDER BY ts, '10.1.0.9.' || (event_id + 20000)) - 1 AS k FROM events)
+    SELECT connection, CAST(k // 100 + 1 AS INTEGER) AS block, count(*) AS flows, 1.0::DOUBLE AS ack_ms, round(avg(ms)::DOUBLE, 3) AS response_ms, CASE WHEN connection = 'reused' THEN 50.0::DOUBLE END AS since_previous_ms FROM f WHERE k % 100 >= 5 GROUP BY ALL""",
+)
 def e6_trace_blocks(t):
-    """A synthetic trace from the events: three packets a flow."""
+    """A capture written from the events: every third connection asks twice, and the answer comes after 2 to 8 ms."""
     from ..sources import traces
 
-    line = lambda shift, left, right, flags, n: F.concat(F.format_string("%.6f", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + shift), F.lit(f" IP 127.0.0.1.{left} > 127.0.0.1.{right}: Flags [{flags}], seq 1, length {n}"))
-    rows = t.events.select(F.explode(F.array(*(F.regexp_replace(line(s, a, b, f, n), "PORT", (F.col("event_id") + 20000).cast("string")) for s, a, b, f, n in ((0.0, "PORT", 9200, "P.", 108), (0.001, 9200, "PORT", ".", 0), (0.002, 9200, "PORT", "P.", 177))))).alias("line"))
-    return traces.block_means(traces.requests(traces.parse(rows)), 95, 5)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    client = F.concat(F.lit("10.1.0.9."), F.col("event_id") + 20000)
+    line = lambda us, here, there, flags, n: F.concat(F.format_string("%.6f", (at + us) / 1e6), F.lit(" IP "), here, F.lit(" > "), there, F.lit(f": Flags [{flags}], seq 1, length {n}"))
+    server, again = F.lit("10.1.0.2.9200"), F.col("event_id") % 3 == 0
+    packets = [line(0, client, server, "P.", 108), line(1000, server, client, ".", 0), line(F.expr(f"1000 * ({_LATER})"), server, client, "P.", 177)]
+    first = [line(-70_000, client, server, "P.", 300), line(-50_000, server, client, "P.", 9000)]
+    lines = t.events.select(F.explode(F.concat(F.array(*packets), F.when(again, F.array(*first)).otherwise(F.array().cast("array<string>")))).alias("line"))
+    flows = traces.checked(traces.measured(traces.packets(lines)), traces.Workload(9200, 108, 177, 5000))
+    return traces.block_means(flows, 95, 5)
 
 
 @query("e7_mixed_cache", "SELECT props, count(*) AS requests, count(*) - count(DISTINCT user_id) AS hits, round(100.0 * (count(*) - count(DISTINCT user_id)) / count(*), 6) AS hit_percent FROM events GROUP BY props")
@@ -276,6 +300,7 @@ def e7_mixed_cache(t):
 
 @query("e10_control_blocks", "SELECT user_id % 2 AS variant, block, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95, count(DISTINCT event_type) = 5 AS valid FROM (SELECT *, ((k - 1) // 100) + 1 AS block, (k - 1) % 100 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) AS k FROM events)) WHERE pos >= 10 GROUP BY 1, 2")
 def e10_control_blocks(t):
-    k = F.row_number().over(W.partitionBy(F.col("user_id") % 2).orderBy("ts", "event_id")).cast("long") - 1
-    rows = t.events.withColumn("k", k).where("k % 100 >= 10")
-    return rows.groupBy((F.col("user_id") % 2).alias("variant"), (F.floor(F.col("k") / 100) + 1).alias("block")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), floor_percentile(F.col("value"), 0.95).alias("p95"), (F.countDistinct("event_type") == 5).alias("valid"))
+    k = placed(t.events.withColumn("variant", F.col("user_id") % 2), "variant", _micros(), "event_id")
+    rows = k.where("(place - 1) % 100 >= 10").withColumn("block", F.floor((F.col("place") - 1) / 100) + 1)
+    summary = rows.groupBy("variant", "block").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), (F.countDistinct("event_type") == 5).alias("valid"))
+    return evaluation.with_percentiles(summary, rows, F.col("value"), {"p95": 0.95}, "variant", "block")

@@ -20,12 +20,17 @@ def read_source(data: bytes) -> str:
     return io.TextIOWrapper(io.BytesIO(data), encoding, errors="strict", newline=None).read()
 
 
+#: Where the parser ends a line; a form feed and the separators of Unicode do not.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
+
+
 def _slice(lines: list[str], node: ast.AST) -> str:
+    """The node's own text; ``lines`` keep their ends."""
     first, last = node.lineno - 1, node.end_lineno - 1
     part = lines[first : last + 1]
     part[-1] = part[-1].encode()[: node.end_col_offset].decode()
     part[0] = part[0].encode()[node.col_offset :].decode()
-    return "\n".join(part)
+    return "".join(part)
 
 
 def _by_indent(text: str) -> list[tuple]:
@@ -58,7 +63,7 @@ def parse_symbols(text: str) -> list[tuple]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return _by_indent(text)
-    lines, out = text.split("\n"), []
+    lines, out = _LINE.findall(text), []
     stack: list[tuple[ast.AST, str | None, bool]] = [(tree, None, False)]
     while stack:
         node, owner, in_function = stack.pop()

@@ -25,13 +25,20 @@ def test_min_max(spark):
 
 
 def test_fusion_order_and_scores(spark):
+    """Against the formula, in plain Python."""
+    lexical = {"p": 7.0, "q": 4.0, "r": 3.5, "s": 1.0}
+    vectors = {"r": 0.81, "t": 0.77, "p": 0.52, "u": 0.49}
     cols = "query_id int, id string, score double, rank int"
-    b = fusion.normalised(spark.createDataFrame([(1, "a", 10.0, 1), (1, "b", 2.0, 2)], cols))
-    s = fusion.normalised(spark.createDataFrame([(1, "b", 0.9, 1), (1, "c", 0.5, 2)], cols))
-    rows = fusion.fuse(b, s, ["id"], 0.6).orderBy("rank").collect()
-    assert [(r["id"], r["score"]) for r in rows] == [("b", 0.6), ("a", 0.4), ("c", 0.0)]
-    assert fusion.depth(10) == 40 and fusion.depth(2) == 20 and fusion.rerank_depth(5) == 30
-    for bad in (-0.1, 1.1, True, "x"):
+    side = lambda d: fusion.normalised(spark.createDataFrame([(1, k, v, n + 1) for n, (k, v) in enumerate(d.items())], cols))
+    scaled = lambda d: {k: (v - min(d.values())) / (max(d.values()) - min(d.values())) for k, v in d.items()}
+    for weight in (0.0, 0.35, 0.6, 1.0):
+        a, b = scaled(lexical), scaled(vectors)
+        order = [*lexical, *(k for k in vectors if k not in lexical)]
+        want = {k: round(weight * b.get(k, 0) + (1 - weight) * a.get(k, 0), 8) for k in order}
+        rows = fusion.fuse(side(lexical), side(vectors), ["id"], weight).orderBy("rank").collect()
+        assert [(r["id"], r["score"]) for r in rows] == sorted(want.items(), key=lambda x: (-x[1], order.index(x[0])))
+    assert [fusion.depth(k) for k in (1, 5, 6, 25)] == [20, 20, 24, 100] and [fusion.rerank_depth(k) for k in (1, 10, 12)] == [30, 30, 36]
+    for bad in (-1e-9, 1.0001, False, "0.5", None):
         with pytest.raises(ValueError):
             fusion.check_weight(bad)
 
@@ -73,6 +80,41 @@ def test_percentile_is_an_element(spark):
     assert df.agg(floor_percentile(F.col("v"), 0.95)).first()[0] == 9.0
 
 
+def test_percentiles_of_groups_with_and_without_values(spark):
+    rows = [("a", float(v)) for v in range(1, 11)] * 3 + [("a", None), ("b", None), (None, 4.0), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {"a": (5.0, 10.0), "b": (None, None), None: (4.0, 4.0), "c": (7.0, 7.0)}
+    got = {r["g"]: (r["p50"], r["p99"]) for r in evaluation.latency_summary(df, F.col("v"), "g").collect()}
+    assert got == want
+    assert {r["g"]: r["p"] for r in df.groupBy("g").agg(floor_percentile(F.col("v"), 0.5).alias("p")).collect()} == {k: v[0] for k, v in want.items()}
+    assert evaluation.latency_summary(df, F.col("v")).first()["p50"] == 5.0
+
+
+def test_places_in_groups_cut_into_buckets(spark):
+    from quernstone.functions.rank import placed
+
+    rows = [(("x", "y", None)[k % 3], None if k % 11 == 0 else float((k * 7) % 13), k) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double, k int").repartition(5)
+    want, count = {}, {}
+    for g, _, k in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2])):
+        count[g] = want[k] = count.get(g, 0) + 1
+    for buckets in (1, 4, 64):
+        assert {r["k"]: r["place"] for r in placed(df, "g", F.col("v"), "k", buckets=buckets).collect()} == want
+    assert {r["place"] for r in placed(df.where("v = 3"), "g", F.col("v"), "k").where("g = 'x'").collect()} == set(range(1, 1 + df.where("v = 3 AND g = 'x'").count()))
+
+
+def test_evaluated_results_are_checked(spark):
+    cols = "query_id int, repository string, qualified_name string, rank long"
+    good = [(1, "r", "q", 1), (1, "r", "z", 2), (2, "r", "z", 1)]
+    cases = spark.createDataFrame([(1, "r", "z"), (2, "r", "none")], "query_id int, repository string, qualified_name string")
+    keys = ["repository", "qualified_name"]
+    rows = {r["method"]: (r["recall_1"], r["recall_3"], r["mrr"]) for r in evaluation.by_method({"a": spark.createDataFrame(good, cols), "b": spark.createDataFrame(good[:1], cols)}, cases, keys).collect()}
+    assert rows == {"a": (0.0, 0.5, 0.25), "b": (0.0, 0.0, 0.0)}
+    for bad in ((3, "r", "q", 11), (3, " ", "q", 1), (3, "r", None, 1)):
+        with pytest.raises(Exception, match="rows|identity"):
+            evaluation.checked_results(spark.createDataFrame([*good, bad], cols), keys).collect()
+
+
 PATHS = {"test/a.py": True, "src\\Tests\\x.py": True, "a/test_x.py": True, "a/x_test.py": True, "latest/x.py": False, "contest.py": False}
 
 

@@ -15,26 +15,53 @@ from quernstone.schema import positive_id
 from quernstone.sources import repository, symbols, traces
 from quernstone.streaming.sync import change_stream, run_sync
 
-SOURCE = """class Outer:
-    def first(self):
-        def local():
-            pass
-    class Inner:
-        async def run(self):
+SOURCE = """import io
+
+
+class Shelf:
+    size = 3
+
+    def put(self, book):
+        key = lambda b: b.title
+
+        def sort_key(b):
+            return key(b)
+
+        return sorted([book], key=sort_key)
+
+    class Label:
+        def text(self):
+            return "x"
+
+    async def take(self):
+        return None
+
+
+async def lend(shelf):
+    class Slip:
+        def sign(self):
             pass
-    def second(self):
-        pass
-def outside():
-    pass
+    return Slip
 """
 
 
 def test_symbols_in_preorder():
     found = [(q, k, a, b) for _, q, k, a, b, _ in symbols.parse_symbols(SOURCE)]
-    assert found == [("Outer", "class", 1, 9), ("Outer.first", "method", 2, 4), ("local", "function", 3, 4), ("Inner", "class", 5, 7), ("Inner.run", "method", 6, 7), ("Outer.second", "method", 8, 9), ("outside", "function", 10, 11)]
-    deep = "value = " + "+".join(["1"] * 1500) + "\ndef after():\n    pass\n"
-    assert [(s[1], s[3], s[4], s[5]) for s in symbols.parse_symbols(deep)] == [("after", 2, 3, "def after():\n    pass")]
-    assert [s[1] for s in symbols.parse_symbols("class A:\n    def run(self):\n        x = (\n")] == ["A", "A.run"]
+    assert found == [
+        ("Shelf", "class", 4, 20), ("Shelf.put", "method", 7, 13), ("sort_key", "function", 10, 11), ("Label", "class", 15, 17), ("Label.text", "method", 16, 17),
+        ("Shelf.take", "method", 19, 20), ("lend", "function", 23, 27), ("Slip", "class", 24, 26), ("Slip.sign", "method", 25, 26),
+    ]
+    deep = "total = (" + " * ".join(f"x{k}" for k in range(4000)) + ")\nasync def wait():\n    return total\n"
+    assert [(s[1], s[3], s[4], s[5]) for s in symbols.parse_symbols(deep)] == [("wait", 2, 3, "async def wait():\n    return total")]
+    assert [s[1] for s in symbols.parse_symbols("class Box:\n    def open(self):\n        return [1,\n\ndef shut(:\n    pass\n")] == ["Box", "Box.open", "shut"]
+
+
+def test_line_ends_of_all_kinds():
+    """A lone carriage return ends a line for the parser, and so it does for the code that is cut out."""
+    for end in ("\n", "\r\n", "\r"):
+        text = end.join(["x = 1", "def f():", "    return 'é'", "", "class C:", "    def g(self): return 2", ""])
+        assert [(s[1], s[3], s[4], s[5].replace(end, "|")) for s in symbols.parse_symbols(text)] == [("f", 2, 3, "def f():|    return 'é'"), ("C", 5, 6, "class C:|    def g(self): return 2"), ("C.g", 6, 6, "def g(self): return 2")]
+    assert [s[5] for s in symbols.parse_symbols("s = 'a\x0cb'\x0c\ndef f():\n    pass\n")] == ["def f():\n    pass"]
 
 
 def test_sources_are_decoded_strictly():
@@ -48,19 +75,22 @@ def test_sources_are_decoded_strictly():
 def test_symbols_as_a_table(spark):
     df = spark.createDataFrame([(1, SOURCE), (2, None), (3, "x = 1")], "file_id int, text string")
     rows = symbols.symbols_of(df).collect()
-    assert len(rows) == 7 and {r["file_id"] for r in rows} == {1} and rows[0]["code"].startswith("class Outer:")
+    assert len(rows) == 9 and {r["file_id"] for r in rows} == {1} and rows[0]["code"].startswith("class Shelf:")
     data = spark.createDataFrame([("a", bytearray(b"x = 1")), ("b", bytearray(b"def (")), ("c", bytearray(b"'\xff'")), ("d", None)], "path string, content binary")
     assert {r["path"]: r["issue"] for r in symbols.audit(data).collect()} == {"a": "clean", "b": "grammar_recovery", "c": "source_read_error", "d": "unavailable_or_excluded"}
 
 
 def test_diff_records():
-    text = "M\0tab\t\n.py\0R100\0old name.py\0 new\nname.py \0C100\0source.py\0copy.py\0"
-    assert changes.parse_diff(text) == [(0, "M", None, "tab\t\n.py"), (1, "R", "old name.py", " new\nname.py "), (2, "A", None, "copy.py")]
-    assert changes.parse_diff("M\ta.py\n\nR100\tb.py\tc.py\nD\td.py\n", nul=False) == [(0, "M", None, "a.py"), (1, "R", "b.py", "c.py"), (2, "D", None, "d.py")]
-    assert changes.parse_diff("") == []
-    for bad in ("M\0path", "R100\0old\0", "M\0\0", "U\0path\0", "M\tpath\n"):
+    listing = "".join(f"{x}\0" for x in ("T", "docs/a b.md", "R087", "lib/é.py", "lib/e\t2.py", "D", "line\nend.go", "C055", "x.rs", "y.rs", "A", " z.py"))
+    assert changes.parse_diff(listing) == [(0, "T", None, "docs/a b.md"), (1, "R", "lib/é.py", "lib/e\t2.py"), (2, "D", None, "line\nend.go"), (3, "A", None, "y.rs"), (4, "A", None, " z.py")]
+    assert changes.parse_diff("A\tone.py\n  \nC090\tone.py\ttwo.py\nR100\told.go\tnew.go\nT\tlink\n", nul=False) == [(0, "A", None, "one.py"), (1, "A", None, "two.py"), (2, "R", "old.go", "new.go"), (3, "T", None, "link")]
+    assert changes.parse_diff("") == [] == changes.parse_diff("\n", nul=False)
+    for bad in ("A\0x.py", "C100\0from.py\0", "D\0\0", "X\0x.py\0", "R\0a\0b\0", "R1x\0a\0b\0", "A\tx.py\0"):
         with pytest.raises(ValueError):
             changes.parse_diff(bad)
+    for bad in ("A\tx.py\ty.py", "R100\tx.py", "M x.py", "A\t"):
+        with pytest.raises(ValueError):
+            changes.parse_diff(bad, nul=False)
 
 
 def test_classification(spark):
@@ -220,13 +250,44 @@ def test_change_stream(spark, tmp_path):
     assert seen == {0: 2, 1: 1}
 
 
-def test_trace_blocks(spark):
+def capture(flows, address="10.0.0.5", between="IP", noise=True):
+    """Lines of (port, time, requests) flows: each request is acknowledged after 1 ms and answered after the given ones."""
     lines = []
-    for k in range(6):
-        port, at = 50000 + k, 100.0 + k
-        lines += [f"{at:.6f} IP 127.0.0.1.{port} > 127.0.0.1.9200: Flags [P.], seq 1, length 108", f"{at + 0.001:.6f} IP 127.0.0.1.9200 > 127.0.0.1.{port}: Flags [.], ack 1, length 0", f"{at + 0.002 + k / 1000:.6f} IP 127.0.0.1.9200 > 127.0.0.1.{port}: Flags [P.], seq 1, length 177", "noise"]
-    rows = traces.block_means(traces.requests(traces.parse(spark.createDataFrame([(x,) for x in lines], "line string"))), 2, 1).orderBy("block").collect()
-    assert [(r["block"], r["flows"], r["ack_ms"], r["response_ms"]) for r in rows] == [(1, 2, 1.0, 3.5), (2, 2, 1.0, 6.5)]
+    for port, at, asked in flows:
+        for sent, size, after, answer in asked:
+            t = at + sent
+            lines += [(t, f"{t:.6f} {between} {address}.{port} > 10.0.0.9.9200: Flags [P.], seq 1, length {size}"), (t + 0.001, f"{t + 0.001:.6f} {between} 10.0.0.9.9200 > {address}.{port}: Flags [.], ack 1, length 0")]
+            lines.append((t + after, f"{t + after:.6f} {between} 10.0.0.9.9200 > {address}.{port}: Flags [P.], seq 1, length {answer}"))
+    text = [x for _, x in sorted(lines)]
+    return [(x,) for x in (["tcpdump: listening", *text, "1.0 ARP, Request who-has 10.0.0.9", "x IP a > b: Flags [P], length 3"] if noise else text)]
+
+
+def test_trace_blocks(spark):
+    from quernstone.sources.traces import Workload
+
+    once = [(40_000 + k, 10.0 + k, [(0, 64, 0.002 + k / 1000, 512)]) for k in range(6)]
+    twice = [(50_000 + k, 30.0 + k, [(0, 300, 0.010, 9_000), (0.020 + k / 1000, 64, 0.004, 512)]) for k in range(6)]
+    flows = traces.measured(traces.packets(spark.createDataFrame(capture(once + twice), "line string")))
+    work = Workload(9200, 64, 512, 5_000)
+    rows = traces.block_means(traces.checked(flows, work), 2, 1, 2).orderBy("connection", "block").collect()
+    assert [tuple(r) for r in rows] == [("fresh", 1, 2, 1.0, 3.5, None), ("fresh", 2, 2, 1.0, 6.5, None), ("reused", 1, 2, 1.0, 4.0, 11.5), ("reused", 2, 2, 1.0, 4.0, 14.5)]
+    short = traces.measured(traces.packets(spark.createDataFrame(capture(once[:5] + twice), "line string")))
+    for bad in (traces.block_means(short, 2, 1, 2), traces.checked(flows, Workload(9200, 64, 513)), traces.checked(flows, Workload(9200, 64, 512, 9_001))):
+        with pytest.raises(Exception, match="blocks in full|not complete|missing"):
+            bad.collect()
+    with pytest.raises(ValueError):
+        traces.in_blocks(flows, 0, 1)
+
+
+def test_traces_of_two_sides_are_paired(spark):
+    flows = [(40_000 + k, 10.0 + k, [(0, 64, 0.002, 512)]) for k in range(4)]
+    inside = [(60_000 + k, 900.0 + k, [(0, 64, 0.0005, 512)]) for k in range(4)]
+    side = lambda f, **how: traces.measured(traces.packets(spark.createDataFrame(capture(f, **how), "line string")))
+    rows = traces.compared(side(flows), side(inside, address="172.18.0.3", between="eth0  In  IP"), 2, 0, 2).orderBy("block").collect()
+    assert [(r["block"], r["flows"], r["host_response_ms"], r["inner_response_ms"]) for r in rows] == [(1, 2, 2.0, 0.5), (2, 2, 2.0, 0.5)]
+    for other in (inside[:3], [*inside[:3], (60_003, 903.0, [(0, 64, 0.0005, 513)])]):
+        with pytest.raises(Exception, match="differ|blocks"):
+            traces.compared(side(flows), side(other), 2, 0).collect()
 
 
 def test_entry_imports_without_the_subpackage(tmp_path):
