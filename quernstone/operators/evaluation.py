@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,3 +100,33 @@ def level_summary(rows: DataFrame, value: Column, failed: Column, seconds: Colum
 def quality_gate(value: float, threshold: float) -> bool:
     """Passes at the threshold itself, unrounded."""
     return value >= threshold
+
+
+def recall_gate(ranks: DataFrame, threshold: float, k: int = 10) -> bool:
+    """Whether the unrounded recall at k reaches a threshold of 0 to 1."""
+    if isinstance(threshold, bool) or not isinstance(threshold, (int, float)) or not 0 <= threshold <= 1:
+        raise ValueError("a recall threshold lies between 0 and 1")
+    value = ranks.agg(recall_at(F.col("rank"), k)).first()[0]
+    if value is None:
+        raise ValueError("there are no cases")
+    return quality_gate(value, threshold)
+
+
+class GateFailed(RuntimeError):
+    """A check of a release has failed, or the corpus has changed under it."""
+
+
+def release_gate(checks: list[tuple[str, Callable[[], object]]], identity: Callable[[], object] | None = None) -> dict:
+    """Run checks in order, up to the first that fails (raises, or returns False); the corpus must be the same before and after."""
+    before, done = identity() if identity else None, []
+    for name, check in checks:
+        try:
+            passed = check()
+        except Exception as e:
+            raise GateFailed(f"check failed: {name}") from e
+        if passed is False:
+            raise GateFailed(f"check failed: {name}")
+        done.append(name)
+    if identity and identity() != before:
+        raise GateFailed("the published generation changed during the checks")
+    return {"status": "passed", "checks": done, "identity": before}

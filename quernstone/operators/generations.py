@@ -2,59 +2,49 @@
 
 A generation is a directory of Parquet tables. It is written whole, read back and
 counted, and only then becomes current by replacing the pointer file, so readers
-see one generation or the other.
+see one generation or the other. A journal says what publication is under way and whose: one that was
+stopped while it was built is abandoned, one that was ready or published is resumed, by its owner, before anything else is published.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import time
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_generation_name
+from .folder import Folder
 
-#: The reasons that protect a generation, in the order they are listed in.
+#: The reasons that protect a generation, in the order they are listed in; the eighth is followed by the state.
 REASONS = (
     "legacy index", "active index", "referenced by an alias", "publication journal reference", "outside managed generation naming", "index absent", "untracked lifecycle", "lifecycle state",
-    "unverified recorded identity", "index identity changed", "inactive timestamp unknown", "inactive grace period", "unverified live identity", "newest retained",
+    "unverified recorded identity", "index identity changed", "inactive timestamp unknown", "inactive grace period", "unverified live identity", "retained published generation",
 )
+JOURNAL, POINTER, LIFECYCLE, IDENTITY = "publication.json", "current.json", "lifecycle.json", "identity.json"
+
+
+class PublicationPending(RuntimeError):
+    """A publication that was stopped is to be resumed first."""
 
 
 class GenerationStore:
-    """Generations under a local root, with a journal of the publication under way."""
+    """Generations under a root, with a journal of the publication under way. The root is a local folder, or one of any file system by its URI."""
 
     def __init__(self, spark: SparkSession, root: str, legacy: str = "symbols"):
-        self.spark, self.root, self.legacy = spark, Path(root), legacy
-        self.root.mkdir(parents=True, exist_ok=True)
-
-    def _write(self, name: str, value: dict | None) -> None:
-        path = self.root / name
-        if value is None:
-            path.unlink(missing_ok=True)
-            return
-        part = path.with_name(f"{name}.{uuid.uuid4().hex}")
-        with part.open("w") as f:
-            json.dump(value, f, allow_nan=False)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(part, path)
-
-    def _read(self, name: str) -> dict | None:
-        path = self.root / name
-        return json.loads(path.read_text()) if path.exists() else None
+        self.spark, self.folder, self.legacy = spark, Folder(spark, root), legacy
+
+    def pending(self) -> dict | None:
+        return self.folder.read(JOURNAL)
 
     def current(self) -> str | None:
         """Name of the published generation; it must exist."""
-        pointer = self._read("current.json")
+        pointer = self.folder.read(POINTER)
         if pointer is None:
             return None
-        if not (self.root / pointer["name"]).is_dir():
+        if not self.folder.exists(pointer["name"]):
             raise FileNotFoundError(f"the published generation {pointer['name']} is missing")
         return pointer["name"]
 
@@ -62,10 +52,21 @@ class GenerationStore:
         name = name or self.current()
         if name is None:
             raise FileNotFoundError("no generation has been published")
-        return self.spark.read.parquet(str(self.root / name / table))
+        return self.spark.read.parquet(self.folder.at(name, table))
 
     def lifecycle(self) -> dict[str, dict]:
-        return self._read("lifecycle.json") or {}
+        return self.folder.read(LIFECYCLE) or {}
+
+    def identity(self, name: str) -> str | None:
+        """The identity that a generation's own folder has; null if it has none."""
+        found = self.folder.read(f"{name}/{IDENTITY}")
+        return found["uuid"] if found else None
+
+    def verify(self, name: str) -> None:
+        """A tracked generation must have the identity that the lifecycle has recorded."""
+        row = self.lifecycle().get(name)
+        if row and self.identity(name) != row["uuid"]:
+            raise RuntimeError(f"{name} is not the generation that was recorded")
 
     def _mark(self, name: str, state: str, **more) -> None:
         all_rows = self.lifecycle()
@@ -73,41 +74,75 @@ class GenerationStore:
         row |= {"state": state} | more
         if state in ("retired", "abandoned"):
             row.setdefault("inactive_at", time.time())
-        self._write("lifecycle.json", all_rows)
-
-    def publish(self, tables: dict[str, DataFrame], counts: dict[str, int] | None = None, after: Callable[[], None] | None = None, fail_at: str | None = None) -> str:
-        """Write, verify and publish a generation; resumes one that is ready. ``after`` (cache rotation) runs before the journal is dropped."""
-        job = self._read("publication.json")
-        if not job or job["phase"] == "building":
-            if job:
-                self._mark(job["name"], "abandoned")
-            job = {"name": f"{self.legacy}_generation_{uuid.uuid4().hex}", "source": self.current(), "phase": "building"}
-            self._write("publication.json", job)
-            self._mark(job["name"], "building")
-            for table, df in tables.items():
-                df.write.parquet(str(self.root / job["name"] / table))
-                n = self.spark.read.parquet(str(self.root / job["name"] / table)).count()
-                want = (counts or {}).get(table, n)
-                if n != want:
-                    raise RuntimeError(f"{table} has {n} rows, expected {want}")
-            self._fail(fail_at, "built")
-            job["phase"] = "ready"
-            self._write("publication.json", job)
-        if job["phase"] == "ready":
-            if self.current() not in (job["source"], job["name"]):
+        self.folder.write(LIFECYCLE, all_rows)
+
+    def resume(self, after: Callable[[], None] | None = None, repository_id: int | None = None, fail_at: str | None = None) -> str | None:
+        """Finish a stopped publication, or abandon one that was still being built; the name that has become current, if any.
+
+        One that names a repository is its to resume; others get a PublicationPending.
+        """
+        job = self.pending()
+        if job is None:
+            return None
+        if job["repository_id"] not in (None, repository_id):
+            raise PublicationPending(f"the publication of repository {job['repository_id']} is to be resumed first")
+        if job["phase"] == "building":
+            self._mark(job["name"], "abandoned")
+            self.folder.delete(JOURNAL)
+            return None
+        return self._finish(job, after, fail_at)
+
+    def publish(self, tables: dict[str, DataFrame], counts: dict[str, int] | None = None, after: Callable[[], None] | None = None, fail_at: str | None = None, repository_id: int | None = None) -> str:
+        """Write, verify and publish a generation. ``after`` (cache rotation) runs before the journal is dropped.
+
+        A publication that is ready or published already is not this one, and tables may have been derived from what it replaces: resume it first.
+        """
+        job = self.pending()
+        if job and job["phase"] != "building":
+            raise PublicationPending("a prepared publication is to be resumed first")
+        if job:
+            self.resume(after, repository_id)
+        job = {"name": f"{self.legacy}_generation_{uuid.uuid4().hex}", "source": self.current(), "phase": "building", "repository_id": repository_id, "counts": {}}
+        self.folder.write(JOURNAL, job)
+        self._mark(job["name"], "building", repository_id=repository_id)
+        for table, df in tables.items():
+            df.write.parquet(self.folder.at(job["name"], table))
+            n = self.read(table, job["name"]).count()
+            want = (counts or {}).get(table, n)
+            if n != want:
+                raise RuntimeError(f"{table} has {n} rows, expected {want}")
+            job["counts"][table] = n
+        self.folder.write(f"{job['name']}/{IDENTITY}", {"uuid": self.lifecycle()[job["name"]]["uuid"]})
+        self._fail(fail_at, "built")
+        job["phase"] = "ready"
+        self.folder.write(JOURNAL, job)
+        return self._finish(job, after, fail_at)
+
+    def _finish(self, job: dict, after: Callable[[], None] | None, fail_at: str | None) -> str:
+        name, source = job["name"], job["source"]
+        now = self.current()
+        if now != name:
+            if now != source or job["phase"] == "published":
                 raise RuntimeError("another generation was published meanwhile")
+            for known in (source, name):
+                if known:
+                    self.verify(known)
+            for table, n in job["counts"].items():
+                if self.read(table, name).count() != n:
+                    raise RuntimeError(f"the prepared {table} has changed")
             self._fail(fail_at, "ready")
-            self._write("current.json", {"name": job["name"]})
-            job["phase"] = "published"
-            self._write("publication.json", job)
+            self.folder.write(POINTER, {"name": name})
+            self._fail(fail_at, "switched")
+        job["phase"] = "published"
+        self.folder.write(JOURNAL, job)
         self._fail(fail_at, "published")
-        self._mark(job["name"], "published", published_at=time.time())
-        if job["source"] and job["source"] != job["name"]:
-            self._mark(job["source"], "retired")
+        self._mark(name, "published", published_at=time.time())
+        if source and source != name:
+            self._mark(source, "retired")
         if after:
             after()
-        self._write("publication.json", None)
-        return job["name"]
+        self.folder.delete(JOURNAL)
+        return name
 
     @staticmethod
     def _fail(at: str | None, here: str) -> None:
@@ -138,7 +173,8 @@ def protections(inventory: DataFrame, now: Column, legacy: str, min_age_hours: i
         F.col("tracked") & F.col("inactive_at").isNull(), F.col("tracked") & (age < min_age_hours * 3600),
         F.coalesce(F.col("live_uuid").isin("", "_na_"), F.lit(True)), F.col("_newest") <= keep,
     ]
-    reasons = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(r)) for t, r in zip(tests, REASONS, strict=True))))
+    texts = [F.concat_ws(" ", F.lit(r), "state") if r == "lifecycle state" else F.lit(r) for r in REASONS]
+    reasons = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), r) for t, r in zip(tests, texts, strict=True))))
     return rows.withColumn("reasons", reasons).drop("_newest").withColumn("eligible", F.size("reasons") == 0)
 
 

@@ -44,18 +44,25 @@ def field_stats(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_length"))
 
 
+def document_frequencies(post: DataFrame) -> DataFrame:
+    """(field, term, df) of postings, to be stored beside them."""
+    return post.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
 def query_terms(queries: DataFrame, pattern: str = WORDS) -> DataFrame:
     """(query_id, term, times)."""
     return queries.select("query_id", F.explode(analyse(F.col("query"), pattern)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def score_batch(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOSTS, few: bool | None = None) -> DataFrame:
-    """(query_id, id, score) of all documents with a term in some field. ``few``: whether the terms may be broadcast, if that is known."""
+def score_batch(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dict[str, float] = BOOSTS, few: bool | None = None, frequencies: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score) of all documents with a term in some field. ``few``: whether the terms may be broadcast, if that is known; ``frequencies``: the stored document frequencies."""
     few = are_few(terms) if few is None else few
     told = F.broadcast if few else (lambda x: x)
     hit = post.join(told(terms), "term")
-    df = post.join(told(terms.select("term").distinct()), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
-    rows = hit.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # stats: a row a field
+    asked = told(terms.select("term").distinct())
+    df = frequencies.join(asked, "term", "left_semi") if frequencies is not None else document_frequencies(post.join(asked, "term", "left_semi"))
+    # few terms have few frequencies, a row a field each, so that no common term's postings are shuffled to meet its frequency; stats: a row a field
+    rows = hit.join(told(df), ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     boost = F.create_map(*(F.lit(x) for pair in boosts.items() for x in pair))[F.col("field")]
@@ -63,7 +70,7 @@ def score_batch(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dic
     return fields.groupBy("query_id", "id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-def top(scores: DataFrame, limit: int | Column, extra: Column | None = None) -> DataFrame:
+def top(scores: DataFrame, limit: int | Column) -> DataFrame:
     """Best per query, ties to the smaller id, with their 1-based rank."""
     ranked = scores.withColumn("rank", rank_in("query_id", F.desc("score"), F.asc("id")))
     return ranked.where(F.col("rank") <= limit)

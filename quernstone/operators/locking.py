@@ -30,16 +30,24 @@ def _held(path: Path, exclusive: bool) -> Iterator[None]:
 
 
 @contextmanager
-def writer(root: str, repository_id: int, publication: bool = False) -> Iterator[None]:
-    """Hold the locks of a writer; a publication that was left pending blocks all but its owner."""
-    positive_id(repository_id)
+def writer(root: str, repository_id: int | None, publication: bool = False, pending: dict | None = None) -> Iterator[None]:
+    """Hold the locks of a writer, of a repository or (None, for publications) of the whole corpus; a publication that was left pending blocks all but its owner.
+
+    ``root``: a folder that all writers share, on a file system with locks. ``pending``: the store's journal; by default the one in the folder.
+    """
+    if repository_id is not None:
+        positive_id(repository_id)
+    elif not publication:
+        raise ValueError("a writer without a repository publishes")
     folder = Path(root) / "locks"
     with ExitStack() as stack:
         stack.enter_context(_held(folder / "corpus", publication))
-        stack.enter_context(_held(folder / f"repository-{repository_id}", True))
-        pending = Path(root) / "publication.json"
-        if pending.exists():
-            owner = json.loads(pending.read_text()).get("repository_id")
+        if repository_id is not None:
+            stack.enter_context(_held(folder / f"repository-{repository_id}", True))
+        journal = Path(root) / "publication.json"
+        pending = pending or (json.loads(journal.read_text()) if journal.exists() else None)
+        if pending:
+            owner = pending.get("repository_id")
             if not publication or owner not in (None, repository_id):
                 raise WriterBusy("a publication is to be resumed first")
         yield

@@ -76,8 +76,3 @@ def _by_matrix(rows: DataFrame, block: DataFrame, limit: int, filtered: bool) ->
 
     arrow = to_arrow_schema(schema)
     return rows.mapInArrow(run, schema)
-
-
-def candidates(k: int) -> int:
-    """Candidates an approximate server looks at for k neighbours; the exact search looks at all."""
-    return max(8 * k, 100)

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import embedding_text, is_test_path
 from ..functions.vector import is_valid
-from ..operators import changes, evaluation, fusion, lexical, semantic
+from ..operators import changes, evaluation, fusion, jobs, lexical, locking, semantic
 from ..operators.cache import FencedCache, SearchService, check_request
 from ..operators.generations import GenerationStore
-from ..operators.hits import checked
+from ..operators.hits import IncompleteSearchError, checked
+from ..operators.metadata import Metadata
 from ..sources.symbols import symbols_of
 
 KEYS = ["repository", "path", "start_line"]
+#: What an evaluation's case names.
+IDENTITY = ["repository", "qualified_name"]
+#: Up to so many hits of a batch (about 100 bytes each) are broadcast to the documents; beyond it they meet by a shuffle.
+BROADCAST_HITS = 200_000
 
 
 def hashing_embedder(dims: int) -> Callable[[Column], Column]:
@@ -23,10 +31,13 @@ def hashing_embedder(dims: int) -> Callable[[Column], Column]:
     from ..functions.text import analyse
 
     def embed(text: Column) -> Column:
-        slots = F.transform(analyse(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dims)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(norm > 0, F.transform(counts, lambda x: (x / norm).cast("float"))).otherwise(F.transform(counts, lambda x: F.lit(0.0).cast("float")))
+        slots = F.transform(analyse(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int"))
+        # sorted slots: the places at which each ends, and so how many there are of it
+        slots = F.array_sort(slots)
+        ends = F.filter(F.transform(slots, lambda s, k: F.when(F.coalesce(F.get(slots, k + 1) != s, F.lit(True)), F.struct(s.alias("s"), (k + 1).alias("k")))), lambda e: e.isNotNull())
+        counts = F.map_from_entries(F.transform(ends, lambda e, k: F.struct(e["s"], (e["k"] - F.coalesce(F.get(ends, k - 1)["k"], F.lit(0))).cast("double"))))
+        norm = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, x: acc + x * x))
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at(counts, k.cast("int")) / norm, F.lit(0.0)).cast("float"))
 
     return embed
 
@@ -34,19 +45,31 @@ def hashing_embedder(dims: int) -> Callable[[Column], Column]:
 class Engine:
     """Search over generations of symbol documents.
 
-    A generation holds documents (partitioned by repository), postings (sorted by term) and
-    field statistics, so that a query batch reads its terms' postings and no text but that
-    of its hits.
+    A generation holds documents (partitioned by repository), postings (sorted by term) with
+    document frequencies, and field statistics, so that a query batch reads its terms' postings and no text but that
+    of its hits. Whatever writes holds the corpus lock, resumes a publication that was stopped, and only then derives what it publishes.
+
+    ``coordination``: a folder that all writers share, on a file system with locks; by default the root, where that is local.
     """
 
-    def __init__(self, spark: SparkSession, root: str, dims: int = 384, embedder: Callable[[Column], Column] | None = None, weight: float = fusion.DEFAULT_WEIGHT):
+    def __init__(self, spark: SparkSession, root: str, dims: int = 384, embedder: Callable[[Column], Column] | None = None, weight: float = fusion.DEFAULT_WEIGHT, coordination: str | None = None):
         self.spark, self.dims, self.weight = spark, dims, fusion.check_weight(weight)
         self.store, self.cache = GenerationStore(spark, root), FencedCache()
+        if coordination is None and self.store.folder.local is None:
+            raise ValueError("give a folder for locks and journals beside a store that is not local")
+        self.coordination = coordination or str(self.store.folder.local)
+        self.metadata, self.journal = Metadata(spark, root), jobs.Journal(self.coordination)
         self.embed = embedder or hashing_embedder(dims)
         self.service = SearchService(self._retrieve, self.cache)
 
     # -- indexing
 
+    @contextmanager
+    def _writing(self, repository_id: int | None) -> Iterator[None]:
+        with locking.writer(self.coordination, repository_id, True, self.store.pending()):
+            self.store.resume(self.cache.rotate, repository_id)
+            yield
+
     def documents(self, symbols: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
         """Search documents from the metadata tables."""
         rows = symbols.alias("s").join(files.alias("f"), F.col("s.file_id") == F.col("f.id")).join(repositories.alias("r"), F.col("s.repository_id") == F.col("r.id"))
@@ -54,25 +77,93 @@ class Engine:
         text = embedding_text(F.col("qualified_name"), F.col("kind"), F.col("repository"), F.col("path"), F.col("language"), F.col("code"))
         return rows.withColumn("embedding", self.embed(text))
 
-    def index(self, docs: DataFrame, expected: int | None = None, fail_at: str | None = None) -> str:
-        """Publish a generation of these documents."""
+    def _publish(self, docs: DataFrame, expected: int | None, repository_id: int | None, fail_at: str | None = None) -> str:
         tokens = lexical.field_tokens(docs, list(lexical.BOOSTS))
-        post = lexical.postings(tokens).repartitionByRange("term").sortWithinPartitions("term", "field", "id")
-        tables = {"docs": docs, "postings": post, "stats": lexical.field_stats(tokens).coalesce(1)}
-        return self.store.publish(tables, {"docs": expected} if expected is not None else None, self.cache.rotate, fail_at)
+        # by term and document, so that a common term's postings are several files
+        post = lexical.postings(tokens).repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id")
+        tables = {"docs": docs, "postings": post, "frequencies": lexical.document_frequencies(lexical.postings(tokens)), "stats": lexical.field_stats(tokens).coalesce(1)}
+        return self.store.publish(tables, {"docs": expected} if expected is not None else None, self.cache.rotate, fail_at, repository_id)
+
+    def index(self, docs: DataFrame, expected: int | None = None, fail_at: str | None = None, repository_id: int | None = None) -> str:
+        """Publish a generation of these documents."""
+        with self._writing(repository_id):
+            return self._publish(docs, expected, repository_id, fail_at)
+
+    def _replace(self, repository_id: int, fresh: DataFrame, fail_at: str | None = None) -> str:
+        others = self.store.copy_except(repository_id) if self.store.current() else fresh.limit(0)
+        return self._publish(others.unionByName(fresh), others.count() + fresh.count(), repository_id, fail_at)
 
-    def reindex_repository(self, repository_id: int, fresh: DataFrame) -> str:
-        """Replace one repository's documents and copy the others."""
-        others = self.store.copy_except(repository_id)
-        return self.index(others.unionByName(fresh))
+    def reindex_repository(self, repository_id: int, fresh: DataFrame, fail_at: str | None = None) -> str:
+        """Replace one repository's documents and copy the others; both are counted beforehand."""
+        with self._writing(repository_id):
+            return self._replace(repository_id, fresh, fail_at)
 
-    def sync(self, repository_id: int, feed: DataFrame, fresh: DataFrame) -> str | None:
+    def sync(self, repository_id: int, feed: DataFrame, fresh: DataFrame, fail_at: str | None = None) -> str | None:
         """Apply a change set as a new generation; an empty one changes nothing."""
         if feed.isEmpty():
             return None
         if not changes.repeated_paths(feed).isEmpty():
             raise ValueError("a change set names a path twice")
-        return self.index(changes.apply_sync(self.store.read(), repository_id, feed, fresh))
+        with self._writing(repository_id):
+            return self._publish(changes.apply_sync(self.store.read(), repository_id, feed, fresh), None, repository_id, fail_at)
+
+    def synchronise(self, repository_id: int, head: Callable[[], tuple[str, str]], affected: Callable[[str, str], list[str]], fresh: Callable[[list[str]], DataFrame], fail_at: str | None = None) -> dict:
+        """Bring a repository to its head under a journal: a sync that was begun and did not end is replayed first, with the paths it was begun with.
+
+        ``fresh`` gives the documents of paths as they are now. Replaying is harmless: the paths' documents are replaced.
+        """
+        with self._writing(repository_id):
+
+            def apply(job: dict) -> None:
+                paths = self.spark.createDataFrame([(p,) for p in job["affected_paths"]], "path string")
+                docs = changes.delete_paths(self.store.read(), repository_id, paths)
+                self._publish(changes.upsert(docs, fresh(job["affected_paths"])), None, repository_id, fail_at)
+
+            return jobs.run_sync(self.journal, repository_id, head, affected, apply)
+
+    def replace_symbols(self, repository_id: int, texts: DataFrame) -> dict:
+        """Parse a repository's Python sources (file_id, text; null where there is no regular file) in place of all symbols it has.
+
+        The job stays pending until ``publish_repository`` has published them; meanwhile a repeated call returns its report.
+        """
+        with self._writing(repository_id):
+            if self.journal.pending("sync", repository_id):
+                raise RuntimeError("the repository's pending synchronization is to be finished first")
+            if job := self.journal.pending("full", repository_id):
+                if not job.get("stats"):
+                    raise RuntimeError("the repository's pending publication is to be finished first")
+                return {**job["stats"], "publication_pending": True, "resumed": True}
+            files = self.metadata.read("files").where(F.col("repository_id") == repository_id)
+            python = files.where(F.col("language") == "python").select(F.col("id").alias("file_id")).join(texts, "file_id").where("text IS NOT NULL")
+            parsed, total = python.count(), files.count()
+            n = self.metadata.replace_symbols(repository_id, symbols_of(python))
+            stats = {"repository_id": repository_id, "parsed_files": parsed, "skipped_files": total - parsed, "symbols_indexed": n}
+            self.journal.begin("full", repository_id, stats=stats)
+            return {**stats, "publication_pending": True, "resumed": False}
+
+    def publish_repository(self, repository_id: int, fail_at: str | None = None) -> dict:
+        """Publish a repository's symbols beside the other repositories' documents, and end its pending job; a stopped publication is resumed."""
+        if self.journal.pending("sync", repository_id):
+            raise RuntimeError("the repository's pending synchronization is to be finished first")
+        pending = self.store.pending() or {}
+        with self._writing(repository_id):
+            job = self.journal.begin("full", repository_id)
+            if pending.get("repository_id") != repository_id or pending["phase"] == "building":
+                own = F.col("repository_id") == repository_id
+                fresh = self.documents(self.metadata.read("symbols").where(own), self.metadata.read("files"), self.metadata.read("repositories"))
+                self._replace(repository_id, fresh, fail_at)
+                resumed = False
+            else:
+                resumed = True
+            self.journal.finish("full", repository_id)
+            return {**(job.get("stats") or {}), "index": self.store.current(), "resumed": resumed}
+
+    def identity(self) -> tuple[str, str, str | None, int]:
+        """What is published: store, generation, its identity, and how many documents it has."""
+        name = self.store.current()
+        if name is None:
+            raise FileNotFoundError("no generation has been published")
+        return self.store.folder.uri, name, self.store.identity(name), self.store.read("docs", name).count()
 
     @staticmethod
     def parse(files: DataFrame) -> DataFrame:
@@ -84,7 +175,7 @@ class Engine:
     def lexical(self, queries: DataFrame, limit: int, generation: str | None = None) -> DataFrame:
         name = generation or self.store.current()
         terms = lexical.query_terms(queries)
-        scores = lexical.score_batch(self.store.read("postings", name), self.store.read("stats", name), terms)
+        scores = lexical.score_batch(self.store.read("postings", name), self.store.read("stats", name), terms, frequencies=self.store.read("frequencies", name))
         flags = self.store.read("docs", name).select(F.col("symbol_id").alias("id"), "is_test", *KEYS)
         scores = scores.join(flags, "id").join(queries.select("query_id", "intent"), "query_id").where("intent OR NOT is_test")
         return lexical.top(scores.select("query_id", "id", "score", *KEYS), limit)
@@ -107,7 +198,8 @@ class Engine:
         fused = fused.join(sides[0], ["query_id", *KEYS], "left").join(sides[1], ["query_id", *KEYS], "left").select("query_id", "score", "bm25_score", "semantic_score", "bm25_rank", "semantic_rank", "rank", ids)
         # the wide columns only for the rows that are returned
         docs = self.store.read("docs", name).drop("embedding").withColumnRenamed("symbol_id", "id")
-        return docs.join(F.broadcast(fused), "id") if limit <= 100 else docs.join(fused, "id")
+        few = limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+        return docs.join(F.broadcast(fused) if few else fused, "id")
 
     def batch(self, queries: list[str]) -> DataFrame:
         from ..functions.text import query_has_test_intent
@@ -115,7 +207,12 @@ class Engine:
         return self.spark.createDataFrame([(k, q, query_has_test_intent(q)) for k, q in enumerate(queries)], "query_id int, query string, intent boolean")
 
     def _retrieve(self, query: str, limit: int) -> list[dict]:
-        rows = self.hybrid(self.batch([query]), limit).orderBy("rank").drop("query_id", "id", "rank", "file_id", "repository_id").collect()
+        if self.spark.conf.get("spark.sql.files.ignoreMissingFiles") == "true" or self.spark.conf.get("spark.sql.files.ignoreCorruptFiles") == "true":
+            raise IncompleteSearchError("missing or corrupt files are ignored in this session, so that an answer may lack some")
+        try:
+            rows = self.hybrid(self.batch([query]), limit).orderBy("rank").drop("query_id", "id", "rank", "file_id", "repository_id").collect()
+        except (AnalysisException, Py4JJavaError, FileNotFoundError) as e:
+            raise IncompleteSearchError("a part of the published generation did not answer") from e
         out = [r.asDict() for r in rows]
         return [{**r, **hit} for r, hit in zip(out, checked(out), strict=True)]
 
@@ -132,10 +229,42 @@ class Engine:
 
     # -- evaluation
 
-    def evaluate(self, cases: list[tuple[str, str, str]]) -> DataFrame:
-        """Recall and reciprocal rank of the hybrid search over (repository, query, expected qualified name) cases."""
+    def _cases(self, cases: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
         if not cases:
             raise ValueError("there are no cases")
         expected = self.spark.createDataFrame([(k, r, e) for k, (r, _, e) in enumerate(cases)], "query_id int, repository string, qualified_name string")
-        hits = self.hybrid(self.batch([q for _, q, _ in cases]), 10).select("query_id", "repository", "qualified_name", "rank")
-        return evaluation.metrics(evaluation.first_rank(hits, expected, ["repository", "qualified_name"]))
+        return self.batch([q for _, q, _ in cases]), expected
+
+    def _named(self, hits: DataFrame) -> DataFrame:
+        """Hits of one branch with the identity that cases name."""
+        docs = self.store.read().select(F.col("symbol_id").alias("id"), "qualified_name")
+        return hits.join(docs, "id").select("query_id", "repository", "qualified_name", F.col("rank").cast("long").alias("rank"))
+
+    def ranks(self, cases: list[tuple[str, str, str]]) -> DataFrame:
+        """The first rank at which the hybrid search gives what each (repository, query, qualified name) case expects."""
+        queries, expected = self._cases(cases)
+        hits = evaluation.checked_results(self.hybrid(queries, 10).select("query_id", "repository", "qualified_name", "rank"), IDENTITY)
+        return evaluation.first_rank(hits, expected, IDENTITY)
+
+    def evaluate(self, cases: list[tuple[str, str, str]]) -> DataFrame:
+        """Recall and reciprocal rank of the hybrid search."""
+        return evaluation.metrics(self.ranks(cases))
+
+    def compare(self, cases: list[tuple[str, str, str]]) -> DataFrame:
+        """The same of the four methods, by method."""
+        queries, expected = self._cases(cases)
+        fused = self.hybrid(queries, 10).select("query_id", *IDENTITY, "rank")
+        again = self.reranked(queries, 10).select("query_id", *IDENTITY, F.col("final_rank").alias("rank"))
+        methods = {"bm25": self._named(self.lexical(queries, 10)), "semantic": self._named(self.semantic(queries, 10)), "hybrid": fused, "reranked": again}
+        return evaluation.by_method({k: v.withColumn("rank", F.col("rank").cast("long")) for k, v in methods.items()}, expected, IDENTITY)
+
+    def diagnose(self, cases: list[tuple[str, str, str]], depth: int = 50, found: int = 10, shown: int = 5) -> DataFrame:
+        """Cases that the hybrid search does not answer in its first ``found`` results: the expected symbol's rank in each branch, to ``depth``, and the hybrid search's first ``shown``."""
+        queries, expected = self._cases(cases)
+        hybrid = self.hybrid(queries, depth).select("query_id", *IDENTITY, "rank")
+        out = expected
+        for name, hits in (("bm25", self._named(self.lexical(queries, depth))), ("semantic", self._named(self.semantic(queries, depth))), ("hybrid", hybrid)):
+            ranks = evaluation.first_rank(hits, expected, IDENTITY, depth).withColumnRenamed("rank", f"{name}_rank")
+            out = out.join(ranks, "query_id")
+        tops = hybrid.where(F.col("rank") <= shown).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *IDENTITY))), lambda x: F.concat_ws(" ", x["repository"], x["qualified_name"])).alias("top"))
+        return out.join(tops, "query_id", "left").where(F.coalesce(F.col("hybrid_rank") > found, F.lit(True)))

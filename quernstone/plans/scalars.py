@@ -245,9 +245,9 @@ _INV = """SELECT CASE WHEN user_id % 10 = 0 THEN 'symbols' WHEN user_id % 10 = 1
     n AS (SELECT *, row_number() OVER (PARTITION BY retired ORDER BY inactive_at DESC, name DESC) AS k FROM r),
     q AS (SELECT name, list_filter([CASE WHEN name = 'symbols' THEN 'legacy index' END, CASE WHEN active THEN 'active index' END, CASE WHEN aliased THEN 'referenced by an alias' END, CASE WHEN in_journal THEN 'publication journal reference' END,
     CASE WHEN NOT regexp_matches(name, '^symbols_generation_[0-9a-f]{{32}}$') THEN 'outside managed generation naming' END, CASE WHEN NOT present THEN 'index absent' END, CASE WHEN NOT tracked THEN 'untracked lifecycle' END,
-    CASE WHEN tracked AND NOT coalesce(state IN ('retired', 'abandoned'), false) THEN 'lifecycle state' END, CASE WHEN tracked AND recorded_uuid IS NULL THEN 'unverified recorded identity' END, CASE WHEN tracked AND recorded_uuid <> live_uuid THEN 'index identity changed' END,
+    CASE WHEN tracked AND NOT coalesce(state IN ('retired', 'abandoned'), false) THEN 'lifecycle state' || coalesce(' ' || state, '') END, CASE WHEN tracked AND recorded_uuid IS NULL THEN 'unverified recorded identity' END, CASE WHEN tracked AND recorded_uuid <> live_uuid THEN 'index identity changed' END,
     CASE WHEN tracked AND inactive_at IS NULL THEN 'inactive timestamp unknown' END, CASE WHEN tracked AND epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(date_trunc('second', inactive_at)) < 86400 THEN 'inactive grace period' END,
-    CASE WHEN coalesce(live_uuid IN ('', '_na_'), true) THEN 'unverified live identity' END, CASE WHEN retired AND k <= 2 THEN 'newest retained' END], lambda x: x IS NOT NULL) AS reasons FROM n)
+    CASE WHEN coalesce(live_uuid IN ('', '_na_'), true) THEN 'unverified live identity' END, CASE WHEN retired AND k <= 2 THEN 'retained published generation' END], lambda x: x IS NOT NULL) AS reasons FROM n)
     SELECT name, array_to_string(reasons, '; ') AS reasons, len(reasons) = 0 AS eligible FROM q""",
 )
 def c7_retention_eligibility(t):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import changes
 from quernstone.operators.cache import FencedCache, SearchService, decode, digest, encode
 from quernstone.operators.generations import GenerationStore
+from quernstone.operators.hits import IncompleteSearchError
 from quernstone.plans.engine import Engine
 from quernstone.schema import positive_id
 from quernstone.sources import repository, symbols, traces
@@ -140,24 +141,68 @@ def test_discovery_and_change_feed(spark, tmp_path):
         repository.clone("x", str(tmp_path), "..", "r")
 
 
-@pytest.mark.parametrize("at", ["built", "ready", "published"])
-def test_publication_resumes(spark, tmp_path, at):
-    store = GenerationStore(spark, str(tmp_path / "s"))
+@pytest.mark.parametrize("at", ["built", "ready", "switched", "published"])
+def test_a_stopped_publication_is_resumed_and_the_next_one_is_its_own(spark, tmp_path, at):
+    from quernstone.operators.generations import PublicationPending
+
+    store, rotated = GenerationStore(spark, str(tmp_path / "s")), []
+    rotate = lambda: rotated.append(1)
     one = store.publish({"docs": spark.range(3)}, {"docs": 3})
     with pytest.raises(InterruptedError):
-        store.publish({"docs": spark.range(5)}, fail_at=at)
-    assert store.read().count() == (5 if at == "published" else 3)
-    rotated = []
-    two = store.publish({"docs": spark.range(5)}, after=lambda: rotated.append(1))
-    assert store.current() == two != one and store.read().count() == 5 and rotated == [1]
-    states = store.lifecycle()
-    assert states[two]["state"] == "published" and states[one]["state"] == "retired" and "inactive_at" in states[one]
-    if at == "built":
-        assert sorted(s["state"] for s in states.values()) == ["abandoned", "published", "retired"]
+        store.publish({"docs": spark.range(5)}, fail_at=at, repository_id=4)
+    switched = at in ("switched", "published")
+    assert store.read().count() == (5 if switched else 3)
+    if at != "built":
+        with pytest.raises(PublicationPending):
+            store.publish({"docs": spark.range(7)})
+    with pytest.raises(PublicationPending):
+        store.resume(repository_id=5)
+    two = store.resume(rotate, 4)
+    assert (two is None) == (at == "built") and store.pending() is None and store.resume(rotate) is None
+    assert store.read().count() == (3 if at == "built" else 5) and rotated == ([] if at == "built" else [1])
+    three = store.publish({"docs": spark.range(7)}, after=rotate)
+    assert store.current() == three and store.read().count() == 7 and len(rotated) == (1 if at == "built" else 2)
+    states = {k: v["state"] for k, v in store.lifecycle().items()}
+    assert states[three] == "published" and states[one] == "retired" and sorted(states.values()) == sorted(["published", "retired", "abandoned" if at == "built" else "retired"])
     with pytest.raises(RuntimeError):
         store.publish({"docs": spark.range(5)}, {"docs": 6})
 
 
+def test_a_changed_or_foreign_generation_is_not_published(spark, tmp_path):
+    store = GenerationStore(spark, str(tmp_path / "s"))
+    store.publish({"docs": spark.range(3)})
+    with pytest.raises(InterruptedError):
+        store.publish({"docs": spark.range(5)}, fail_at="ready")
+    name = store.pending()["name"]
+    identity = store.folder.read(f"{name}/identity.json")
+    store.folder.write(f"{name}/identity.json", {"uuid": "another"})
+    with pytest.raises(RuntimeError, match="recorded"):
+        store.resume()
+    store.folder.write(f"{name}/identity.json", identity)
+    spark.range(1).write.mode("append").parquet(store.folder.at(name, "docs"))
+    with pytest.raises(RuntimeError, match="changed"):
+        store.resume()
+    assert store.read().count() == 3
+
+
+def test_a_store_on_another_file_system(spark, tmp_path):
+    """The same store by a path that only Hadoop's file systems reach."""
+    from quernstone.plans.engine import Engine
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
+    store = GenerationStore(spark, "viewfs://far/in/store")
+    assert store.current() is None and store.folder.folders() == []
+    with pytest.raises(InterruptedError):
+        store.publish({"docs": spark.range(5)}, fail_at="switched")
+    name = store.resume()
+    assert store.current() == name and store.read().count() == 5 and store.folder.folders() == [name] and store.lifecycle()[name]["state"] == "published"
+    store.folder.delete(name)
+    with pytest.raises(FileNotFoundError):
+        store.current()
+    with pytest.raises(ValueError):
+        Engine(spark, "viewfs://far/in/engine")
+
+
 def test_cache_is_fenced():
     now = [0.0]
     cache = FencedCache(clock=lambda: now[0])
@@ -235,10 +280,85 @@ def test_engine_end_to_end(spark, tmp_path):
     feed = spark.createDataFrame([(0, "D", None, "tests/test_core.py")], "ordinal int, status string, old_path string, path string")
     engine.sync(1, feed, docs.limit(0))
     assert engine.store.read().count() == 2 and engine.search("open_socket", 5)["cache_hit"] is False
+    cases = [("demo", "open_socket", "open_socket"), ("demo", "close", "Conn.close"), ("demo", "test open_socket", "gone")]
+    rows = {r["method"]: r["recall_10"] for r in engine.compare(cases).collect()}
+    assert set(rows) == {"bm25", "semantic", "hybrid", "reranked"} and rows["hybrid"] == round(2 / 3, 6)
+    missed = engine.diagnose(cases).collect()
+    assert [(r["qualified_name"], r["hybrid_rank"], len(r["top"])) for r in missed] == [("gone", None, 2)]
+    from quernstone.operators import evaluation
+
+    assert evaluation.recall_gate(engine.ranks(cases), 2 / 3) and not evaluation.recall_gate(engine.ranks(cases), 0.67)
+    assert evaluation.release_gate([("quality", lambda: True), ("rows", lambda: None)], engine.identity)["checks"] == ["quality", "rows"]
+    for checks in ([("no", lambda: False)], [("no", lambda: 1 / 0)], [("moves", lambda: engine.reindex_repository(1, docs.limit(1)))]):
+        with pytest.raises(evaluation.GateFailed):
+            evaluation.release_gate(checks, engine.identity)
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    try:
+        with pytest.raises(IncompleteSearchError):
+            engine.search("never asked", 5)
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+    engine.store.folder.delete(f"{engine.store.current()}/postings")
+    with pytest.raises(IncompleteSearchError):
+        engine.search("never asked either", 5)
     with pytest.raises(ValueError):
         engine.sync(1, feed.union(feed), docs.limit(0))
 
 
+def test_a_stopped_sync_loses_nothing(spark, tmp_path):
+    """A sync that is stopped at any point is replayed, and another repository waits for it."""
+    from quernstone.operators.generations import PublicationPending
+    from quernstone.operators.locking import WriterBusy, writer
+
+    schema = "symbol_id int, repository_id int, file_id int, repository string, language string, path string, is_test boolean, name string, qualified_name string, kind string, start_line int, end_line int, code string, embedding array<float>"
+    row = lambda k, repo, path: (k, repo, 1, f"r{repo}", "python", path, False, f"f{k}", f"f{k}", "function", 1, 2, f"def f{k}(): pass", [1.0, float(k)])
+    frame = lambda *rows: spark.createDataFrame(rows, schema)
+    engine = Engine(spark, str(tmp_path / "e"), dims=2)
+    engine.index(frame(row(1, 1, "a.py"), row(2, 1, "b.py"), row(3, 2, "a.py")), 3)
+    paths = []
+    fresh = lambda p: paths.append(p) or frame(row(4, 1, "a.py"))
+    for at in ("built", "ready", "switched", "published"):
+        with pytest.raises(InterruptedError):
+            engine.synchronise(1, lambda: ("one", "two"), lambda *c: ["a.py"], fresh, at)
+        if at != "built":
+            with pytest.raises((PublicationPending, WriterBusy)):
+                engine.sync(2, spark.createDataFrame([(0, "D", None, "a.py")], "ordinal int, status string, old_path string, path string"), frame().limit(0))
+        report = engine.synchronise(1, lambda: ("one", "three"), lambda *c: ["other.py"], fresh)
+        assert report == {"changed": True, "paths": 1, "target_commit": "two"} and paths[-1] == ["a.py"]
+        assert {(r["symbol_id"], r["path"]) for r in engine.store.read().collect()} == {(4, "a.py"), (2, "b.py"), (3, "a.py")}
+    with writer(engine.coordination, 1, True), pytest.raises(WriterBusy):
+        engine.index(frame(row(1, 1, "a.py")))
+    assert engine.synchronise(1, lambda: ("x", "x"), None, None) == {"changed": False, "paths": 0}
+
+
+def test_symbols_are_replaced_and_published_as_one_job(spark, tmp_path):
+    from quernstone.operators.metadata import RepositoryConflict
+
+    engine = Engine(spark, str(tmp_path / "e"), dims=8)
+    found = spark.createDataFrame([("a.py", "python", "h1"), ("b.go", "go", "h2"), ("c.py", "python", "h3")], "path string, language string, content_hash string")
+    assert [engine.metadata.register(n, f"https://github.com/o/{n}", "main", "c0", found) for n in ("one", "two")] == [1, 2]
+    with pytest.raises(RepositoryConflict):
+        engine.metadata.register("one", "https://github.com/o/one", "main", "c0", found)
+    files = {(r["repository_id"], r["path"]): r["id"] for r in engine.metadata.read("files").collect()}
+    assert sorted(files.values()) == list(range(1, 7))
+    texts = spark.createDataFrame([(files[1, "a.py"], "def f():\n    pass\nclass C:\n    def g(self): pass\n"), (files[1, "b.go"], "func f() {}"), (files[1, "c.py"], None)], "file_id int, text string")
+    report = engine.replace_symbols(1, texts)
+    assert report == {"repository_id": 1, "parsed_files": 1, "skipped_files": 2, "symbols_indexed": 3, "publication_pending": True, "resumed": False}
+    assert engine.replace_symbols(1, texts.limit(0)) == {**report, "resumed": True}
+    with pytest.raises(InterruptedError):
+        engine.publish_repository(1, "ready")
+    out = engine.publish_repository(1)
+    assert out["resumed"] and out["symbols_indexed"] == 3 and engine.store.read().count() == 3 and engine.journal.pending("full", 1) is None
+    engine.replace_symbols(2, spark.createDataFrame([(files[2, "a.py"], "def h(): pass")], "file_id int, text string"))
+    assert not engine.publish_repository(2)["resumed"] and {r["repository"] for r in engine.store.read().select("repository").collect()} == {"one", "two"}
+    assert sorted(r["id"] for r in engine.metadata.read("symbols").collect()) == [1, 2, 3, 4]
+    engine.replace_symbols(1, texts.limit(0))
+    engine.publish_repository(1)
+    assert [r["name"] for r in engine.store.read().collect()] == ["h"] and engine.metadata.read("symbols").count() == 1
+    with pytest.raises(ValueError):
+        engine.metadata.replace_symbols(9, texts)
+
+
 def test_change_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -360,7 +480,7 @@ def test_a_sync_is_replayed_until_it_ends(tmp_path):
 def test_retention_deletes_only_what_was_reviewed(spark, tmp_path):
     import datetime as dt
 
-    from quernstone.operators import retention
+    from quernstone.operators import generations, retention
 
     store = GenerationStore(spark, str(tmp_path / "s"))
     names = [store.publish({"docs": spark.range(k)}) for k in range(1, 5)]
@@ -371,6 +491,8 @@ def test_retention_deletes_only_what_was_reviewed(spark, tmp_path):
     with pytest.raises(retention.RetentionBlocked):
         retention.apply(store, plan, later)
     bad = {**plan, "candidates": [{**plan["candidates"][0], "uuid": "x"}]}
+    reasons = {r["name"]: r["reasons"] for r in generations.protections(retention.inventory(store), F.lit(later), store.legacy).collect()}
+    assert reasons[names[0]] == [] and reasons[names[1]] == ["retained published generation"] and reasons[names[3]] == ["active index", "referenced by an alias", "lifecycle state published", "inactive timestamp unknown"]
     with pytest.raises(retention.RetentionBlocked):
         retention.apply(store, bad, later, quiesced=True)
     assert retention.apply(store, plan, later, quiesced=True)["deleted"] == [names[0]]
