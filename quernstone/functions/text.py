@@ -60,18 +60,26 @@ def preview(text: Column, n: int = PREVIEW_LINES) -> Column:
     return F.concat_ws("\n", F.slice(lines(text), 1, n))
 
 
+#: The labels of a symbol's lines in what is embedded, and of those in what is reranked.
+EMBEDDED = ("Symbol: ", "Type: ", "Signature: ", "Repository: ", "File: ", "Language: ", "Implementation:")
+RERANKED = ("Repository: ", "File: ", "Symbol: ", "Type: ")
+UNKNOWN_LANGUAGE = "unknown"
+
+
 def embedding_text(name: Column, kind: Column, repository: Column, path: Column, language: Column, code: Column) -> Column:
     """What is embedded for a symbol: labelled lines, then the first lines of its code."""
     first = F.trim(F.coalesce(F.get(lines(code), 0), F.lit("")))
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Symbol: "), name), F.concat(F.lit("Type: "), kind), F.concat(F.lit("Signature: "), first), F.concat(F.lit("Repository: "), repository),
-        F.concat(F.lit("File: "), path), F.concat(F.lit("Language: "), F.coalesce(language, F.lit("unknown"))), F.lit(""), F.lit("Implementation:"), preview(code),
-    )
+    values = (name, kind, first, repository, path, F.coalesce(language, F.lit(UNKNOWN_LANGUAGE)))
+    return F.concat_ws("\n", *(F.concat(F.lit(label), value) for label, value in zip(EMBEDDED, values, strict=False)), F.lit(""), F.lit(EMBEDDED[-1]), preview(code))
 
 
 def rerank_text(repository: Column, path: Column, name: Column, kind: Column, code: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("Repository: "), repository), F.concat(F.lit("File: "), path), F.concat(F.lit("Symbol: "), name), F.concat(F.lit("Type: "), kind), F.lit(""), preview(code))
+    return F.concat_ws("\n", *(F.concat(F.lit(label), value) for label, value in zip(RERANKED, (repository, path, name, kind), strict=True)), F.lit(""), preview(code))
+
+
+def is_query(text: Column, most: int = 4096) -> Column:
+    """1 to ``most`` characters, not all white space."""
+    return F.coalesce(F.length(text).between(1, most) & text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def cache_digest(query: Column, limit: Column) -> Column:

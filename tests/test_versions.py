@@ -252,6 +252,39 @@ def test_equal_queries_share_one_retrieval():
             service.search(*bad)
 
 
+def test_ingestion_refuses_what_is_there_and_follows_the_remote(spark, tmp_path):
+    from quernstone.operators.metadata import Metadata, RepositoryConflict
+
+    origin = tmp_path / "origin"
+    git = lambda *a: subprocess.run(["git", "-C", str(origin), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    origin.mkdir()
+    git("init", "-q", "-b", "trunk")
+    (origin / "a.py").write_text("x = 1\n")
+    git("add", ".")
+    git("commit", "-qm", "1")
+    metadata, root, url = Metadata(spark, str(tmp_path / "m")), str(tmp_path / "clones"), "https://github.com/some-one/tool.git"
+    out = repository.ingest(metadata, url, root, f"file://{origin}")
+    assert (out["repository_id"], out["owner"], out["name"], out["branch"], out["source_files_discovered"]) == (1, "some-one", "tool", "trunk", 1)
+    assert [(r["path"], r["language"]) for r in metadata.read("files").collect()] == [("a.py", "python")]
+    for again in (url, "https://github.com/some-one/tool"):
+        with pytest.raises(RepositoryConflict):
+            repository.ingest(metadata, again, root, f"file://{origin}")
+    for bad in ("https://example.com/o/r", "https://github.com/o", "https://github.com/o/..git", url + "\n"):
+        with pytest.raises(ValueError):
+            repository.ingest(metadata, bad, root)
+    (tmp_path / "clones" / "linked").symlink_to(tmp_path)
+    with pytest.raises(ValueError):
+        repository.clone_folder(root, "linked", "x")
+    with pytest.raises(subprocess.CalledProcessError):
+        repository.ingest(metadata, "https://github.com/some-one/gone", root, f"file://{tmp_path}/nothing")
+    assert not (tmp_path / "clones" / "some-one" / "gone").exists()
+    (origin / "b.py").write_text("y = 1\n")
+    git("add", ".")
+    git("commit", "-qm", "2")
+    new = repository.remote_head(out["local_path"], "trunk")
+    assert new != out["commit"] and [(r["status"], r["path"]) for r in repository.change_feed(spark, out["local_path"], out["commit"], new).collect()] == [("A", "b.py")]
+
+
 def test_ids():
     assert positive_id(7) == 7
     for bad in (0, -1, 2**31, True, "1", 1.0):
