@@ -51,3 +51,13 @@ def placed(df: DataFrame, group: str, key: Column, *ties: Column | str, buckets:
     counts = counts.select("_group", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
     rows = rows.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_b")))
     return rows.withColumn("place", F.col("_own") + F.col("_before")).drop("_low", "_high", "_key", "_bucket", "_own", "_group", "_b", "_before")
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of two sides with the same keys (a group and a place in it), side by side; a row without its like is an error, as then their counts differ."""
+    a, b = left.withColumn("_left", F.lit(True)), right.withColumn("_right", F.lit(True))
+    both = a.join(b, keys, "full_outer")
+    alone = F.col("_left").isNull() | F.col("_right").isNull()
+    last = keys[-1]
+    kind = left.schema[last].dataType
+    return both.withColumn(last, F.when(alone, F.raise_error(F.lit("the two sides differ in number")).cast(kind)).otherwise(F.col(last))).drop("_left", "_right")

@@ -12,6 +12,14 @@ from collections.abc import Callable
 from concurrent.futures import Future
 from concurrent.futures import TimeoutError as Late
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import cache_digest
+
 MAX_DEPTH, MAX_FLIGHTS, FOLLOWER_WAIT_S, TTL_S, BATCH = 16, 128, 1.0, 300, 256
 
 
@@ -147,3 +155,31 @@ def check_request(query: str, limit: int) -> None:
         raise ValueError("a query has 1 to 4096 characters, not all blank")
     if type(limit) is not int or not 1 <= limit <= 100:
         raise ValueError("a limit lies between 1 and 100")
+
+
+def replay(requests: DataFrame, session: str, ttl: float = TTL_S) -> DataFrame:
+    """The outcome of each request of a log: hit, retrieved or bypass; rotations drop what their session has cached.
+
+    requests: (session, n, at, query, limit, kind), n giving the order, at seconds, kind search, bypass or rotate. Requests of one
+    session, query, limit and generation go through a cache of their own in one task, as no others can change their outcome.
+    """
+    order = W.partitionBy(session).orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = requests.withColumn("epoch", F.sum((F.col("kind") == "rotate").cast("int")).over(order)).where("kind <> 'rotate'").withColumn("key", cache_digest(F.col("query"), F.col("limit")))
+    schema = T.StructType([*(rows.schema[c] for c in (session, "n")), T.StructField("outcome", T.StringType())])
+
+    def run(log: pd.DataFrame) -> pd.DataFrame:
+        log, now = log.sort_values("n"), [0.0]
+        service = SearchService(lambda query, limit: [], FencedCache(ttl, lambda: now[0]))
+        outcomes = []
+        for at, query, limit, kind in zip(log["at"], log["query"], log["limit"], log["kind"], strict=True):
+            now[0] = float(at)
+            outcomes.append(service.search(query, int(limit), kind == "bypass")[1])
+        return log[[session, "n"]].assign(outcome=outcomes)
+
+    return rows.groupBy(session, "epoch", "key").applyInPandas(run, schema)
+
+
+def hit_rates(outcomes: DataFrame, *by: str) -> DataFrame:
+    """Requests, hits and the hit percentage by group."""
+    hits = F.count(F.when(F.col("outcome") == "hit", 1))
+    return outcomes.groupBy(*by).agg(F.count("*").alias("requests"), hits.alias("hits"), F.round(100.0 * hits / F.count("*"), 6).alias("hit_percent"))

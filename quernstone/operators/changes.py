@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import language_of
 from ..schema import CHANGES
@@ -42,6 +45,20 @@ def parse_diff(output: str, nul: bool = True) -> list[tuple[int, str, str | None
     return out
 
 
+def parse_listings(listings: DataFrame, key: str, text: str, nul: bool = True) -> DataFrame:
+    """(key, change fields) of name-status listings, one a row; a malformed one ends the job."""
+    schema = T.StructType([listings.schema[key], *T.StructType.fromDDL(CHANGES)])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            rows = [(k, *r) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in parse_diff(x or "", nul)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return listings.select(key, text).mapInArrow(run, schema)
+
+
 def changes_frame(spark, output: str, nul: bool = True) -> DataFrame:
     return spark.createDataFrame(parse_diff(output, nul), CHANGES)
 

@@ -97,6 +97,17 @@ def level_summary(rows: DataFrame, value: Column, failed: Column, seconds: Colum
     return out.withColumns({c: F.round(c, 6) for c in ("p95", "p99")})
 
 
+def burst_accounting(requests: DataFrame, key: str, *burst: str) -> DataFrame:
+    """By burst: requests, engine calls when equal queries in flight are shared (one a query), and followers."""
+    calls = F.countDistinct(key)
+    return requests.groupBy(*burst).agg(F.count("*").alias("requests"), calls.alias("engine_calls"), (F.count("*") - calls).alias("followers"))
+
+
+def outcome_summary(rows: DataFrame, value: Column, *by: str) -> DataFrame:
+    """By group and outcome: how many requests and their mean latency."""
+    return rows.groupBy(*by, "outcome").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
+
+
 def quality_gate(value: float, threshold: float) -> bool:
     """Passes at the threshold itself, unrounded."""
     return value >= threshold

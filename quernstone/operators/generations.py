@@ -150,7 +150,12 @@ class GenerationStore:
             raise InterruptedError(f"stopped once {here}")
 
     def copy_except(self, repository_id: int, table: str = "docs") -> DataFrame:
-        return self.read(table).where(F.col("repository_id") != repository_id)
+        return without_repository(self.read(table), repository_id)
+
+
+def without_repository(docs: DataFrame, repository_id: int) -> DataFrame:
+    """All documents but one repository's."""
+    return docs.where(F.col("repository_id") != repository_id)
 
 
 def protections(inventory: DataFrame, now: Column, legacy: str, min_age_hours: int = 24, keep: int = 2) -> DataFrame:

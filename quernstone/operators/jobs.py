@@ -8,6 +8,9 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..schema import positive_id
 
 
@@ -71,3 +74,16 @@ def inspect(journal: Journal, publication: dict | None = None) -> dict:
     reason = lambda j, kind: "sync and full jobs conflict" if j["repository_id"] in both else "a publication is pending" if publication and (kind == "sync" or owner != j["repository_id"]) else None
     rows = [{"kind": k, "repository_id": j["repository_id"], "paths": len(j.get("affected_paths", [])), "blocked": reason(j, k)} for k, jobs in (("sync", sync), ("full", full)) for j in jobs]
     return {"jobs": rows, "conflicts": sorted(both), "publication": publication.get("phase") if publication else None}
+
+
+def report(sync: DataFrame, full: DataFrame, publication_of: int | None = None, publishing: bool = False) -> DataFrame:
+    """(kind, repository_id, paths, blocked) of tables of pending jobs: sync (repository_id, affected_paths), full (repository_id); the same rules as ``inspect``.
+
+    ``publishing``: whether a publication is pending, and ``publication_of`` whose it is.
+    """
+    other = lambda df: df.select(F.col("repository_id").alias("other")).distinct()
+    side = lambda df, against, kind, paths: df.join(other(against), F.col("repository_id") == F.col("other"), "left").select(F.lit(kind).alias("kind"), "repository_id", paths.cast("long").alias("paths"), F.col("other").isNotNull().alias("conflict"))
+    rows = side(sync, full, "sync", F.size("affected_paths")).unionByName(side(full, sync, "full", F.lit(0)))
+    waits = F.lit(publishing) & ((F.col("kind") == "sync") | ~F.col("repository_id").eqNullSafe(F.lit(publication_of)))
+    blocked = F.when(F.col("conflict"), "sync and full jobs conflict").when(waits, "a publication is pending")
+    return rows.withColumn("blocked", blocked).drop("conflict")

@@ -86,3 +86,28 @@ def search(docs: DataFrame, queries: DataFrame, limit: int, boosts: dict[str, fl
         flags = docs.select(F.col(id_col).alias("id"), F.col(is_test).alias("_test"))
         scores = scores.join(flags, "id").join(queries.select("query_id", F.col(intent).alias("_intent")), "query_id").where("_intent OR NOT _test").drop("_test", "_intent")
     return top(scores, limit)
+
+
+#: Words of the runs by which texts that hold an item are looked for.
+HOLDS = 4
+
+
+def holders(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, id): the texts (id, text) that hold an item (query_id, item) as a whole.
+
+    A text that holds an item holds the item's words but the first and the last one after another. So a run of ``HOLDS`` of these, by its hash, finds
+    the texts to compare in full. An item of too few words for that is looked for in all texts.
+    """
+    hashed = lambda w, k: F.xxhash64(*(F.get(w, k + i) for i in range(HOLDS)))
+    rows = items.withColumn("w", F.split("item", " "))
+    long = F.size("w") >= HOLDS + 2
+    keyed = rows.where(long).select("query_id", "item", hashed(F.col("w"), F.lit(1)).alias("h"))
+    words = texts.withColumn("w", F.split("text", " ")).where(F.size("w") >= HOLDS)
+    pieces = words.select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - HOLDS), lambda k: hashed(F.col("w"), k)))).alias("h"))
+    few = keyed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    found = pieces.join(F.broadcast(keyed) if few else keyed, "h").where(F.col("text").contains(F.col("item"))).select("query_id", "id")
+    short = rows.where(~long).select("query_id", "item")
+    if not short.isEmpty():
+        few = short.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        found = found.unionByName(texts.join(F.broadcast(short) if few else short, F.col("text").contains(F.col("item"))).select("query_id", "id"))
+    return found.distinct()

@@ -68,3 +68,9 @@ def numbered(df: DataFrame, first: int, *order: str) -> DataFrame:
     """The rows with an id from ``first`` on, in an order; numbered in buckets, by a hash of the first column."""
     rows = placed(df.withColumn("_all", F.lit(0)), "_all", F.pmod(F.xxhash64(order[0]), F.lit(1 << 20)), *order)
     return rows.withColumn("id", (F.col("place") + (first - 1)).cast("int")).drop("place", "_all")
+
+
+def repository_symbols(symbols: DataFrame, files: DataFrame, repository_id: int) -> DataFrame:
+    """A repository's symbols with their files' path and language, in order of id."""
+    own = symbols.where(F.col("repository_id") == repository_id)
+    return own.join(files.select(F.col("id").alias("file_id"), "path", "language"), "file_id").orderBy("id")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rank import min_max, placed
+from ..functions.rank import min_max, placed, zipped
 from ..functions.text import analyse
-from ..operators import changes, evaluation, generations
+from ..operators import cache, changes, evaluation, generations
 from .registry import query
 
 
@@ -46,9 +46,12 @@ def j4_fusion_outer(t):
     return a.join(b, "user_id", "full_outer").select("user_id", F.round(F.coalesce("va", F.lit(0.0)), 6).alias("views"), F.round(F.coalesce("vb", F.lit(0.0)), 6).alias("errors"))
 
 
-@query("j5_positional_zip", "SELECT d.doc_id, d.lang, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
+@query("j5_positional_zip", "SELECT CAST(label AS INTEGER) AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place, vec_id, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings")
 def j5_positional_zip(t):
-    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select("doc_id", "lang", "label")
+    """Rows and their scores, made apart and numbered alike."""
+    order = F.row_number().over(W.partitionBy("label").orderBy("vec_id")).cast("long")
+    numbered = t.embeddings.select(F.col("label").cast("int").alias("label"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("score"), order.alias("place"))
+    return zipped(numbered.select("label", "place", "vec_id"), numbered.select("label", "place", "score"), ["label", "place"])
 
 
 _J6 = "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'none' ELSE 'src' || item_id % 25 END AS repository, CAST(item_id % 7 AS VARCHAR) AS expected FROM benchmark"
@@ -81,11 +84,27 @@ def j8_reconcile(t):
     return generations.reconcile(n(t.documents.where("lang = 'de'"), F.col("source"), "metadata"), n(t.documents.where("n_chars > 9000"), F.col("source"), "audit"), n(t.embeddings, F.concat(F.lit("src"), "label"), "journal"))
 
 
-@query("j9_positional_pair", "SELECT a.k AS n, a.user_id, a.event_id AS click, b.event_id AS view FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click') a JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.k = b.k")
+@query(
+    "j9_positional_pair",
+    """WITH f AS (SELECT event_id % 5 AS ms, row_number() OVER (ORDER BY ts, '10.1.0.9.' || (event_id + 20000)) - 1 AS k FROM events)
+    SELECT 'fresh' AS connection, CAST(k // 100 + 1 AS INTEGER) AS block, count(*) AS flows, round(avg(ms + 2)::DOUBLE, 3) AS host_response_ms, round(avg(ms / 2 + 1)::DOUBLE, 3) AS inner_response_ms FROM f WHERE k % 100 >= 10 GROUP BY block""",
+)
 def j9_positional_pair(t):
-    k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    side = lambda kind, name: t.events.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), k.alias("n"))
-    return side("click", "click").join(side("view", "view"), ["user_id", "n"]).select("n", "user_id", "click", "view")
+    """Two captures of the same flows, with other addresses and clocks; the inner one answers in half the time."""
+    from ..sources import traces
+
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+
+    def capture(address, between, shift, ms):
+        client = F.concat(F.lit(f"{address}."), F.col("event_id") + 20000)
+        line = lambda us, here, there, n: F.concat(F.format_string("%.6f", (at + shift + us) / 1e6), F.lit(f" {between} "), here, F.lit(" > "), there, F.lit(f": Flags [P.], seq 1, length {n}"))
+        server = F.lit("10.1.0.2.9200")
+        lines = t.events.select(F.explode(F.array(line(F.lit(0), client, server, 108), line(ms * 1000, server, client, 177))).alias("line"))
+        return traces.checked(traces.measured(traces.packets(lines)), traces.Workload(9200, 108, 177), acks=False)
+
+    late = F.col("event_id") % 5
+    rows = traces.compared(capture("10.1.0.9", "IP", 0, late + 2), capture("172.18.0.3", "eth0  In  IP", 77_000_000, late / 2 + 1), 90, 10)
+    return rows.select("connection", "block", "flows", "host_response_ms", "inner_response_ms")
 
 
 @query("a1_count", "SELECT (SELECT count(*) FROM lineitem) AS lines, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS done")
@@ -160,17 +179,18 @@ def a10_best_weight(t):
     return evaluation.best_weight(scores)
 
 
-@query("a12_parse_counts", "SELECT source, count(*) FILTER (lang = 'en') AS parsed_files, count(*) FILTER (lang <> 'en') AS skipped_files, CAST(coalesce(sum(len(regexp_extract_all(text, '\\.'))) FILTER (lang = 'en'), 0) AS BIGINT) AS symbols_indexed FROM documents GROUP BY source")
-def a12_parse_counts(t):
-    en = F.col("lang") == "en"
-    return t.documents.groupBy("source").agg(F.count(F.when(en, 1)).alias("parsed_files"), F.count(F.when(~en, 1)).alias("skipped_files"), F.coalesce(F.sum(F.when(en, F.regexp_count("text", F.lit(r"\.")).cast("long"))), F.lit(0)).alias("symbols_indexed"))
+_A12 = "'class A:' || chr(10) || '    def m(self): pass' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'def f(): pass' ELSE '' END"
+
 
+@query(
+    "a12_parse_counts",
+    "SELECT source AS repository, count(*) FILTER (lang = 'en' AND doc_id % 7 <> 0) AS parsed_files, count(*) FILTER (lang <> 'en' OR doc_id % 7 = 0) AS skipped_files, CAST(coalesce(sum(2 + (doc_id % 2 = 0)::INT) FILTER (lang = 'en' AND doc_id % 7 <> 0), 0) AS BIGINT) AS symbols_indexed FROM documents GROUP BY source",
+)
+def a12_parse_counts(t):
+    from ..sources.symbols import parse_counts, symbols_of
 
-@query("a13_job_report", "SELECT user_id, CAST(len(a) AS BIGINT) AS paths, CAST(len(b) AS BIGINT) AS files, CAST(len(list_intersect(a, b)) AS BIGINT) AS shared FROM (SELECT user_id, coalesce(list(DISTINCT CAST(floor(value) AS BIGINT)) FILTER (event_type = 'view'), []) AS a, coalesce(list(DISTINCT CAST(floor(value) AS BIGINT)) FILTER (event_type = 'click'), []) AS b FROM events GROUP BY user_id)")
-def a13_job_report(t):
-    kept = lambda kind: F.collect_set(F.when(F.col("event_type") == kind, F.floor("value")))
-    rows = t.events.groupBy("user_id").agg(kept("view").alias("a"), kept("click").alias("b"))
-    return rows.select("user_id", F.size("a").cast("long").alias("paths"), F.size("b").cast("long").alias("files"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
+    files = t.documents.select(F.col("doc_id").alias("file_id"), F.col("source").alias("repository"), F.when(F.col("lang") == "en", "python").otherwise("go").alias("language"), F.when(F.col("doc_id") % 7 != 0, F.expr(_A12)).alias("text"))
+    return parse_counts(files, symbols_of(files.where("language = 'python'")), "repository")
 
 
 @query("a14_corpus_stats", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term")
@@ -231,8 +251,8 @@ def e5_latency_by_level(t):
 
 @query("e8_burst_accounting", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, count(DISTINCT (user_id % 10)) AS engine_calls, count(*) - count(DISTINCT (user_id % 10)) AS followers FROM events GROUP BY 1")
 def e8_burst_accounting(t):
-    calls = F.countDistinct(F.col("user_id") % 10)
-    return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("requests"), calls.alias("engine_calls"), (F.count("*") - calls).alias("followers"))
+    rows = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("user_id") % 10).alias("query"))
+    return evaluation.burst_accounting(rows, "query", "day")
 
 
 @query("e9_stage_profile", "SELECT user_id % 4 AS workers, event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM events GROUP BY 1, 2")
@@ -249,15 +269,35 @@ def e11_vector_deviation(t):
     return t.embeddings.join(b, "vec_id").select("vec_id", F.round(F.array_max(gaps), 6).alias("deviation"))
 
 
-@query("h3_outcomes", "SELECT user_id, CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'coalesced' WHEN 'signup' THEN 'bypass' WHEN 'error' THEN 'expired' ELSE 'retrieved' END AS outcome, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def requests(t, kind):
+    """A request log from the events: users are sessions, payloads are queries."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return t.events.select("user_id", F.col("event_id").alias("n"), at.alias("at"), F.concat(F.lit(" Payload  "), "props").alias("query"), F.lit(10).alias("limit"), F.expr(kind).alias("kind"), "value", "props")
+
+
+_KIND = "CASE event_type WHEN 'signup' THEN 'rotate' WHEN 'error' THEN 'bypass' ELSE 'search' END"
+_OUTCOMES = f"""SELECT user_id, event_id, props, value, CASE WHEN kind = 'bypass' THEN 'bypass' WHEN row_number() OVER (PARTITION BY user_id, props, epoch, kind ORDER BY event_id) = 1 THEN 'retrieved' ELSE 'hit' END AS outcome
+    FROM (SELECT *, {_KIND} AS kind, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events) WHERE kind <> 'rotate'"""
+
+
+@query("h1_cache_replay", f"SELECT user_id, event_id AS n, outcome FROM ({_OUTCOMES})")
+def h1_cache_replay(t):
+    """Each request's outcome by the cache itself: searches fill it, bypasses do not, a rotation empties it."""
+    return cache.replay(requests(t, _KIND), "user_id", 1e12)
+
+
+@query("h3_outcomes", f"SELECT user_id, outcome, count(*) AS n, round(avg(round(value * 100)), 6) AS mean FROM ({_OUTCOMES}) GROUP BY 1, 2")
 def h3_outcomes(t):
-    outcome = F.expr("CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'coalesced' WHEN 'signup' THEN 'bypass' WHEN 'error' THEN 'expired' ELSE 'retrieved' END")
-    return t.events.groupBy("user_id", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    rows = cache.replay(requests(t, _KIND), "user_id", 1e12).join(t.events.select(F.col("event_id").alias("n"), "value"), "n")
+    return evaluation.outcome_summary(rows, F.round(F.col("value") * 100), "user_id")
 
 
-@query("h4_expiry", "SELECT event_id, ts + INTERVAL 300 SECOND > TIMESTAMP '2024-01-15 00:00:00' AS live FROM events")
+@query("h4_expiry", "SELECT event_id, CASE WHEN value * 10 < 300 THEN 'hit' ELSE 'retrieved' END AS outcome FROM events")
 def h4_expiry(t):
-    return t.events.select("event_id", ((F.col("ts") + F.expr("INTERVAL 300 SECONDS")) > F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("live"))
+    """Every query is asked twice, the second time after ten seconds for each unit of the event's value: entries live 300 s."""
+    at = lambda k: (F.col("value") * 10 * k).alias("at")
+    row = lambda k: t.events.select("event_id", F.lit(k).alias("n"), at(k), F.concat(F.lit("q"), "event_id").alias("query"), F.lit(1).alias("limit"), F.lit("search").alias("kind"))
+    return cache.replay(row(0).unionByName(row(1)), "event_id").where("n = 1").select("event_id", "outcome")
 
 
 @query("c3_apply_sync", "SELECT source, count(*) AS n FROM (SELECT source FROM documents WHERE NOT (source = 'src2' AND lang IN ('de', 'fr')) UNION ALL SELECT source FROM documents WHERE source = 'src2' AND lang = 'de') GROUP BY source")
@@ -291,11 +331,10 @@ def e6_trace_blocks(t):
     return traces.block_means(flows, 95, 5)
 
 
-@query("e7_mixed_cache", "SELECT props, count(*) AS requests, count(*) - count(DISTINCT user_id) AS hits, round(100.0 * (count(*) - count(DISTINCT user_id)) / count(*), 6) AS hit_percent FROM events GROUP BY props")
+@query("e7_mixed_cache", f"SELECT props, count(*) AS requests, count(*) FILTER (outcome = 'hit') AS hits, round(100.0 * count(*) FILTER (outcome = 'hit') / count(*), 6) AS hit_percent FROM ({_OUTCOMES}) GROUP BY props")
 def e7_mixed_cache(t):
-    """The first request of a user and payload misses, its repeats hit."""
-    hits = F.count("*") - F.countDistinct("user_id")
-    return t.events.groupBy("props").agg(F.count("*").alias("requests"), hits.alias("hits"), F.round(100.0 * hits / F.count("*"), 6).alias("hit_percent"))
+    rows = cache.replay(requests(t, _KIND), "user_id", 1e12).join(t.events.select(F.col("event_id").alias("n"), "props"), "n")
+    return cache.hit_rates(rows, "props")
 
 
 @query("e10_control_blocks", "SELECT user_id % 2 AS variant, block, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95, count(DISTINCT event_type) = 5 AS valid FROM (SELECT *, ((k - 1) // 100) + 1 AS block, (k - 1) % 100 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) AS k FROM events)) WHERE pos >= 10 GROUP BY 1, 2")

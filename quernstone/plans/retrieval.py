@@ -148,21 +148,26 @@ def e4_weight_sweep(t):
     return evaluation.metrics(cases.join(hits, ["query_id", "weight"], "left"), "weight")
 
 
+_RERANKED = f"""rr AS (SELECT fu.query_id, fu.id, fu.rank AS place, {_OVERLAP} AS reranker_score FROM fu JOIN q ON q.query_id = fu.query_id JOIN documents d ON d.doc_id = fu.id WHERE fu.rank <= 30),
+    rf AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, place) AS rank FROM rr)"""
+
+
 @query(
     "e2_method_pivot",
-    f"""WITH {fused_sql()}, al AS (SELECT 'bm25' AS method, query_id, id, rank FROM bm UNION ALL SELECT 'semantic', query_id, id, rank FROM kn UNION ALL SELECT 'hybrid', query_id, id, rank FROM fu),
-    rk AS (SELECT m.method, q.query_id, min(rank) AS rank FROM q CROSS JOIN (VALUES ('bm25'), ('semantic'), ('hybrid')) m(method) LEFT JOIN al ON al.method = m.method AND al.query_id = q.query_id AND {_EXPECTED.replace("query_id", "q.query_id")} AND rank <= 10 GROUP BY ALL)
+    f"""WITH {fused_sql()}, {_RERANKED}, al AS (SELECT 'bm25' AS method, query_id, id, rank FROM bm UNION ALL SELECT 'semantic', query_id, id, rank FROM kn UNION ALL SELECT 'hybrid', query_id, id, rank FROM fu UNION ALL SELECT 'reranked', query_id, id, rank FROM rf),
+    rk AS (SELECT m.method, q.query_id, min(rank) AS rank FROM q CROSS JOIN (VALUES ('bm25'), ('semantic'), ('hybrid'), ('reranked')) m(method) LEFT JOIN al ON al.method = m.method AND al.query_id = q.query_id AND {_EXPECTED.replace("query_id", "q.query_id")} AND rank <= 10 GROUP BY ALL)
     SELECT method, {_M} FROM rk GROUP BY method""",
 )
 def e2_method_pivot(t):
     b, s = branches(t)
-    rows = None
-    for name, df in (("bm25", b), ("semantic", s), ("hybrid", fusion.fuse(b, s, ["id"], 0.6))):
-        part = df.select(F.lit(name).alias("method"), "query_id", "id", F.col("rank").cast("long").alias("rank"))
-        rows = part if rows is None else rows.unionByName(part)
-    hits = rows.where(_EXPECTED).where("rank <= 10").groupBy("method", "query_id").agg(F.min("rank").alias("rank"))
-    methods = t.spark.createDataFrame([("bm25",), ("semantic",), ("hybrid",)], "method string")
-    return evaluation.metrics(methods.crossJoin(batch(t).select("query_id")).join(hits, ["method", "query_id"], "left"), "method")
+    hybrid = fusion.fuse(b, s, ["id"], 0.6)
+    asked = hybrid.where(F.col("rank") <= fusion.rerank_depth(10)).select("query_id", "id", "rank").join(batch(t).select("query_id", "query"), "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    again = fusion.rerank(asked, fusion.overlap_score(F.col("query"), F.col("text")), 10).select("query_id", "id", F.col("final_rank").alias("rank"))
+    cases = batch(t).select("query_id", F.col("query_id").alias("expected"))
+    found = {}
+    for name, df in (("bm25", b), ("semantic", s), ("hybrid", hybrid), ("reranked", again)):
+        found[name] = df.where("rank <= 10").select("query_id", (F.col("id") % 10).cast("int").alias("expected"), F.col("rank").cast("long").alias("rank"))
+    return evaluation.by_method(found, cases, ["expected"])
 
 
 @query("t2_stable_sort", f"WITH {fused_sql()} SELECT query_id, id, rank FROM fu")
@@ -181,13 +186,14 @@ def r7_hashed_embedding(t):
     return hashed_embedding(t.documents, "doc_id", F.col("text")).select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
-@query("s5_postings", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {_WORD})) AS term FROM documents) GROUP BY ALL")
+@query("s5_postings", f"SELECT 'text' AS field, term, id, count(*) AS tf, length FROM (SELECT doc_id AS id, CAST(len(regexp_extract_all(lower(text), {_WORD})) AS INTEGER) AS length, unnest(regexp_extract_all(lower(text), {_WORD})) AS term FROM documents) GROUP BY ALL")
 def s5_postings(t):
-    return t.documents.select("doc_id", F.explode(analyse(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return lexical.postings(lexical.field_tokens(t.documents, ["text"], "doc_id"))
 
 
-_CASES = """cases AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:8], ' ') AS query, substr(text, 1, 60) AS prefix FROM benchmark),
-    expected AS (SELECT query_id, min(doc_id) AS id FROM cases JOIN documents ON contains(text, prefix) GROUP BY query_id)"""
+_KEY = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+_CASES = f"""cases AS (SELECT item_id AS query_id, array_to_string({_KEY}, ' ') AS query, text FROM benchmark WHERE len({_KEY}) > 0),
+    expected AS (SELECT query_id, min(doc_id) AS id FROM cases JOIN documents d ON contains(d.text, cases.text) GROUP BY query_id)"""
 
 
 @query(
@@ -196,11 +202,13 @@ _CASES = """cases AS (SELECT item_id AS query_id, array_to_string(regexp_extract
     rk AS (SELECT e.query_id, min(rank) AS rank FROM expected e LEFT JOIN bm ON bm.query_id = e.query_id AND bm.id = e.id GROUP BY e.query_id) SELECT {_M} FROM rk""",
 )
 def e1_evaluate(t):
-    """Recall of lexical search: the first words of each benchmark item against the first document that holds its beginning."""
+    """Recall of lexical search: each benchmark item asked as a whole, against the first document that holds all of it.
+
+    Documents are found by the item's rarest word run of ``lexical.HOLDS`` words, joined by hash, and the whole text is then compared.
+    """
     words = analyse(F.col("text"))
-    cases = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(words, 1, 8)).alias("query"), F.substring("text", 1, 60).alias("prefix"))
-    # the cases are a stated set; each is looked for in all texts
-    expected = t.documents.join(F.broadcast(cases), F.col("text").contains(F.col("prefix"))).groupBy("query_id").agg(F.min("doc_id").alias("id"))
+    cases = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words).alias("query"), F.col("text").alias("item")).where("query <> ''")
+    expected = lexical.holders(t.documents.select(F.col("doc_id").alias("id"), "text"), cases.select("query_id", "item")).groupBy("query_id").agg(F.min("id").alias("id"))
     queries = cases.join(expected, "query_id").select("query_id", "query")
     hits = lexical.search(symbols(t), queries, 10, {"code": 1.0}, "doc_id")
     return evaluation.metrics(evaluation.first_rank(hits, expected, ["id"]))

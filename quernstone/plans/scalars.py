@@ -37,9 +37,13 @@ def s3_language_map(t):
     return paths(t.documents).withColumn("language", X.language_of(F.col("path")))
 
 
-@query("s2_scan_hash", "SELECT page_id, sha256(html) AS content_hash, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")
+@query("s2_scan_hash", "SELECT * FROM (SELECT 'p/' || page_id || CASE page_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.TS' ELSE '.html' END AS path, CASE page_id % 3 WHEN 0 THEN 'javascript' WHEN 1 THEN 'typescript' END AS language, sha256(html) AS content_hash, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages) WHERE language IS NOT NULL")
 def s2_scan_hash(t):
-    return t.pages.select("page_id", F.sha2("html", 256).alias("content_hash"), F.octet_length("html").cast("long").alias("bytes"))
+    from ..sources.repository import described
+
+    path = F.concat(F.lit("p/"), "page_id", F.expr("CASE page_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.TS' ELSE '.html' END"))
+    rows = described(t.pages.select(path.alias("path"), F.encode("html", "utf-8").alias("content")))
+    return rows.select("path", "language", "content_hash", F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query(
@@ -51,7 +55,7 @@ def p1_is_test_path(t):
     return paths(t.documents).withColumn("is_test", X.is_test_path(F.col("path")))
 
 
-@query("p2_test_intent", "SELECT conv_id, turn, regexp_matches(lower(text), 'tests|testing|pytest|unittest|unit test|integration test|sanity check|test') AS intent FROM conversations")
+@query("p2_test_intent", "SELECT conv_id, turn, contains(lower(text), 'test') OR contains(lower(text), 'sanity check') AS intent FROM conversations")
 def p2_test_intent(t):
     return t.conversations.select("conv_id", "turn", X.has_test_intent(F.col("text")).alias("intent"))
 
@@ -143,10 +147,16 @@ def f6_any_term(t):
     return t.documents.where(F.exists(F.array(*map(F.lit, ("licensed", "rights reserved", "src1 "))), lambda term: hay.contains(term))).select("doc_id")
 
 
-@query("f7_hit_validation", "SELECT l_orderkey, l_linenumber, l_linenumber >= 1 AND l_quantity >= l_linenumber AND isfinite(l_extendedprice) AS valid FROM lineitem")
+@query(
+    "f7_hit_validation",
+    "SELECT l_orderkey, l_linenumber, coalesce(l_linenumber >= 1 AND l_suppkey >= l_linenumber AND l_partkey % 5 <> 0 AND l_partkey % 7 <> 0 AND l_shipmode IS NOT NULL, false) AS valid FROM (SELECT *, CASE WHEN l_orderkey % 4 <> 0 THEN l_returnflag END AS l_shipmode FROM lineitem)",
+)
 def f7_hit_validation(t):
-    price = F.col("l_extendedprice")
-    return t.lineitem.select("l_orderkey", "l_linenumber", ((F.col("l_linenumber") >= 1) & (F.col("l_quantity") >= F.col("l_linenumber")) & ~F.isnan(price) & (F.abs(price) < float("inf"))).alias("valid"))
+    from ..operators.hits import is_valid_hit
+
+    score = F.expr("CASE WHEN l_partkey % 5 = 0 THEN double('NaN') WHEN l_partkey % 7 = 0 THEN double('Infinity') WHEN l_partkey % 3 = 0 THEN NULL ELSE l_extendedprice END")
+    rows = t.lineitem.withColumn("path", F.expr("CASE WHEN l_orderkey % 4 <> 0 THEN l_returnflag END"))
+    return rows.select("l_orderkey", "l_linenumber", is_valid_hit(score, F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_linestatus"), F.col("path")).alias("valid"))
 
 
 @query("f8_vector_valid", "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AS valid FROM embeddings")
@@ -203,23 +213,26 @@ def t5_affected_paths(t):
 _DIFF_ROWS = "SELECT event_id, CASE event_type WHEN 'signup' THEN 'A' WHEN 'error' THEN 'D' WHEN 'click' THEN 'M' WHEN 'view' THEN 'R100' ELSE 'C075' END AS st, 'f' || user_id || '.py' AS p FROM events"
 
 
+_RECORD = "CASE event_type WHEN 'signup' THEN 'A' WHEN 'error' THEN 'D' WHEN 'click' THEN 'M' WHEN 'view' THEN 'R100' ELSE 'C075' END"
+
+
 @query(
     "c1_diff_parse",
-    f"SELECT event_id, substr(CASE WHEN st = 'C075' THEN 'A' ELSE st END, 1, 1) AS status, CASE WHEN st = 'R100' THEN 'old/' || p END AS old_path, p AS path FROM ({_DIFF_ROWS})",
+    f"""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS ordinal, CASE WHEN st = 'C075' THEN 'A' ELSE substr(st, 1, 1) END AS status, CASE WHEN st = 'R100' THEN 'old ' || event_id END AS old_path, 'f' || event_id || chr(10) || '.py' AS path
+    FROM (SELECT user_id, event_id, {_RECORD} AS st FROM events)""",
 )
 def c1_diff_parse(t):
-    """The tab form of one record a row, parsed in columns."""
-    rows = t.events.selectExpr("event_id", "CASE event_type WHEN 'signup' THEN 'A' WHEN 'error' THEN 'D' WHEN 'click' THEN 'M' WHEN 'view' THEN 'R100' ELSE 'C075' END AS st", "'f' || user_id || '.py' AS p")
-    record = F.concat_ws("\t", "st", F.when(F.col("st").isin("R100", "C075"), F.concat(F.lit("old/"), "p")), "p")
-    f = F.split(record, "\t")
-    kind = F.substring(f[0], 1, 1)
-    return rows.select("event_id", F.when(kind == "C", "A").otherwise(kind).alias("status"), F.when(kind == "R", f[1]).alias("old_path"), F.element_at(f, -1).alias("path"))
+    """A listing for each user, its records in order of the events, with paths that hold blanks and line ends."""
+    record = F.concat(F.expr(_RECORD), F.lit("\0"), F.when(F.col("event_type").isin("signup", "error", "click"), "").otherwise(F.concat(F.lit("old "), "event_id", F.lit("\0"))), F.lit("f"), "event_id", F.lit("\n.py\0"))
+    listings = t.events.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))), lambda x: x["r"]), "").alias("listing"))
+    return changes.parse_listings(listings, "user_id", "listing")
 
 
-@query("k3_anti_delete", "SELECT doc_id, source, lang FROM documents WHERE NOT (source = 'src1' AND lang IN (SELECT DISTINCT lang FROM documents WHERE doc_id < 20 AND source = 'src1'))")
+@query("k3_anti_delete", "SELECT doc_id, source, lang FROM documents WHERE NOT (source = 'src1' AND lang IN (SELECT DISTINCT lang FROM documents WHERE doc_id < 20))")
 def k3_anti_delete(t):
-    gone = t.documents.where("doc_id < 20 AND source = 'src1'").select(F.col("lang").alias("gone")).distinct()
-    return t.documents.join(gone, (F.col("source") == "src1") & (F.col("lang") == F.col("gone")), "left_anti").select("doc_id", "source", "lang")
+    docs = t.documents.select("doc_id", "source", "lang", F.substring("source", 4, 9).cast("int").alias("repository_id"), F.col("lang").alias("path"))
+    gone = t.documents.where("doc_id < 20").select(F.col("lang").alias("path"))
+    return changes.delete_paths(docs, 1, gone).select("doc_id", "source", "lang")
 
 
 @query("k2_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey % 100 = 0")
@@ -231,7 +244,10 @@ def k2_upsert(t):
 
 @query("k4_copy_except", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE source <> 'src3' GROUP BY source")
 def k4_copy_except(t):
-    return t.documents.where(F.col("source") != "src3").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    from ..operators.generations import without_repository
+
+    docs = t.documents.withColumn("repository_id", F.substring("source", 4, 9).cast("int"))
+    return without_repository(docs, 3).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 _INV = """SELECT CASE WHEN user_id % 10 = 0 THEN 'symbols' WHEN user_id % 10 = 1 THEN 'other' ELSE 'symbols_generation_' || md5(CAST(user_id AS VARCHAR)) END || '' AS name, user_id % 7 <> 0 AS present, user_id = 5 AS active, user_id % 13 = 0 AS aliased, user_id = 9 AS in_journal, user_id % 6 <> 0 AS tracked,
@@ -294,9 +310,12 @@ def f5_equality(t):
     return t.documents.where((F.col("source") == "src4") & (F.col("lang") == "en")).select("doc_id", "n_chars")
 
 
-@query("f9_query_bounds", "SELECT doc_id, length(text) BETWEEN 1 AND 4096 AND trim(text) <> '' AS accepted FROM documents")
+_ASKED = "CASE doc_id % 6 WHEN 0 THEN chr(9) || chr(10) || ' ' WHEN 1 THEN '' WHEN 2 THEN repeat('x', CAST(4090 + doc_id % 13 AS INT)) WHEN 3 THEN NULL ELSE text END"
+
+
+@query("f9_query_bounds", f"SELECT doc_id, coalesce(length(q) BETWEEN 1 AND 4096 AND regexp_matches(q, '\\S'), false) AS accepted FROM (SELECT doc_id, {_ASKED} AS q FROM documents)")
 def f9_query_bounds(t):
-    return t.documents.select("doc_id", (F.length("text").between(1, 4096) & (F.trim("text") != "")).alias("accepted"))
+    return t.documents.select("doc_id", X.is_query(F.expr(_ASKED)).alias("accepted"))
 
 
 _SOURCE = "'class A' || doc_id || ':' || chr(10) || '    def m(self):' || chr(10) || '        pass' || chr(10) || 'def f' || n_chars || '():' || chr(10) || '    return ' || doc_id"
@@ -322,8 +341,62 @@ def u2_source_audit(t):
     return audit(files).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("c8_recovery_jobs", "SELECT source, count(*) AS jobs, count(*) FILTER (quality = 0) AS blocked, CAST(coalesce(sum(n_chars) FILTER (quality = 1), 0) AS BIGINT) AS size FROM documents JOIN labels USING (doc_id) GROUP BY source")
+_PENDING = """sy AS (SELECT user_id AS repository_id, count(DISTINCT value) AS paths FROM events WHERE event_type = 'view' AND user_id % 3 <> 0 GROUP BY 1), fu AS (SELECT DISTINCT user_id AS repository_id FROM events WHERE event_type = 'error' AND user_id % 5 = 0)"""
+
+
+def pending_jobs(t):
+    from ..operators import jobs
+
+    sync = t.events.where("event_type = 'view' AND user_id % 3 <> 0").groupBy(F.col("user_id").alias("repository_id")).agg(F.collect_set(F.col("value").cast("string")).alias("affected_paths"))
+    full = t.events.where("event_type = 'error' AND user_id % 5 = 0").select(F.col("user_id").alias("repository_id")).distinct()
+    return jobs.report(sync, full, 10, True)
+
+
+@query(
+    "c8_recovery_jobs",
+    f"""WITH {_PENDING} SELECT 'sync' AS kind, repository_id, paths, CASE WHEN repository_id IN (SELECT repository_id FROM fu) THEN 'sync and full jobs conflict' ELSE 'a publication is pending' END AS blocked FROM sy
+    UNION ALL SELECT 'full', repository_id, 0, CASE WHEN repository_id IN (SELECT repository_id FROM sy) THEN 'sync and full jobs conflict' WHEN repository_id <> 10 THEN 'a publication is pending' END FROM fu""",
+)
 def c8_recovery_jobs(t):
-    rows = t.documents.join(t.labels, "doc_id")
-    bad = F.col("quality") == 0
-    return rows.groupBy("source").agg(F.count("*").alias("jobs"), F.count(F.when(bad, 1)).alias("blocked"), F.coalesce(F.sum(F.when(F.col("quality") == 1, F.col("n_chars"))), F.lit(0)).alias("size"))
+    return pending_jobs(t)
+
+
+@query(
+    "a13_job_report",
+    f"""WITH {_PENDING}, j AS (SELECT repository_id, paths, 1 AS s, 0 AS f FROM sy UNION ALL SELECT repository_id, 0, 0, 1 FROM fu)
+    SELECT repository_id, CAST(sum(paths) AS BIGINT) AS paths, CAST(sum(s) AS BIGINT) AS sync_jobs, CAST(sum(f) AS BIGINT) AS full_jobs, sum(s) > 0 AND sum(f) > 0 AS conflict FROM j GROUP BY repository_id""",
+)
+def a13_job_report(t):
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    conflict = F.coalesce(F.bool_or(F.col("blocked") == "sync and full jobs conflict"), F.lit(False))
+    return pending_jobs(t).groupBy("repository_id").agg(F.sum("paths").alias("paths"), n("sync").alias("sync_jobs"), n("full").alias("full_jobs"), conflict.alias("conflict"))
+
+
+@query("s4_source_reader", "SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN CASE WHEN doc_id % 4 = 1 THEN '# coding: latin-1' || chr(10) ELSE '' END || 'x = ' || chr(39) || 'é' || doc_id || chr(39) || chr(10) END AS text, CASE WHEN doc_id % 4 >= 2 THEN 'cannot be decoded' END AS error FROM documents")
+def s4_source_reader(t):
+    """Sources in UTF-8 with a mark, in Latin-1 by a cookie, in Latin-1 without one, and with an encoding that there is not."""
+    from ..sources.symbols import read_sources
+
+    line = F.concat(F.lit("x = 'é"), "doc_id", F.lit("'\r\n"))
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode(line, "utf-8"))
+    cookie = F.encode(F.concat(F.lit("# coding: latin-1\r\n"), line), "iso-8859-1")
+    k = F.col("doc_id") % 4
+    content = F.when(k == 0, marked).when(k == 1, cookie).when(k == 2, F.encode(line, "iso-8859-1")).otherwise(F.encode(F.concat(F.lit("# coding: none-such\n"), "doc_id"), "utf-8"))
+    return read_sources(t.documents.select("doc_id", content.alias("content")), keys=("doc_id",))
+
+
+@query("s5_symbol_scan", "SELECT d.doc_id AS id, d.lang AS kind, 'd/' || (d.doc_id // 10) AS path, CASE WHEN (d.doc_id // 10) % 2 = 0 THEN 'python' ELSE 'go' END AS language FROM documents d WHERE d.source = 'src2'")
+def s5_symbol_scan(t):
+    from ..operators.metadata import repository_symbols
+
+    symbols = t.documents.select(F.col("doc_id").alias("id"), F.substring("source", 4, 9).cast("int").alias("repository_id"), F.expr("doc_id DIV 10").alias("file_id"), F.col("lang").alias("kind"))
+    files = symbols.select(F.col("file_id").alias("id")).distinct().select("id", F.concat(F.lit("d/"), "id").alias("path"), F.when(F.col("id") % 2 == 0, "python").otherwise("go").alias("language"))
+    return repository_symbols(symbols, files, 2).select("id", "kind", "path", "language")
+
+
+@query("k5_numbered", "SELECT min(id) AS first, max(id) AS last, count(DISTINCT id) AS ids, count(*) AS n FROM (SELECT 100 + row_number() OVER () - 1 AS id FROM documents)")
+def k5_numbered(t):
+    """Ids of rows of the metadata tables, from a first one on without gaps."""
+    from ..operators.metadata import numbered
+
+    return numbered(t.documents.select("doc_id", "source"), 100, "source", "doc_id").agg(F.min("id").cast("long").alias("first"), F.max("id").cast("long").alias("last"), F.countDistinct("id").alias("ids"), F.count("*").alias("n"))

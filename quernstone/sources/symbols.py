@@ -125,3 +125,31 @@ def audit(files: DataFrame, content: str = "content", path: str = "path") -> Dat
         return pa.array(out, pa.string())
 
     return files.select(path, issue(F.col(content)).alias("issue"))
+
+
+def read_sources(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(*keys, text, error) of source bytes, by their declared encoding; text is null where they cannot be read, and error says why."""
+
+    @F.arrow_udf("struct<text:string,error:string>")
+    def read(data):
+        texts, errors = [], []
+        for b in data.to_pylist():
+            try:
+                texts.append(None if b is None else read_source(b))
+                errors.append("no content" if b is None else None)
+            except (SyntaxError, UnicodeError):
+                texts.append(None)
+                errors.append("cannot be decoded")
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["text", "error"])
+
+    return files.select(*keys, read(F.col(content)).alias("r")).select(*keys, "r.text", "r.error")
+
+
+def parse_counts(files: DataFrame, symbols: DataFrame, by: str = "repository_id", key: str = "file_id") -> DataFrame:
+    """By repository: parsed_files (Python with a text), skipped_files (all others) and symbols_indexed."""
+    parsed = (F.col("language") == "python") & F.col("text").isNotNull()
+    found = symbols.groupBy(key).agg(F.count("*").alias("_n"))
+    rows = files.join(found, key, "left")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    good = F.coalesce(parsed, F.lit(False))
+    return rows.groupBy(by).agg(n(good).alias("parsed_files"), n(~good).alias("skipped_files"), n(F.when(good, F.col("_n"))).alias("symbols_indexed"))
