@@ -12,11 +12,12 @@ from collections.abc import Callable
 from concurrent.futures import Future
 from concurrent.futures import TimeoutError as Late
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import cache_digest
 
@@ -166,17 +167,22 @@ def replay(requests: DataFrame, session: str, ttl: float = TTL_S) -> DataFrame:
     order = W.partitionBy(session).orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = requests.withColumn("epoch", F.sum((F.col("kind") == "rotate").cast("int")).over(order)).where("kind <> 'rotate'").withColumn("key", cache_digest(F.col("query"), F.col("limit")))
     schema = T.StructType([*(rows.schema[c] for c in (session, "n")), T.StructField("outcome", T.StringType())])
-
-    def run(log: pd.DataFrame) -> pd.DataFrame:
-        log, now = log.sort_values("n"), [0.0]
-        service = SearchService(lambda query, limit: [], FencedCache(ttl, lambda: now[0]))
-        outcomes = []
-        for at, query, limit, kind in zip(log["at"], log["query"], log["limit"], log["kind"], strict=True):
-            now[0] = float(at)
-            outcomes.append(service.search(query, int(limit), kind == "bypass")[1])
-        return log[[session, "n"]].assign(outcome=outcomes)
-
-    return rows.groupBy(session, "epoch", "key").applyInPandas(run, schema)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        now, held, service = [0.0], None, None
+        for batch in batches:
+            outcomes = []
+            for who, epoch, key, at, query, limit, kind in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6, 7)), strict=True):
+                if (who, epoch, key) != held:
+                    held, service = (who, epoch, key), SearchService(lambda query, limit: [], FencedCache(ttl, lambda: now[0]))
+                now[0] = at
+                outcomes.append(service.search(query, limit, kind == "bypass")[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outcomes, pa.string())], schema=arrow)
+
+    keys = [session, "epoch", "key"]
+    rows = rows.select(session, "n", "epoch", "key", F.col("at").cast("double").alias("at"), "query", F.col("limit").cast("int").alias("limit"), "kind")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(run, schema)
 
 
 def hit_rates(outcomes: DataFrame, *by: str) -> DataFrame:
