@@ -30,14 +30,25 @@ def hashing_embedder(dims: int) -> Callable[[Column], Column]:
     """A column function: the text's words hashed to ``dims`` slots, with unit length. Deterministic, needs no model."""
     from ..functions.text import analyse
 
+    def held(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body(value), with the value computed once: a lambda's variable is, while an expression in a lambda is computed for each element."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def ends(slots: Column) -> Column:
+        """Of sorted slots, each with the number of those up to its last place."""
+        marked = F.transform(slots, lambda s, k: F.when(F.coalesce(F.get(slots, k + 1) != s, F.lit(True)), F.struct(s.alias("s"), (k + 1).alias("k"))))
+        return F.filter(marked, lambda e: e.isNotNull())
+
+    def counts(ends_: Column) -> Column:
+        return F.map_from_entries(F.transform(ends_, lambda e, k: F.struct(e["s"], (e["k"] - F.coalesce(F.get(ends_, k - 1)["k"], F.lit(0))).cast("double"))))
+
+    def unit(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(F.map_values(c), F.lit(0.0), lambda acc, x: acc + x * x))
+        return held(norm, lambda n: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at(c, k.cast("int")) / n, F.lit(0.0)).cast("float")))
+
     def embed(text: Column) -> Column:
         slots = F.transform(analyse(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int"))
-        # sorted slots: the places at which each ends, and so how many there are of it
-        slots = F.array_sort(slots)
-        ends = F.filter(F.transform(slots, lambda s, k: F.when(F.coalesce(F.get(slots, k + 1) != s, F.lit(True)), F.struct(s.alias("s"), (k + 1).alias("k")))), lambda e: e.isNotNull())
-        counts = F.map_from_entries(F.transform(ends, lambda e, k: F.struct(e["s"], (e["k"] - F.coalesce(F.get(ends, k - 1)["k"], F.lit(0))).cast("double"))))
-        norm = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, x: acc + x * x))
-        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at(counts, k.cast("int")) / norm, F.lit(0.0)).cast("float"))
+        return held(F.array_sort(slots), lambda s: held(ends(s), lambda e: held(counts(e), unit)))
 
     return embed
 
