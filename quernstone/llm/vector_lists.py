@@ -10,7 +10,7 @@ is nearer to one already chosen than to the vector.
 
 A query finds centroids in an in-memory neighbour graph. It searches its nearest lists first, and then those
 whose centroid is within a ratio of the nearest one's distance, but for lists that its k-th answer so far rules out: a
-list's widest angle about its centroid bounds the scores in it. The ratio is measured, not guessed: up to ``TRIAL_QUERIES`` queries are
+list's widest angle about its centroid bounds the scores in it. A query that has fewer answers than asked for by then looks into all lists. The ratio is measured, not guessed: up to ``TRIAL_QUERIES`` queries are
 answered by brute force over all rows (one pass, each task keeping k a query), and the ratio is the smallest that reaches the share ``target`` of their
 true neighbours. So vectors without clusters are searched widely and clustered ones narrowly, with one recall. Without a
 ``target`` no ratio applies, and the answers are the exact ones.
@@ -228,6 +228,14 @@ def fit(vectors: np.ndarray, greatest: float, rows: int, list_rows: int = LIST_R
     return lists
 
 
+def without_empty(lists: Lists, sizes: np.ndarray) -> tuple[Lists, np.ndarray]:
+    """(the lists that have vectors, their numbers): what queries are to find."""
+    live = np.flatnonzero(sizes)
+    coarse = np.unique(lists.coarse[live], return_inverse=True)[1]
+    centroids = lists.centroids[live]
+    return Lists(centroids, neighbour_graph(centroids, coarse), np.unique(np.linspace(0, len(live) - 1, min(len(live), 48)).astype(np.int64)), lists.greatest, coarse), live
+
+
 def blocks_of(centroids: np.ndarray, sizes: np.ndarray, chunk: int, coarse: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(block of each list, chunks of each block): neighbouring lists, of one coarse cluster, share a block; a list over ``chunk`` has its own."""
     k = len(sizes)
@@ -295,6 +303,7 @@ def measured_ratio(rows: DataFrame, postings: DataFrame, asking: DataFrame, list
     got = postings.select("list", "i").join(F.broadcast(true), "i").select("q", "i", "list").toArrow()
     place = {int(i): n for n, i in enumerate(trial.column("i").to_pylist())}
     dist = np.sqrt(_squares(lists.asked(_matrix(trial.column("v").combine_chunks())), lists.centroids))
+    dist[:, sizes == 0] = np.inf
     nearest = dist.min(axis=1)
     order = np.argsort(np.argsort(dist, axis=1, kind="stable"), axis=1, kind="stable")
     need: dict[tuple[int, int], float] = {}
@@ -342,13 +351,16 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     block, chunks = blocks_of(lists.centroids, sizes, chunk, lists.coarse)
     asking = rows.where(is_query)
     ratio = np.inf if target is None else measured_ratio(rows, postings, asking, lists, sizes, k, target, first_lists)
-    told = spark.sparkContext.broadcast((sizes, widest, block))
+    found_in, live = without_empty(lists, sizes)
+    told = spark.sparkContext.broadcast((found_in, widest[live], block[live]))
+
+    n_blocks = len(chunks)
 
     def probing(first: bool):
         """A map from queries to the blocks of their first lists, or to those of the other ones within the ratio that may add to their answers."""
 
         def probe(batches):
-            held, (sizes, widest, block) = shared.value, told.value
+            held, widest, block = told.value
             ways = held.directions()
             for batch in batches:
                 vectors = _matrix(batch.column(1))
@@ -358,15 +370,19 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                     part = q[a : a + 512]
                     r, c, place = within_ratio(held, part, 0.0 if first else ratio, first_lists)
                     if first:
-                        goes = (place < first_lists) & (sizes[c] > 0)
+                        goes = place < first_lists
                     else:
+                        lacking = np.flatnonzero(np.isneginf(low[a : a + 512]))  # fewer than k answers so far: these look into all lists
+                        enough = ~np.isin(r, lacking)
+                        r = np.concatenate([r[enough], np.repeat(lacking, len(held.centroids))])
+                        c = np.concatenate([c[enough], np.tile(np.arange(len(held.centroids)), len(lacking))])
                         angle = np.arccos(np.clip((part[r] * ways[c]).sum(axis=1), -1, 1)) - widest[c]
                         most = np.cos(np.maximum(angle, 0)) * held.greatest * length[a + r]
-                        goes = (sizes[c] > 0) & (most >= low[a + r] - 1e-9 * np.maximum(1, np.abs(most)))
+                        goes = most >= low[a + r] - 1e-9 * np.maximum(1, np.abs(most))
                     mine = had[a : a + 512]
-                    begun = np.repeat(np.arange(len(part)), mine.value_lengths().to_numpy()) * len(held.centroids) + mine.flatten().to_numpy()
-                    pairs = np.setdiff1d(r[goes] * len(held.centroids) + block[c[goes]], begun)  # there are no more blocks than lists
-                    at, to = pairs // len(held.centroids), pairs % len(held.centroids)
+                    begun = np.repeat(np.arange(len(part)), mine.value_lengths().to_numpy()) * n_blocks + mine.flatten().to_numpy()
+                    pairs = np.setdiff1d(r[goes] * n_blocks + block[c[goes]], begun)
+                    at, to = pairs // n_blocks, pairs % n_blocks
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(batch.column(x).take(pa.array(a + at, pa.int64())) for x in range(3))], names=["block", "i", "v", "low"])
 
         return probe
@@ -417,7 +433,7 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     # the k-th of the first lists' answers bounds what the others can add
     lows = begun.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("low"))
     had = sent.groupBy("i").agg(F.collect_list("block").alias("had"))
-    more, _ = found(asking.join(had, "i").join(lows, F.col("i") == F.col("q"), "left").select("i", "v", F.coalesce("low", F.lit(float("-inf"))).alias("low"), "had"), False)
+    more, _ = found(asking.join(had, "i", "left").withColumn("had", F.coalesce("had", F.array().cast("array<int>"))).join(lows, F.col("i") == F.col("q"), "left").select("i", "v", F.coalesce("low", F.lit(float("-inf"))).alias("low"), "had"), False)
     best = begun.unionByName(more).groupBy("q", "i").agg(F.max("score").alias("score"))
     return ranked(best).select(F.col("q").alias("query_id"), "rank", F.col("i").alias("vec_id"), "score")
 

@@ -70,3 +70,29 @@ def test_two_levels_of_lists(monkeypatch):
     assert len(want & got) >= 0.97 * len(want)
     block, chunks = vector_lists.blocks_of(lists.centroids, np.full(len(lists.centroids), 20), 100, lists.coarse)
     assert all(len(set(lists.coarse[block == b])) == 1 for b in range(len(chunks)))
+
+
+def test_empty_lists_and_few_answers(spark, monkeypatch):
+    """Every query has its answers, however many lists near it are empty or small."""
+    whole = vector_lists.fit
+
+    def with_empty(vectors, greatest, rows, **options):
+        lists = whole(vectors, greatest, rows, **options)
+        queries = lists.asked(v[:40])
+        lists.centroids = np.concatenate([lists.centroids, queries + 1e-3])  # near queries, and far from all vectors on the sphere
+        lists.coarse = np.zeros(len(lists.centroids), np.int64)
+        lists.graph = vector_lists.neighbour_graph(lists.centroids, lists.coarse)
+        return lists
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 16)) * np.exp(2 * rng.normal(size=(4000, 1)))
+    monkeypatch.setattr(vector_lists, "fit", with_empty)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = vector_lists.nearest(df, F.col("i") < 40, target=0.9, chunk=8, first_lists=1).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == 40
+    hit = 0
+    for q in range(40):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(set(got[got["query_id"] == q]["vec_id"]) & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 800 > 0.8
