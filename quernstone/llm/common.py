@@ -25,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_root[app] = tempfile.mkdtemp(prefix="quernstone-")
     return _own_root[app]

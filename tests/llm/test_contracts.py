@@ -603,6 +603,21 @@ def test_scratch_tables_are_on_the_shared_folder(spark):
     assert df.count() == 3 and "/shared" in df.inputFiles()[0]
 
 
+@pytest.mark.parametrize(("master", "own"), [("local", True), ("local[8]", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)])
+def test_only_a_local_master_gets_a_folder_of_its_own(master, own):
+    from types import SimpleNamespace
+
+    from quernstone.llm.common import shared_root
+
+    unset = SimpleNamespace(get=lambda name, default: default)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(applicationId=f"app-{master}", master=master))
+    if own:
+        assert shared_root(session) == shared_root(session)
+    else:
+        with pytest.raises(ValueError):
+            shared_root(session)
+
+
 def test_whole_licence_texts_and_templates_from_a_table(spark):
     """Texts of any length, with changed, left out and added words; a scan in Python of every diagonal says the same."""
     import random
