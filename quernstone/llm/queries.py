@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import arc_convert, decontaminate, hard_negatives, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, turn_repair, url_filter, vector_lists
+from . import arc_convert, decontaminate, hard_negatives, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, toxicity, turn_repair, url_filter, vector_lists
 from .common import narrow_batches
 
-_MODULES = (arc_convert, decontaminate, hard_negatives, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, turn_repair, url_filter, vector_lists)
+_MODULES = (arc_convert, decontaminate, hard_negatives, html_extract, language_id, license_scan, near_dedup, packing, suffix_dedup, toxicity, turn_repair, url_filter, vector_lists)
 
 
 def _narrowed(query):
