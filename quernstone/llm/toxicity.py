@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +50,9 @@ SPELT = re.compile(rf"(?<![a-z0-9]){_SIGN}(?:[ \t.\-_~,'/]{{1,3}}{_SIGN}){{2,}}(
 _BEFORE, _AFTER = ".,;:?([{<\"'_-~^*/\\%&#=", ".,;:?!)]}>\"'_-~^*/\\%&#="
 _MIXED = re.compile(rf"[a-z][0-9{_MARKS}]|[0-9{_MARKS}][a-z]|([a-z])\1\1|(?<![a-z])[a-z]{{1,2}}[._\-~^'][a-z]|[a-z][._\-~^'][a-z]{{1,2}}(?![a-z])")
 _WORDS = re.compile("[a-z]+")
+_RUN = re.compile(r"([a-z])\1\1")
 #: Costs of the channel.
-COSTS = {"leet": 1.0, "sign ends": 5.0, "sign goes": 9.0, "joined": 0.5, "ends": 4.0, "far joined": 4.0, "run to one": 0.0, "run to two": 1.0, "two to one": 6.0}
+COSTS = {"leet": 1.0, "sign ends": 8.0, "sign goes": 9.0, "joined": 0.5, "ends": 4.0, "far joined": 4.0, "run to one": 0.0, "run to two": 1.0, "two to one": 6.0}
 
 LETTERS, CONTEXT = 28, 3
 CELLS = LETTERS ** (CONTEXT + 1)
@@ -79,10 +81,10 @@ def counted(text: str, counts: np.ndarray) -> None:
     for a in range(0, len(text), 1 << 20):
         # a cut word counts as two
         points = np.frombuffer(text[a : a + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.concatenate([[0], _CODE[np.minimum(points, (1 << 16) - 1)], [0]]).astype(np.int64)
-        p1 = np.concatenate([[0], code[:-1]])
-        p2 = np.where(p1 == 0, 0, np.concatenate([[0, 0], code[:-2]]))
-        p3 = np.where(p2 == 0, 0, np.concatenate([[0, 0, 0], code[:-3]])[: len(code)])
+        code = np.concatenate([[0], _CODE[np.minimum(points, (1 << 16) - 1)], [0]]).astype(np.int32)
+        p1 = np.concatenate([[0], code[:-1]]).astype(np.int32)
+        p2 = np.where(p1 == 0, 0, np.concatenate([[0, 0], code[:-2]])).astype(np.int32)
+        p3 = np.where(p2 == 0, 0, np.concatenate([[0, 0, 0], code[:-3]])[: len(code)]).astype(np.int32)
         use = (code > 0) | (p1 > 0)
         cell = ((p3 * LETTERS + p2) * LETTERS + p1) * LETTERS + code
         counts += np.bincount(cell[use], minlength=CELLS)
@@ -181,10 +183,17 @@ class Restorer:
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the restored text."""
         plain = folded(text)
-        tokens = {self._token(t) for t in set(plain.split())}
-        for m in SPELT.finditer(plain):
-            tokens.add(self.spelt(m.group()))
-        return {w for t in tokens for w in _WORDS.findall(t)}
+        runs, out, other = _RUN.search(plain) is not None, set(), []
+        for t in set(plain.split()):
+            core = t if t.isalpha() else t.lstrip(_BEFORE).rstrip(_AFTER)
+            if core.isalpha() and core.isascii() and not (runs and _RUN.search(core)):
+                out.add(core)
+            elif core:
+                other.append(self._token(t))
+        other += [self.spelt(m.group()) for m in SPELT.finditer(plain)]
+        for t in other:
+            out.update(_WORDS.findall(t))
+        return out
 
 
 def pieces(word: str) -> Iterator[str]:
@@ -196,6 +205,20 @@ def pieces(word: str) -> Iterator[str]:
             yield whole[k : k + PIECE]
 
 
+class Finder:
+    """Which of some pieces a set of words has, by one automaton."""
+
+    def __init__(self, names: Iterable[str]):
+        self.automaton = ahocorasick.Automaton()
+        for name in names:
+            self.automaton.add_word(name, name)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def found(self, words: Iterable[str]) -> set[str]:
+        return {name for _, name in self.automaton.iter("^" + "$^".join(words) + "$")} if len(self.automaton) else set()
+
+
 # -- learning
 
 
@@ -220,8 +243,14 @@ def count_cells(docs: DataFrame) -> np.ndarray:
     def run(batches):
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
+            held, size = [], 0
             for text in batch.column(0).to_pylist():
-                counted(folded(text), counts)
+                held.append(folded(text))
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    counted("\n".join(held), counts)
+                    held, size = [], 0
+            counted("\n".join(held), counts)
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(counts[cells])], names=["cell", "n"])
         release_memory()
@@ -248,7 +277,8 @@ def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[DataF
     share = {k: kept[k] / counts[k] for k in kept if counts.get(k)}
     key = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = told.where(key < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    return docs.select("doc_id", "text").join(taken, "doc_id").select("text", "toxic"), {k: 1 / s for k, s in share.items()}
+    # about ``sample_rows`` ids
+    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "toxic"), {k: 1 / s for k, s in share.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, rounds: int = 300) -> Scorer:
@@ -264,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_copy_key(folded(t)) for t in texts], pa.int64()), pa.array([sorted(restorer.words(t)) for t in texts], pa.list_(pa.string()))], names=["toxic", "copy", "words"])
 
-    rows = materialise(sample.mapInArrow(restore, "toxic int, copy long, words array<string>").groupBy("toxic", "copy").agg(F.first("words").alias("words")), "labelled")
+    rows = materialise(sample.mapInArrow(restore, "toxic int, copy long, words array<string>").groupBy("toxic", "copy").agg(F.min("words").alias("words")), "labelled")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n:
         return scorer
@@ -291,14 +321,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
 
     def match(batches):
         at = place.value
+        finder = Finder(at)
         for batch in batches:
-            hits = [sorted({at[p] for w in words for p in pieces(w) if p in at}) for words in batch.column(1).to_pylist()]
+            hits = [sorted(at[p] for p in finder.found(words)) for words in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "at"])
 
     # a number for each piece that a sample's row has
-    got = rows.select("toxic", "words").mapInArrow(match, "toxic int, at array<int>").orderBy("toxic", "at").toArrow()
-    y = got.column("toxic").to_numpy().astype(float)
-    scorer.bias, weights = _regression(got.column("at").to_pylist(), y, np.where(y == 1, stands_for[1], stands_for[0]), len(names), rounds)
+    got = rows.select("toxic", "words").mapInArrow(match, "toxic int, at array<int>").toArrow()
+    told = sorted(zip(got.column("toxic").to_pylist(), got.column("at").to_pylist(), strict=True))
+    y = np.array([t for t, _ in told], float)
+    scorer.bias, weights = _regression([a for _, a in told], y, np.where(y == 1, stands_for[1], stands_for[0]), len(names), rounds)
     scorer.weights = dict(zip(names, weights.tolist(), strict=True))
     return scorer
 
@@ -330,19 +362,9 @@ def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         held: Scorer = shared.value
-        restorer, known = Restorer(held.model), {}
+        restorer, finder = Restorer(held.model), Finder(held.weights)
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                found: set[str] = set()
-                for w in restorer.words(text):
-                    hits = known.get(w)
-                    if hits is None:
-                        if len(known) >= restorer.remember:
-                            known.clear()
-                        known[w] = hits = tuple(p for p in pieces(w) if p in held.weights)
-                    found.update(hits)
-                out.append(held.score(sorted(found)))
+            out = [held.score(sorted(finder.found(restorer.words(text)))) for text in batch.column(2).to_pylist()]
             score = np.array(out, float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= TOXIC_AT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
         release_memory()
