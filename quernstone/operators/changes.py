@@ -83,12 +83,16 @@ def classify(changes: DataFrame, files: DataFrame, present: DataFrame | None = N
     return rows.select("ordinal", "status", "old_path", "path", supported.alias("supported"), action.alias("action"))
 
 
+#: What a sync counts.
+COUNTERS = ("files_added", "files_modified", "files_deleted", "files_renamed", "files_parsed")
+
+
 def counters(classified: DataFrame) -> DataFrame:
     """One row of sync counters."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
     a = F.col("action")
     python = F.col("path").endswith(".py") & a.isin("add", "modify", "rename", "replace")
-    return classified.agg(n(a == "add").alias("files_added"), n(a == "modify").alias("files_modified"), n(a == "delete").alias("files_deleted"), n(F.col("status") == "R").alias("files_renamed"), n(python).alias("files_parsed"))
+    return classified.agg(*(c.alias(name) for name, c in zip(COUNTERS, (n(a == "add"), n(a == "modify"), n(a == "delete"), n(F.col("status") == "R"), n(python)), strict=True)))
 
 
 def affected_paths(changes: DataFrame) -> DataFrame:
@@ -97,6 +101,14 @@ def affected_paths(changes: DataFrame) -> DataFrame:
     return both.distinct().orderBy("path")
 
 
+#: Paths of a change set up to this number are broadcast.
+BROADCAST_PATHS = 200_000
+
+
+def are_few(paths: DataFrame) -> bool:
+    return paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+
+
 def delete_paths(docs: DataFrame, repository_id: int, paths: DataFrame) -> DataFrame:
     """Without the repository's documents at these paths."""
     gone = paths.select(F.col("path").alias("_gone")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rank import recall_at, reciprocal
+from ..functions.rank import BUCKET_ROWS, before_buckets, dealt, recall_at, reciprocal, same
 
 DEPTHS = (1, 3, 5, 10)
 WEIGHTS = tuple(round(0.5 + 0.05 * k, 2) for k in range(11))
@@ -56,45 +56,71 @@ def best_weight(scores: DataFrame) -> DataFrame:
     return scores.groupBy().agg(F.max_by(F.struct(*scores.columns), order).alias("b")).select("b.*")
 
 
-def floor_percentiles(rows: DataFrame, value: Column, shares: dict[str, float], *by: str) -> DataFrame:
-    """By group, under the names of ``shares``: the element at floor((n - 1) * share) of its sorted values without nulls.
+def order_statistics(rows: DataFrame, value: Column, places: dict[str, Callable[[Column], Column]], *by: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """By group, under the names of ``places``: the element at a place, from 0 and given the number of values, of the group's sorted values without nulls.
 
-    Equal values are counted before they are sorted, and the sort spills: no group is held in a row.
+    Equal values are counted first. A group of very many different ones is cut into buckets; the buckets' counts say which of them has the element, and only that one is sorted.
     """
-    counted = rows.select(*by, value.alias("_value")).where("_value IS NOT NULL").groupBy(*by, "_value").agg(F.count("*").alias("_n"))
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
-    return placed.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * F.lit(p)), F.col("_value"))).alias(name) for name, p in shares.items()))
-
-
-def with_percentiles(summary: DataFrame, rows: DataFrame, value: Column, shares: dict[str, float], *by: str) -> DataFrame:
-    """A summary by group with its floor percentiles; null where a group has no values."""
-    found = floor_percentiles(rows, value, shares, *by)
+    group = list(by) or ["_whole"]
+    rows = rows if by else rows.withColumn("_whole", F.lit(0))
+    counted = rows.select(*group, value.alias("_value")).where("_value IS NOT NULL").groupBy(*group, "_value").agg(F.count("*").alias("_n"))
+    counted, cut = dealt(counted, group, [F.col("_value")], bucket_rows)
+    at = lambda whole: {name: place(whole) for name, place in places.items()}
+    if not cut:
+        window = W.partitionBy(*group)
+        counted = counted.withColumns({"_upto": F.sum("_n").over(window.orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)), "_all": F.sum("_n").over(window)})
+        out = counted.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") > place, F.col("_value"))).alias(name) for name, place in at(F.col("_all")).items()))
+        return out if by else out.drop("_whole")
+    sizes = before_buckets(counted.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_size")), group)
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in at(F.col("_all")).items()))
+    wanted = sizes.select(*group, "_bucket", "_before", "_size", F.explode(asked).alias("a")).where((F.col("a.place") >= F.col("_before")) & (F.col("a.place") < F.col("_before") + F.col("_size")))
+    wanted = wanted.groupBy(*(F.col(c).alias(f"_of_{c}") for c in group), F.col("_bucket").alias("_b")).agg(F.first("_before").alias("_before"), F.collect_list("a").alias("_asked"))
+    picked = counted.join(wanted, same(group) & (F.col("_bucket") == F.col("_b"))).drop(*(f"_of_{c}" for c in group))
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*group, "_bucket").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    picked = picked.withColumn("_upto", upto).select(*group, "_value", "_n", "_upto", F.explode("_asked").alias("a"))
+    hit = (F.col("a.place") < F.col("_upto")) & (F.col("a.place") >= F.col("_upto") - F.col("_n"))
+    out = picked.where(hit).groupBy(*group).agg(*(F.max(F.when(F.col("a.name") == name, F.col("_value"))).alias(name) for name in places))
+    return out if by else out.drop("_whole")
+
+
+def floor_percentiles(rows: DataFrame, value: Column, shares: dict[str, float], *by: str, **how) -> DataFrame:
+    """By group, under the names of ``shares``: the element at floor((n - 1) * share) of its sorted values without nulls."""
+    return order_statistics(rows, value, {name: (lambda n, p=p: F.floor((n - 1) * F.lit(p))) for name, p in shares.items()}, *by, **how)
+
+
+#: The two middle elements; they are one where their number is odd.
+MIDDLE = {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.floor(n / 2)}
+
+
+def with_percentiles(summary: DataFrame, rows: DataFrame, value: Column, shares: dict[str, float], *by: str, median: str | None = None, **how) -> DataFrame:
+    """A summary by group with its floor percentiles and, under the name ``median``, the mean of its middle elements; null where a group has no values."""
+    places = {name: (lambda n, p=p: F.floor((n - 1) * F.lit(p))) for name, p in shares.items()}
+    found = order_statistics(rows, value, {**places, **(MIDDLE if median else {})}, *by, **how)
+    if median:
+        found = found.withColumn(median, (F.col("_lower") + F.col("_upper")) / 2).drop(*MIDDLE)
     if not by:
         return summary.crossJoin(F.broadcast(found))
-    found = found.select(*(F.col(c).alias(f"_{c}") for c in by), *shares)
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    return summary.join(found, functools.reduce(lambda a, b: a & b, on), "left").drop(*(f"_{c}" for c in by))
+    found = found.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return summary.join(found, same(list(by)), "left").drop(*(f"_of_{c}" for c in by))
 
 
-def latency_summary(rows: DataFrame, value: Column, *by: str) -> DataFrame:
+def latency_summary(rows: DataFrame, value: Column, *by: str, **how) -> DataFrame:
     """Count, mean, median, extremes and floor-index percentiles."""
-    summary = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high"))
-    out = with_percentiles(summary, rows, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *by)
-    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")})
+    summary = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high"))
+    out = with_percentiles(summary, rows, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, *by, median="median", **how)
+    return out.withColumns({c: F.round(c, 6) for c in ("median", "p50", "p95", "p99")})
 
 
-def level_summary(rows: DataFrame, value: Column, failed: Column, seconds: Column, *by: str) -> DataFrame:
+def level_summary(rows: DataFrame, value: Column, failed: Column, seconds: Column, *by: str, **how) -> DataFrame:
     """By concurrency level: requests that succeeded and failed, the succeeded ones' latencies, and how many of them a second."""
     good = rows.withColumn("_good", ~failed)
     latency = F.when(F.col("_good"), value)
     summary = good.groupBy(*by).agg(
-        F.count(F.when(F.col("_good"), 1)).alias("success"), F.count(F.when(~F.col("_good"), 1)).alias("failed"), F.round(F.avg(latency), 6).alias("mean"), F.round(F.median(latency), 6).alias("median"),
+        F.count(F.when(F.col("_good"), 1)).alias("success"), F.count(F.when(~F.col("_good"), 1)).alias("failed"), F.round(F.avg(latency), 6).alias("mean"),
         F.round(F.min(latency), 6).alias("low"), F.round(F.max(latency), 6).alias("high"), F.round(F.count(F.when(F.col("_good"), 1)) / seconds, 6).alias("per_second"),
     )
-    out = with_percentiles(summary, good.withColumn("_latency", latency), F.col("_latency"), {"p95": 0.95, "p99": 0.99}, *by)
-    return out.withColumns({c: F.round(c, 6) for c in ("p95", "p99")})
+    out = with_percentiles(summary, good.withColumn("_latency", latency), F.col("_latency"), {"p95": 0.95, "p99": 0.99}, *by, median="median", **how)
+    return out.withColumns({c: F.round(c, 6) for c in ("median", "p95", "p99")})
 
 
 def burst_accounting(requests: DataFrame, key: str, *burst: str) -> DataFrame:

@@ -12,15 +12,16 @@ from pyspark.sql import SparkSession
 
 
 class Folder:
-    """Records are replaced whole: a reader sees the old one or the new one."""
+    """Records are replaced whole: a reader sees the old one or the new one. On a cluster a ``file:`` folder is taken to be one that is mounted everywhere."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.uri = spark, root.rstrip("/")
         scheme, _, rest = root.partition("://")
-        self.local = Path(rest if scheme == "file" else root[5:] if root.startswith("file:") else root) if not rest or scheme == "file" else None
+        cluster = not spark.sparkContext.master.startswith("local")
+        if cluster and ":" not in root.split("/")[0]:
+            raise ValueError("on a cluster the folder must be one that all executors share: give it with its scheme")
+        self.local = None if cluster or rest and scheme != "file" else Path(rest if scheme == "file" else root[5:] if root.startswith("file:") else root)
         if self.local is not None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("on a cluster the folder must be one that all executors share: give it with its scheme")
             self.local.mkdir(parents=True, exist_ok=True)
         else:
             jvm = spark.sparkContext._jvm

@@ -1,8 +1,8 @@
-"""Immutable generations of the search documents, an atomic pointer, and retention.
+"""Immutable generations of the engine's tables, an atomic pointer, and retention.
 
-A generation is a directory of Parquet tables. It is written whole, read back and
-counted, and only then becomes current by replacing the pointer file, so readers
-see one generation or the other. A journal says what publication is under way and whose: one that was
+A generation is a segment of new rows, a directory of Parquet tables, and a manifest that names the segments each table is made of (``segments``). It is
+written, read back and counted, and only then becomes current by replacing the pointer file, so readers
+see one generation or the other, in all tables. A journal says what publication is under way and whose: one that was
 stopped while it was built is abandoned, one that was ready or published is resumed, by its owner, before anything else is published.
 """
 
@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_generation_name
+from . import segments
 from .folder import Folder
 
 #: The reasons that protect a generation, in the order they are listed in; the eighth is followed by the state.
@@ -23,7 +24,9 @@ REASONS = (
     "legacy index", "active index", "referenced by an alias", "publication journal reference", "outside managed generation naming", "index absent", "untracked lifecycle", "lifecycle state",
     "unverified recorded identity", "index identity changed", "inactive timestamp unknown", "inactive grace period", "unverified live identity", "retained published generation",
 )
-JOURNAL, POINTER, LIFECYCLE, IDENTITY = "publication.json", "current.json", "lifecycle.json", "identity.json"
+JOURNAL, POINTER, LIFECYCLE, IDENTITY, MANIFEST = "publication.json", "current.json", "lifecycle.json", "identity.json", "manifest.json"
+#: A table to write: its rows, or how they follow from tables of the same commit that have been written before it.
+Source = DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]
 
 
 class PublicationPending(RuntimeError):
@@ -44,15 +47,25 @@ class GenerationStore:
         pointer = self.folder.read(POINTER)
         if pointer is None:
             return None
+        if not isinstance(pointer, dict) or not isinstance(pointer.get("name"), str):
+            raise ValueError("the pointer to the published generation is malformed")
         if not self.folder.exists(pointer["name"]):
             raise FileNotFoundError(f"the published generation {pointer['name']} is missing")
         return pointer["name"]
 
+    def manifest(self, name: str | None = None) -> dict:
+        """A generation's manifest, by default the current one's; without any generation an empty one."""
+        name = name or self.current()
+        return segments.empty() if name is None else self.folder.read(f"{name}/{MANIFEST}")
+
+    def reader(self, name: str | None = None) -> segments.Reader:
+        return segments.Reader(self.spark, self.manifest(name), self.folder.at)
+
     def read(self, table: str = "docs", name: str | None = None) -> DataFrame:
         name = name or self.current()
         if name is None:
             raise FileNotFoundError("no generation has been published")
-        return self.spark.read.parquet(self.folder.at(name, table))
+        return self.reader(name).rows(table)
 
     def lifecycle(self) -> dict[str, dict]:
         return self.folder.read(LIFECYCLE) or {}
@@ -92,9 +105,15 @@ class GenerationStore:
             return None
         return self._finish(job, after, fail_at)
 
-    def publish(self, tables: dict[str, DataFrame], counts: dict[str, int] | None = None, after: Callable[[], None] | None = None, fail_at: str | None = None, repository_id: int | None = None) -> str:
+    def publish(
+        self, tables: dict[str, Source], counts: dict[str, int] | None = None, after: Callable[[], None] | None = None, fail_at: str | None = None, repository_id: int | None = None,
+        appended: Iterable[str] = (), dead: dict[str, DataFrame] | None = None, merged: Iterable[str] = (), marks: dict | None = None, purpose: str | None = None,
+    ) -> str:
         """Write, verify and publish a generation. ``after`` (cache rotation) runs before the journal is dropped.
 
+        ``tables`` replace those of the current generation, or add rows to them where ``appended``; other tables stay. ``dead``: rows (segment, key) of the current one
+        that no longer count. ``merged``: segments that ``tables`` stand for. ``marks``: what this commit has done, for the manifest; all of it holds from one moment on.
+
         A publication that is ready or published already is not this one, and tables may have been derived from what it replaces: resume it first.
         """
         job = self.pending()
@@ -102,22 +121,36 @@ class GenerationStore:
             raise PublicationPending("a prepared publication is to be resumed first")
         if job:
             self.resume(after, repository_id)
-        job = {"name": f"{self.legacy}_generation_{uuid.uuid4().hex}", "source": self.current(), "phase": "building", "repository_id": repository_id, "counts": {}}
+        name, source = f"{self.legacy}_generation_{uuid.uuid4().hex}", self.current()
+        job = {"name": name, "source": source, "phase": "building", "repository_id": repository_id, "purpose": purpose, "counts": {}}
         self.folder.write(JOURNAL, job)
-        self._mark(job["name"], "building", repository_id=repository_id)
+        self._mark(name, "building", repository_id=repository_id)
+        gone: dict[str, dict[str, int]] = {}
+        for table, df in (dead or {}).items():
+            df.select("segment", F.col("key").cast("long").alias("key")).distinct().write.parquet(self.folder.at(name, f"{table}.dead"))
+            written = self._own(name, f"{table}.dead")
+            gone[table] = {r["segment"]: r["count"] for r in written.groupBy("segment").count().collect()}  # as many rows as segments
+            job["counts"][f"{table}.dead"] = sum(gone[table].values())
         for table, df in tables.items():
-            df.write.parquet(self.folder.at(job["name"], table))
-            n = self.read(table, job["name"]).count()
+            df = df if isinstance(df, DataFrame) else df(lambda t: self._own(name, t))
+            df.write.parquet(self.folder.at(name, table))
+            n = self._own(name, table).count()
             want = (counts or {}).get(table, n)
             if n != want:
                 raise RuntimeError(f"{table} has {n} rows, expected {want}")
             job["counts"][table] = n
-        self.folder.write(f"{job['name']}/{IDENTITY}", {"uuid": self.lifecycle()[job["name"]]["uuid"]})
+        added = {t: job["counts"][t] for t in tables}
+        self.folder.write(f"{name}/{MANIFEST}", segments.following(self.manifest(source), name, added, gone, appended, merged, marks))
+        self.folder.write(f"{name}/{IDENTITY}", {"uuid": self.lifecycle()[name]["uuid"]})
         self._fail(fail_at, "built")
         job["phase"] = "ready"
         self.folder.write(JOURNAL, job)
         return self._finish(job, after, fail_at)
 
+    def _own(self, name: str, table: str) -> DataFrame:
+        """A table of a generation's own segment."""
+        return self.spark.read.parquet(self.folder.at(name, table))
+
     def _finish(self, job: dict, after: Callable[[], None] | None, fail_at: str | None) -> str:
         name, source = job["name"], job["source"]
         now = self.current()
@@ -128,7 +161,7 @@ class GenerationStore:
                 if known:
                     self.verify(known)
             for table, n in job["counts"].items():
-                if self.read(table, name).count() != n:
+                if self._own(name, table).count() != n:
                     raise RuntimeError(f"the prepared {table} has changed")
             self._fail(fail_at, "ready")
             self.folder.write(POINTER, {"name": name})

@@ -30,7 +30,7 @@ class Journal:
             return found
         if kind == "sync" and self.pending("full", repository_id):
             raise RuntimeError("a full index of the repository is pending")
-        job = {"repository_id": repository_id, **job}
+        job = {"repository_id": repository_id, "id": uuid.uuid4().hex, **job}
         part = self.root / uuid.uuid4().hex
         part.write_text(json.dumps(job, allow_nan=False))
         os.replace(part, self._path(kind, repository_id))

@@ -44,6 +44,24 @@ def field_stats(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_length"))
 
 
+def field_totals(tokens: DataFrame) -> DataFrame:
+    """(field, n_docs, length), which can be added up over parts of a corpus."""
+    return tokens.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum(F.size("tokens").cast("long")).alias("length"))
+
+
+def stats_of(totals: DataFrame) -> DataFrame:
+    """(field, n_docs, avg_length) of added-up totals."""
+    return totals.select("field", "n_docs", (F.col("length") / F.col("n_docs")).alias("avg_length"))
+
+
+def less(added: DataFrame, taken: DataFrame, *by: str) -> DataFrame:
+    """Sums of what was added without those of what was taken out: differences by group, those of 0 left out."""
+    measures = [c for c in added.columns if c not in by]
+    minus = taken.withColumns({c: -F.col(c) for c in measures})
+    out = added.unionByName(minus).groupBy(*by).agg(*(F.sum(c).alias(c) for c in measures))
+    return out.where(" OR ".join(f"{c} <> 0" for c in measures))
+
+
 def document_frequencies(post: DataFrame) -> DataFrame:
     """(field, term, df) of postings, to be stored beside them."""
     return post.groupBy("field", "term").agg(F.count("*").alias("df"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import fcntl
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import ExitStack, contextmanager
 from pathlib import Path
 
@@ -30,10 +30,10 @@ def _held(path: Path, exclusive: bool) -> Iterator[None]:
 
 
 @contextmanager
-def writer(root: str, repository_id: int | None, publication: bool = False, pending: dict | None = None) -> Iterator[None]:
+def writer(root: str, repository_id: int | None, publication: bool = False, pending: Callable[[], dict | None] | None = None) -> Iterator[None]:
     """Hold the locks of a writer, of a repository or (None, for publications) of the whole corpus; a publication that was left pending blocks all but its owner.
 
-    ``root``: a folder that all writers share, on a file system with locks. ``pending``: the store's journal; by default the one in the folder.
+    ``root``: a folder that all writers share, on a file system with locks. ``pending`` reads the store's journal, once the locks are held; by default the one in the folder.
     """
     if repository_id is not None:
         positive_id(repository_id)
@@ -45,9 +45,9 @@ def writer(root: str, repository_id: int | None, publication: bool = False, pend
         if repository_id is not None:
             stack.enter_context(_held(folder / f"repository-{repository_id}", True))
         journal = Path(root) / "publication.json"
-        pending = pending or (json.loads(journal.read_text()) if journal.exists() else None)
-        if pending:
-            owner = pending.get("repository_id")
+        job = pending() if pending else json.loads(journal.read_text()) if journal.exists() else None
+        if job:
+            owner = job.get("repository_id")
             if not publication or owner not in (None, repository_id):
                 raise WriterBusy("a publication is to be resumed first")
         yield

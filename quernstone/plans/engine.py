@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import embedding_text, is_test_path
+from ..functions.text import embedding_text, is_test_path, rerank_text
 from ..functions.vector import is_valid
-from ..operators import changes, evaluation, fusion, jobs, lexical, locking, semantic
+from ..operators import blocks, changes, evaluation, fusion, jobs, lexical, locking, segments, semantic
 from ..operators.cache import FencedCache, SearchService, check_request
-from ..operators.generations import GenerationStore
+from ..operators.generations import GenerationStore, Source
 from ..operators.hits import IncompleteSearchError, checked
 from ..operators.metadata import Metadata
+from ..schema import CHANGES
 from ..sources.symbols import symbols_of
 
 KEYS = ["repository", "path", "start_line"]
@@ -56,9 +57,10 @@ def hashing_embedder(dims: int) -> Callable[[Column], Column]:
 class Engine:
     """Search over generations of symbol documents.
 
-    A generation holds documents (partitioned by repository), postings (sorted by term) with
-    document frequencies, and field statistics, so that a query batch reads its terms' postings and no text but that
-    of its hits. Whatever writes holds the corpus lock, resumes a publication that was stopped, and only then derives what it publishes.
+    A generation is a manifest of immutable segments. A segment holds new documents, their postings in blocks, and what they add to document frequencies and
+    field totals, beside rows of the metadata that they follow from; what a commit takes out is written down as keys, and is subtracted from the sums. So a sync writes what
+    has changed, a query batch reads its terms' blocks and no text but that of its hits, and metadata and documents change at one moment.
+    Segments of like size are merged as they come together. Whatever writes holds the corpus lock, resumes a publication that was stopped, and only then derives what it publishes.
 
     ``coordination``: a folder that all writers share, on a file system with locks; by default the root, where that is local.
     """
@@ -69,17 +71,19 @@ class Engine:
         if coordination is None and self.store.folder.local is None:
             raise ValueError("give a folder for locks and journals beside a store that is not local")
         self.coordination = coordination or str(self.store.folder.local)
-        self.metadata, self.journal = Metadata(spark, root), jobs.Journal(self.coordination)
+        self.metadata, self.journal = Metadata(spark, root, self.store), jobs.Journal(self.coordination)
         self.embed = embedder or hashing_embedder(dims)
         self.service = SearchService(self._retrieve, self.cache)
 
     # -- indexing
 
     @contextmanager
-    def _writing(self, repository_id: int | None) -> Iterator[None]:
-        with locking.writer(self.coordination, repository_id, True, self.store.pending()):
+    def _writing(self, repository_id: int | None) -> Iterator[dict]:
+        """The publication that was pending, as it was under the locks; it is finished, or abandoned, by now."""
+        with locking.writer(self.coordination, repository_id, True, self.store.pending):
+            pending = self.store.pending() or {}
             self.store.resume(self.cache.rotate, repository_id)
-            yield
+            yield pending
 
     def documents(self, symbols: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
         """Search documents from the metadata tables."""
@@ -88,12 +92,42 @@ class Engine:
         text = embedding_text(F.col("qualified_name"), F.col("kind"), F.col("repository"), F.col("path"), F.col("language"), F.col("code"))
         return rows.withColumn("embedding", self.embed(text))
 
+    def _search_tables(self, docs: Source, gone: DataFrame | None = None) -> dict[str, Source]:
+        """The documents and what follows from them, once they are written; ``gone``: documents whose share of the sums is taken back."""
+        fields = list(lexical.BOOSTS)
+        totals = lambda df: lexical.field_totals(lexical.field_tokens(df, fields))
+        frequencies = lambda df: lexical.document_frequencies(lexical.postings(lexical.field_tokens(df, fields)))
+        sums = lambda of, *by: (lambda own: of(own("docs")) if gone is None else lexical.less(of(own("docs")), of(gone), *by))
+
+        def posted(own: Callable[[str], DataFrame]) -> DataFrame:
+            new = own("docs")
+            return blocks.laid_out(blocks.build(new, new.count(), fields))
+
+        stats = sums(totals, "field")
+        return {"docs": docs, "postings": posted, "frequencies": sums(frequencies, "field", "term"), "stats": lambda own: stats(own).coalesce(1)}
+
     def _publish(self, docs: DataFrame, expected: int | None, repository_id: int | None, fail_at: str | None = None) -> str:
-        tokens = lexical.field_tokens(docs, list(lexical.BOOSTS))
-        # by term and document, so that a common term's postings are several files
-        post = lexical.postings(tokens).repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id")
-        tables = {"docs": docs, "postings": post, "frequencies": lexical.document_frequencies(lexical.postings(tokens)), "stats": lexical.field_stats(tokens).coalesce(1)}
-        return self.store.publish(tables, {"docs": expected} if expected is not None else None, self.cache.rotate, fail_at, repository_id)
+        """All search documents anew; metadata stay."""
+        return self.store.publish(self._search_tables(docs), {"docs": expected} if expected is not None else None, self.cache.rotate, fail_at, repository_id, purpose="documents")
+
+    def _change(self, taken: DataFrame, fresh: Source, repository_id: int, fail_at: str | None, more: dict[str, Source] | None = None, dead: dict[str, DataFrame] | None = None, **how) -> str:
+        """Documents ``taken`` (as located) out and ``fresh`` ones added, with other tables' rows, as one segment."""
+        keys = taken.select("segment", F.col("symbol_id").alias("key"))
+        tables = {**(more or {}), **self._search_tables(fresh, taken.drop("segment"))}
+        name = self.store.publish(tables, how.pop("counts", None), self.cache.rotate, fail_at, repository_id, appended=tables, dead={"docs": keys, **(dead or {})}, purpose="documents", **how)
+        self._merge()
+        return name
+
+    def _located(self) -> DataFrame | None:
+        """The documents with their segments; None if no documents have been published."""
+        reader = self.store.reader()
+        return reader.located("docs") if reader.has("docs") else None
+
+    def _published(self) -> DataFrame:
+        docs = self._located()
+        if docs is None:
+            raise FileNotFoundError("no documents have been published")
+        return docs
 
     def index(self, docs: DataFrame, expected: int | None = None, fail_at: str | None = None, repository_id: int | None = None) -> str:
         """Publish a generation of these documents."""
@@ -101,37 +135,120 @@ class Engine:
             return self._publish(docs, expected, repository_id, fail_at)
 
     def _replace(self, repository_id: int, fresh: DataFrame, fail_at: str | None = None) -> str:
-        others = self.store.copy_except(repository_id) if self.store.current() else fresh.limit(0)
-        return self._publish(others.unionByName(fresh), others.count() + fresh.count(), repository_id, fail_at)
+        docs = self._located()
+        if docs is None:
+            return self._publish(fresh, fresh.count(), repository_id, fail_at)
+        return self._change(docs.where(F.col("repository_id") == repository_id), fresh, repository_id, fail_at, counts={"docs": fresh.count()})
 
     def reindex_repository(self, repository_id: int, fresh: DataFrame, fail_at: str | None = None) -> str:
-        """Replace one repository's documents and copy the others; both are counted beforehand."""
+        """Replace one repository's documents, which are counted beforehand; the others stay where they are."""
         with self._writing(repository_id):
             return self._replace(repository_id, fresh, fail_at)
 
-    def sync(self, repository_id: int, feed: DataFrame, fresh: DataFrame, fail_at: str | None = None) -> str | None:
-        """Apply a change set as a new generation; an empty one changes nothing."""
+    def _replaced(self, docs: DataFrame, repository_id: int, paths: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+        """The located documents that a change takes out: the repository's at these paths, and those whose ids come again."""
+        paths = paths.select(F.col("path").alias("_path")).distinct()
+        few = F.broadcast(paths) if changes.are_few(paths) else paths
+        out = docs.join(few, (F.col("repository_id") == repository_id) & (F.col("path") == F.col("_path")), "left_semi")
+        if fresh is None:
+            return out
+        return out.unionByName(docs.join(fresh.select("symbol_id").distinct(), "symbol_id", "left_semi").select(*out.columns)).dropDuplicates(["segment", "symbol_id"])
+
+    def sync(self, repository_id: int, feed: DataFrame, fresh: DataFrame, fail_at: str | None = None, batch: tuple[str, int] | None = None) -> str | None:
+        """Apply a change set as a new segment; an empty one changes nothing.
+
+        ``batch``: a stream's name and the number of its batch. It is committed with the change, and a batch that has been, or an earlier one, changes nothing.
+        """
         if feed.isEmpty():
             return None
         if not changes.repeated_paths(feed).isEmpty():
             raise ValueError("a change set names a path twice")
         with self._writing(repository_id):
-            return self._publish(changes.apply_sync(self.store.read(), repository_id, feed, fresh), None, repository_id, fail_at)
+            if batch and self.store.manifest()["marks"].get(f"batch {batch[0]}", -1) >= batch[1]:
+                return None
+            marks = {f"batch {batch[0]}": batch[1]} if batch else None
+            return self._change(self._replaced(self._published(), repository_id, changes.affected_paths(feed), fresh), fresh, repository_id, fail_at, marks=marks)
 
     def synchronise(self, repository_id: int, head: Callable[[], tuple[str, str]], affected: Callable[[str, str], list[str]], fresh: Callable[[list[str]], DataFrame], fail_at: str | None = None) -> dict:
-        """Bring a repository to its head under a journal: a sync that was begun and did not end is replayed first, with the paths it was begun with.
+        """Bring a repository's documents to its head under a journal: a sync that was begun and did not end is replayed first, with the paths it was begun with.
 
-        ``fresh`` gives the documents of paths as they are now. Replaying is harmless: the paths' documents are replaced.
+        ``fresh`` gives the documents of paths as they are now. The job is committed with the change, so that one that had been is not applied again.
         """
         with self._writing(repository_id):
 
             def apply(job: dict) -> None:
+                if self._is_done(repository_id, job):
+                    return
                 paths = self.spark.createDataFrame([(p,) for p in job["affected_paths"]], "path string")
-                docs = changes.delete_paths(self.store.read(), repository_id, paths)
-                self._publish(changes.upsert(docs, fresh(job["affected_paths"])), None, repository_id, fail_at)
+                new = fresh(job["affected_paths"])
+                self._change(self._replaced(self._published(), repository_id, paths, new), new, repository_id, fail_at, marks={f"sync {repository_id}": job["id"]})
 
             return jobs.run_sync(self.journal, repository_id, head, affected, apply)
 
+    def _is_done(self, repository_id: int, job: dict) -> bool:
+        return self.store.manifest()["marks"].get(f"sync {repository_id}") == job["id"]
+
+    def follow(self, repository_id: int, head: Callable[[], str], feed: Callable[[str, str], list[tuple[int, str, str | None, str]]], present: Callable[[list[str]], DataFrame], fail_at: str | None = None) -> dict:
+        """Bring a registered repository to its head: files, symbols, documents and the commit that it is at change in one commit.
+
+        head: the commit to reach. feed: the change records (ordinal, status, old path, path) between two commits. present: (path, content_hash, text) of those of some paths that are regular
+        files now; text is null where a source cannot be read. Returns the report with its counters; at the head already, nothing is done. A follow that was
+        stopped is replayed with the records that it was begun with, unless its commit has been made.
+        """
+        with self._writing(repository_id):
+            job = self.journal.pending("sync", repository_id)
+            old = self.metadata.repository(repository_id)["last_indexed_commit"]
+            if job is None:
+                new = head()
+                if new == old:
+                    return {"changed": False, "old_commit": old, "target_commit": new, **dict.fromkeys(changes.COUNTERS, 0)}
+                records = [tuple(r) for r in feed(old, new)]
+                paths = [r[3] for r in records]
+                if len(set(paths)) != len(paths):
+                    raise ValueError("a change set names a path twice")
+                job = self.journal.begin("sync", repository_id, old_commit=old, target_commit=new, records=records, affected_paths=sorted({p for r in records for p in (r[2], r[3]) if p}))
+            if not self._is_done(repository_id, job):
+                self._follow(repository_id, job, present, fail_at)
+            stats = self.store.manifest()["marks"][f"stats {repository_id}"]
+            self.journal.finish("sync", repository_id)
+            return {"changed": True, "old_commit": job["old_commit"], "target_commit": job["target_commit"], **stats}
+
+    def _follow(self, repository_id: int, job: dict, present: Callable[[list[str]], DataFrame], fail_at: str | None) -> None:
+        records = self.spark.createDataFrame([tuple(r) for r in job["records"]], CHANGES)
+        more, dead, told = self.metadata.merge(repository_id, records, present(job["affected_paths"]), job["target_commit"])
+        stats = changes.counters(told).first().asDict()
+        marks = {f"sync {repository_id}": job["id"], f"stats {repository_id}": stats}
+
+        def documents(own: Callable[[str], DataFrame]) -> DataFrame:
+            return self.documents(own("symbols"), own("files"), own("repositories"))
+
+        docs = self._located()
+        if docs is None:
+            self.store.publish({**more, **self._search_tables(documents)}, None, self.cache.rotate, fail_at, repository_id, appended=more, dead=dead, marks=marks, purpose="documents")
+            return
+        paths = self.spark.createDataFrame([(p,) for p in job["affected_paths"]], "path string")
+        self._change(self._replaced(docs, repository_id, paths), documents, repository_id, fail_at, more, dead, marks=marks)
+
+    def _merge(self) -> str | None:
+        """Merge the segments that are due; a commit of its own, which changes no answer."""
+        reader = self.store.reader()
+        names = segments.to_merge(reader.manifest)
+        if not names:
+            return None
+        of = lambda table: reader.rows(table, names)
+        have = [t for t in reader.manifest["tables"] if any(s in names for s, _ in reader.manifest["tables"][t])]
+        tables: dict[str, Source] = {t: of(t) for t in have if t not in ("docs", "postings")}
+        if "docs" in have:
+            search = self._search_tables(of("docs"))
+            tables |= {"docs": search["docs"], "postings": search["postings"]}
+        dead = {t: df for t in reader.manifest["dead_in"] if (df := reader.dead_elsewhere(t, names)) is not None}
+        return self.store.publish(tables, None, None, merged=names, dead=dead, purpose="merger")
+
+    def merge(self) -> str | None:
+        """Merge the segments that are due; the new generation's name, if any were."""
+        with self._writing(None):
+            return self._merge()
+
     def replace_symbols(self, repository_id: int, texts: DataFrame) -> dict:
         """Parse a repository's Python sources (file_id, text; null where there is no regular file) in place of all symbols it has.
 
@@ -154,18 +271,14 @@ class Engine:
 
     def publish_repository(self, repository_id: int, fail_at: str | None = None) -> dict:
         """Publish a repository's symbols beside the other repositories' documents, and end its pending job; a stopped publication is resumed."""
-        if self.journal.pending("sync", repository_id):
-            raise RuntimeError("the repository's pending synchronization is to be finished first")
-        pending = self.store.pending() or {}
-        with self._writing(repository_id):
+        with self._writing(repository_id) as pending:
+            if self.journal.pending("sync", repository_id):
+                raise RuntimeError("the repository's pending synchronization is to be finished first")
             job = self.journal.begin("full", repository_id)
-            if pending.get("repository_id") != repository_id or pending["phase"] == "building":
+            resumed = pending.get("repository_id") == repository_id and pending.get("purpose") == "documents" and pending["phase"] != "building"
+            if not resumed:
                 own = F.col("repository_id") == repository_id
-                fresh = self.documents(self.metadata.read("symbols").where(own), self.metadata.read("files"), self.metadata.read("repositories"))
-                self._replace(repository_id, fresh, fail_at)
-                resumed = False
-            else:
-                resumed = True
+                self._replace(repository_id, self.documents(self.metadata.read("symbols").where(own), self.metadata.read("files"), self.metadata.read("repositories")), fail_at)
             self.journal.finish("full", repository_id)
             return {**(job.get("stats") or {}), "index": self.store.current(), "resumed": resumed}
 
@@ -184,12 +297,16 @@ class Engine:
     # -- search
 
     def lexical(self, queries: DataFrame, limit: int, generation: str | None = None) -> DataFrame:
-        name = generation or self.store.current()
-        terms = lexical.query_terms(queries)
-        scores = lexical.score_batch(self.store.read("postings", name), self.store.read("stats", name), terms, frequencies=self.store.read("frequencies", name))
-        flags = self.store.read("docs", name).select(F.col("symbol_id").alias("id"), "is_test", *KEYS)
-        scores = scores.join(flags, "id").join(queries.select("query_id", "intent"), "query_id").where("intent OR NOT is_test")
-        return lexical.top(scores.select("query_id", "id", "score", *KEYS), limit)
+        """The best by BM25, with their keys: documents are read for the answers alone."""
+        reader = self.store.reader(generation)
+        points, dead = blocks.stored(reader)
+        best = blocks.search(points, dead, lexical.stats_of(reader.rows("stats")), reader.rows("frequencies"), queries, limit)
+        return self._keyed(best, reader, queries, limit)
+
+    def _keyed(self, hits: DataFrame, reader: segments.Reader, queries: DataFrame, limit: int) -> DataFrame:
+        docs = reader.rows("docs").select(F.col("symbol_id").cast("long").alias("id"), *KEYS)
+        few = limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+        return docs.join(F.broadcast(hits) if few else hits, "id")
 
     def semantic(self, queries: DataFrame, limit: int, generation: str | None = None) -> DataFrame:
         name = generation or self.store.current()
@@ -222,7 +339,7 @@ class Engine:
             raise IncompleteSearchError("missing or corrupt files are ignored in this session, so that an answer may lack some")
         try:
             rows = self.hybrid(self.batch([query]), limit).orderBy("rank").drop("query_id", "id", "rank", "file_id", "repository_id").collect()
-        except (AnalysisException, Py4JJavaError, FileNotFoundError) as e:
+        except (PySparkException, Py4JJavaError, FileNotFoundError) as e:
             raise IncompleteSearchError("a part of the published generation did not answer") from e
         out = [r.asDict() for r in rows]
         return [{**r, **hit} for r, hit in zip(out, checked(out), strict=True)]
@@ -235,7 +352,7 @@ class Engine:
 
     def reranked(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         rows = self.hybrid(queries, fusion.rerank_depth(limit)).join(queries.select("query_id", "query"), "query_id")
-        document = F.concat_ws("\n", "repository", "path", "qualified_name", "kind", "code")
+        document = rerank_text(F.col("repository"), F.col("path"), F.col("qualified_name"), F.col("kind"), F.col("code"))
         return fusion.rerank(rows, fusion.overlap_score(F.col("query"), document), limit)
 
     # -- evaluation

@@ -17,9 +17,9 @@ def _norms(spark, values):
 
 
 def test_min_max(spark):
-    assert _norms(spark, [2, 4, 6]) == [0, 0.5, 1]
-    assert _norms(spark, [3, 3]) == [1, 1]
-    for bad in ([math.nan], [math.inf, 1], [-1e308, 1e308]):
+    assert _norms(spark, [-7.5, 0.0, 12.5, 2.5]) == [0, 0.375, 1, 0.5]
+    assert _norms(spark, [0.25, 0.25, 0.25]) == [1, 1, 1] == [*_norms(spark, [-3.0]), 1, 1]
+    for bad in ([5, math.nan, 6], [-math.inf, 0], [-9e307, 1, 9.5e307]):
         with pytest.raises(Exception, match="finite"):
             _norms(spark, bad)
 
@@ -98,8 +98,8 @@ def test_places_in_groups_cut_into_buckets(spark):
     want, count = {}, {}
     for g, _, k in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2])):
         count[g] = want[k] = count.get(g, 0) + 1
-    for buckets in (1, 4, 64):
-        assert {r["k"]: r["place"] for r in placed(df, "g", F.col("v"), "k", buckets=buckets).collect()} == want
+    for size in (10**6, 30, 5, 1):
+        assert {r["k"]: r["place"] for r in placed(df, "g", F.col("v"), "k", bucket_rows=size).collect()} == want
     assert {r["place"] for r in placed(df.where("v = 3"), "g", F.col("v"), "k").where("g = 'x'").collect()} == set(range(1, 1 + df.where("v = 3 AND g = 'x'").count()))
 
 

@@ -274,7 +274,14 @@ def test_ingestion_refuses_what_is_there_and_follows_the_remote(spark, tmp_path)
             repository.ingest(metadata, bad, root)
     (tmp_path / "clones" / "linked").symlink_to(tmp_path)
     with pytest.raises(ValueError):
-        repository.clone_folder(root, "linked", "x")
+        repository.is_taken(root, "linked", "x")
+    with pytest.raises(ValueError):
+        repository.clone(f"file://{origin}", root, "linked", "x")
+    (tmp_path / "clones" / "plain").write_text("")
+    for bad in (("plain", "x"), ("a/b", "x"), ("..", "x"), ("o", "."), ("o", ""), ("o", "a\\b")):
+        with pytest.raises(ValueError):
+            repository.is_taken(root, *bad)
+    assert repository.is_taken(root, "some-one", "tool") and not repository.is_taken(root, "some-one", "other") and not repository.is_taken(str(tmp_path / "none"), "a", "b")
     with pytest.raises(subprocess.CalledProcessError):
         repository.ingest(metadata, "https://github.com/some-one/gone", root, f"file://{tmp_path}/nothing")
     assert not (tmp_path / "clones" / "some-one" / "gone").exists()
