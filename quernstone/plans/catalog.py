@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, retrieval, scalars
+from . import analytics, retrieval, scalars, stored
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "retrieval", "scalars"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "retrieval", "scalars", "stored"]
