@@ -171,47 +171,63 @@ def _best(blocks: DataFrame, dead: DataFrame | None, asked: _Asked, query_type:
     return blocks.groupBy("segment", "shard").cogroup(dead.groupBy("segment", "shard")).applyInArrow(both, schema)
 
 
+def about(stats: DataFrame) -> dict[str, tuple[int, float]]:
+    """(documents, mean length) of each field."""
+    return {r["field"]: (r["n_docs"], r["avg_length"]) for r in stats.collect()}
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times, intent) of queries (query_id, query, intent)."""
+    return lexical.query_terms(queries).join(queries.select("query_id", "intent"), "query_id")
+
+
 def search(blocks: DataFrame, dead: DataFrame | None, stats: DataFrame, frequencies: DataFrame, queries: DataFrame, limit: int, boosts: dict[str, float] = BOOSTS, many: int = MANY_POSTINGS, pass_rows: int = PASS_ROWS) -> DataFrame:
     """(query_id, id, score, rank) of queries (query_id, query, intent): without intent documents that are tests are no answers, but count in the statistics.
 
-    stats: (field, n_docs, avg_length), a row a field; frequencies: (field, term, df).
+    stats: (field, n_docs, avg_length), a row a field; frequencies: (field, term, df). Many queries go in passes.
     """
-    if limit < 1:
-        raise ValueError("a search has at least one answer")
-    about = {r["field"]: (r["n_docs"], r["avg_length"]) for r in stats.collect() if r["field"] in boosts}
-    terms = lexical.query_terms(queries).join(queries.select("query_id", "intent"), "query_id")
-    n = terms.count() * len(boosts)
-    passes = max(1, -(-n // pass_rows))
-    out = None
+    fields, terms = about(stats), terms_of(queries)
+    held = terms.limit(pass_rows // len(boosts) + 1).toArrow()
+    if len(held) * len(boosts) <= pass_rows:
+        return one_pass(blocks, dead, fields, frequencies, held, limit, queries.schema["query_id"].dataType, boosts, many)
+    passes, out = -(-terms.count() * len(boosts) // pass_rows), None
     for k in range(passes):
-        own = terms if passes == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k)
-        rows = own.toArrow()  # at most about ``pass_rows``
-        names = sorted(set(rows.column("term").to_pylist()))
-        df = among(frequencies, own, names).toArrow()
-        per = {(f, t): c for f, t, c in zip(*(df.column(c).to_pylist() for c in ("field", "term", "df")), strict=True) if f in about}
-        asked_rows = []
-        for q, term, times, intent in zip(*(rows.column(c).to_pylist() for c in ("query_id", "term", "times", "intent")), strict=True):
-            for f, (docs, _) in about.items():
-                if c := per.get((f, term)):
-                    asked_rows.append((q, intent, f, term, boosts[f] * times * float(np.log(1 + (docs - c + 0.5) / (c + 0.5)))))
-        table = pa.table(dict(zip(("query_id", "intent", "field", "term", "weight"), map(list, zip(*asked_rows, strict=True)) if asked_rows else [[]] * 5, strict=True)))
-        averages = {f: a for f, (_, a) in about.items()}
-        kind = queries.schema["query_id"].dataType
-        points = among(blocks, own, names)
-        floors: dict = {}
-        if sum(per.values()) >= many:
-            begun = lexical.top(_best(points.where("block = 0"), dead, _Asked(table, limit, averages), kind, True), limit)
-            # a row a query that has as many answers as asked for
-            floors = {r["query_id"]: r["score"] for r in begun.where(F.col("rank") == limit).collect()}
-            points = _reaching(points, asked_rows, averages, floors)
-        best = lexical.top(_best(points, dead, _Asked(table, limit, averages, floors), kind), limit)
+        own = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).toArrow()  # about ``pass_rows``
+        best = one_pass(blocks, dead, fields, frequencies, own, limit, queries.schema["query_id"].dataType, boosts, many)
         out = best if out is None else out.unionByName(best)
     return out
 
 
-def among(rows: DataFrame, terms: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of these terms: as a list, which the scan's row groups are chosen by, or joined."""
-    return rows.where(F.col("term").isin(names)) if len(names) <= LISTED_TERMS else rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+def one_pass(blocks: DataFrame, dead: DataFrame | None, fields: dict[str, tuple[int, float]], frequencies: DataFrame, terms: pa.Table, limit: int, kind: T.DataType, boosts: dict[str, float] = BOOSTS, many: int = MANY_POSTINGS) -> DataFrame:
+    """The same for the terms (``terms_of``) of so few queries that they are told to all shards."""
+    if limit < 1:
+        raise ValueError("a search has at least one answer")
+    fields = {f: v for f, v in fields.items() if f in boosts}
+    names = sorted(set(terms.column("term").to_pylist()))
+    df = among(frequencies, names).toArrow()
+    per = {(f, t): c for f, t, c in zip(*(df.column(c).to_pylist() for c in ("field", "term", "df")), strict=True) if f in fields}
+    asked = []
+    for q, term, times, intent in zip(*(terms.column(c).to_pylist() for c in ("query_id", "term", "times", "intent")), strict=True):
+        for f, (docs, _) in fields.items():
+            if c := per.get((f, term)):
+                asked.append((q, intent, f, term, boosts[f] * times * float(np.log(1 + (docs - c + 0.5) / (c + 0.5)))))
+    table = pa.table(dict(zip(("query_id", "intent", "field", "term", "weight"), map(list, zip(*asked, strict=True)) if asked else [[]] * 5, strict=True)))
+    averages = {f: a for f, (_, a) in fields.items()}
+    points, floors = among(blocks, names), {}
+    if sum(per.values()) >= many:
+        begun = lexical.top(_best(points.where("block = 0"), dead, _Asked(table, limit, averages), kind, True), limit)
+        # a row a query that has as many answers as asked for
+        floors = {r["query_id"]: r["score"] for r in begun.where(F.col("rank") == limit).collect()}
+        points = _reaching(points, asked, averages, floors)
+    return lexical.top(_best(points, dead, _Asked(table, limit, averages, floors), kind), limit)
+
+
+def among(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of these terms, which are no more than a pass has: as a list, which the scan's row groups are chosen by, or joined."""
+    if len(names) <= LISTED_TERMS:
+        return rows.where(F.col("term").isin(names))
+    told = rows.sparkSession.createDataFrame(pa.table({"term": names}))
+    return rows.join(F.broadcast(told), "term", "left_semi")
 
 
 def _reaching(points: DataFrame, asked_rows: list[tuple], averages: dict[str, float], floors: dict) -> DataFrame:

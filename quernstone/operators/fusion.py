@@ -58,6 +58,20 @@ def fuse(bm25: DataFrame, semantic: DataFrame, keys: list[str], weight: Column |
     return both.withColumn("rank", rank_in(group, F.desc("score"), place))
 
 
+def fused_hits(hits: DataFrame, keys: list[str], weight: float = DEFAULT_WEIGHT, limit: int | None = None) -> DataFrame:
+    """Both branches' hits (query_id, lexical, *keys, id, score, rank), ``lexical`` saying which branch it is, normalised, collapsed, merged and ranked: what ``normalised``, ``collapse`` and ``fuse`` do, where the rows of a query lie together, with ``id``, the lexical hit's if there is one."""
+    rows = hits.withColumn("norm", min_max(F.col("score"), ["query_id", "lexical"]))
+    side = {"bm25": F.col("lexical"), "semantic": ~F.col("lexical")}
+    own = {name: F.when(test, F.col("rank")) for name, test in side.items()}
+    merged = rows.groupBy("query_id", *keys).agg(*(x for name in side for x in (F.max_by(F.struct("norm", "id"), own[name]).alias(name), F.min(own[name]).alias(f"{name}_rank"))))
+    b, s = (F.coalesce(F.col(name)["norm"], F.lit(0.0)) for name in side)
+    w = F.lit(check_weight(weight))
+    merged = merged.select("query_id", *keys, b.alias("bm25_score"), s.alias("semantic_score"), "bm25_rank", "semantic_rank", F.round(w * s + (1 - w) * b, 8).alias("score"), F.coalesce(F.col("bm25")["id"], F.col("semantic")["id"]).alias("id"))
+    place = F.coalesce(F.col("bm25_rank"), F.lit(1_000_000) + F.col("semantic_rank"))
+    out = merged.withColumn("rank", rank_in("query_id", F.desc("score"), place))
+    return out if limit is None else out.where(F.col("rank") <= limit)
+
+
 def overlap_score(query: Column, document: Column) -> Column:
     """The default reranking score: the share of the query's distinct words that the document has."""
     q, d = F.array_distinct(analyse(query)), F.array_distinct(analyse(document))

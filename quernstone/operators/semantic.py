@@ -21,10 +21,10 @@ BROADCAST_QUERIES = 4096
 MATRIX_QUERIES = 32
 
 
-def search(vectors: DataFrame, queries: DataFrame, limit: int, dims: int, id_col: str = "id", vector_col: str = "embedding", filtered: str | None = None) -> DataFrame:
-    """(query_id, id, score, rank) with score (1 + cosine) / 2; ``filtered`` names a boolean column of vectors whose rows are excluded before ranking."""
+def search(vectors: DataFrame, queries: DataFrame, limit: int, dims: int, id_col: str = "id", vector_col: str = "embedding", filtered: str | None = None, n: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank) with score (1 + cosine) / 2; ``filtered`` names a boolean column of vectors whose rows are excluded before ranking. ``n``: the number of queries, if it is known."""
     q = queries.select("query_id", F.col("embedding").alias("_q"), *([F.col("intent")] if filtered else []))
-    n = q.count()
+    n = q.count() if n is None else n
     rows = vectors.where(is_valid(F.col(vector_col), dims)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), *([F.col(filtered).alias("_f")] if filtered else []))
     out = None
     for k in range(max(1, -(-n // BROADCAST_QUERIES))):
@@ -58,7 +58,7 @@ def _by_matrix(rows: DataFrame, block: DataFrame, limit: int, filtered: bool) ->
         for batch in batches:
             if not len(batch) or not len(q):
                 continue
-            v = np.stack([np.asarray(x, float) for x in batch.column(1).to_numpy(zero_copy_only=False)])
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)  # all of one length, without nulls
             with np.errstate(invalid="ignore", divide="ignore"):
                 score = np.round((1 + q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T) / 2, 6)
             score[np.isnan(score)] = -1

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import embedding_text, is_test_path, rerank_text
+from ..functions.text import analyse, embedding_text, is_test_path, rerank_text
 from ..functions.vector import is_valid
 from ..operators import blocks, changes, evaluation, fusion, jobs, lexical, locking, segments, semantic
 from ..operators.cache import FencedCache, SearchService, check_request
@@ -25,6 +30,8 @@ KEYS = ["repository", "path", "start_line"]
 IDENTITY = ["repository", "qualified_name"]
 #: Up to so many hits of a batch (about 100 bytes each) are broadcast to the documents; beyond it they meet by a shuffle.
 BROADCAST_HITS = 200_000
+#: The hits of up to so many queries are fetched by the driver (a depth of 40 in two branches: some 5 MB).
+LOCAL_QUERIES = 1024
 
 
 def hashing_embedder(dims: int) -> Callable[[Column], Column]:
@@ -73,6 +80,7 @@ class Engine:
         self.coordination = coordination or str(self.store.folder.local)
         self.metadata, self.journal = Metadata(spark, root, self.store), jobs.Journal(self.coordination)
         self.embed = embedder or hashing_embedder(dims)
+        self._fields: tuple[str | None, dict] = (None, {})
         self.service = SearchService(self._retrieve, self.cache)
 
     # -- indexing
@@ -296,37 +304,70 @@ class Engine:
 
     # -- search
 
+    def _about(self, reader: segments.Reader, name: str) -> dict[str, tuple[int, float]]:
+        """A generation's field statistics, a row a field; they do not change."""
+        if self._fields[0] != name:
+            self._fields = (name, blocks.about(lexical.stats_of(reader.rows("stats"))))
+        return self._fields[1]
+
     def lexical(self, queries: DataFrame, limit: int, generation: str | None = None) -> DataFrame:
         """The best by BM25, with their keys: documents are read for the answers alone."""
         reader = self.store.reader(generation)
         points, dead = blocks.stored(reader)
         best = blocks.search(points, dead, lexical.stats_of(reader.rows("stats")), reader.rows("frequencies"), queries, limit)
-        return self._keyed(best, reader, queries, limit)
+        few = limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+        return self._keyed(reader, best, few)
 
-    def _keyed(self, hits: DataFrame, reader: segments.Reader, queries: DataFrame, limit: int) -> DataFrame:
+    @staticmethod
+    def _keyed(reader: segments.Reader, hits: DataFrame, few: bool) -> DataFrame:
         docs = reader.rows("docs").select(F.col("symbol_id").cast("long").alias("id"), *KEYS)
-        few = limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
         return docs.join(F.broadcast(hits) if few else hits, "id")
 
     def semantic(self, queries: DataFrame, limit: int, generation: str | None = None) -> DataFrame:
-        name = generation or self.store.current()
-        docs = self.store.read("docs", name)
+        reader = self.store.reader(generation)
         asked = queries.select("query_id", "intent", self.embed(F.col("query")).alias("embedding")).where(is_valid(F.col("embedding"), self.dims))
-        hits = semantic.search(docs, asked, limit, self.dims, "symbol_id", filtered="is_test")
-        return hits.join(docs.select(F.col("symbol_id").alias("id"), *KEYS), "id")
+        few = limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+        return self._keyed(reader, semantic.search(reader.rows("docs"), asked, limit, self.dims, "symbol_id", filtered="is_test"), few)
+
+    def _hits(self, queries: DataFrame, depth: int, name: str) -> tuple[DataFrame, bool]:
+        """Both branches' hits over one generation, a query's together, and whether they are few. Those of up to LOCAL_QUERIES queries are fetched, the branches side by side, so that what follows plans over few local rows."""
+        asked = queries.select("query_id", "intent", analyse(F.col("query")).alias("words"), self.embed(F.col("query")).alias("embedding")).limit(LOCAL_QUERIES + 1).toArrow()
+        columns = ["query_id", "lexical", *KEYS, "id", "score", "rank"]
+        if len(asked) > LOCAL_QUERIES:
+            sides = [hits.withColumn("lexical", F.lit(of_words)).select(*columns) for hits, of_words in ((self.lexical(queries, depth, name), True), (self.semantic(queries, depth, name), False))]
+            return sides[0].unionByName(sides[1]).repartition("query_id"), False
+        reader, kind = self.store.reader(name), queries.schema["query_id"].dataType
+        counts = [(q, t, n, i) for q, i, words in zip(*(asked.column(c).to_pylist() for c in ("query_id", "intent", "words")), strict=True) for t, n in sorted(Counter(words).items())]
+        terms = pa.table(dict(zip(("query_id", "term", "times", "intent"), map(list, zip(*counts, strict=True)) if counts else [[]] * 4, strict=True)))
+        vectors = self.spark.createDataFrame(asked.select(["query_id", "intent", "embedding"])).where(is_valid(F.col("embedding"), self.dims))
+
+        def by_words() -> pa.Table:
+            points, dead = blocks.stored(reader)
+            return blocks.one_pass(points, dead, self._about(reader, name), reader.rows("frequencies"), terms, depth, kind).toArrow()
+
+        def by_vector() -> pa.Table:
+            # a matrix product, whatever their number
+            return semantic.search(reader.rows("docs"), vectors, depth, self.dims, "symbol_id", filtered="is_test", n=max(len(asked), semantic.MATRIX_QUERIES)).toArrow()
+
+        with ThreadPoolExecutor(2) as pool:
+            # what is missing or broken is raised by ``result``
+            found = [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(work)) for work in (by_words, by_vector)]]
+        schema = pa.schema([("query_id", found[0].schema.field("query_id").type), ("id", pa.int64()), ("score", pa.float64()), ("rank", pa.int32())])
+        rows = pa.concat_tables([t.select(schema.names).cast(schema).append_column("lexical", pa.array([of_words] * len(t), pa.bool_())) for t, of_words in zip(found, (True, False), strict=True)])
+        if not len(rows):
+            return self.spark.createDataFrame([], T.StructType([queries.schema["query_id"], *T.StructType.fromDDL("lexical boolean, repository string, path string, start_line int, id bigint, score double, rank int")])), True
+        return self._keyed(reader, self.spark.createDataFrame(rows), True).select(*columns).repartition(1), True
 
     def hybrid(self, queries: DataFrame, limit: int = 10, weight: float | None = None) -> DataFrame:
         """Fused hits of a batch (query_id, query, intent): both branches read the one generation that is current now."""
-        name, depth = self.store.current(), fusion.depth(limit)
-        b = fusion.collapse(fusion.normalised(self.lexical(queries, depth, name)), KEYS)
-        s = fusion.collapse(fusion.normalised(self.semantic(queries, depth, name)), KEYS)
-        ids = F.coalesce("bm25_id", "semantic_id").alias("id")
-        sides = [x.select("query_id", *KEYS, F.col("id").alias(f"{side}_id")) for x, side in ((b, "bm25"), (s, "semantic"))]
-        fused = fusion.fuse(b, s, KEYS, self.weight if weight is None else weight).where(F.col("rank") <= limit)
-        fused = fused.join(sides[0], ["query_id", *KEYS], "left").join(sides[1], ["query_id", *KEYS], "left").select("query_id", "score", "bm25_score", "semantic_score", "bm25_rank", "semantic_rank", "rank", ids)
+        name = self.store.current()
+        if name is None:
+            raise FileNotFoundError("no generation has been published")
+        hits, few = self._hits(queries, fusion.depth(limit), name)
+        fused = fusion.fused_hits(hits, KEYS, self.weight if weight is None else weight, limit).drop(*KEYS)
+        few = few or limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
         # the wide columns only for the rows that are returned
-        docs = self.store.read("docs", name).drop("embedding").withColumnRenamed("symbol_id", "id")
-        few = limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+        docs = self.store.read("docs", name).drop("embedding").withColumn("id", F.col("symbol_id").cast("long")).drop("symbol_id")
         return docs.join(F.broadcast(fused) if few else fused, "id")
 
     def batch(self, queries: list[str]) -> DataFrame:
