@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 Training (driver, numpy): stochastic gradient descent over a bounded sample of
-labelled rows (``sample_rows``, chosen by a hash of the id; texts of at most
+labelled rows (``sample_rows`` of them, some of each language, chosen by a hash of the id; texts of at most
 ``sample_chars``). The temperature of the softmax is fitted on pieces of a fifth of that
 sample, so that ``reject_below`` is a calibrated probability.
 
@@ -265,15 +265,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+#: Languages that are learned at most, the commonest ones; and the part of a sample that is shared out evenly among them.
+MAX_LANGUAGES, EVEN_PART = 1000, 0.25
+
+
+def shares(counts: dict[str, int], sample_rows: int) -> dict[str, float]:
+    """The share of each language's rows that makes a sample of about ``sample_rows``: in proportion, but no language is below its even part, as far as it has the rows."""
+    even = EVEN_PART * sample_rows / max(1, len(counts))
+    whole = (1 - EVEN_PART) * sample_rows / max(1, sum(counts.values()))
+    if sum(counts.values()) <= sample_rows:
+        return dict.fromkeys(counts, 1.0)
+    return {lang: min(1.0, max(whole, even / n)) for lang, n in counts.items()}
+
+
 def fit(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 20_000, **options) -> Model:
-    """Train on at most ``sample_rows`` labelled rows of the learnable folds: those with the smallest id hashes."""
-    rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    n = max(1, docs.count())
-    share = min(1.0, 2.0 * sample_rows / n)
-    key = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"))
-    cut = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-    got = rows.where((key <= F.lit(cut)) & (F.length("text") <= sample_chars)).select(key.alias("k"), "text", "lang").limit(2 * sample_rows + 200).toPandas()
-    got = got.sort_values(["k", "text"]).head(sample_rows)
+    """Train on at most about ``sample_rows`` labelled rows of the learnable folds, of each language those with the smallest id hashes; on all of them, if they are no more. Labelled rows alone are counted."""
+    rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not counts:
+        return train([], [], **options)
+    key = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string")), F.lit(1 << 40))
+    told = docs.sparkSession.createDataFrame([(lang, int(s * (1 << 40))) for lang, s in shares(counts, sample_rows).items()], "_lang string, _below long")  # a row a language
+    taken = rows.join(F.broadcast(told), F.col("lang") == F.col("_lang")).where(key < F.col("_below"))
+    got = taken.select(key.alias("k"), "text", "lang").limit(2 * sample_rows + 200).toPandas()
+    got = got.sort_values(["k", "text", "lang"])
     return train(got["text"].tolist(), got["lang"].tolist(), **options)
 
 

@@ -112,3 +112,21 @@ def test_the_pipeline_stage_drops_junk_and_keeps_clean_rows(spark):
     mixed = docs.unionByName(junk, allowMissingColumns=True)
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, mixed, "/root/testdata/sf0.1").select("doc_id").collect()}
     assert not any(i >= 10**9 for i in kept) and len(kept) > 0.99 * docs.count()
+
+
+def test_few_labelled_rows_among_many_are_all_learned(spark, monkeypatch):
+    """One row in 200 has a language; a common language does not crowd out a rare one."""
+    from quernstone.llm import language_id as li
+
+    taken = {}
+    monkeypatch.setattr(li, "train", lambda texts, langs, **options: taken.update(texts=texts, langs=langs))
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CASE WHEN id % 200 = 0 THEN IF(id % 4000 = 0, 'rare', 'common') END AS lang")
+    learnable = docs.where(li.learnable(docs["doc_id"]) & docs["lang"].isNotNull())
+    li.fit(docs)
+    assert len(taken["texts"]) == learnable.count() > 150
+    li.fit(docs, sample_rows=40)
+    assert 20 <= len(taken["texts"]) <= 70 and 3 <= taken["langs"].count("rare") <= learnable.where("lang = 'rare'").count()
+    every = docs.selectExpr("doc_id", "text", "IF(doc_id % 1000 = 0, 'rare', IF(doc_id % 2 = 0, 'a', 'b')) AS lang")
+    li.fit(every, sample_rows=400)
+    assert 280 <= len(taken["texts"]) <= 520 and taken["langs"].count("rare") >= 20
+    assert li.shares({"a": 10, "b": 5}, 100) == {"a": 1.0, "b": 1.0} and li.shares({}, 10) == {}
