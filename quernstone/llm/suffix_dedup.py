@@ -33,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -596,9 +596,14 @@ def _cut(length: int, mode: str):
     return run
 
 
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _parts(docs: DataFrame, length: int, mode: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(results for texts that are not copies, rows, copies, slim rows). In mode text the rows keep their other columns in ``r``."""
-    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null")) if mode == "text" else F.lit(None).cast("boolean")
+    # by number, as names may hold dots or be those used here
+    rest = F.struct(F.col("text").isNull().alias("null"), *(_column(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text")) if mode == "text" else F.lit(None).cast("boolean")
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t"), rest.alias("r"))
     rows = rows.select("i", F.xxhash64("t").alias("h"), "t", "r")
     slim = materialise(rows.select("i", "h", F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha")), "digests")
@@ -639,13 +644,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     unknown = rows.where("i IS NULL").select("r", "t", F.lit(None).cast("string").alias("kept"))
     out = cut.unionByName(whole).unionByName(unknown)
     columns = []
-    for c in docs.columns:
+    for k, c in enumerate(docs.columns):
         if c == "text":
-            value = F.coalesce("kept", F.when(~F.col("r")["_null"], F.col("t")))
+            value = F.coalesce("kept", F.when(~F.col("r")["null"], F.col("t")))
         elif c == "n_chars":
-            value = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("r")[c])
+            value = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema[k].dataType)).otherwise(F.col("r")[f"c{k}"])
         else:
-            value = F.col("r")[c]
+            value = F.col("r")[f"c{k}"]
         columns.append(value.alias(c))
     return out.select(*columns)
 

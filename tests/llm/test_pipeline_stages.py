@@ -107,3 +107,13 @@ def test_other_queries_keep_their_tables(spark, docs):
     first = hashlib.sha256("".join(map(repr, sorted(groups.collect()))).encode()).hexdigest()
     pipeline.run(spark, FOLDER).count()
     assert hashlib.sha256("".join(map(repr, sorted(groups.collect()))).encode()).hexdigest() == first
+
+
+def test_dotted_and_clashing_names_pass_all_stages(spark, folder, edge_docs):
+    docs = edge_docs.selectExpr("*", "1 AS `a.b`", "2 AS _null", "3 AS `null`", "4 AS c0", "5 AS `x``y`", "6 AS _lang", "7 AS k", "8 AS _below")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert name == "language id" or {(r["a.b"], r["_null"], r["null"], r["c0"], r["x`y"]) for r in rows} == {(1, 2, 3, 4, 5)}, name
+    assert pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
