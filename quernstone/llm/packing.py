@@ -1,10 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Each source is a queue of tokens, with a target share: by default its tokens to the power ``TEMPER``, which
-lifts small sources, or what ``shares`` says. Every window of ``window`` output tokens, one sequence, takes from each queue what is due
-to it in whole quanta of ``quantum`` tokens; what is due and less than a quantum stays in that queue's deficit
-counter and is carried to the next window. So after any window no queue is a quantum away from its share, however small that is, and
-documents are not cut to crumbs. A queue that runs dry leaves its share to the others, in their proportions.
+lifts small sources, or what ``shares`` says. Every window of output tokens takes from each queue what is due
+to it, in whole tokens; what is due and less than a token stays in that queue's deficit
+counter and is carried to the next window. So each single window has the target proportions, to about a token a queue. A window is a number of sequences, of ``window`` tokens in all or, with many queues,
+of ``quantum`` tokens for each on average, so that documents are not cut to crumbs. A queue that runs dry leaves its share to the others, in their proportions.
 
 As documents may be cut anywhere, the counters have a closed form. At time t a queue of T tokens and rate r has been due min(T, r t);
 their sum over the queues is piecewise linear in t, so the time at which each window ends follows from the sorted times at which queues run dry.
@@ -116,7 +116,7 @@ class Plan:
         self.window, self.quantum = window, quantum
         self.windows = -(-int(self.totals.sum()) // window)
         # queues' turns are spread over a quantum, so that windows come out even
-        self.early = np.floor(np.arange(len(totals)) * 0.6180339887498949 % 1 * quantum)
+        self.early = np.arange(len(totals)) * 0.6180339887498949 % 1 * quantum
         dry = self.totals / self.rates
         order = np.argsort(dry, kind="stable")
         rest = np.append(np.cumsum(self.rates[order][::-1])[::-1], 0.0)
@@ -192,6 +192,11 @@ def rates_of(sources: list[tuple[str | None, int]], shares: dict[str, float] | N
     return [float(shares[s]) if s in shares else shares["*"] * n / others for s, n in sources]
 
 
+def window_for(queues: int, seq_len: int, window: int, quantum: int) -> int:
+    """Tokens of a window: whole sequences, and a quantum for each queue on average."""
+    return seq_len * -(-max(window, queues * quantum) // seq_len)
+
+
 def sequence_of(pos: int, total: int, seq_len: int) -> tuple[int, int, int]:
     """(sequence, offset in it, its end as an output position); the tail is cut at powers of two."""
     full = total // seq_len
@@ -206,7 +211,7 @@ def sequence_of(pos: int, total: int, seq_len: int) -> tuple[int, int, int]:
         start, s, rest = start + size, s + 1, rest - size
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seq_len: int = 2048, window: int = 2048, quantum: int = 512, shares: dict[str, float] | None = None, temper: float = TEMPER, max_queues: int = MAX_QUEUES, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seq_len: int = 2048, window: int = 65_536, quantum: int = 512, shares: dict[str, float] | None = None, temper: float = TEMPER, max_queues: int = MAX_QUEUES, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
     """Pieces of documents, as in ``PIECES``, with the source."""
     spark = docs.sparkSession
     tokens = materialise(tokenise(docs, id_col, text_col, source_col, vocabulary or default_vocabulary(), end_id), "tokens")
@@ -239,7 +244,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     placed = tokens.join(bases, (tokens["part"] == bases["p"]) & tokens["source"].eqNullSafe(bases["s"])).select("doc_id", "source", "q", "m", "members", (F.col("base") + F.col("start")).alias("begin"), "n", "ids")
 
     def run(batches):
-        outer = Plan(totals, rates, window, quantum)
+        outer = Plan(totals, rates, window_for(len(totals), seq_len, window, quantum), 1)
         inner: dict[int, Plan] = {}
 
         def spans(q, m, members, begin, n):
@@ -249,7 +254,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             if q not in inner:
                 if len(inner) > 64:
                     inner.clear()
-                inner[q] = Plan(members, rates_of([("", x) for x in members], None, temper), window, quantum)
+                inner[q] = Plan(members, rates_of([("", x) for x in members], None, temper), window_for(len(members), seq_len, window, quantum), 1)
             for at, length, pos in inner[q].spans(m, begin, n):
                 for there, part, out in outer.spans(q, pos, length):
                     yield at + there - pos, part, out

@@ -172,6 +172,32 @@ def test_deficit_round_robin_in_closed_form():
             assert places[pos] == (q, begin) and at == begin
 
 
+@pytest.mark.parametrize("sources", [20, 100, 10_000])
+def test_each_single_window_has_the_target_proportions(sources):
+    """Windows as they lie in the output, each of just so many tokens, against the shares of the queues that are not dry yet."""
+    rng = np.random.default_rng(5)
+    totals = np.maximum(1, (rng.pareto(1.1, sources) * 4000).astype(int)).tolist()
+    quantum = 64
+    window = packing.window_for(sources, 256, 4096, quantum)
+    assert window % 256 == 0 and window >= sources * quantum
+    plan = packing.Plan(totals, packing.rates_of([(str(k), n) for k, n in enumerate(totals)], None, 0.7), window, 1)
+    full = sum(totals) // window
+    assert full >= 4
+    got = np.zeros((full + 1, sources), np.int64)
+    for q, n in enumerate(totals):
+        for _, length, pos in plan.spans(q, 0, n):
+            while length:
+                w = min(pos // window, full)
+                cut = min(length, (w + 1) * window - pos) if w < full else length
+                got[w, q] += cut
+                pos, length = pos + cut, length - cut
+    assert (got[:full].sum(axis=1) == window).all() and (got.sum(axis=0) == totals).all()
+    rates, t = plan.rates, np.array(totals)
+    for w in range(full):
+        due = np.minimum(t, rates * plan.time(w + 1)) - np.minimum(t, rates * plan.time(w))
+        assert np.abs(got[w] - due).sum() / 2 / window <= 2 * sources / window + 1e-9 <= 2 / quantum + 1e-9
+
+
 @pytest.mark.parametrize("sources", [3, 100, 10_000])
 def test_every_window_keeps_the_target_proportions(sources):
     """Counters carried from window to window by hand, at the rates of the queues that are not dry, against the closed form."""
