@@ -46,16 +46,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset(("h2", "h3", "h4", "h5", "h6"))
 #: Elements that are never main text.
 FOREIGN = frozenset("nav footer aside menu dialog button head fieldset search".split())
-#: Names that mark foreign elements for good, and names that may be those of a page's frame; whole words of class, id or role.
-_WORD = r"(?<![a-z])(?<!has-)(?<!with-)(?<!no-)(?<!without-)(?:%s)(?![a-z])"
-ALWAYS = re.compile(
-    _WORD % r"ads?|advert(?:s|isement|isements|ising)?|adsense|sponsor(?:ed|s)?|promo(?:s|tion|tions|ted)?|cookies?|consent|gdpr|popups?|newsletter|subscribe|subscription|signup|login|paywall|"
-    r"comments?|commentlist|replies|reply|respond|disqus|outbrain|taboola|alertdialog|contentinfo"
-)
-FRAME = re.compile(
-    _WORD % r"banner|notices?|alerts?|modal|overlay|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|sidebars?|side|rail|widgets?|aside|complementary|footer|foot|masthead|topbar|toolbar|"
-    r"site-header|page-header|(?<!article-)(?<!entry-)(?<!post-)(?<!content-)(?<!story-)(?<!section-)(?<!text-)header|disclaimer|social|share|sharing|related|recommended|recommendations|trending|form|skip|hidden|dialog"
-)
+#: Names that mark foreign elements for good, and names that may be those of a page's frame. A class, an id or a role counts word by word: all its parts must be names or NEUTRAL.
+ALWAYS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions promoted cookie cookies consent gdpr popup popups newsletter subscribe subscription signup login paywall comment comments commentlist reply replies respond disqus outbrain taboola alertdialog contentinfo".split())
+FRAME = frozenset("banner notice notices alert alerts modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar sidebars side rail widget widgets aside complementary footer foot masthead topbar toolbar header disclaimer social share sharing related recommended recommendations trending form skip hidden dialog".split())
+#: Parts that say where or what kind of box it is; and those of an article, whose header is its own.
+NEUTRAL = frozenset("bar box block list lists wrap wrapper container area section left right top bottom main inner outer item items link links slot unit units panel site page pages sticky fixed floating mobile desktop small large first last center group col column row button buttons icon icons title global local primary secondary google dfp gpt network space zone placeholder label privacy policy email thread tree children author meta count to up in out".split())
+ARTICLE_PARTS = frozenset("article articles entry entries post posts story stories content".split())
+_SIZE = re.compile(r"\d+(?:x\d+)?")
+#: Elements of running text, whose ids are places to link to.
+_RUNNING = frozenset("p span a b i em strong small li td th h1 h2 h3 h4 h5 h6 blockquote dd dt".split())
 #: Names of elements that hold an article: a header in them is the article's own.
 ARTICLE_NAMES = re.compile(r"(?<![a-z])(?:article|articlebody|blogpost|post|entry|story)(?![a-z-])|(?<![a-z])(?:article|entry|post|story)-(?:body|content|text|main)(?![a-z])")
 #: What p ends at, what ends which open element, and what an end tag does not reach over.
@@ -104,13 +103,30 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
                 hard = True
             elif name in ("class", "id", "role", "itemprop"):
                 value = value.replace("_", "-")
+                if name == "id" and tag in _RUNNING:
+                    continue
                 like = like or name != "id" and bool(ARTICLE_NAMES.search(value)) or name == "role" and value == "main"
                 if name != "itemprop" and (not frame or "comment" in value):
-                    hard = hard or bool(ALWAYS.search(value))
-                    named = named or bool(FRAME.search(value))
+                    for_good, by_name = _named(value)
+                    hard, named = hard or for_good, named or by_name
     return hard, named, like
 
 
+@functools.lru_cache(maxsize=4096)
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether a class, id or role holds a word that marks a foreign element for good, and one that may be a frame's."""
+    hard = named = False
+    for word in value.split():
+        parts = {p for p in word.split("-") if p and not _SIZE.fullmatch(p)}
+        if parts - ALWAYS - FRAME - NEUTRAL - ARTICLE_PARTS:
+            continue
+        own = parts & FRAME
+        if "header" in own and parts & (ARTICLE_PARTS | {"section"}):
+            own = own - {"header"}
+        hard, named = hard or bool(parts & ALWAYS), named or bool(own)
+    return hard, named
+
+
 def read(page: str) -> Page:
     """The tokens and elements of a page, each tag handled in constant time (amortised)."""
     out = Page()
@@ -179,6 +195,8 @@ def read(page: str) -> Page:
             attrs = m[4] or m[7] or ""
             if tag not in VOID and not attrs.endswith("/"):
                 hard, named, like = _marks(tag, attrs, bool(like_at))
+                if tag == "button" and places.get("p"):  # in a sentence
+                    hard = named
                 elements.append(Element(tag, stack[-1], len(out.kinds), hard, named, tag in ("article", "main")))
                 at = len(stack)
                 stack.append(len(elements) - 1)
@@ -364,22 +382,22 @@ def weights(pages: int = 400, rounds: int = 12, seed: int = 8, margin: float = 1
 # ---- text
 
 
-def _scores(page: Page, kept: frozenset[int] | None) -> tuple[list[float], list[bool]]:
-    w = weights()
+def _scores(page: Page, kept: frozenset[int] | None, w: tuple[float, ...]) -> tuple[list[float], list[bool]]:
     foreign, article = foreign_and_article(page, kept)
     return [sum(w[f] * n for f, n in token) for token in features(page, foreign, article)], foreign
 
 
-def extract(html: str | None) -> str:
-    """The main text of one page."""
+def extract(html: str | None, learned: tuple[float, ...] | None = None) -> str:
+    """The main text of one page; ``learned``: the weights, by default those of ``weights``."""
     if not html:
         return ""
+    w = weights() if learned is None else learned
     page = read(html)
     kept: frozenset[int] = frozenset()
     if any(e.named and not e.hard for e in page.elements):
-        low, high = best_run(_scores(page, None)[0])
+        low, high = best_run(_scores(page, None, w)[0])
         kept = frozenset(k for k, e in enumerate(page.elements) if e.named and e.begin <= low < high <= e.end)
-    scores, foreign = _scores(page, kept)
+    scores, foreign = _scores(page, kept, w)
     low, high = best_run(scores)
     if low == high:
         return ""
@@ -403,12 +421,13 @@ def extract(html: str | None) -> str:
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every row."""
+    learned = weights()  # once, on the driver
 
     @F.arrow_udf("string")
     def text_of(pages):
         import pyarrow as pa
 
-        return pa.array([extract(p) for p in pages.to_pylist()], pa.string())
+        return pa.array([extract(p, learned) for p in pages.to_pylist()], pa.string())
 
     rows = df.select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), text_of(F.col(html_col)).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
