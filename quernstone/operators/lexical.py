@@ -7,8 +7,11 @@ document is the greatest of its fields' boosted scores.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.rank import rank_in
 from ..functions.text import WORDS, analyse
@@ -106,26 +109,62 @@ def search(docs: DataFrame, queries: DataFrame, limit: int, boosts: dict[str, fl
     return top(scores, limit)
 
 
-#: Words of the runs by which texts that hold an item are looked for.
-HOLDS = 4
+#: Words of the runs by which texts that hold an item are looked for; characters of the short items that one automaton holds.
+HOLDS, AUTOMATON_CHARS = 4, 2_000_000
 
 
 def holders(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, id): the texts (id, text) that hold an item (query_id, item) as a whole.
+    """(query_id, id): the texts (id, text) that hold an item (query_id, item) as a whole. An empty item is held by none.
 
-    A text that holds an item holds the item's words but the first and the last one after another. So a run of ``HOLDS`` of these, by its hash, finds
-    the texts to compare in full. An item of too few words for that is looked for in all texts.
+    A text that holds an item holds the item's words but the first and the last one after another. So a run of ``HOLDS`` of these finds
+    the texts to compare in full: of an item's runs the one that is rarest in the texts, where they have been counted. Items of too few words for that are looked for by automata,
+    each of which passes once over the texts.
     """
     hashed = lambda w, k: F.xxhash64(*(F.get(w, k + i) for i in range(HOLDS)))
-    rows = items.withColumn("w", F.split("item", " "))
+    rows = items.where(F.length("item") > 0).withColumn("w", F.split("item", " "))
     long = F.size("w") >= HOLDS + 2
-    keyed = rows.where(long).select("query_id", "item", hashed(F.col("w"), F.lit(1)).alias("h"))
+    runs = rows.where(long).select("query_id", "item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - HOLDS - 1), lambda k: hashed(F.col("w"), k))).alias("h"))
     words = texts.withColumn("w", F.split("text", " ")).where(F.size("w") >= HOLDS)
     pieces = words.select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - HOLDS), lambda k: hashed(F.col("w"), k)))).alias("h"))
+    asked = runs.select("h").distinct()
+    told = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
+    counts = pieces.select("h").join(told, "h", "left_semi").groupBy("h").agg(F.count("*").alias("texts"))
+    # a run that no text has counts 0: the item is held by none
+    rarest = runs.join(counts, "h", "left").groupBy("query_id", "item").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "h")).alias("r"))
+    keyed = rarest.where("r.texts > 0").select("query_id", "item", "r.h")
     few = keyed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     found = pieces.join(F.broadcast(keyed) if few else keyed, "h").where(F.col("text").contains(F.col("item"))).select("query_id", "id")
     short = rows.where(~long).select("query_id", "item")
-    if not short.isEmpty():
-        few = short.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        found = found.unionByName(texts.join(F.broadcast(short) if few else short, F.col("text").contains(F.col("item"))).select("query_id", "id"))
+    blocks = -(-(short.agg(F.sum(F.length("item"))).first()[0] or 0) // AUTOMATON_CHARS)
+    for k in range(blocks):
+        found = found.unionByName(_hold_short(texts, short.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toArrow(), short.schema["query_id"]))
     return found.distinct()
+
+
+def _hold_short(texts: DataFrame, items: pa.Table, kind: T.StructField) -> DataFrame:
+    """(query_id, id) for a bounded block of items: each task builds their automaton and reads its texts once."""
+    told = texts.sparkSession.sparkContext.broadcast(list(zip(items.column("item").to_pylist(), items.column("query_id").to_pylist(), strict=True)))
+    schema = T.StructType([kind, texts.schema["id"]])
+
+    def run(batches):
+        import ahocorasick
+
+        asking: dict[str, list] = {}
+        for item, query in told.value:
+            asking.setdefault(item, []).append(query)
+        automaton = ahocorasick.Automaton()
+        for item in asking:
+            automaton.add_word(item, item)
+        if not asking:
+            return
+        automaton.make_automaton()
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            queries, ids = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for item in {item for _, item in automaton.iter(text or "")}:
+                    queries += asking[item]
+                    ids += [i] * len(asking[item])
+            yield pa.RecordBatch.from_arrays([pa.array(queries, arrow.field(0).type), pa.array(ids, arrow.field(1).type)], schema=arrow)
+
+    return texts.select("id", "text").mapInArrow(run, schema)

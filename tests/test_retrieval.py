@@ -183,3 +183,32 @@ def test_matrix_search_filters_and_orders_like_expressions(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(semantic, "MATRIX_QUERIES", 1)
     assert run() == want and len(want) == 24
+
+
+def test_texts_that_hold_items_are_found_without_a_nested_loop(spark, monkeypatch):
+    import random
+
+    from quernstone.operators import lexical
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(30)]
+    opening = "the best of the best there ever was"
+    texts = [(k, f"{opening} " * (k % 2) + " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for k in range(150)] + [(900, None), (901, "")]
+    items = [(k, " ".join(texts[rng.randrange(150)][1].split(" ")[a : a + rng.randrange(1, 14)])) for k, a in ((k, rng.randrange(0, 20)) for k in range(120))]
+    items += [(500, f"{opening} {words[3]}"), (501, ""), (502, "w1"), (503, "w1"), (504, "no text holds these seven words at all"), (505, "1 w2")]
+    want = {(q, i) for q, item in items for i, text in texts if item and text and item in text}
+    t, x = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(items, "query_id int, item string")
+    for chars in (2_000_000, 100):
+        monkeypatch.setattr(lexical, "AUTOMATON_CHARS", chars)
+        found = lexical.holders(t, x)
+        assert {(r["query_id"], r["id"]) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_very_many_short_items(spark):
+    from quernstone.operators import lexical
+
+    items = spark.range(300_000).selectExpr("CAST(id AS INT) AS query_id", "concat('key ', id, '.') AS item")
+    texts = spark.createDataFrame([(1, "a key 77. and key 299999. here"), (2, "key 300000. is none"), (3, "key 5")], "id long, text string")
+    assert {(r["query_id"], r["id"]) for r in lexical.holders(texts, items).collect()} == {(77, 1), (299999, 1)}
