@@ -40,6 +40,7 @@ class Summed:
 
 TABLES: dict[str, Kept | Summed] = {
     "docs": Kept("symbol_id", "docs"),  # their postings are blocks, which are read by segment with the rows taken out beside them
+    "codes": Kept("id", "docs"),
     "frequencies": Summed(("field", "term")),
     "stats": Summed(("field",)),
     "repositories": Kept("id", "repositories"),

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import analyse, embedding_text, is_test_path, rerank_text
 from ..functions.vector import is_valid
-from ..operators import blocks, changes, evaluation, fusion, jobs, lexical, locking, segments, semantic
+from ..operators import blocks, changes, evaluation, fusion, jobs, lexical, locking, quantised, segments, semantic
 from ..operators.cache import FencedCache, SearchService, check_request
 from ..operators.generations import GenerationStore, Source
 from ..operators.hits import IncompleteSearchError, checked
@@ -70,10 +70,11 @@ class Engine:
     Segments of like size are merged as they come together. Whatever writes holds the corpus lock, resumes a publication that was stopped, and only then derives what it publishes.
 
     ``coordination``: a folder that all writers share, on a file system with locks; by default the root, where that is local.
+    ``code_bytes``: with it vectors are also stored as codes of so many bytes, and vector search reads these and the full vectors of its candidates alone (``quantised``); without it it is exact.
     """
 
-    def __init__(self, spark: SparkSession, root: str, dims: int = 384, embedder: Callable[[Column], Column] | None = None, weight: float = fusion.DEFAULT_WEIGHT, coordination: str | None = None):
-        self.spark, self.dims, self.weight = spark, dims, fusion.check_weight(weight)
+    def __init__(self, spark: SparkSession, root: str, dims: int = 384, embedder: Callable[[Column], Column] | None = None, weight: float = fusion.DEFAULT_WEIGHT, coordination: str | None = None, code_bytes: int | None = None):
+        self.spark, self.dims, self.weight, self.code_bytes = spark, dims, fusion.check_weight(weight), code_bytes
         self.store, self.cache = GenerationStore(spark, root), FencedCache()
         if coordination is None and self.store.folder.local is None:
             raise ValueError("give a folder for locks and journals beside a store that is not local")
@@ -112,7 +113,21 @@ class Engine:
             return blocks.laid_out(blocks.build(new, new.count(), fields))
 
         stats = sums(totals, "field")
-        return {"docs": docs, "postings": posted, "frequencies": sums(frequencies, "field", "term"), "stats": lambda own: stats(own).coalesce(1)}
+        return {"docs": docs, **self._codes(gone is not None), "postings": posted, "frequencies": sums(frequencies, "field", "term"), "stats": lambda own: stats(own).coalesce(1)}
+
+    def _codes(self, part: bool) -> dict[str, Source]:
+        """Codes of new documents: by a codebook of their own, which is stored too, or, for a part of a corpus, by the one there is."""
+        if not self.code_bytes:
+            return {}
+        reader, made = self.store.reader(), {}
+        if part and reader.has("codebook"):
+            return {"codes": lambda own: quantised.encode(own("docs"), quantised.codebook_of(reader.rows("codebook")), flag_col="is_test")}
+
+        def book(own: Callable[[str], DataFrame]) -> DataFrame:
+            made["book"] = quantised.fit(own("docs"), self.dims, self.code_bytes)
+            return quantised.codebook_rows(self.spark, made["book"])
+
+        return {"codebook": book, "codes": lambda own: quantised.encode(own("docs"), made["book"], flag_col="is_test")}
 
     def _publish(self, docs: DataFrame, expected: int | None, repository_id: int | None, fail_at: str | None = None) -> str:
         """All search documents anew; metadata stay."""
@@ -122,7 +137,7 @@ class Engine:
         """Documents ``taken`` (as located) out and ``fresh`` ones added, with other tables' rows, as one segment."""
         keys = taken.select("segment", F.col("symbol_id").alias("key"))
         tables = {**(more or {}), **self._search_tables(fresh, taken.drop("segment"))}
-        name = self.store.publish(tables, how.pop("counts", None), self.cache.rotate, fail_at, repository_id, appended=tables, dead={"docs": keys, **(dead or {})}, purpose="documents", **how)
+        name = self.store.publish(tables, how.pop("counts", None), self.cache.rotate, fail_at, repository_id, appended=[t for t in tables if t != "codebook"], dead={"docs": keys, **(dead or {})}, purpose="documents", **how)
         self._merge()
         return name
 
@@ -245,7 +260,7 @@ class Engine:
             return None
         of = lambda table: reader.rows(table, names)
         have = [t for t in reader.manifest["tables"] if any(s in names for s, _ in reader.manifest["tables"][t])]
-        tables: dict[str, Source] = {t: of(t) for t in have if t not in ("docs", "postings")}
+        tables: dict[str, Source] = {t: of(t) for t in have if t not in ("docs", "postings")}  # codes are those of the one codebook
         if "docs" in have:
             search = self._search_tables(of("docs"))
             tables |= {"docs": search["docs"], "postings": search["postings"]}
@@ -327,7 +342,12 @@ class Engine:
         reader = self.store.reader(generation)
         asked = queries.select("query_id", "intent", self.embed(F.col("query")).alias("embedding")).where(is_valid(F.col("embedding"), self.dims))
         few = limit * queries.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
-        return self._keyed(reader, semantic.search(reader.rows("docs"), asked, limit, self.dims, "symbol_id", filtered="is_test"), few)
+        return self._keyed(reader, self._nearest(reader, asked, limit), few)
+
+    def _nearest(self, reader: segments.Reader, asked: DataFrame, limit: int, n: int | None = None) -> DataFrame:
+        if reader.has("codes"):
+            return quantised.search(reader.rows("codes"), quantised.codebook_of(reader.rows("codebook")), reader.rows("docs"), asked, limit)
+        return semantic.search(reader.rows("docs"), asked, limit, self.dims, "symbol_id", filtered="is_test", n=n)
 
     def _hits(self, queries: DataFrame, depth: int, name: str) -> tuple[DataFrame, bool]:
         """Both branches' hits over one generation, a query's together, and whether they are few. Those of up to LOCAL_QUERIES queries are fetched, the branches side by side, so that what follows plans over few local rows."""
@@ -347,7 +367,7 @@ class Engine:
 
         def by_vector() -> pa.Table:
             # a matrix product, whatever their number
-            return semantic.search(reader.rows("docs"), vectors, depth, self.dims, "symbol_id", filtered="is_test", n=max(len(asked), semantic.MATRIX_QUERIES)).toArrow()
+            return self._nearest(reader, vectors, depth, max(len(asked), semantic.MATRIX_QUERIES)).toArrow()
 
         with ThreadPoolExecutor(2) as pool:
             # what is missing or broken is raised by ``result``
