@@ -34,9 +34,8 @@ BROADCAST_HITS = 200_000
 LOCAL_QUERIES = 1024
 
 
-def hashing_embedder(dims: int) -> Callable[[Column], Column]:
-    """A column function: the text's words hashed to ``dims`` slots, with unit length. Deterministic, needs no model."""
-    from ..functions.text import analyse
+def hashing_embedder(dims: int, kind: str = "float") -> Callable[[Column], Column]:
+    """A column function: the text's words hashed to ``dims`` slots, with unit length, as numbers of a kind. Deterministic, needs no model."""
 
     def held(value: Column, body: Callable[[Column], Column]) -> Column:
         """body(value), with the value computed once: a lambda's variable is, while an expression in a lambda is computed for each element."""
@@ -52,7 +51,7 @@ def hashing_embedder(dims: int) -> Callable[[Column], Column]:
 
     def unit(c: Column) -> Column:
         norm = F.sqrt(F.aggregate(F.map_values(c), F.lit(0.0), lambda acc, x: acc + x * x))
-        return held(norm, lambda n: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at(c, k.cast("int")) / n, F.lit(0.0)).cast("float")))
+        return held(norm, lambda n: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at(c, k.cast("int")) / n, F.lit(0.0)).cast(kind)))
 
     def embed(text: Column) -> Column:
         slots = F.transform(analyse(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int"))
@@ -70,10 +69,11 @@ class Engine:
     Segments of like size are merged as they come together. Whatever writes holds the corpus lock, resumes a publication that was stopped, and only then derives what it publishes.
 
     ``coordination``: a folder that all writers share, on a file system with locks; by default the root, where that is local.
+    ``embedder`` and ``reranker``: column functions of a text, and of a query and a document; ``models`` makes them of models.
     ``code_bytes``: with it vectors are also stored as codes of so many bytes, and vector search reads these and the full vectors of its candidates alone (``quantised``); without it it is exact.
     """
 
-    def __init__(self, spark: SparkSession, root: str, dims: int = 384, embedder: Callable[[Column], Column] | None = None, weight: float = fusion.DEFAULT_WEIGHT, coordination: str | None = None, code_bytes: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, dims: int = 384, embedder: Callable[[Column], Column] | None = None, weight: float = fusion.DEFAULT_WEIGHT, coordination: str | None = None, code_bytes: int | None = None, reranker: Callable[[Column, Column], Column] | None = None):
         self.spark, self.dims, self.weight, self.code_bytes = spark, dims, fusion.check_weight(weight), code_bytes
         self.store, self.cache = GenerationStore(spark, root), FencedCache()
         if coordination is None and self.store.folder.local is None:
@@ -81,6 +81,7 @@ class Engine:
         self.coordination = coordination or str(self.store.folder.local)
         self.metadata, self.journal = Metadata(spark, root, self.store), jobs.Journal(self.coordination)
         self.embed = embedder or hashing_embedder(dims)
+        self.rerank_score = reranker or fusion.overlap_score
         self._fields: tuple[str | None, dict] = (None, {})
         self.service = SearchService(self._retrieve, self.cache)
 
@@ -414,7 +415,7 @@ class Engine:
     def reranked(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         rows = self.hybrid(queries, fusion.rerank_depth(limit)).join(queries.select("query_id", "query"), "query_id")
         document = rerank_text(F.col("repository"), F.col("path"), F.col("qualified_name"), F.col("kind"), F.col("code"))
-        return fusion.rerank(rows, fusion.overlap_score(F.col("query"), document), limit)
+        return fusion.rerank(rows, self.rerank_score(F.col("query"), document), limit)
 
     # -- evaluation
 

@@ -181,9 +181,11 @@ def t2_stable_sort(t):
     SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM w""",
 )
 def r7_hashed_embedding(t):
-    from ..functions.vector import hashed_embedding
+    """The engine's own embedder, slot by slot."""
+    from .engine import hashing_embedder
 
-    return hashed_embedding(t.documents, "doc_id", F.col("text")).select("doc_id", "slot", F.round("value", 6).alias("value"))
+    slots = t.documents.select("doc_id", F.posexplode(hashing_embedder(64, "double")(F.col("text"))).alias("slot", "value")).where("value > 0")
+    return slots.select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
 @query("s5_postings", f"SELECT 'text' AS field, term, id, count(*) AS tf, length FROM (SELECT doc_id AS id, CAST(len(regexp_extract_all(lower(text), {_WORD})) AS INTEGER) AS length, unnest(regexp_extract_all(lower(text), {_WORD})) AS term FROM documents) GROUP BY ALL")
