@@ -43,6 +43,8 @@ SAMPLE_ROWS, MAX_LISTS, LIST_ROWS = 20_000, 65_536, 160
 FLAT_LISTS, LIST_SAMPLE = 4096, 4
 #: Vectors of a chunk at most, and queries that meet it at once.
 MOST_CHUNK, QUERY_ROWS = 8192, 4096
+#: Queries that are routed at once: their angles to all of 65,536 lists take 64 MB.
+ROUTED = 128
 #: Queries that measure the ratio, and the share of their neighbours that it keeps.
 TRIAL_QUERIES, TARGET = 256, 0.98
 
@@ -314,6 +316,16 @@ def measured_ratio(rows: DataFrame, postings: DataFrame, asking: DataFrame, list
     return float(np.quantile(list(need.values()), target, method="higher")) * (1 + 1e-9) if need else 1.0
 
 
+def most_cosines(part: np.ndarray, ways: np.ndarray, widest: np.ndarray) -> np.ndarray:
+    """The greatest cosine that each query of a block may have with a vector of each list: a row a query, a column a list, in place in one array."""
+    angle = part @ ways.T
+    np.clip(angle, -1, 1, out=angle)
+    np.arccos(angle, out=angle)
+    angle -= widest
+    np.maximum(angle, 0, out=angle)
+    return np.cos(angle, out=angle)
+
+
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, target: float | None = None, boundary: float = 0.10, copies: int = 4, first_lists: int = 6, chunk: int = 512, sample_rows: int = SAMPLE_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (over column i), its k nearest others; ``target``: the share of them to find, None for all."""
     spark = df.sparkSession
@@ -366,22 +378,21 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 vectors = _matrix(batch.column(1))
                 q, length = held.asked(vectors), np.linalg.norm(vectors, axis=1)
                 low, had = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
-                for a in range(0, len(q), 512):
-                    part = q[a : a + 512]
+                for a in range(0, len(q), ROUTED):
+                    part = q[a : a + ROUTED]
                     r, c, place = within_ratio(held, part, 0.0 if first else ratio, first_lists)
+                    every = np.zeros(0, np.int64)
                     if first:
                         goes = place < first_lists
                     else:
-                        lacking = np.flatnonzero(np.isneginf(low[a : a + 512]))  # fewer than k answers so far: these look into all lists
-                        enough = ~np.isin(r, lacking)
-                        r = np.concatenate([r[enough], np.repeat(lacking, len(held.centroids))])
-                        c = np.concatenate([c[enough], np.tile(np.arange(len(held.centroids)), len(lacking))])
-                        angle = np.arccos(np.clip((part[r] * ways[c]).sum(axis=1), -1, 1)) - widest[c]
-                        most = np.cos(np.maximum(angle, 0)) * held.greatest * length[a + r]
-                        goes = most >= low[a + r] - 1e-9 * np.maximum(1, np.abs(most))
-                    mine = had[a : a + 512]
+                        bar = low[a : a + ROUTED]
+                        most = most_cosines(part, ways, widest)[r, c] * held.greatest * length[a + r]
+                        goes = most >= bar[r] - 1e-9 * np.maximum(1, np.abs(most))
+                        # with fewer than k answers so far a query looks into all blocks
+                        every = (np.flatnonzero(np.isneginf(bar))[:, None] * n_blocks + np.arange(n_blocks)).ravel()
+                    mine = had[a : a + ROUTED]
                     begun = np.repeat(np.arange(len(part)), mine.value_lengths().to_numpy()) * n_blocks + mine.flatten().to_numpy()
-                    pairs = np.setdiff1d(r[goes] * n_blocks + block[c[goes]], begun)
+                    pairs = np.setdiff1d(np.concatenate([r[goes] * n_blocks + block[c[goes]], every]), begun)
                     at, to = pairs // n_blocks, pairs % n_blocks
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(batch.column(x).take(pa.array(a + at, pa.int64())) for x in range(3))], names=["block", "i", "v", "low"])
 

@@ -96,3 +96,22 @@ def test_empty_lists_and_few_answers(spark, monkeypatch):
         s[q] = -np.inf
         hit += len(set(got[got["query_id"] == q]["vec_id"]) & set(np.argsort(-s)[:20].tolist()))
     assert hit / 800 > 0.8
+
+
+def test_bounds_of_a_block_of_queries_and_many_lists_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 17)))
+    ways, part, widest = unit(65_536), unit(vector_lists.ROUTED), rng.random(65_536)
+    tracemalloc.start()
+    most = vector_lists.most_cosines(part, ways, widest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and most.shape == (vector_lists.ROUTED, 65_536)
+    # no vector within a list's angle of its direction has a greater cosine
+    for r, c in ((0, 5), (7, 60_000), (127, 1)):
+        x = ways[c] + 0.5 * rng.normal(size=(200, 17)) / 4
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        inside = np.arccos(np.clip(x @ ways[c], -1, 1)) <= widest[c]
+        assert (x[inside] @ part[r] <= most[r, c] + 1e-9).all()
