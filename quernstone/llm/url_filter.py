@@ -1,9 +1,9 @@
 """URL filter: host/path rules, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
 A vocabulary has strict and soft terms. A term is one or several words, each with its regular plural; a word counts where it stands in the URL
-with no letter or digit beside it. Escapes are decoded first (``%20`` is a blank, ``%63`` a letter), and those of non-ASCII bytes are blanks.
+with no letter or digit beside it, or where the whole run of letters and digits that it stands in is made of the vocabulary's words and of JOINING ones (``bestcasino``). Escapes are decoded first (``%20`` is a blank, ``%63`` a letter), and those of non-ASCII bytes are blanks.
 One strict term rejects a URL; so do soft terms that together weigh ``BLOCK_TENTHS`` or more. A soft term weighs less than that, and each
-counts once, so that it takes several different ones. Vocabularies are parameters, and can be read from a table.
+counts once, so that it takes several different ones; words of reference and advice take weight away. Vocabularies are parameters, and can be read from a table.
 
 Every URL is one narrow map: no shuffle, no state, so a third of all rows under
 one host costs no more than any other third. The vocabulary is broadcast with the function, and bounded by ``MOST_TERMS``.
@@ -47,21 +47,24 @@ RULES = (
 
 #: Strict terms, words of a term apart by a slash: one is enough to reject a URL.
 STRICT = (
-    "porn/porno/pornography xxx hentai milf bdsm camgirl camsex sexcam erotica gangbang blowjob cumshot incest upskirt escort callgirl stripclub "
+    "porn/porno/pornography xxx hentai milf bdsm camgirl camsex sexcam erotica gangbang blowjob cumshot incest upskirt callgirl stripclub "
     "casino roulette blackjack baccarat sportsbook bookmaker bookie slotmachine videopoker "
     "viagra cialis levitra tramadol xanax oxycodone phentermine modafinil "
-    "warez torrent keygen serialz crackz nulled camrip "
-    "malware phishing spyware ransomware botnet scareware adware"
+    "warez serialz crackz nulled camrip"
 )
 
-#: Soft terms, with their weights in tenths.
+#: Soft terms, with their weights in tenths. Words that are as much a topic as an offer are soft.
 SOFT = {
-    7: "bet/betting/bettor poker gambling/gamble/gambler lottery/lotto jackpot sex/sexy/sexual nude/naked adult fetish pill/tablet/capsule spam/spammer/spamming crack/cracked/cracker payday replica counterfeit",
+    7: "bet/betting/bettor poker gambling/gamble/gambler lottery/lotto jackpot sex/sexy/sexual nude/naked adult fetish pill/tablet/capsule spam/spammer/spamming crack/cracked/cracker payday replica counterfeit escort torrent malware phishing spyware ransomware botnet scareware adware",
     5: "ad/advert/advertising/advertisement banner popup/popunder track/tracker/tracking affiliate redirect/redirector clickbait doorway loan/lender forex bonus/bonuses prize sweepstake pharmacy/pharma steroid prescription dating/hookup webcam hack/hacked hacker trojan keylogger backlink linkbuilding darknet",
     4: "free/freebie cheap/cheapest giveaway win/winner/winning promo massage weightloss anabolic seo exploit drug slot odds wager stake",
     3: "download click offer discount coupon miracle diet detox crypto bitcoin single chat cam virus farm casting vip hot girl",
     2: "buy deal sale order credit cash money earn rich instant guaranteed limited exclusive",
+    -3: "card bank review report school garden museum library range egg recipe",
+    -5: "education/educational research analysis/analyses science history wiki wikipedia university hospital vaccine/vaccination prevention awareness safety linux ubuntu debian encyclopedia",
 }
+#: Words that terms are joined to in one run.
+JOINING = frozenset("a the my your our best top new big real live online play site web world zone club hub house home shop store now go get for and to of 1 24 365 7 777".split())
 BLOCK_TENTHS, MOST_TERMS = 10, 20_000
 
 
@@ -131,6 +134,8 @@ def _automaton(terms: tuple[Term, ...]):
     for k, term in enumerate(terms):
         for form in term.forms:
             numbers.setdefault(form, []).append(k)
+    for word in JOINING:
+        numbers.setdefault(word, [])
     found = ahocorasick.Automaton()
     for form, of in numbers.items():
         found.add_word(form, (of, len(form)))
@@ -138,6 +143,7 @@ def _automaton(terms: tuple[Term, ...]):
     return found
 
 
+_RUN = re.compile("[a-z0-9]+")
 _BLANKS, _ESCAPE, _SMALL = re.compile("%[89A-Fa-f][0-9A-Fa-f]"), re.compile("%([0-7][0-9A-Fa-f])"), str.maketrans(UPPER, LOWER)
 
 
@@ -153,17 +159,41 @@ def _inside(c: str) -> bool:
 
 
 def distinct_hits(url: str, terms: tuple[Term, ...]) -> set[int]:
-    """Numbers of the terms with a word in the plain URL that has no letter or digit beside it."""
+    """Numbers of the terms with a word in the plain URL that stands alone, or in a run that is made of words alone."""
     hits: set[int] = set()
     if not terms:
         return hits
+    joined: dict[int, list[tuple[int, list[int]]]] = {}  # of words in runs: (end, terms) by begin
     for end, (of, length) in _automaton(terms).iter(url):
-        start = end - length + 1
-        if (start == 0 or not _inside(url[start - 1])) and (end + 1 == len(url) or not _inside(url[end + 1])):
+        start, end = end - length + 1, end + 1
+        before, after = start > 0 and _inside(url[start - 1]), end < len(url) and _inside(url[end])
+        if not before and not after:
             hits.update(of)
+        else:
+            joined.setdefault(start, []).append((end, of))
+    if any(of for words in joined.values() for _, of in words):
+        for run in _RUN.finditer(url):
+            _add_joined(run.start(), run.end(), joined, hits)
     return hits
 
 
+def _add_joined(begin: int, end: int, words: dict[int, list[tuple[int, list[int]]]], hits: set[int]) -> None:
+    """Adds the terms of all words that take part in some way to make up the run from ``begin`` to ``end`` of words."""
+    from_begin, to_end = {begin}, {end}
+    for at in range(begin, end):
+        if at in from_begin:
+            from_begin.update(e for e, _ in words.get(at, ()) if e <= end)
+    if end not in from_begin:
+        return
+    for at in range(end - 1, begin - 1, -1):
+        if any(e in to_end for e, _ in words.get(at, ())):
+            to_end.add(at)
+    for at in from_begin:
+        for e, of in words.get(at, ()):
+            if e in to_end:
+                hits.update(of)
+
+
 def vocabulary_hits(terms: tuple[Term, ...]):
     """A pandas UDF on URLs: distinct strict and soft terms, and the soft weights' sum in tenths."""
 
@@ -173,7 +203,7 @@ def vocabulary_hits(terms: tuple[Term, ...]):
         for url in urls:
             found = [terms[k] for k in distinct_hits(plain(url), terms)] if url else []
             soft = [t.tenths for t in found if not t.strict]
-            rows.append((len(found) - len(soft), len(soft), sum(soft)))
+            rows.append((len(found) - len(soft), sum(n > 0 for n in soft), sum(soft)))
         return pd.DataFrame(rows, columns=["strict_hits", "soft_hits", "tenths"])
 
     return hits
@@ -192,13 +222,15 @@ def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def _term(term: Term) -> str:
-    return f"CAST(regexp_matches(u, '(^|[^a-z0-9])({'|'.join(term.forms)})([^a-z0-9]|$)') AS INTEGER)"
+def _term(term: Term, words: str) -> str:
+    return f"CAST(regexp_matches(u, '(^|[^a-z0-9])({words})*({'|'.join(term.forms)})({words})*([^a-z0-9]|$)') AS INTEGER)"
 
 
 def oracle(rules: tuple[Rule, ...] = RULES, terms: tuple[Term, ...] | None = None, block_tenths: int = BLOCK_TENTHS) -> str:
     terms = vocabulary() if terms is None else terms
     strict, soft = [t for t in terms if t.strict], [t for t in terms if not t.strict]
+    words = "|".join(sorted(JOINING | {f for t in terms for f in t.forms}))
+    hit = {t: _term(t, words) for t in terms}
     ordered = sorted(rules, key=lambda r: (-len(r.name), r.name))
     fits = [(f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in ordered]
     return f"""
@@ -211,8 +243,8 @@ parts AS (
          regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut),
 hits AS (
-  SELECT page_id, host, path, {" + ".join(map(_term, strict))} AS strict_hits, {" + ".join(map(_term, soft))} AS soft_hits,
-         {" + ".join(f"{t.tenths} * {_term(t)}" for t in soft)} AS tenths
+  SELECT page_id, host, path, {" + ".join(hit[t] for t in strict)} AS strict_hits, {" + ".join(hit[t] for t in soft if t.tenths > 0)} AS soft_hits,
+         {" + ".join(f"{t.tenths} * {hit[t]}" for t in soft)} AS tenths
   FROM parts)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {f} THEN '{r.name}'" for f, r in fits)} END AS rule,
        coalesce(CASE {" ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in fits)} END,
