@@ -53,7 +53,7 @@ def feed(spark, *rows):
 
 def test_a_sync_writes_its_own_segment_and_answers_as_a_rebuild_would(spark, tmp_path):
     rng = random.Random(1)
-    rows = [document(rng, k, 1 + k % 2, f"{'tests/' if k % 9 == 0 else ''}f{k // 6}.py", 120) for k in range(1, 1500)]
+    rows = [document(rng, k, 1 + k % 2, f"{'tests/' if k % 9 == 0 else ''}f{k // 6}.py", 120) for k in range(1, 800)]
     engine = Engine(spark, str(tmp_path / "e"), dims=2)
     base = engine.index(frame(spark, rows), len(rows))
     root = tmp_path / "e"
@@ -121,7 +121,7 @@ def test_blocks_answer_as_all_postings_do(spark, monkeypatch, many):
     tokens = lexical.field_tokens(docs, fields)
     stats, df = lexical.field_stats(tokens), lexical.document_frequencies(lexical.postings(tokens))
     q = spark.createDataFrame([(k, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 6))), k % 2 == 0) for k in range(30)], "query_id int, query string, intent boolean")
-    for limit in (1, 5, 200):
+    for limit in (5, 200):
         want = hits(lexical.search(docs, q, limit, is_test="is_test", intent="intent"))
         for rows_a_pass in (10**6, 100):
             got = hits(blocks.search(points, None, stats, df, q, limit, many=many, pass_rows=rows_a_pass))
@@ -270,3 +270,27 @@ def test_segments_that_a_manifest_reads_are_retained(spark, tmp_path):
     assert base in segments.members(engine.store.manifest()) and base not in {c["name"] for c in plan["candidates"]}
     retention.apply(engine.store, plan, later, quiesced=True)
     assert engine.store.read().count() == 59 and engine.lexical(engine.batch(["word1"]), 3).count() > 0
+
+
+def test_a_stream_publishes_each_batch_once(spark, tmp_path):
+    from quernstone.streaming.sync import change_stream, publish_stream
+
+    rng = random.Random(8)
+    engine = Engine(spark, str(tmp_path / "e"), dims=2)
+    engine.index(frame(spark, [document(rng, k, 1, f"f{k}.py") for k in range(1, 6)]))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"ordinal": 0, "status": "M", "path": "f1.py"}\n{"ordinal": 1, "status": "D", "path": "f2.py"}\n')
+    asked = []
+
+    def fresh(df):
+        asked.append(df.count())
+        return frame(spark, [document(random.Random(1), 100, 1, "f1.py")])
+
+    def run(checkpoint):
+        publish_stream(change_stream(spark, str(tmp_path / "in")), engine, 1, fresh, "feed", str(tmp_path / checkpoint)).awaitTermination()
+        return engine.store.current()
+
+    name = run("one")
+    assert {r["symbol_id"] for r in engine.store.read().collect()} == {100, 3, 4, 5}
+    assert run("two") == name and asked == [2, 2]  # the stream has lost its checkpoint and sends its first batch again
+    assert run("one") == name
