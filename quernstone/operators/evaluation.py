@@ -38,10 +38,24 @@ def by_method(methods: dict[str, DataFrame], cases: DataFrame, keys: list[str])
     return metrics(rows, "method")
 
 
-def first_rank(results: DataFrame, cases: DataFrame, keys: list[str], max_rows: int = 10) -> DataFrame:
-    """(case, rank): the first rank at which a result equals what the case expects, null if none."""
+def first_rank(results: DataFrame, cases: DataFrame, keys: list[str], max_rows: int = 10, case: str = "query_id") -> DataFrame:
+    """(case, rank): the first rank at which a result equals what the case expects, null if none; ``case`` names the column of cases that tells them apart, where a query has several."""
     hits = results.where(F.col("rank") <= max_rows).groupBy("query_id", *keys).agg(F.min("rank").alias("rank"))
-    return cases.join(hits, ["query_id", *keys], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return cases.join(hits, ["query_id", *keys], "left").groupBy(case).agg(F.min("rank").alias("rank"))
+
+
+def diagnosis(branches: dict[str, DataFrame], expected: DataFrame, keys: list[str], depth: int, found: int) -> DataFrame:
+    """Cases that ``hybrid`` does not answer in its first ``found`` results, with the expected result's rank in each branch, to ``depth``."""
+    out = expected
+    for name, hits in branches.items():
+        out = out.join(first_rank(hits, expected, keys, depth).withColumnRenamed("rank", f"{name}_rank"), "query_id")
+    return out.where(F.coalesce(F.col("hybrid_rank") > found, F.lit(True)))
+
+
+def recommended(hits: dict[float, DataFrame], cases: DataFrame, keys: list[str]) -> DataFrame:
+    """The weight whose hits (query_id, *keys, rank) serve the cases (query_id, *keys) best, with its metrics: one row."""
+    rows = functools.reduce(DataFrame.unionByName, (first_rank(df, cases, keys).withColumn("weight", F.lit(w)) for w, df in hits.items()))
+    return best_weight(metrics(rows, "weight"))
 
 
 def metrics(ranks: DataFrame, *by: str) -> DataFrame:

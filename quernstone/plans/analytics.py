@@ -74,8 +74,12 @@ def j6_ground_truth(t):
 
 @query("j7_first_rank", "SELECT user_id, event_type, min(k) AS rank FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 10 GROUP BY user_id, event_type")
 def j7_first_rank(t):
+    """Each user's events are results, by value; each kind of event that a user has is a case."""
     k = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).cast("long")
-    return t.events.withColumn("k", k).where("k <= 10").groupBy("user_id", "event_type").agg(F.min("k").alias("rank"))
+    results = t.events.select(F.col("user_id").alias("query_id"), "event_type", k.alias("rank"))
+    cases = t.events.select(F.col("user_id").alias("query_id"), "event_type", F.struct("user_id", "event_type").alias("case")).distinct()
+    found = evaluation.first_rank(results, cases, ["event_type"], case="case").where("rank IS NOT NULL")
+    return found.select("case.user_id", "case.event_type", "rank")
 
 
 @query("j8_reconcile", "SELECT coalesce(a.s, b.s, c.s) AS index_name, a.n AS metadata, b.n AS audit, c.n AS journal FROM (SELECT source AS s, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1) a FULL OUTER JOIN (SELECT source AS s, count(*) AS n FROM documents WHERE n_chars > 9000 GROUP BY 1) b ON a.s = b.s FULL OUTER JOIN (SELECT 'src' || label AS s, count(*) AS n FROM embeddings GROUP BY 1) c ON coalesce(a.s, b.s) = c.s")

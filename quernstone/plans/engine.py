@@ -452,9 +452,15 @@ class Engine:
         """Cases that the hybrid search does not answer in its first ``found`` results: the expected symbol's rank in each branch, to ``depth``, and the hybrid search's first ``shown``."""
         queries, expected = self._cases(cases)
         hybrid = self.hybrid(queries, depth).select("query_id", *IDENTITY, "rank")
-        out = expected
-        for name, hits in (("bm25", self._named(self.lexical(queries, depth))), ("semantic", self._named(self.semantic(queries, depth))), ("hybrid", hybrid)):
-            ranks = evaluation.first_rank(hits, expected, IDENTITY, depth).withColumnRenamed("rank", f"{name}_rank")
-            out = out.join(ranks, "query_id")
+        out = evaluation.diagnosis({"bm25": self._named(self.lexical(queries, depth)), "semantic": self._named(self.semantic(queries, depth)), "hybrid": hybrid}, expected, IDENTITY, depth, found)
         tops = hybrid.where(F.col("rank") <= shown).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *IDENTITY))), lambda x: F.concat_ws(" ", x["repository"], x["qualified_name"])).alias("top"))
-        return out.join(tops, "query_id", "left").where(F.coalesce(F.col("hybrid_rank") > found, F.lit(True)))
+        return out.join(tops, "query_id", "left")
+
+    def recommend(self, cases: list[tuple[str, str, str]]) -> DataFrame:
+        """The semantic weight that serves these cases best, of ``evaluation.WEIGHTS``, with its metrics: retrieved once, fused once a weight."""
+        queries, expected = self._cases(cases)
+        name = self.store.current()
+        hits, _ = self._hits(queries, fusion.depth(10), name)
+        named = self.store.read("docs", name).select(F.col("symbol_id").cast("long").alias("id"), F.col("repository").alias("_repository"), "qualified_name")
+        fused = {w: fusion.fused_hits(hits, KEYS, w, 10).select("query_id", "repository", "id", "rank") for w in evaluation.WEIGHTS}
+        return evaluation.recommended({w: df.join(named, "id").select("query_id", "repository", "qualified_name", "rank") for w, df in fused.items()}, expected, IDENTITY)

@@ -123,9 +123,12 @@ def r6_rerank_overlap(t):
 
 @query("r10_diagnosis", f"WITH {fused_sql()} SELECT query_id, min(bm25_rank) AS bm25_rank, min(semantic_rank) AS semantic_rank, min(rank) AS hybrid_rank FROM fu WHERE id % 10 = query_id GROUP BY query_id HAVING min(rank) > 1")
 def r10_diagnosis(t):
-    """Queries whose first expected document (here: by id) is not at the top, with its ranks in each branch."""
-    rows = fused(t).where("id % 10 = query_id").groupBy("query_id").agg(F.min("bm25_rank").alias("bm25_rank"), F.min("semantic_rank").alias("semantic_rank"), F.min("rank").alias("hybrid_rank"))
-    return rows.where("hybrid_rank > 1")
+    """Queries whose expected documents (here: by id) the hybrid search has, but not at its top, with their ranks in each branch."""
+    b, s = branches(t)
+    found = {"bm25": b, "semantic": s, "hybrid": fusion.fuse(b, s, ["id"], 0.6)}
+    named = {name: df.select("query_id", (F.col("id") % 10).cast("int").alias("expected"), F.col("rank").cast("long").alias("rank")) for name, df in found.items()}
+    cases = batch(t).select("query_id", F.col("query_id").alias("expected"))
+    return evaluation.diagnosis(named, cases, ["expected"], 10_000, 1).where("hybrid_rank IS NOT NULL").drop("expected")
 
 
 _EXPECTED = "id % 10 = query_id"
@@ -148,6 +151,17 @@ def e4_weight_sweep(t):
     return evaluation.metrics(cases.join(hits, ["query_id", "weight"], "left"), "weight")
 
 
+_SWEPT = f"""{fused_sql()}, ws(weight) AS (VALUES {_WEIGHTS}), sw AS (SELECT query_id, id, weight, row_number() OVER (PARTITION BY query_id, weight ORDER BY round(weight * semantic_score + (1 - weight) * bm25_score, 8) DESC, coalesce(bm25_rank, 1000000 + semantic_rank)) AS rank FROM mg, ws),
+    rk AS (SELECT q.query_id, ws.weight, min(rank) AS rank FROM q CROSS JOIN ws LEFT JOIN sw ON sw.query_id = q.query_id AND sw.weight = ws.weight AND {_EXPECTED.replace("query_id", "q.query_id")} AND rank <= 10 GROUP BY ALL),
+    me AS (SELECT CAST(weight AS DOUBLE) AS weight, {_M} FROM rk GROUP BY weight)"""
+
+
+@query("e3_recommended_weight", f"WITH {_SWEPT} SELECT * FROM me ORDER BY recall_10 = 1 DESC, CASE WHEN recall_10 = 1 THEN 0 ELSE recall_10 END DESC, mrr DESC, CASE WHEN recall_10 = 1 THEN recall_1 ELSE 0 END DESC, CASE WHEN recall_10 = 1 THEN recall_3 ELSE 0 END DESC, weight LIMIT 1")
+def e3_recommended_weight(t):
+    """The weight that a set of cases recommends, of all that are tried."""
+    return evaluation.best_weight(e4_weight_sweep(t))
+
+
 _RERANKED = f"""rr AS (SELECT fu.query_id, fu.id, fu.rank AS place, {_OVERLAP} AS reranker_score FROM fu JOIN q ON q.query_id = fu.query_id JOIN documents d ON d.doc_id = fu.id WHERE fu.rank <= 30),
     rf AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, place) AS rank FROM rr)"""
 

@@ -325,6 +325,8 @@ def test_engine_end_to_end(spark, tmp_path):
     assert set(rows) == {"bm25", "semantic", "hybrid", "reranked"} and rows["hybrid"] == round(2 / 3, 6)
     missed = engine.diagnose(cases).collect()
     assert [(r["qualified_name"], r["hybrid_rank"], len(r["top"])) for r in missed] == [("gone", None, 2)]
+    best = engine.recommend(cases[:2]).collect()
+    assert len(best) == 1 and best[0]["recall_10"] == 1.0 and best[0]["cases"] == 2 and 0.5 <= best[0]["weight"] <= 1.0
     from quernstone.operators import evaluation
 
     assert evaluation.recall_gate(engine.ranks(cases), 2 / 3) and not evaluation.recall_gate(engine.ranks(cases), 0.67)
