@@ -284,9 +284,9 @@ def fit(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 20_000, **
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return train([], [], **options)
-    key = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string")), F.lit(1 << 40))
+    key = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"))
     told = docs.sparkSession.createDataFrame([(lang, int(s * (1 << 40))) for lang, s in shares(counts, sample_rows).items()], "_lang string, _below long")  # a row a language
-    taken = rows.join(F.broadcast(told), F.col("lang") == F.col("_lang")).where(key < F.col("_below"))
+    taken = rows.join(F.broadcast(told), F.col("lang") == F.col("_lang")).where(F.pmod(key, F.lit(1 << 40)) < F.col("_below"))
     got = taken.select(key.alias("k"), "text", "lang").limit(2 * sample_rows + 200).toPandas()
     got = got.sort_values(["k", "text", "lang"])
     return train(got["text"].tolist(), got["lang"].tolist(), **options)
