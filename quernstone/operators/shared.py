@@ -19,13 +19,19 @@ def folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local.setdefault(app, tempfile.mkdtemp(prefix="quernstone-"))
-    own = f"{root.rstrip('/')}/quernstone-stores/{app}"
+    own = f"{_qualified(spark, root).rstrip('/')}/quernstone-stores/{app}"
     if own not in _at_exit:
         _at_exit.add(own)
         atexit.register(_forget, spark, own)
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The folder with its scheme: without one it lies on the default file system, as Spark takes it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _forget(spark: SparkSession, own: str) -> None:
     if spark.sparkContext._jsc is not None:  # else the application has ended before its process
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
