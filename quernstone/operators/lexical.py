@@ -7,7 +7,9 @@ document is the greatest of its fields' boosted scores.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ BOOSTS = {"qualified_name": 5.0, "name": 4.0, "path": 2.0, "code": 1.0}
 K1, B = 1.2, 0.75
 #: Query terms up to this number are broadcast; a larger batch is joined by a shuffle on the term.
 BROADCAST_TERMS = 200_000
+#: From this number of queries on a batch is scored document by document, if its terms times its queries are no more cells (of 8 bytes, told to all tasks); documents times terms or queries at once.
+WHOLE_QUERIES, WHOLE_CELLS, TILE_CELLS = 32, 4_000_000, 2_000_000
 
 
 def are_few(terms: DataFrame) -> bool:
@@ -102,6 +106,11 @@ def search(docs: DataFrame, queries: DataFrame, limit: int, boosts: dict[str, fl
     tokens = field_tokens(docs, list(boosts), id_col, pattern)
     terms = query_terms(queries, pattern)
     few = are_few(terms)
+    if few and isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        asked = terms.toArrow()  # at most BROADCAST_TERMS rows
+        n = pc.count_distinct(asked.column("query_id")).as_py()
+        if n >= WHOLE_QUERIES and n * pc.count_distinct(asked.column("term")).as_py() <= WHOLE_CELLS:
+            return _search_whole(docs, queries, asked, limit, boosts, id_col, is_test, intent, pattern)
     scores = score_batch(postings(tokens, terms, few), field_stats(tokens), terms, boosts, few)
     if is_test:
         flags = docs.select(F.col(id_col).alias("id"), F.col(is_test).alias("_test"))
@@ -109,7 +118,88 @@ def search(docs: DataFrame, queries: DataFrame, limit: int, boosts: dict[str, fl
     return top(scores, limit)
 
 
-#: Words of the runs by which texts that hold an item are looked for; characters of the short items that one automaton holds.
+def _counted(tokens: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times) of the terms that are found, and each row's number of tokens."""
+    length = tokens.value_lengths().to_numpy()
+    row, at = np.repeat(np.arange(len(length)), length), pc.index_in(tokens.flatten(), value_set=terms)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    pairs, times = np.unique(row[known] * len(terms) + at.drop_null().to_numpy(), return_counts=True)
+    return pairs // len(terms), pairs % len(terms), times, length
+
+
+def _best_of(found: tuple[np.ndarray, np.ndarray, np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best of (query, id, score), ties to the smaller id, by query."""
+    q, ids, score = found
+    order = np.lexsort((ids, -score, q))
+    q = q[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < limit
+    return q[keep], ids[order][keep], score[order][keep]
+
+
+def _search_whole(docs: DataFrame, queries: DataFrame, asked: pa.Table, limit: int, boosts: dict[str, float], id_col: str, is_test: str | None, intent: str | None, pattern: str) -> DataFrame:
+    """The answers of ``search`` to a large batch: a task scores each of its documents for all queries at once and gives its best alone, so what is shuffled does not grow with queries times documents."""
+    fields, spark = list(boosts), docs.sparkSession
+    kind, id_kind = queries.schema["query_id"], T.StructField("id", docs.schema[id_col].dataType)
+    names, words = pc.unique(asked.column("query_id").combine_chunks()), pc.unique(asked.column("term").combine_chunks())
+    place = lambda values, among: pc.index_in(values.combine_chunks(), value_set=among).to_numpy()
+    times = np.zeros((len(words), len(names)))
+    times[place(asked.column("term"), words), place(asked.column("query_id"), names)] = asked.column("times").to_numpy()
+    test = F.coalesce(F.col(is_test), F.lit(True)) if is_test else F.lit(False)
+    rows = docs.select(F.col(id_col).alias("id"), test.alias("test"), *(analyse(F.col(f), pattern).alias(f"f{k}") for k, f in enumerate(fields)))
+    terms = spark.sparkContext.broadcast(words)
+
+    def count(batches):
+        df, totals = np.zeros((len(fields), len(terms.value)), np.int64), np.zeros((len(fields), 2), np.int64)
+        for batch in batches:
+            for k in range(len(fields)):
+                _, term, _, length = _counted(batch.column(2 + k), terms.value)
+                df[k] += np.bincount(term, minlength=len(terms.value))
+                totals[k] += (np.count_nonzero(length), length.sum())
+        f, t = np.nonzero(df)
+        # term -1: documents with the field, and its tokens
+        cells = [np.concatenate(c) for c in ((f, np.arange(len(fields))), (t, np.full(len(fields), -1)), (df[f, t], totals[:, 0]), (np.zeros(len(f), np.int64), totals[:, 1]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cells, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["field", "term", "n", "length"])
+
+    sums = rows.mapInArrow(count, "field int, term int, n long, length long").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).toArrow()  # a row a field and term
+    field, term, n, length = (sums.column(c).to_numpy() for c in ("field", "term", "n", "length"))
+    whole = term < 0
+    n_docs, average, idf = np.zeros(len(fields)), np.ones(len(fields)), np.zeros((len(fields), len(words)))
+    n_docs[field[whole]] = n[whole]
+    average[field[whole]] = length[whole] / np.maximum(n[whole], 1)
+    idf[field[~whole], term[~whole]] = np.log(1 + (n_docs[field[~whole]] - n[~whole] + 0.5) / (n[~whole] + 0.5))
+    eager = np.zeros(len(names), bool)
+    if is_test:
+        told = queries.select("query_id", F.coalesce(F.col(intent), F.lit(False)).alias("i")).join(spark.createDataFrame(pa.table({"query_id": names})), "query_id").toArrow()
+        eager[place(told.column("query_id"), names)] = told.column("i").to_numpy()
+    state = spark.sparkContext.broadcast((times, average, idf, eager, names))
+    tile, schema = max(1, TILE_CELLS // max(len(words), len(names), 1)), T.StructType([kind, id_kind, T.StructField("score", T.DoubleType())])
+
+    def score(batches):
+        times, average, idf, eager, names = state.value
+        best, floor = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(len(names))
+        for batch in batches:
+            for part in (batch.slice(a, tile) for a in range(0, batch.num_rows, tile)):
+                most = np.zeros((part.num_rows, len(names)))
+                for k, boost in enumerate(boosts.values()):
+                    row, term, tf, length = _counted(part.column(2 + k), terms.value)
+                    weight = np.zeros((part.num_rows, len(terms.value)))
+                    weight[row, term] = idf[k, term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average[k]))
+                    np.maximum(most, boost * (weight @ times), out=most)
+                tests = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                most[np.ix_(tests, ~eager)] = 0
+                rounded = np.floor(most * 1e6 + 0.5) / 1e6
+                r, q = np.nonzero((most > 0) & (rounded >= floor))
+                best = _best_of(tuple(np.concatenate(c) for c in zip(best, (q, part.column(0).to_numpy()[r].astype(np.int64), rounded[r, q]), strict=True)), limit)
+                full = np.bincount(best[0], minlength=len(names)) >= limit
+                ends = np.searchsorted(best[0], np.arange(len(names)), "right") - 1
+                floor[full] = best[2][ends[full]]
+        arrow = to_arrow_schema(schema)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])).cast(arrow.field(0).type), pa.array(best[1]).cast(arrow.field(1).type), pa.array(best[2])], schema=arrow)
+
+    return top(rows.mapInArrow(score, schema), limit)
+
+
+#: Words of the runs by which texts that hold an item are looked for; characters of the items that one automaton holds.
 HOLDS, AUTOMATON_CHARS = 4, 2_000_000
 
 
@@ -118,10 +208,13 @@ def holders(texts: DataFrame, items: DataFrame) -> DataFrame:
 
     A text that holds an item holds the item's words but the first and the last one after another. So a run of ``HOLDS`` of these finds
     the texts to compare in full: of an item's runs the one that is rarest in the texts, where they have been counted. Items of too few words for that are looked for by automata,
-    each of which passes once over the texts.
+    each of which passes once over the texts; so are all items, if one automaton holds them.
     """
+    given = items.where(F.length("item") > 0)
+    if (given.agg(F.sum(F.length("item"))).first()[0] or 0) <= AUTOMATON_CHARS:
+        return _hold_short(texts, given.select("query_id", "item").toArrow(), items.schema["query_id"]).distinct()
     hashed = lambda w, k: F.xxhash64(*(F.get(w, k + i) for i in range(HOLDS)))
-    rows = items.where(F.length("item") > 0).withColumn("w", F.split("item", " "))
+    rows = given.withColumn("w", F.split("item", " "))
     long = F.size("w") >= HOLDS + 2
     runs = rows.where(long).select("query_id", "item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - HOLDS - 1), lambda k: hashed(F.col("w"), k))).alias("h"))
     words = texts.withColumn("w", F.split("text", " ")).where(F.size("w") >= HOLDS)

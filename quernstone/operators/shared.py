@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _at_exit: set[str] = set()
@@ -26,6 +26,13 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder, for what reads them more than once."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _qualified(spark: SparkSession, root: str) -> str:
     """The folder with its scheme: without one it lies on the default file system, as Spark takes it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)

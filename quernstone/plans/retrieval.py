@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import analyse
 from ..operators import evaluation, fusion, lexical, semantic
+from ..operators.shared import kept
 from .registry import query
 
 QUERIES = ((1, "all rights reserved license"), (2, "und der erst test"), (3, "que el la ciónas"), (4, "released under the mit license"), (5, "the thion enti of and"))
@@ -220,11 +221,12 @@ _CASES = f"""cases AS (SELECT item_id AS query_id, array_to_string({_KEY}, ' ')
 def e1_evaluate(t):
     """Recall of lexical search: each benchmark item asked as a whole, against the first document that holds all of it.
 
-    Documents are found by the item's rarest word run of ``lexical.HOLDS`` words, joined by hash, and the whole text is then compared.
+    The documents that hold an item (``lexical.holders``) are found once and kept, as cases and queries both follow from them.
     """
     words = analyse(F.col("text"))
     cases = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words).alias("query"), F.col("text").alias("item")).where("query <> ''")
     expected = lexical.holders(t.documents.select(F.col("doc_id").alias("id"), "text"), cases.select("query_id", "item")).groupBy("query_id").agg(F.min("id").alias("id"))
+    expected = kept(expected, "expected")
     queries = cases.join(expected, "query_id").select("query_id", "query")
     hits = lexical.search(symbols(t), queries, 10, {"code": 1.0}, "doc_id")
     return evaluation.metrics(evaluation.first_rank(hits, expected, ["id"]))
