@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,31 +21,43 @@ def parse_diff(output: str, nul: bool = True) -> list[tuple[int, str, str | None
     With ``nul`` fields end in NUL and a rename or copy has two paths; else fields
     are split by tabs and blank lines are skipped. Anything else is a ValueError.
     """
-    if nul:
-        if output and not output.endswith("\0"):
-            raise ValueError("the listing does not end in NUL")
-        fields = iter(output.split("\0")[:-1])
-    out: list[tuple[int, str, str | None, str]] = []
+    return list(diff_records(output, nul))
+
+
+def _nul_fields(output: str) -> Iterator[str]:
+    begin = 0
+    while (end := output.find("\0", begin)) >= 0:
+        yield output[begin:end]
+        begin = end + 1
 
-    def take(status: str, paths: list[str]) -> None:
+
+def diff_records(output: str, nul: bool = True) -> Iterator[tuple[int, str, str | None, str]]:
+    """The records of ``parse_diff`` one by one, so that a long listing is not held as objects."""
+    if nul and output and not output.endswith("\0"):
+        raise ValueError("the listing does not end in NUL")
+
+    def record(n: int, status: str, paths: list[str]) -> tuple[int, str, str | None, str]:
         two = status[:1] in ("R", "C")
         if not (status in ("A", "M", "D", "T") or two and status[1:].isdigit()) or len(paths) != 1 + two or not all(paths):
             raise ValueError(f"not a change record: {status!r} {paths!r}")
         kind = "A" if status[0] == "C" else status[0]
-        out.append((len(out), kind, paths[0] if kind == "R" else None, paths[-1]))
+        return n, kind, paths[0] if kind == "R" else None, paths[-1]
 
     if nul:
-        for status in fields:
-            try:
-                take(status, [next(fields) for _ in range(1 + (status[:1] in ("R", "C")))])
-            except StopIteration:
-                raise ValueError("the last record is not complete") from None
+        fields = _nul_fields(output)
+        for n, status in enumerate(fields):
+            paths = list(islice(fields, 1 + (status[:1] in ("R", "C"))))
+            if len(paths) != 1 + (status[:1] in ("R", "C")):
+                raise ValueError("the last record is not complete")
+            yield record(n, status, paths)
     else:
-        for line in output.splitlines():
-            if line.strip():
-                status, *paths = line.split("\t")
-                take(status, paths)
-    return out
+        for n, line in enumerate(x for x in output.splitlines() if x.strip()):
+            status, *paths = line.split("\t")
+            yield record(n, status, paths)
+
+
+#: Records that a task holds as objects at a time.
+PARSED_ROWS = 10_000
 
 
 def parse_listings(listings: DataFrame, key: str, text: str, nul: bool = True) -> DataFrame:
@@ -52,8 +67,8 @@ def parse_listings(listings: DataFrame, key: str, text: str, nul: bool = True) -
     def run(batches):
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            rows = [(k, *r) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in parse_diff(x or "", nul)]
-            if rows:
+            records = ((k.as_py(), *r) for k, x in zip(batch.column(0), batch.column(1), strict=True) for r in diff_records(x.as_py() or "", nul))
+            while rows := list(islice(records, PARSED_ROWS)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return listings.select(key, text).mapInArrow(run, schema)
