@@ -24,6 +24,8 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS = 200_000
 #: From this number of queries on a batch is scored document by document, if its terms times its queries are no more cells (of 8 bytes, told to all tasks); documents times terms or queries at once.
 WHOLE_QUERIES, WHOLE_CELLS, TILE_CELLS = 32, 4_000_000, 2_000_000
+#: Documents that are counted at a time.
+COUNTED_ROWS = 1000
 
 
 def are_few(terms: DataFrame) -> bool:
@@ -46,6 +48,21 @@ def postings(tokens: DataFrame, only: DataFrame | None = None, few: bool = False
     return rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def document_postings(docs: DataFrame, fields: list[str], id_col: str = "symbol_id", pattern: str = WORDS) -> DataFrame:
+    """(field, term, id, tf, length) of whole documents, each counted by the task that reads it, so that no pair is shuffled.
+
+    Only documents that share their id with another one are grouped: those of one length count as one document. Ids are looked at beforehand, without their texts.
+    """
+    again = docs.groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
+    n = again.limit(BROADCAST_TERMS + 1).count()
+    if not n:
+        return _counted_rows(field_tokens(docs, fields, id_col, pattern))
+    told, same = F.broadcast(again) if n <= BROADCAST_TERMS else again, docs[id_col].eqNullSafe(again["_again"])
+    once, more = (_counted_rows(field_tokens(docs.join(told, same, how), fields, id_col, pattern)) for how in ("left_anti", "left_semi"))
+    added = more.groupBy("field", "term", "id", "length").agg(F.sum("tf").alias("tf"))
+    return once.unionByName(added)
+
+
 def field_stats(tokens: DataFrame) -> DataFrame:
     """(field, n_docs, avg_length)."""
     return tokens.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_length"))
@@ -127,6 +144,24 @@ def _counted(tokens: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return pairs // len(terms), pairs % len(terms), times, length
 
 
+def _counted_rows(tokens: DataFrame) -> DataFrame:
+    """(field, term, id, tf, length) of each row of (id, field, tokens) by itself."""
+    schema = T.StructType([tokens.schema["field"], T.StructField("term", T.StringType()), tokens.schema["id"], T.StructField("tf", T.LongType()), T.StructField("length", T.IntegerType())])
+
+    def count(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for part in (batch.slice(a, COUNTED_ROWS) for a in range(0, batch.num_rows, COUNTED_ROWS)):
+                words = part.column("tokens")
+                terms = pc.unique(words.flatten())
+                row, term, tf, length = _counted(words, terms)
+                at = pa.array(row)
+                columns = (part.column("field").take(at), terms.take(pa.array(term)), part.column("id").take(at), pa.array(tf), pa.array(length[row]))
+                yield pa.RecordBatch.from_arrays([c.cast(kind) for c, kind in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return tokens.select("id", "field", "tokens").mapInArrow(count, schema)
+
+
 def _best_of(found: tuple[np.ndarray, np.ndarray, np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best of (query, id, score), ties to the smaller id, by query."""
     q, ids, score = found

@@ -205,7 +205,7 @@ def r7_hashed_embedding(t):
 
 @query("s5_postings", f"SELECT 'text' AS field, term, id, count(*) AS tf, length FROM (SELECT doc_id AS id, CAST(len(regexp_extract_all(lower(text), {_WORD})) AS INTEGER) AS length, unnest(regexp_extract_all(lower(text), {_WORD})) AS term FROM documents) GROUP BY ALL")
 def s5_postings(t):
-    return lexical.postings(lexical.field_tokens(t.documents, ["text"], "doc_id"))
+    return lexical.document_postings(t.documents, ["text"], "doc_id")
 
 
 _KEY = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
