@@ -48,10 +48,10 @@ def postings(tokens: DataFrame, only: DataFrame | None = None, few: bool = False
     return rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def document_postings(docs: DataFrame, fields: list[str], id_col: str = "symbol_id", pattern: str = WORDS) -> DataFrame:
+def document_postings(docs: DataFrame, fields: list[str], id_col: str = "symbol_id", pattern: str = WORDS, by: tuple[str, ...] = ("field", "term", "id", "length")) -> DataFrame:
     """(field, term, id, tf, length) of whole documents, each counted by the task that reads it, so that no pair is shuffled.
 
-    Only documents that share their id with another one are grouped: those of one length count as one document. Ids are looked at beforehand, without their texts.
+    Only documents that share their id with another one are grouped, ``by`` these columns: as given, those of one length count as one document. Ids are looked at beforehand, without their texts.
     """
     again = docs.groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
     n = again.limit(BROADCAST_TERMS + 1).count()
@@ -59,7 +59,7 @@ def document_postings(docs: DataFrame, fields: list[str], id_col: str = "symbol_
         return _counted_rows(field_tokens(docs, fields, id_col, pattern))
     told, same = F.broadcast(again) if n <= BROADCAST_TERMS else again, docs[id_col].eqNullSafe(again["_again"])
     once, more = (_counted_rows(field_tokens(docs.join(told, same, how), fields, id_col, pattern)) for how in ("left_anti", "left_semi"))
-    added = more.groupBy("field", "term", "id", "length").agg(F.sum("tf").alias("tf"))
+    added = more.groupBy(*by).agg(F.sum("tf").alias("tf"), *(F.first(c).alias(c) for c in more.columns if c not in (*by, "tf")))
     return once.unionByName(added)
 
 

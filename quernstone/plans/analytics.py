@@ -6,8 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rank import min_max, placed, zipped
-from ..functions.text import analyse
-from ..operators import cache, changes, evaluation, generations
+from ..operators import cache, changes, evaluation, generations, lexical
 from .registry import query
 
 
@@ -199,9 +198,8 @@ def a12_parse_counts(t):
 
 @query("a14_corpus_stats", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term")
 def a14_corpus_stats(t):
-    words = t.documents.select("doc_id", F.explode(analyse(F.col("text"))).alias("term"))
-    tf = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    post = lexical.document_postings(t.documents, ["text"], "doc_id", by=("field", "term", "id"))
+    return post.groupBy("term").agg(F.count("id").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("a15_payload_distinct", "SELECT conv_id, count(DISTINCT sha256(text)) AS payloads, count(DISTINCT sha256(text)) = 1 AS same FROM conversations GROUP BY conv_id")

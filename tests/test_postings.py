@@ -22,10 +22,10 @@ def plain(rows):
     return sorted(map(repr, rows))
 
 
-def by_sql(folder):
+def by_sql(folder, name="s5_postings", columns="field, term, id, tf, length"):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
-    return plain(con.execute(f"SELECT field, term, id, tf, length FROM ({catalog.ORACLE['s5_postings']})").fetchall())
+    return plain(con.execute(f"SELECT {columns} FROM ({catalog.ORACLE[name]})").fetchall())
 
 
 @pytest.mark.parametrize(("few", "at_once"), [(200_000, 1000), (1, 1), (1, 4)])
@@ -46,6 +46,15 @@ def test_documents_of_their_own_ids_are_not_shuffled(spark, tmp_path):
     assert plain(map(tuple, df.collect())) == by_sql(folder)
 
 
+def test_corpus_statistics_shuffle_terms_alone_and_count_an_id_once(spark, tmp_path):
+    folder = stored(spark, tmp_path / "again", ROWS)
+    assert plain(map(tuple, catalog.QUERIES["a14_corpus_stats"](spark, folder).collect())) == by_sql(folder, "a14_corpus_stats", "term, df, cf")
+    folder = stored(spark, tmp_path / "once", [r for r in ROWS if r[0] not in (None, 5, 6)])
+    df = catalog.QUERIES["a14_corpus_stats"](spark, folder)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert plain(map(tuple, df.collect())) == by_sql(folder, "a14_corpus_stats", "term, df, cf")
+
+
 def test_several_fields_and_ids_of_any_type(spark):
     docs = spark.createDataFrame([("p", "x y x", "y"), ("q", None, "z z"), ("r", "x", "")], "key string, name string, code string")
     found = lexical.document_postings(docs, ["name", "code"], "key")
