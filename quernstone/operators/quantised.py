@@ -1,8 +1,10 @@
-"""Product-quantised vectors: short codes beside the documents, searched by asymmetric distances, and exact scores for the candidates.
+"""Product-quantised vectors: short codes beside the documents, searched by asymmetric distances, and exact scores for all that can be an answer.
 
 A unit vector is cut into ``parts``; each part becomes the number of its nearest centroid among at most 256, so a code has one byte a part. The centroids of a part come from k-means on a bounded
 sample (``SAMPLE_ROWS``). A query is not quantised: its score with a code is its inner product with the centroids that the code names. A task decodes its codes tile by tile and keeps
-``depth`` candidates a query; the best ``depth`` of all are then scored with their full vectors, which are read for these documents alone, by the pages of a table that lies in order of the id.
+``depth`` candidates a query; the best ``depth`` of all are scored with their full vectors, and the score of the last answer among them is one that every answer reaches. A code has beside it the cosine of
+its vector with what it decodes to. By the angles a vector's score cannot be over a bound, so in a second pass the codes give all documents that can reach a query's
+last score, ties included, and these are searched exactly: the answers are those of exact search. Full vectors are read for these documents alone, by the pages of a table that lies in order of the id.
 
 Vectors that are not of the given length, or have a null or non-finite component, have no code; a zero vector has none either, as its cosine is not defined.
 """
@@ -19,12 +21,18 @@ from pyspark.sql import types as T
 
 from ..functions.rank import rank_in
 from ..functions.vector import cosine, is_valid
+from . import semantic
+from .shared import kept
 
 SAMPLE_ROWS, CENTROIDS, ROUNDS = 20_000, 256, 12
 #: Candidates for each answer, queries of a block, which is broadcast, and codes that are decoded at once.
 CANDIDATES, BLOCK_QUERIES, TILE = 8, 4096, 4096
 #: Candidates that are given to the scan as a list, so that pages are chosen by it.
 LISTED_IDS = 10_000
+#: Documents up to this number (16 bytes each) are told by a broadcast; if more can be answers, all vectors are searched where they lie.
+BROADCAST_IDS = 500_000
+#: What scores of six digits, and cosines, are apart at most if they may be equal.
+MARGIN = 1e-6
 
 
 def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -84,20 +92,32 @@ def codebook_of(rows: DataFrame) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, book: np.ndarray, id_col: str = "symbol_id", vector_col: str = "embedding", flag_col: str | None = None) -> DataFrame:
-    """(id, flag, code) of the vectors that have one."""
+    """(id, flag, code, near) of the vectors that have one; near: the cosine, rounded down, of the vector with what its code decodes to. A null flag is taken as set, as such a document is no answer without intent."""
     parts, _, width = book.shape
     told = vectors.sparkSession.sparkContext.broadcast(book)
-    flag = F.coalesce(F.col(flag_col), F.lit(False)) if flag_col else F.lit(False)
+    flag = F.coalesce(F.col(flag_col), F.lit(True)) if flag_col else F.lit(False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = told.value.astype(float)
         for batch in batches:
             x = _unit(_matrix(batch.column(2), parts * width))
             codes = np.stack([_nearest(x[:, p * width : (p + 1) * width], books[p]) for p in range(parts)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, parts), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "flag", "code"])
+            near = np.nextafter((x * _directions(books, codes)).sum(axis=1).astype(np.float32), np.float32(-2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(near)], names=["id", "flag", "code", "near"])
 
     rows = _valid(vectors, parts * width, vector_col).select(F.col(id_col).cast("long").alias("id"), flag.alias("flag"), F.col(vector_col).alias("v"))
-    return rows.mapInArrow(run, "id long, flag boolean, code binary")
+    return rows.mapInArrow(run, "id long, flag boolean, code binary, near float")
+
+
+def _decoded(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([books[p][codes[:, p]] for p in range(len(books))], axis=1)
+
+
+def _directions(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """What codes decode to, as unit vectors, or zero."""
+    x = _decoded(books, codes)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
 def _candidates(codes: DataFrame, book: np.ndarray, asked: pa.Table, depth: int, kind: T.StructField) -> DataFrame:
@@ -118,8 +138,7 @@ def _candidates(codes: DataFrame, book: np.ndarray, asked: pa.Table, depth: int,
             flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, parts)
             for a in range(0, len(ids), TILE):
                 code = flat[a : a + TILE]
-                x = np.concatenate([books[p][code[:, p]] for p in range(parts)], axis=1)
-                score = q @ x.T
+                score = q @ _decoded(books, code).T
                 score[np.ix_(~intent, flags[a : a + TILE])] = -np.inf
                 both_s = np.concatenate([best_s, score], axis=1)
                 both_i = np.concatenate([best_i, np.broadcast_to(ids[a : a + TILE], score.shape)], axis=1)
@@ -132,26 +151,75 @@ def _candidates(codes: DataFrame, book: np.ndarray, asked: pa.Table, depth: int,
     return found.withColumn("rank", rank_in("query_id", F.desc("score"), F.asc("id"))).where(F.col("rank") <= depth).select("query_id", "id")
 
 
-def search(codes: DataFrame, book: np.ndarray, vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "symbol_id", vector_col: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
-    """(query_id, id, score, rank) of queries (query_id, intent, embedding), score (1 + cosine) / 2 of the full vectors; flagged documents are no answers without intent."""
+def _reaching(codes: DataFrame, book: np.ndarray, asked: pa.Table, floors: dict) -> DataFrame:
+    """(id, flag) of the documents that can have a query's floor as their score, or more. The angle between query and vector is at least the difference of their angles to what the code decodes to."""
+    q = _unit(_matrix(asked.column("embedding").combine_chunks(), book.shape[0] * book.shape[2]))
+    floor = np.array([2 * (floors.get(name, -1.0) - MARGIN) - 1 - MARGIN for name in asked.column("query_id").to_pylist()])
+    told = codes.sparkSession.sparkContext.broadcast((book, q, floor, np.array(asked.column("intent").to_pylist(), bool)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, q, floor, intent = told.value
+        books, tile = books.astype(float), max(1, TILE * 64 // max(64, len(q)))
+        for batch in batches:
+            flags, near = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy().astype(float)
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, len(books))
+            reached = np.zeros(len(flat), bool)
+            for a in range(0, len(flat), tile):
+                to, own = slice(a, a + tile), near[a : a + tile]
+                c = np.clip(q @ _directions(books, flat[to]).T, -1, 1)
+                most = np.where(c < own, c * own + np.sqrt((1 - c * c) * (1 - own * own)), 1)
+                reached[to] = ((most >= floor[:, None]) & (intent[:, None] | ~flags[to])).any(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "flag"]).filter(pa.array(reached))
+
+    # codes of before have no cosine: they can reach any score
+    near = F.col("near") if "near" in codes.columns else F.lit(None)
+    return codes.select("id", "flag", "code", F.coalesce(near.cast("float"), F.lit(-1.0).cast("float")).alias("near")).mapInArrow(run, "id long, flag boolean")
+
+
+def search(codes: DataFrame, book: np.ndarray, vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "symbol_id", vector_col: str = "embedding", candidates: int = CANDIDATES, flag_col: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of queries (query_id, intent, embedding), score (1 + cosine) / 2 of the full vectors, as ``semantic.search`` gives them; flagged documents are no answers without intent.
+
+    ``flag_col``: the flag's column in ``vectors``; without it flags are those of the codes.
+    """
     dims = book.shape[0] * book.shape[2]
     asked = _valid(queries, dims, "embedding").select("query_id", "intent", "embedding")
-    n, depth, out = asked.count(), limit * candidates, None
+    n, depth, out, spark = asked.count(), limit * candidates, None, vectors.sparkSession
     kind = queries.schema["query_id"]
+    full = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("_v"), *([F.col(flag_col).alias("_flag")] if flag_col else []))
     for k in range(max(1, -(-n // BLOCK_QUERIES))):
         own = asked if n <= BLOCK_QUERIES else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK_QUERIES))) == k)
         rows = own.toArrow()  # at most about BLOCK_QUERIES
         if not len(rows):
             continue
-        pairs = _candidates(codes, book, rows, depth, kind).toArrow()  # at most ``depth`` a query
-        told = vectors.sparkSession.createDataFrame(pairs)
-        ids = sorted(set(pairs.column("id").to_pylist()))
-        full = vectors.where(F.col(id_col).isin(ids)) if len(ids) <= LISTED_IDS else vectors
-        full = full.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("_v"))
-        scored = full.join(F.broadcast(told), "id").join(F.broadcast(own.select("query_id", F.col("embedding").alias("_q"))), "query_id")
-        scored = scored.select("query_id", "id", F.round((1 + cosine(F.col("_v"), F.col("_q"))) / 2, 6).alias("score"))
-        best = scored.withColumn("rank", rank_in("query_id", F.desc("score"), F.asc("id"))).where(F.col("rank") <= limit)
+        own = spark.createDataFrame(rows)
+        pairs = _candidates(codes, book, rows, depth, kind).distinct().toArrow()  # at most ``depth`` a query
+        told = F.broadcast(spark.createDataFrame(pairs))
+        scored = _among(full, set(pairs.column("id").to_pylist())).join(told, "id").join(F.broadcast(own.select("query_id", "intent", F.col("embedding").alias("_q"))), "query_id")
+        if flag_col:
+            scored = scored.where("intent OR NOT _flag")
+        scored = scored.select("query_id", F.round((1 + cosine(F.col("_v"), F.col("_q"))) / 2, 6).alias("score")).where("score IS NOT NULL")
+        last = scored.withColumn("rank", rank_in("query_id", F.desc("score"))).where(F.col("rank") == limit)
+        # a row a query that has as many answers as asked for
+        floors = {r["query_id"]: r["score"] for r in last.collect()}
+        reached = _reaching(codes, book, rows, floors)
+        head = reached.limit(LISTED_IDS + 1).toArrow()
+        if few := len(head) <= LISTED_IDS:
+            reached, some = spark.createDataFrame(head), _among(full, set(head.column("id").to_pylist()))
+        else:
+            reached, some = kept(reached, "reached"), full
+        few = few or reached.count() <= BROADCAST_IDS
+        if not flag_col:
+            flags = reached.groupBy("id").agg(F.max("flag").alias("_flag"))
+            some = some.join(F.broadcast(flags) if few else flags, "id")
+        elif few:
+            some = some.join(F.broadcast(reached), "id", "left_semi")
+        best = semantic.search(some, own, limit, dims, "id", "_v", "_flag", len(rows))
         out = best if out is None else out.unionByName(best)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], T.StructType([kind, *T.StructType.fromDDL("id bigint, score double, rank int")]))
+        return spark.createDataFrame([], T.StructType([kind, *T.StructType.fromDDL("id bigint, score double, rank int")]))
     return out
+
+
+def _among(full: DataFrame, ids: set[int]) -> DataFrame:
+    """The rows of these documents, of which there are few: by a list that the scan's pages are chosen by, up to its bound."""
+    return full.where(F.col("id").isin(sorted(ids))) if len(ids) <= LISTED_IDS else full

@@ -70,7 +70,7 @@ class Engine:
 
     ``coordination``: a folder that all writers share, on a file system with locks; by default the root, where that is local.
     ``embedder`` and ``reranker``: column functions of a text, and of a query and a document; ``models`` makes them of models.
-    ``code_bytes``: with it vectors are also stored as codes of so many bytes, and vector search reads these and the full vectors of its candidates alone (``quantised``); without it it is exact.
+    ``code_bytes``: with it vectors are also stored as codes of so many bytes, and vector search reads these and the full vectors of what can be an answer alone (``quantised``); it is exact with and without.
     """
 
     def __init__(self, spark: SparkSession, root: str, dims: int = 384, embedder: Callable[[Column], Column] | None = None, weight: float = fusion.DEFAULT_WEIGHT, coordination: str | None = None, code_bytes: int | None = None, reranker: Callable[[Column, Column], Column] | None = None):
@@ -347,7 +347,7 @@ class Engine:
 
     def _nearest(self, reader: segments.Reader, asked: DataFrame, limit: int, n: int | None = None) -> DataFrame:
         if reader.has("codes"):
-            return quantised.search(reader.rows("codes"), quantised.codebook_of(reader.rows("codebook")), reader.rows("docs"), asked, limit)
+            return quantised.search(reader.rows("codes"), quantised.codebook_of(reader.rows("codebook")), reader.rows("docs"), asked, limit, flag_col="is_test")
         return semantic.search(reader.rows("docs"), asked, limit, self.dims, "symbol_id", filtered="is_test", n=n)
 
     def _hits(self, queries: DataFrame, depth: int, name: str) -> tuple[DataFrame, bool]:

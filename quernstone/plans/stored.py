@@ -35,13 +35,13 @@ def r1_block_max(t):
 
 @query("r2_quantised", f"WITH {knn_sql(10, True)} SELECT * FROM kn")
 def r2_quantised(t):
-    """The same answers as ``r2_knn_filtered``, from stored codes of 16 bytes and the full vectors of the candidates."""
+    """The same answers as ``r2_knn_filtered``, from stored codes of 16 bytes and the full vectors of all that can be answers."""
     tests = t.documents.select(F.col("doc_id").alias("vec_id"), F.lower("text").contains("test").alias("is_test"))
     vectors = t.embeddings.join(tests, "vec_id").select(F.col("vec_id").alias("symbol_id"), "embedding", "is_test")
     book, store = quantised.fit(vectors, 64, 16), _store(t)
     store.publish({"codebook": quantised.codebook_rows(t.spark, book), "docs": vectors.repartitionByRange("symbol_id").sortWithinPartitions("symbol_id"), "codes": lambda own: quantised.encode(own("docs"), book, flag_col="is_test")})
     asked = t.embeddings.where(F.col("vec_id").isin(10, 20, 30, 40, 50)).select(F.expr("CAST(vec_id DIV 10 AS INT)").alias("query_id"), "embedding", (F.col("vec_id") == 20).alias("intent"))
-    best = quantised.search(store.read("codes"), quantised.codebook_of(store.read("codebook")), store.read("docs"), asked, 10)
+    best = quantised.search(store.read("codes"), quantised.codebook_of(store.read("codebook")), store.read("docs"), asked, 10, flag_col="is_test")
     return best.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
