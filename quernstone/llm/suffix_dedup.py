@@ -42,6 +42,8 @@ from .common import byte_table, flat_text, materialise, mix64, release_memory, s
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, and about so many of runs in a shard.
 GROUP_BYTES = 4 << 20
+#: Up to so many groups and shards. As each group sends to each shard, in larger tables both grow with the root of the input, to ``GROWN`` times their bytes, so that what is sent are as many values a byte.
+PAIRED_GROUPS, GROWN = 200, 8
 #: Groups at most: in larger tables they grow.
 MOST_GROUPS = 1 << 20
 #: Bytes of text whose hashes one task compares.
@@ -106,8 +108,9 @@ def _split(at: np.ndarray, chars: np.ndarray, into: list[list[np.ndarray]]) -> N
     order = np.argsort(chars, kind="stable")
     at, chars = at[order], chars[order]
     cuts = np.flatnonzero(chars[1:] != chars[:-1]) + 1
-    for part, c in zip(np.split(at, cuts), chars[np.concatenate([[0], cuts])], strict=True):
-        into[c].append(part)
+    begins = [0, *cuts.tolist()]
+    for a, b, c in zip(begins, [*begins[1:], len(at)], chars[begins].tolist(), strict=True):
+        into[c].append(at[a:b])
 
 
 def _cat(parts: list[np.ndarray]) -> np.ndarray:
@@ -278,6 +281,12 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
 
 def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each of the strings, its windows (by start) that also stand in a string of a smaller document."""
+    of, start = _repeated(contents, docs, length)
+    return np.split(start, np.searchsorted(of, np.arange(1, len(contents))))
+
+
+def _repeated(contents: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, start) of these windows, in order."""
     sizes = np.array([len(c) for c in contents])
     starts = np.cumsum(sizes + 1) - sizes - 1
     joined = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
@@ -291,15 +300,15 @@ def repeated_windows(contents: list[bytes], docs: np.ndarray, length: int = LENG
     places = np.flatnonzero(valid)
     at = sa[places].astype(np.int64)
     if not len(at):
-        return [np.zeros(0, np.int64) for _ in contents]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     fresh = np.ones(len(at), bool)
     fresh[1:] = (np.diff(places) > 1) | (plcp[at[1:]] < length)
     head = np.flatnonzero(fresh)
     doc = docs[owner[at]]
     least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(at))))
     flagged = np.sort(at[doc > least])
-    cuts = np.searchsorted(flagged, np.append(starts, len(text)))
-    return [flagged[cuts[k] : cuts[k + 1]] - starts[k] for k in range(len(contents))]
+    of = owner[flagged]
+    return of, flagged - starts[of]
 
 
 # ---- blobs: several arrays in one value, compressed
@@ -494,40 +503,41 @@ def _decided(length: int):
         contents = list(first)
         small = np.full(len(contents), np.iinfo(np.int64).max)
         np.minimum.at(small, name, of)
-        keys = np.zeros(len(contents), np.uint64)
+        keys = np.zeros(len(contents), np.uint64)  # of their least hashes
         keys[name] = least
         order = np.argsort(keys, kind="stable")
-        cuts = np.flatnonzero(np.diff(keys[order])) + 1
-        windows: dict[int, np.ndarray] = {}
-        batch: list[int] = []
-
-        def sort_batch():
-            found = repeated_windows([contents[m] for m in batch], small[batch], length)
-            windows.update((m, w) for m, w in zip(batch, found, strict=True) if len(w))
+        head = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) > 0])) if len(order) else np.zeros(0, np.int64)
+        members = np.diff(np.append(head, len(order)))
+        order = order[np.repeat(members > 1, members)]  # a hash's strings stay together; one alone repeats nothing
+        last = np.cumsum(members[members > 1])
+        filled = np.cumsum(np.array([len(contents[m]) for m in order.tolist()], np.int64))[last - 1] if len(order) else last
+        found = [(np.zeros(0, np.int64),) * 3]
+        at = 0
+        while at < len(last):
+            to = min(int(np.searchsorted(filled, (filled[at - 1] if at else 0) + SHARD_BYTES)), len(last) - 1) + 1
+            batch = order[last[at - 1] if at else 0 : last[to - 1]]
+            of_batch, begin = _repeated([contents[m] for m in batch.tolist()], small[batch], length)
+            fresh = np.ones(len(begin), bool)
+            fresh[1:] = (np.diff(begin) != 1) | (np.diff(of_batch) != 0)
+            starts = np.flatnonzero(fresh)
+            found.append((batch[of_batch[starts]], begin[starts], np.diff(np.append(starts, len(begin)))))
             release_memory()
-
-        size = 0
-        for group in np.split(order, cuts):  # a hash's strings stay together
-            if len(group) < 2:
-                continue
-            batch += group.tolist()
-            size += sum(len(contents[m]) for m in group)
-            if size >= SHARD_BYTES:
-                sort_batch()
-                batch, size = [], 0
-        if batch:
-            sort_batch()
+            at = to
+        # runs of repeated windows by string
+        run_of, run_start, run_n = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(run_of, kind="stable")
+        run_of, run_start, run_n = run_of[by], run_start[by], run_n[by]
         rest = of[string] > small[name[string]]  # a smaller document has the whole string
         flags_o.append(owner[rest])
         flags_s.append(start[rest])
         flags_n.append(count[string[rest]])
-        for k in np.flatnonzero(~rest):
-            w = windows.get(int(name[string[k]]))
-            if w is not None:
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(w) > 1]))
-                flags_o.append(np.full(len(begin), owner[k]))
-                flags_s.append(start[k] + w[begin])
-                flags_n.append(np.diff(np.append(begin, len(w))))
+        left = np.flatnonzero(~rest)
+        first_run = np.searchsorted(run_of, name[string[left]])
+        runs = np.searchsorted(run_of, name[string[left]], "right") - first_run
+        left, run = np.repeat(left, runs), np.arange(int(runs.sum())) + np.repeat(first_run - np.cumsum(runs) + runs, runs)
+        flags_o.append(owner[left])
+        flags_s.append(start[left] + run_start[run])
+        flags_n.append(run_n[run])
         o, s, n = np.concatenate(flags_o), np.concatenate(flags_s), np.concatenate(flags_n)
         out = []
         for k, at in _groups(g[o]):
@@ -596,6 +606,13 @@ def _cut(length: int, mode: str):
     return run
 
 
+def groups_of(total: int) -> int:
+    """Groups, and shards, of so many bytes of text: in large tables as the root of the bytes, as the groups times the shards are values that are sent."""
+    n = max(1, -(-total // GROUP_BYTES))
+    paired = max(math.ceil(math.sqrt(PAIRED_GROUPS * n)), -(-n // GROWN)) if n > PAIRED_GROUPS else n
+    return max(12, min(paired, MOST_GROUPS))
+
+
 def _column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -615,7 +632,7 @@ def _parts(docs: DataFrame, length: int, mode: str) -> tuple[DataFrame, DataFram
     copies = materialise(known.join(firsts, "sha").where("i > first").select("i", "h", "n", "sha").distinct(), "copies")
     few = copies.count() <= BROADCAST_COPIES
     told = F.broadcast(copies.select("i", "h")) if few else copies.select("i", "h")
-    groups, parts = max(12, -(-total // max(GROUP_BYTES, total // MOST_GROUPS))), max(12, -(-total // HASH_BYTES))
+    groups, parts = groups_of(total), max(12, -(-total // HASH_BYTES))
     texts = rows.where("i IS NOT NULL").join(told, ["i", "h"], "left_anti")
     texts = texts.select("i", "h", F.pmod(F.xxhash64("i"), F.lit(groups)).cast("int").alias("g"), "t", "r")
     hashes = texts.select("i", "g", "t").mapInArrow(_hashes(length, parts), "p int, b binary")
