@@ -4,6 +4,9 @@ A segment's documents are dealt into shards of about ``SHARD_DOCS``, by a hash o
 ``BLOCK``; a block has the ids, frequencies, field lengths and test flags of its documents, and its greatest frequency and least length, which
 bound its impact whatever the statistics are by now. So a query needs no table but this one and the statistics, which are added up over segments.
 
+The task that reads documents counts their terms, and sends each shard one compressed value for a million pairs, so no row a pair is shuffled or sorted. A shard's lists are made in one task, or, where its
+texts are long, in one for each part of the terms, by a hash. They are written as they come out, by term within the shard, and are not shuffled again: a scan for a few terms reads a few pages of each file.
+
 A shard's scores are sums in arrays. First the first blocks of all lists are scored: the limit-th best of these partial sums is a bound that every answer reaches. A
 further block is looked at only if its own bound and those of the other terms' lists together reach it; as blocks go by falling impact, most of a common term's list is left out. For batches
 that ask for many postings the bound is taken over all shards first, and blocks that stay under it are not sent to be scored at all.
@@ -11,8 +14,12 @@ that ask for many postings the bound is taken over all shards first, and blocks
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +28,8 @@ from . import lexical, segments
 from .lexical import BOOSTS, K1, B
 
 SHARD_DOCS, BLOCK = 16_384, 256
+#: Bytes of a shard's texts of which one task makes the lists; pairs (document, term) that a task counts before it sends them (some 60 bytes each); rows of blocks in one Arrow batch.
+PART_BYTES, SENT_PAIRS, SENT_BLOCKS = 24 << 20, 1_000_000, 100_000
 #: Rows (query, field, term) that one pass tells to all shards, terms that are given to the scan as a list, and postings from which on a bound is taken first.
 PASS_ROWS, LISTED_TERMS, MANY_POSTINGS = 200_000, 500, 5_000_000
 #: Scores are rounded to six digits, so what lies below a bound by more than this cannot tie with it.
@@ -37,26 +46,127 @@ def shard(id_: Column, shards: Column | int) -> Column:
 
 
 def build(docs: DataFrame, n: int, fields: list[str], id_col: str = "symbol_id", is_test: Column | None = None) -> DataFrame:
-    """The blocks of ``n`` documents."""
-    test = F.coalesce(F.col("is_test") if is_test is None else is_test, F.lit(False))
-    flags = docs.select(F.col(id_col).cast("long").alias("id"), test.alias("test"), *(c for c in docs.columns if c in fields))
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), lexical.analyse(F.col(f)).alias("tokens")) for f in fields))
-    rows = flags.select("id", "test", F.explode(parts).alias("p")).select("id", "test", "p.field", F.size("p.tokens").alias("length"), F.explode("p.tokens").alias("term"))
-    rows = rows.groupBy("field", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"), F.first("test").alias("test"))
-    # a group is a part of a shard; longer fields first count less, whatever the average is
-    entry = F.struct((-F.col("tf") / (F.col("tf") + F.lit(0.01) * F.col("length"))).alias("order"), "id", "tf", "length", "test")
-    lists = rows.groupBy(shard(F.col("id"), shards_of(n)).alias("shard"), "field", "term").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("entries") - 1) / BLOCK).cast("int")), lambda k: F.struct(k.alias("block"), F.slice("entries", k * BLOCK + 1, F.lit(BLOCK)).alias("e")))
-    out = lists.select("shard", "field", "term", F.explode(cut).alias("c")).select("shard", "field", "term", "c.block", "c.e")
-    return out.select(
-        "shard", "field", "term", "block", F.col("e.id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.length").alias("lengths"), F.col("e.test").alias("tests"),
-        F.array_max("e.tf").alias("max_tf"), F.array_min("e.length").alias("min_length"),
-    )
-
-
-def laid_out(blocks: DataFrame) -> DataFrame:
-    """By term, so that a scan for a few terms reads a few row groups; a common term's blocks are several files."""
-    return blocks.repartitionByRange("term", "shard", "block").sortWithinPartitions("term", "field", "shard", "block")
+    """The blocks of ``n`` documents. Documents without an id are no answers; a null test flag is taken as set."""
+    test = F.coalesce(F.col("is_test") if is_test is None else is_test, F.lit(True))
+    known = docs.where(F.col(id_col).isNotNull())
+    size = known.agg(F.sum(sum((F.coalesce(F.octet_length(f), F.lit(0)) for f in fields), F.lit(0)).cast("long"))).first()[0] or 0
+    shards = shards_of(n)
+    parts = max(1, -(-size // (shards * PART_BYTES)))
+    rows = known.select(F.col(id_col).cast("long").alias("id"), test.alias("test"), shard(F.col(id_col), shards).alias("shard"), *(lexical.analyse(F.col(f)).alias(f"f{k}") for k, f in enumerate(fields)))
+    sent = rows.mapInArrow(_sent(len(fields), parts), "shard int, part int, b binary")
+    return sent.groupBy("shard", "part").applyInArrow(_lists(fields), SCHEMA)
+
+
+def _sent(fields: int, parts: int):
+    """Terms of documents (id, test, shard, tokens of each field), counted; a value for each shard and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs = [], 0
+        for batch in batches:
+            for piece in (batch.slice(a, lexical.COUNTED_ROWS) for a in range(0, batch.num_rows, lexical.COUNTED_ROWS)):
+                held.append(_counted(piece, fields))
+                pairs += len(held[-1][4])
+                if pairs >= SENT_PAIRS:
+                    yield from _dealt(held, fields, parts)
+                    held, pairs = [], 0
+        if held:
+            yield from _dealt(held, fields, parts)
+
+    return run
+
+
+def _counted(piece: pa.RecordBatch, fields: int) -> tuple:
+    """(documents: ids, tests, shards, lengths by field), (terms), (list of each pair: field + fields * term), (row), (times)."""
+    words = [piece.column(3 + k) for k in range(fields)]
+    terms = pc.unique(pa.concat_arrays([w.flatten() for w in words]))
+    lists, rows, times, lengths = [], [], [], []
+    for k, w in enumerate(words):
+        row, term, tf, length = lexical._counted(w, terms)
+        lists.append(k + fields * term)
+        rows.append(row)
+        times.append(tf)
+        lengths.append(length)
+    about = (piece.column(0).to_numpy(), piece.column(1).to_numpy(zero_copy_only=False).astype(bool), piece.column(2).to_numpy(), np.stack(lengths, axis=1).astype(np.int32))
+    return about, terms, np.concatenate(lists), np.concatenate(rows), np.concatenate(times).astype(np.int32)
+
+
+def _dealt(held: list[tuple], fields: int, parts: int) -> Iterator[pa.RecordBatch]:
+    ids, tests, shards, lengths = (np.concatenate([h[0][k] for h in held]) for k in range(4))
+    all_terms = pa.chunked_array([h[1] for h in held], pa.string()).combine_chunks().dictionary_encode()
+    terms, code = all_terms.dictionary, all_terms.indices.to_numpy()
+    begin, first = np.cumsum([0, *(len(h[1]) for h in held)]), np.cumsum([0, *(len(h[0][0]) for h in held)])
+    lists = np.concatenate([h[2] % fields + fields * code[begin[k] + h[2] // fields].astype(np.int64) for k, h in enumerate(held)])
+    row, tf = np.concatenate([h[3] + first[k] for k, h in enumerate(held)]), np.concatenate([h[4] for h in held])
+    part = np.array([zlib.crc32(t.encode()) % parts for t in terms.to_pylist()], np.int64) if parts > 1 else np.zeros(len(terms), np.int64)
+    key = shards[row] * parts + part[lists // fields]
+    order = np.lexsort((row, lists, key))
+    key, lists, row, tf = key[order], lists[order], row[order], tf[order]
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+    for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
+        own, at = np.unique(row[a:b], return_inverse=True)
+        head = np.flatnonzero(np.concatenate([[True], lists[a + 1 : b] != lists[a : b - 1]]))
+        held_lists = lists[a:b][head]
+        columns = {
+            "ids": ids[own], "tests": tests[own], "lengths": lengths[own].ravel(), "fields": (held_lists % fields).astype(np.int8), "terms": terms.take(pa.array(held_lists // fields)),
+            "counts": np.diff(np.append(head, b - a)).astype(np.int32), "docs": at.astype(np.int32), "tfs": tf[a:b],
+        }
+        yield pa.RecordBatch.from_arrays([pa.array([key[a] // parts], pa.int32()), pa.array([key[a] % parts], pa.int32()), pa.array([_packed(columns)], pa.binary())], names=["shard", "part", "b"])
+
+
+def _packed(columns: dict) -> bytes:
+    """Columns of different lengths as one row of lists, compressed."""
+    rows = [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()]
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(r)], pa.int32()), r) for r in rows], names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _lists(fields: list[str]):
+    """The blocks of one shard, or of a part of its terms, by term and field."""
+    schema = T.StructType.fromDDL(SCHEMA)
+
+    def run(table: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        got = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("b").combine_chunks()]
+        flat = {c: [t.column(c).combine_chunks().flatten() for t in got] for c in got[0].column_names}
+        number = lambda c: np.concatenate([x.to_numpy(zero_copy_only=False) for x in flat[c]])
+        terms = pa.concat_arrays(flat["terms"]).dictionary_encode()
+        by_name = pc.sort_indices(terms.dictionary).to_numpy()
+        place = np.empty(len(by_name), np.int64)
+        place[by_name] = np.arange(len(by_name))
+        ids, doc = np.unique(number("ids"), return_inverse=True)
+        first = np.cumsum([0, *(len(x) for x in flat["ids"])])
+        row = np.concatenate([x.to_numpy() + first[k] for k, x in enumerate(flat["docs"])])
+        counts, field = number("counts"), number("fields")
+        of = np.repeat(place[terms.indices.to_numpy()] * len(fields) + field, counts)
+        tf, test = number("tfs"), number("tests").astype(bool)
+        length = number("lengths").reshape(-1, len(fields))[row, np.repeat(field, counts)]
+        del got, flat
+        if len(ids) < len(doc):  # rows that share an id are one document
+            _, head, same = np.unique(of * len(ids) + doc[row], return_index=True, return_inverse=True)
+            tf = np.bincount(same, tf).astype(np.int32)
+            of, row, length = of[head], row[head], length[head]
+        # longer fields first count less, whatever the average is
+        order = np.lexsort((doc[row], -(tf / (tf + 0.01 * length)), of))
+        of, row, tf, length = of[order], row[order], tf[order], length[order]
+        head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        within = np.arange(len(of)) - np.repeat(head, np.diff(np.append(head, len(of))))
+        begin = np.flatnonzero(within % BLOCK == 0)
+        offsets = pa.array(np.append(begin, len(of)).astype(np.int32))
+        arrow = to_arrow_schema(schema)
+        listed = lambda values, kind: pa.ListArray.from_arrays(offsets, pa.array(values, kind))
+        columns = [
+            pa.array(np.full(len(begin), table.column("shard")[0].as_py(), np.int32)), pa.array(fields).take(pa.array(of[begin] % len(fields))), terms.dictionary.take(pa.array(by_name[of[begin] // len(fields)])), pa.array((within[begin] // BLOCK).astype(np.int32)),
+            listed(ids[doc[row]], pa.int64()), listed(tf, pa.int32()), listed(length, pa.int32()), listed(test[row], pa.bool_()),
+            pa.array(np.maximum.reduceat(tf, begin)), pa.array(np.minimum.reduceat(length, begin).astype(np.int32)),
+        ]
+        out = pa.Table.from_arrays([c.cast(kind) for c, kind in zip(columns, arrow.types, strict=True)], schema=arrow)
+        return pa.Table.from_batches(out.to_batches(SENT_BLOCKS), arrow)
+
+    return run
 
 
 def stored(reader: segments.Reader, table: str = "postings") -> tuple[DataFrame, DataFrame | None]:

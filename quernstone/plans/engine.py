@@ -106,12 +106,12 @@ class Engine:
         """The documents and what follows from them, once they are written; ``gone``: documents whose share of the sums is taken back."""
         fields = list(lexical.BOOSTS)
         totals = lambda df: lexical.field_totals(lexical.field_tokens(df, fields))
-        frequencies = lambda df: lexical.document_frequencies(lexical.postings(lexical.field_tokens(df, fields)))
+        frequencies = lambda df: lexical.document_frequencies(lexical.document_postings(df, fields))
         sums = lambda of, *by: (lambda own: of(own("docs")) if gone is None else lexical.less(of(own("docs")), of(gone), *by))
 
         def posted(own: Callable[[str], DataFrame]) -> DataFrame:
             new = own("docs")
-            return blocks.laid_out(blocks.build(new, new.count(), fields))
+            return blocks.build(new, new.count(), fields)
 
         stats = sums(totals, "field")
         return {"docs": docs, **self._codes(gone is not None), "postings": posted, "frequencies": sums(frequencies, "field", "term"), "stats": lambda own: stats(own).coalesce(1)}

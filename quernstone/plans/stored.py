@@ -25,7 +25,7 @@ def r1_block_max(t):
     terms = lexical.query_terms(batch(t)).select("term").distinct()
     store = _store(t)
     name = store.publish({
-        "postings": blocks.laid_out(blocks.build(docs, docs.count(), fields, "doc_id")),
+        "postings": blocks.build(docs, docs.count(), fields, "doc_id"),
         "frequencies": lexical.document_frequencies(lexical.postings(tokens, terms, True)), "stats": lexical.field_totals(tokens),
     })
     points = store.read("postings", name).withColumn("segment", F.lit(0))
